@@ -35,12 +35,9 @@ def fiscal_year(day: Column, cal: Calendar) -> Column:
 
 def retail_period_number(day: Column, cal: Calendar) -> Column:
     start = retail_year_start(fiscal_year(day, cal), cal)
-    week = F.floor(F.datediff(day, start) / 7)
-    out = F.when(F.lit(False), F.lit(0))
-    for number, weeks in enumerate(accumulate(cal.weeks), start=1):
-        out = out.when(week < weeks, F.lit(number))
-    # A 53rd week belongs to the last period.
-    return F.when(day.isNotNull(), out.otherwise(F.lit(12)))
+    # Week of the year -> period; a 53rd week belongs to the last period.
+    of_week = [p for p, weeks in enumerate(cal.weeks, start=1) for _ in range(weeks)] + [12, 12]
+    return F.get(F.array(*[F.lit(p) for p in of_week]), F.floor(F.datediff(day, start) / 7).cast("int"))
 
 
 def grain_key(day: Column, cal: Calendar = DEFAULT_CALENDAR, grain: str = "period") -> Column:
@@ -81,42 +78,53 @@ def _number_of_key(key: Column) -> Column:
     return F.nullif(F.regexp_extract(key, r"-[QP]?([0-9]{1,2})$", 1), F.lit("")).try_cast("int")
 
 
-def period_bounds(key: Column, cal: Calendar = DEFAULT_CALENDAR) -> tuple[Column, Column]:
-    """The first and last day a key covers; null for a key this calendar does not write."""
-    year, n = _year_of_key(key), _number_of_key(key)
-    month = cal.fiscal_year_start_month
-    opens = F.make_date(year, F.lit(month), F.lit(1))
+def _range(key: Column, year: Column, n: Column, year_start: Column | None, next_start: Column | None,
+           cal: Calendar) -> tuple[Column, Column]:
+    opens = F.make_date(year, F.lit(cal.fiscal_year_start_month), F.lit(1))
+    whole_year, quarter = key.rlike("^[0-9]{4}$"), key.rlike("^[0-9]{4}-Q[1-4]$")
+    month = key.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$")
     first = (
-        F.when(key.rlike(r"^[0-9]{4}$"), opens)
-        .when(key.rlike(r"^[0-9]{4}-Q[1-4]$"), F.add_months(opens, (n - 1) * 3))
-        .when(key.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])$"),
-              F.make_date(year, F.greatest(F.least(n, F.lit(12)), F.lit(1)), F.lit(1)))
+        F.when(whole_year, opens)
+        .when(quarter, F.add_months(opens, (n - 1) * 3))
+        .when(month, F.make_date(year, F.least(F.greatest(n, F.lit(1)), F.lit(12)), F.lit(1)))
     )
-    length = F.when(key.rlike(r"^[0-9]{4}$"), 12).when(key.rlike("Q"), 3).otherwise(1)
+    length = F.when(whole_year, 12).when(quarter, 3).otherwise(1)
     last = F.date_sub(F.add_months(first, length), 1)
     if not cal.is_retail:
         return first, last
 
-    year_start, next_start = retail_year_start(year, cal), retail_year_start(year + 1, cal)
-    starts = [0, *accumulate(cal.weeks)]
-    week_table = F.array(*[F.lit(w) for w in starts])
+    starts = F.array(*[F.lit(w) for w in [0, *accumulate(cal.weeks)]])
+    retail = key.startswith("FY")
+    # The first and last period (1 to 12) the key spans.
+    opening = F.when(key.rlike("-Q[1-4]$"), n * 3 - 2).when(key.rlike("-P(0[1-9]|1[0-2])$"), n).when(
+        key.rlike("^FY[0-9]{4}$"), 1)
+    closing = F.when(key.rlike("-Q[1-4]$"), n * 3).when(key.rlike("-P(0[1-9]|1[0-2])$"), n).when(
+        key.rlike("^FY[0-9]{4}$"), 12)
+    retail_first = F.date_add(year_start, 7 * F.get(starts, opening - 1))
+    # Period 12 ends where the next year opens, which takes in a 53rd week.
+    retail_last = F.date_sub(
+        F.when(closing == 12, next_start).otherwise(F.date_add(year_start, 7 * F.get(starts, closing))), 1)
+    return F.when(retail, retail_first).otherwise(first), F.when(retail, retail_last).otherwise(last)
 
-    def start_of(period):
-        safe = F.greatest(F.lit(1), F.least(F.lit(13), period))
-        return F.date_add(year_start, 7 * F.element_at(week_table, safe))
 
-    quarter, period = key.rlike("^FY[0-9]{4}-Q[1-4]$"), key.rlike("^FY[0-9]{4}-P(0[1-9]|1[0-2])$")
-    retail_first = (
-        F.when(key.rlike("^FY[0-9]{4}$"), year_start)
-        .when(quarter, start_of(n * 3 - 2))
-        .when(period, start_of(n))
-    )
-    retail_end = (
-        F.when(key.rlike("^FY[0-9]{4}$"), next_start)
-        .when(quarter, F.when(n == 4, next_start).otherwise(start_of(n * 3 + 1)))
-        .when(period, F.when(n == 12, next_start).otherwise(start_of(n + 1)))
-    )
-    return F.coalesce(retail_first, first), F.coalesce(F.date_sub(retail_end, 1), last)
+def period_bounds(key: Column, cal: Calendar = DEFAULT_CALENDAR) -> tuple[Column, Column]:
+    """The first and last day a key covers; null for a key this calendar does not write."""
+    year = _year_of_key(key)
+    starts = (retail_year_start(year, cal), retail_year_start(year + 1, cal)) if cal.is_retail else (None, None)
+    return _range(key, year, _number_of_key(key), *starts, cal)
+
+
+def with_period_range(df: DataFrame, key: str, cal: Calendar = DEFAULT_CALENDAR) -> DataFrame:
+    """`period_from` and `period_to` of every key of a table, with the year taken apart once."""
+    k = F.col(key)
+    parts = df.select("*", _year_of_key(k).alias("_year"), _number_of_key(k).alias("_n"))
+    year, starts = F.col("_year"), (None, None)
+    if cal.is_retail:
+        parts = parts.select("*", retail_year_start(year, cal).alias("_open"),
+                             retail_year_start(year + 1, cal).alias("_next"))
+        starts = (F.col("_open"), F.col("_next"))
+    first, last = _range(k, year, F.col("_n"), *starts, cal)
+    return parts.select(*df.columns, first.alias("period_from"), last.alias("period_to"))
 
 
 def period_index(key: Column) -> Column:
@@ -171,8 +179,7 @@ def calendar_dimension(days: DataFrame, day: str, cal: Calendar = DEFAULT_CALEND
     """
     span = days.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     each = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"))
-    first, last = period_bounds(F.col("period"), cal)
-    return each.select(
+    keyed = each.select(
         "day",
         fiscal_year(F.col("day"), cal).alias("fiscal_year"),
         grain_key(F.col("day"), cal, "year").alias("year_key"),
@@ -182,6 +189,5 @@ def calendar_dimension(days: DataFrame, day: str, cal: Calendar = DEFAULT_CALEND
         "*",
         period_index(F.col("period")).alias("period_index"),
         period_label(F.col("period"), cal).alias("period_label"),
-        first.alias("period_from"),
-        last.alias("period_to"),
     )
+    return with_period_range(keyed, "period", cal)

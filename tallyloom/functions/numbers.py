@@ -17,7 +17,10 @@ PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _to_double(text: Column) -> Column:
-    """A plain number as a double, anything else null."""
+    """A plain number as a double, anything else null.
+
+    The pattern goes first: a failing cast costs far more than a failing match.
+    """
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
@@ -66,7 +69,7 @@ def parse_number(value: Column, decimal: str | Column = ".") -> Column:
     balanced = F.length(F.translate(text, "(", "")) == F.length(F.translate(text, ")", ""))
     sign = F.when(flips % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
     # -0.0 and 0.0 are one value everywhere else, so they are one here.
-    return F.when(balanced, sign * digits.try_cast("double") + 0.0)
+    return F.when(balanced & digits.rlike("[0-9]"), sign * digits.try_cast("double") + 0.0)
 
 
 def number_or_zero(value: Column, decimal: str | Column = ".") -> Column:

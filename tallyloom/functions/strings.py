@@ -159,7 +159,7 @@ def question_limit(question: Column, default: int = 10) -> Column:
     pattern = r"top\s+([0-9]+)|([0-9]+)\s+(customers|products|regions|items)"
     first = F.nullif(F.regexp_extract(question, pattern, 1), F.lit(""))
     second = F.nullif(F.regexp_extract(question, pattern, 2), F.lit(""))
-    asked = F.coalesce(first, second).try_cast("int")
+    asked = F.coalesce(first, second).try_cast("int")  # null where nothing was asked
     chosen = F.when(asked == 0, F.lit(default)).otherwise(F.coalesce(asked, F.lit(default)))
     return F.least(F.lit(50), F.greatest(F.lit(1), chosen))
 

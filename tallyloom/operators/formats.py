@@ -146,16 +146,25 @@ def _plain_text(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
 
 
-def normalised(value: Column, rewrite: Column, zone: str = "UTC") -> Column:
-    """The cell under its column's decision; untouched where it already read right."""
-    iso = D.to_iso_date(value, rewrite, zone)
-    correct = N.parse_number(value, rewrite)
+def _readings(value: Column, rewrite: Column, zone: str) -> Column:
+    """The cell as its column's decision reads it, and as the plain reading does."""
     plain = trim_space(F.translate(value, "$€£₹,()", ""))
-    legacy = F.when(plain == "", F.lit(0.0)).otherwise(N.plain_number(value))
-    as_date = F.when(iso.isNotNull() & (iso != trim_space(value)), iso)
-    as_number = F.when(correct.isNotNull() & ~correct.eqNullSafe(legacy), _plain_text(correct))
-    changed = F.when(rewrite.isin("dmy", "mdy"), as_date).when(rewrite.isin(",", "."), as_number)
-    return F.when(~N.is_blank(value), F.coalesce(changed, value)).otherwise(value)
+    as_number = rewrite.isin(",", ".")
+    return F.struct(
+        F.when(rewrite.isin("dmy", "mdy"), D.to_iso_date(value, rewrite, zone)).alias("iso"),
+        F.when(as_number, N.parse_number(value, rewrite)).alias("number"),
+        F.when(as_number, F.when(plain == "", F.lit(0.0)).otherwise(N.plain_number(value))).alias("legacy"),
+    )
+
+
+def _rewritten(value: Column, readings: Column) -> Column:
+    """The cell in canonical form; untouched where it already read right."""
+    iso, number = readings["iso"], readings["number"]
+    changed = (
+        F.when(iso.isNotNull() & (iso != trim_space(value)), iso)
+        .when(number.isNotNull() & ~number.eqNullSafe(readings["legacy"]), _plain_text(number))
+    )
+    return F.coalesce(changed, value)
 
 
 def normalise_columns(df: DataFrame, columns: list[str], formats: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -166,13 +175,15 @@ def normalise_columns(df: DataFrame, columns: list[str], formats: DataFrame, zon
     decisions = formats.where("rewrite is not null").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "rewrite"))).alias("m")
     ).scalar()
-    out = []
-    for name in df.columns:
-        value = F.col(quoted(name))
-        if name in columns:
-            value = normalised(value.cast("string"), F.try_element_at(decisions, F.lit(name)), zone)
-        out.append(value.alias(name))
-    return df.select(*out)
+    read = df.select(
+        "*",
+        *[_readings(F.col(quoted(c)).cast("string"), F.try_element_at(decisions, F.lit(c)), zone).alias(f"_read_{i}")
+          for i, c in enumerate(columns)],
+    )
+    out = [F.col(quoted(c)) for c in df.columns]
+    for i, c in enumerate(columns):
+        out[df.columns.index(c)] = _rewritten(F.col(quoted(c)).cast("string"), F.col(f"_read_{i}")).alias(c)
+    return read.select(*out)
 
 
 def format_notes(df: DataFrame, columns: list[str], zone: str = "UTC") -> DataFrame:
@@ -180,9 +191,10 @@ def format_notes(df: DataFrame, columns: list[str], zone: str = "UTC") -> DataFr
     formats = detect_formats(df, columns)
     # `formats` has one row per column of the table, so it is always small.
     judged = cells(df, columns).join(F.broadcast(formats.where("rewrite is not null")), "column")
-    changed = judged.groupBy("column").agg(
-        F.count_if(~normalised(F.col("value"), F.col("rewrite"), zone).eqNullSafe(F.col("value"))).alias("rewritten")
-    )
+    read = judged.select("column", "value", _readings(F.col("value"), F.col("rewrite"), zone).alias("read"))
+    differs = ~_rewritten(F.col("value"), F.col("read")).eqNullSafe(F.col("value"))
+    changed = read.select("column", differs.alias("differs")).groupBy("column").agg(
+        F.count_if("differs").alias("rewritten"))
     return formats.join(changed, "column", "left").select(
         "column", "kind", "decision", "confidence", F.coalesce("rewritten", F.lit(0)).alias("rewritten")
     )
@@ -193,8 +205,9 @@ def day_first(df: DataFrame, columns: list[str]) -> DataFrame:
     a second field above 12 rules it out."""
     shape = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-][0-9]{2,4}"
     s = trim_space(F.col("value"))
-    first = F.regexp_extract(s, shape, 1).try_cast("int")
-    second = F.regexp_extract(s, shape, 2).try_cast("int")
-    proved, ruled_out = F.bool_or(first > 12), F.bool_or(second > 12)
-    return cells(df, columns).groupBy("column").agg(
+    first = F.nullif(F.regexp_extract(s, shape, 1), F.lit("")).try_cast("int")
+    second = F.nullif(F.regexp_extract(s, shape, 2), F.lit("")).try_cast("int")
+    proved, ruled_out = F.bool_or(F.col("first") > 12), F.bool_or(F.col("second") > 12)
+    fields = cells(df, columns).select("column", first.alias("first"), second.alias("second"))
+    return fields.groupBy("column").agg(
         (F.coalesce(proved, F.lit(False)) & ~F.coalesce(ruled_out, F.lit(False))).alias("day_first"))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tallyloom.plans.registry import QUERIES, SQL
 
-_MODULES = ["scalars"]
+_MODULES = ["scalars", "kpis", "quality", "shapes"]
 
 
 def _load():

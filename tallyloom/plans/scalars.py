@@ -500,14 +500,11 @@ select keys.key, cast(f as varchar) as period_from, cast(t as varchar) as period
 where not regexp_matches(keys.key, '^[0-9]{4}$') and not regexp_matches(keys.key, '^[0-9]{4}-Q')
   or keys.key in (select distinct """ + grain_key_sql('d', APRIL, 'year') + " from days) or keys.key like '%-Q%'")
 def _(spark, sf):
-    key = F.col("key")
-    april, retail = C.period_bounds(key, APRIL), C.period_bounds(key, RETAIL)
-    fy = key.startswith("FY")
-    return _keys(spark, sf).select(
-        "key",
-        F.when(fy, retail[0]).otherwise(april[0]).cast("string").alias("period_from"),
-        F.when(fy, retail[1]).otherwise(april[1]).cast("string").alias("period_to"),
-    )
+    keys = _keys(spark, sf)
+    retail = C.with_period_range(keys.where(F.col("key").startswith("FY")), "key", RETAIL)
+    april = C.with_period_range(keys.where(~F.col("key").startswith("FY")), "key", APRIL)
+    return retail.unionByName(april).select(
+        "key", F.col("period_from").cast("string").alias("period_from"), F.col("period_to").cast("string").alias("period_to"))
 
 
 _YR, _IX = "cast(regexp_extract(key, '([0-9]{4})', 1) as integer)", "try_cast(regexp_extract(key, '^(FY[0-9]{4}-P|[0-9]{4}-)([0-9]{2})$', 2) as integer)"

@@ -145,6 +145,67 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.select(*[F.expr(e).alias(c) for c, e in MESSY_COLUMNS.items()])
 
 
+# --- sheets: whole text tables as an uploaded file would hold them ---------------------------
+
+ORDER_SHEET = {
+    "order_id": "cast(o_orderkey as string)",
+    "order_date": f"{_YEAR} || '-' || {_MONTH} || '-' || {_DAY}",
+    "customer_code": "lpad(cast(o_custkey as string), 6, '0')",
+    "status": "o_orderstatus",
+    "priority": "o_orderpriority",
+    "total_sales": f"{_WHOLE} || '.' || {_FRAC}",
+    "total_cost": f"cast(cast(floor(o_totalprice * 0.6) as bigint) as string) || '.5'",
+    "discount_rate": "'0.' || lpad(cast(o_orderkey % 97 as string), 2, '0')",
+    "balance": "case when o_orderkey % 3 = 0 then '-' else '' end || cast(cast(floor(o_totalprice / 7) as bigint) as string)",
+    "order_year": _YEAR,
+    "rating": "cast(o_orderkey % 5 + 1 as string)",
+    "is_rush": "case when o_orderkey % 2 = 0 then 'yes' else 'no' end",
+    "constant_text": "'x'",
+    "mostly_blank": "case when o_orderkey % 50 = 0 then 'y' else '' end",
+    "remark": "'note ' || cast(o_orderkey as string) || case when o_orderkey % 2 = 0 then ' late' else '' end",
+}
+SHIPMENT_SHEET = {
+    "Invoice No": "cast(l_orderkey as string)",
+    "SKU": "'P-' || cast(l_partkey as string)",
+    "Qty": "cast(cast(l_quantity as bigint) as string)",
+    "Unit Price": "cast(cast(floor(l_extendedprice / l_quantity) as bigint) as string)",
+    "Amount": "'$' || cast(cast(floor(l_extendedprice) as bigint) as string)",
+    "Ship Date": "cast(cast(l_shipdate as date) as string)",
+    "Plan": "l_returnflag",
+    "Subscription": "l_linestatus",
+}
+EVENT_SHEET = {
+    "event_id": "cast(event_id as string)",
+    "timestamp": "cast(cast(ts as date) as string)",
+    "machine": "event_type",
+    "defect": "cast(cast(floor(value) as bigint) as string)",
+    "patient": "'u' || cast(user_id as string)",
+    "prescription": "'rx' || cast(event_id % 40 as string)",
+    "period": "'p' || cast(user_id % 3 as string)",
+}
+SHEETS = {"orders": ORDER_SHEET, "shipments": SHIPMENT_SHEET, "events": EVENT_SHEET}
+_SHEET_TABLE = {"orders": "orders", "shipments": "lineitem", "events": "events"}
+
+
+def sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = load(spark, sf_dir, _SHEET_TABLE[name])
+    return table.select(*[F.expr(e).alias(c) for c, e in SHEETS[name].items()])
+
+
+def sheet_sql(name: str) -> str:
+    columns = ", ".join(f'{e} as "{c}"' for c, e in SHEETS[name].items())
+    return f"{name}_sheet as (select {columns} from {_SHEET_TABLE[name]})"
+
+
+def sheet_cells_sql(*names: str) -> str:
+    """`cells(col, v)` over one sheet, or over several with the sheet's name in front of the column."""
+    def label(name, column):
+        return column if len(names) == 1 else f"{name}/{column}"
+
+    return ", ".join(sheet_sql(n) for n in names) + ", cells as (" + " union all ".join(
+        f"select '{label(n, c)}' as col, \"{c}\" as v from {n}_sheet" for n in names for c in SHEETS[n]) + ")"
+
+
 def ident(name: str) -> str:
     """A column name that may hold spaces or dashes, quoted for Spark."""
     return "`" + name.replace("`", "``") + "`"
