@@ -43,6 +43,14 @@ def judged_values(counts: DataFrame) -> DataFrame:
     )
 
 
+def judged_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The judged values of a table, kept so that every statistic reads them, not the table.
+
+    They spill to disk when they do not fit, and lost parts are computed again.
+    """
+    return judged_values(value_counts(df, columns)).persist()
+
+
 def _rows_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
@@ -119,7 +127,7 @@ def inconsistent_case(judged: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column."""
-    judged = judged_values(value_counts(df, columns))
+    judged = judged_counts(df, columns)
     typed = with_types(column_statistics(judged))
     numeric = F.col("type").isin("number", "currency")
     # Every frame joined here has at most one row per column.

@@ -1,71 +1,67 @@
 """Exact quantiles of distributed values.
 
 Spark's exact `percentile` keeps every distinct value of a group in one buffer. Here the
-values are cut into slices at approximate quantiles, only the slices that hold a wanted
-rank are looked into, and each of those is a small part of the data.
+range of the values is cut into even slices, the slice a wanted rank falls into is cut
+again, and only the few values left in it are put in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SLICES = 1024
-COARSE = 32
+SLICES = 4096
+ROUNDS = 2
 
 
 def exact_quantiles(weighted: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
     """One row per key: `total` and the linearly interpolated quantiles `q0`, `q1`, ...
 
     `weighted` holds each distinct value once per key with how often it occurs, so one
-    value that fills a third of the table is still a single row. The cut points make the
-    slices near equal in distinct values; being approximate they only change how the work
-    is divided, never the result.
+    value that fills a third of the table is still a single row. Each round is a plain
+    grouped sum over those rows; the frames joined to them have a few rows per key.
     """
-    v, n = F.col(value), F.col(weight)
-    values = weighted.where(v.isNotNull()).select(*keys, v.cast("double").alias("_v"), n.cast("bigint").alias("_n"))
-    points = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    fine = F.percentile_approx("_v", points, F.lit(10 * SLICES))
-    cuts = values.groupBy(*keys).agg(fine.alias("_f")).select(*keys, F.struct(
-        F.col("_f").alias("fine"), F.filter("_f", lambda c, i: i % COARSE == COARSE - 1).alias("coarse")).alias("_cuts"))
-    # `cuts` and `slices` have one row, or at most SLICES rows, per key.
-    held = values.join(cuts, keys) if keys else values.select("*", cuts.scalar().alias("_cuts"))
-    # Sorted cut points: a value's slice is the number of them at or below it. Every 32nd
-    # point is looked at first, then the 32 points that follow.
-    def below(points):
-        return F.size(F.filter(points, lambda c: c <= F.col("_v")))
+    v = F.col(value)
+    key = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    by = keys or ["_all"]
+    values = weighted.where(v.isNotNull()).select(*key, v.cast("double").alias("_v"), F.col(weight).cast("bigint").alias("_n"))
 
-    coarse = held.select(*keys, "_v", "_n", "_cuts", (below(F.col("_cuts.coarse")) * COARSE).alias("_c"))
-    sliced = coarse.select(*keys, "_v", "_n", (
-        F.col("_c") + below(F.slice("_cuts.fine", F.col("_c") + 1, COARSE))).alias("_slice"))
-
-    over_key = Window.partitionBy(*keys or [F.lit(1)])
-    slices = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_m"))
-    ranked = slices.select(
-        *keys, "_slice",
-        (F.sum("_m").over(over_key.orderBy("_slice")) - F.col("_m")).alias("_from"),
-        F.sum("_m").over(over_key.orderBy("_slice")).alias("_to"),
-        F.sum("_m").over(over_key).alias("_total"),
-    )
+    # A span is a range of values of one key with the rows before it and the ranks sought in it.
     asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     place = F.col("_q.p") * (F.col("_total") - 1)
-    wanted = ranked.select("*", F.explode(asked).alias("_q")).select(
-        *keys, "_slice", "_from", "_total", F.col("_q.i").alias("_i"), place.alias("_place"),
-        F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"), "_to",
-    ).where("_rank >= _from and _rank < _to")
+    ranks = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank")
+    span = [*by, "_lo", "_hi", "_before", "_total"]
+    seek = F.collect_list(F.struct("_i", "_place", "_rank")).alias("_seek")
+    spans = values.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("bigint").alias("_before"),
+        F.sum("_n").alias("_total"),
+    ).select("*", F.explode(asked).alias("_q")).select(
+        *span, F.col("_q.i").alias("_i"), place.alias("_place"), ranks).groupBy(*span).agg(seek)
+
+    for _ in range(ROUNDS):
+        inside = values.join(spans, by).where("_v between _lo and _hi")
+        width = F.col("_hi") - F.col("_lo")
+        slice_of = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * SLICES), F.lit(SLICES - 1)))
+        slices = inside.groupBy(*span, F.coalesce(slice_of, F.lit(0)).alias("_slice")).agg(
+            F.sum("_n").alias("_m"), F.min("_v").alias("_first"), F.max("_v").alias("_last"),
+            F.any_value("_seek").alias("_seek"))
+        # At most SLICES rows per span.
+        upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*span).orderBy("_slice"))
+        summed = slices.select(
+            *by, F.col("_first").alias("_lo"), F.col("_last").alias("_hi"), (upto - F.col("_m")).alias("_before"),
+            upto.alias("_to"), "_total", "_seek")
+        found = summed.select(*span, "_to", F.inline("_seek")).where("_rank >= _before and _rank < _to")
+        spans = found.groupBy(*span).agg(seek)
 
-    needed = wanted.select(*keys, "_slice", "_from").distinct()
-    inside = sliced.join(needed, [*keys, "_slice"])
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_v")
-    upto = F.col("_from") + F.sum("_n").over(in_slice)
-    placed = inside.groupBy(*keys, "_slice", "_from", "_v").agg(F.sum("_n").alias("_n")).select(
-        *keys, "_slice", "_v", (upto - F.col("_n")).alias("_first"), upto.alias("_end"))
-    hits = wanted.select(*keys, "_slice", "_total", "_i", "_place", "_rank").join(placed, [*keys, "_slice"]).where(
-        "_rank >= _first and _rank < _end")
+    inside = values.join(spans, by).where("_v between _lo and _hi")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*span).orderBy("_v"))
+    summed = inside.select(*by, "_total", "_v", (upto - F.col("_n")).alias("_from"), upto.alias("_to"), "_seek")
+    hits = summed.select(*by, "_total", "_v", "_from", "_to", F.inline("_seek")).where("_rank >= _from and _rank < _to")
     low, high = F.min("_v"), F.max("_v")
     share = F.max(F.col("_place") - F.floor("_place"))
-    each = hits.groupBy(*keys, "_total", "_i").agg((low + (high - low) * share).alias("_q"))
-    return each.groupBy(*keys, F.col("_total").alias("total")).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
+    each = hits.groupBy(*by, "_total", "_i").agg((low + (high - low) * share).alias("_q"))
+    return each.groupBy(*by, F.col("_total").alias("total")).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))]
+    ).select(*keys, "total", *[f"q{i}" for i in range(len(probs))])
 
 
 def value_weights(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.functions import numbers as N
 from tallyloom.functions.strings import trimmed
 from tallyloom.operators.formats import quoted
-from tallyloom.operators.profile import column_statistics, judged_values, value_counts, with_types
+from tallyloom.operators.profile import column_statistics, judged_counts, with_types
 
 # Name hints. They order equals and never make a role on their own.
 HINT_MONEY = "(?i)(revenue|sales|amount|price|cost|profit|margin|spend|budget|value|fee|charge|payment|total|salary|income)"
@@ -26,7 +26,7 @@ MAX_SCALE_RATIO = 50
 
 def column_evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: coverage, distinctness, date and code checks, spread."""
-    typed = with_types(column_statistics(judged_values(value_counts(df, columns))))
+    typed = with_types(column_statistics(judged_counts(df, columns)))
     filled, n = F.col("filled"), F.col("n_number")
     mean = F.col("total") / n
     variance = F.greatest(F.col("total_squares") / n - mean * mean, F.lit(0.0))
@@ -123,7 +123,8 @@ def separation(df: DataFrame, dimensions: list[str], measure: Column) -> DataFra
 def ranked_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every column with its role, traits, score and rank within the role."""
     c, name = F.col, F.col("column")
-    traits = measure_traits(classify(column_evidence(df, columns)))
+    # One row per column, read three times below.
+    traits = measure_traits(classify(column_evidence(df, columns))).persist()
     moves = F.least(c("variation"), F.lit(1.5)) / 1.5
     hint = F.when(name.rlike(HINT_MONEY), 0.002).otherwise(0.0)
     measure_score = (
@@ -206,6 +207,7 @@ def financial_pairs(df: DataFrame, ranked: DataFrame) -> DataFrame:
         F.when(name.rlike(NAME_PROFIT), "profit").when(name.rlike(NAME_COST), "cost").alias("named"))
     lead = both.where("rank = 1").select(F.struct("column", "abs_total")).scalar()
     ratio = F.greatest("abs_total", "_l.abs_total") / F.nullif(F.least("abs_total", "_l.abs_total"), F.lit(0.0))
-    return both.where("rank > 1 and named is not null").select("*", lead.alias("_l")).select(
+    paired = both.where("rank > 1 and named is not null").select("*", lead.alias("_l")).where("_l is not null")
+    return paired.select(
         F.col("_l.column").alias("lead"), "column", "named", N.round_half_up(ratio, 4).alias("scale_ratio"),
         F.coalesce(ratio <= MAX_SCALE_RATIO, F.lit(False)).alias("accepted"))

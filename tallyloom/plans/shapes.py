@@ -158,7 +158,7 @@ def _table_columns(spark, sf):
     """(table_name, position, column, type) of every sheet."""
     out = None
     for name, columns in SHEETS.items():
-        judged = PR.judged_values(PR.value_counts(sheet(spark, sf, name), list(columns)))
+        judged = PR.judged_counts(sheet(spark, sf, name), list(columns))
         typed = PR.with_types(PR.column_statistics(judged)).select(F.lit(name).alias("table_name"), "column", "type")
         place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int")
         typed = typed.select("table_name", place.alias("position"), "column", "type")

@@ -154,9 +154,9 @@ ORDER_SHEET = {
     "status": "o_orderstatus",
     "priority": "o_orderpriority",
     "total_sales": f"{_WHOLE} || '.' || {_FRAC}",
-    "total_cost": f"cast(cast(floor(o_totalprice * 0.6) as bigint) as string) || '.5'",
+    "total_cost": f"cast(cast(floor(o_totalprice * 0.6) as bigint) + 20000 as string) || '.5'",
     "discount_rate": "'0.' || lpad(cast(o_orderkey % 97 as string), 2, '0')",
-    "balance": "case when o_orderkey % 3 = 0 then '-' else '' end || cast(cast(floor(o_totalprice / 7) as bigint) as string)",
+    "balance": "case when o_orderkey % 20 = 0 then '-' else '' end || cast(cast(floor(o_totalprice / 7) as bigint) as string)",
     "order_year": _YEAR,
     "rating": "cast(o_orderkey % 5 + 1 as string)",
     "is_rush": "case when o_orderkey % 2 = 0 then 'yes' else 'no' end",
