@@ -426,11 +426,10 @@ def bake_off(series: DataFrame, by: list[str], horizon: int = 3) -> DataFrame:
         slots = None if pdf["slot"].isna().any() else pdf["slot"].to_numpy(dtype=int)
         board, points = _bake_off(pdf["value"].to_numpy(dtype=float), slots, horizon)
         rows = [dict(r, kind="score") for r in board] + [dict(r, kind="point") for r in points]
-        out = pd.DataFrame(rows).reindex(columns=_COLUMNS)
-        out.insert(0, "last_period", pdf["period"].iloc[-1])
-        for c in reversed(by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+        same = {c: pdf[c].iloc[0] for c in by} | {"last_period": pdf["period"].iloc[-1]}
+        # Plain objects with None where a kind of row has no such value.
+        table = {c: [r.get(c) for r in rows] for c in _COLUMNS} | {c: [v] * len(rows) for c, v in same.items()}
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in table.items()})[[*by, "last_period", *_COLUMNS]]
 
     return placed.groupBy(*by).applyInPandas(run, schema)
 
