@@ -149,9 +149,10 @@ def applied_log(df: DataFrame, steps: list[Step]) -> DataFrame:
 def quality_change(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Every issue found before or after cleaning, with both scores."""
     from tallyloom.operators.profile import quality_issues, quality_score
+    from tallyloom.session import materialise
 
     # Issue tables have a handful of rows per column of the table.
-    first, second = quality_issues(before, columns), quality_issues(after, columns)
+    first, second = (materialise(quality_issues(df, columns), "issues") for df in (before, after))
     sides = first.select("type", "column", F.lit("before").alias("side"), "affected_rows").unionByName(
         second.select("type", "column", F.lit("after").alias("side"), "affected_rows"))
     rows = sides.groupBy("type", F.coalesce("column", F.lit("")).alias("column")).agg(*[

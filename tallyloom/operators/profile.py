@@ -13,6 +13,7 @@ from tallyloom.functions import dates as D, numbers as N
 from tallyloom.functions.strings import trim_space
 from tallyloom.operators.formats import cells, quoted
 from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.session import materialise
 
 CURRENCY_SHAPE = r"^\s*[-(]?\s*[$€£₹]\s?[0-9,]+(\.[0-9]+)?\s*\)?\s*$"
 NUMERIC_SHAPE = r"^\s*-?[0-9,]*\.?[0-9]+\s*$"
@@ -44,11 +45,8 @@ def judged_values(counts: DataFrame) -> DataFrame:
 
 
 def judged_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The judged values of a table, kept so that every statistic reads them, not the table.
-
-    They spill to disk when they do not fit, and lost parts are computed again.
-    """
-    return judged_values(value_counts(df, columns)).persist()
+    """The judged values of a table, written once: every statistic reads them, not the table."""
+    return materialise(judged_values(value_counts(df, columns)), "values")
 
 
 def _rows_where(condition: Column) -> Column:
@@ -127,7 +125,10 @@ def inconsistent_case(judged: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column."""
-    judged = judged_counts(df, columns)
+    return profile_of(judged_counts(df, columns))
+
+
+def profile_of(judged: DataFrame) -> DataFrame:
     typed = with_types(column_statistics(judged))
     numeric = F.col("type").isin("number", "currency")
     # Every frame joined here has at most one row per column.
@@ -156,8 +157,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("_times") - 1), F.lit(0)).alias("duplicates"))
 
 
-def quality_issues(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per detected problem, with how many rows it affects and how bad it is."""
+def quality_issues(df: DataFrame, columns: list[str], by_profile: DataFrame | None = None) -> DataFrame:
+    """One row per detected problem, with how many rows it affects and how bad it is.
+
+    `by_profile` is the table's profile where it is already at hand.
+    """
     def issue(kind, affected, severity, fixable):
         return F.struct(F.lit(kind).alias("type"), affected.cast("bigint").alias("affected_rows"),
                         severity.alias("severity"), F.lit(fixable).alias("auto_fixable"))
@@ -177,7 +181,7 @@ def quality_issues(df: DataFrame, columns: list[str]) -> DataFrame:
         F.when(F.col("outliers") > 0, issue("outliers", F.col("outliers"), low, False)),
         F.when(odd_name, issue("suspicious_column_name", F.lit(0), low, False)),
     ))
-    by_column = profile(df, columns).select("column", "n_rows", F.explode(found).alias("i")).select(
+    by_column = (by_profile if by_profile is not None else profile(df, columns)).select("column", "n_rows", F.explode(found).alias("i")).select(
         "i.type", "column", "i.affected_rows", "i.severity", "i.auto_fixable", "n_rows")
     times = duplicate_rows(df.select(*[F.col(quoted(c)) for c in columns]))
     repeated = times.where("duplicates > 0").select(

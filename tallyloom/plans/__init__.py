@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tallyloom.plans.registry import QUERIES, SQL
 
-_MODULES = ["scalars", "kpis", "quality", "shapes", "analysis", "forecasting", "people"]
+_MODULES = ["scalars", "kpis", "quality", "shapes", "analysis", "forecasting", "people", "files"]
 
 
 def _load():

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,4 +28,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+    return f"{base.rstrip('/')}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder once and read from there.
+
+    For an intermediate table that several results read: it is computed once, later plans
+    start from the files, and losing executors loses nothing.
+    """
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.operators import clean, formats, profile as PR, shape as SH
 from tallyloom.operators.evidence import fingerprint
+from tallyloom.session import materialise
 
 
 def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,9 +62,11 @@ class Ingested:
 
 def ingest(df: DataFrame, steps: list[clean.Step] = (), zone: str = "UTC") -> Ingested:
     """Clean, bring to one number and date form, profile, shape and fingerprint a text table."""
-    cleaned = clean.apply_recipe(df, list(steps))
+    cleaned = materialise(clean.apply_recipe(df, list(steps)), "cleaned")
     columns = cleaned.columns
-    rows = formats.normalise_columns(cleaned, columns, formats.detect_formats(cleaned, columns), zone)
-    issues = PR.quality_issues(rows, columns)
-    return Ingested(rows, clean.applied_log(df, list(steps)), formats.format_notes(cleaned, columns, zone), PR.profile(rows, columns),
-                    issues, PR.quality_score(issues), SH.ranked_columns(rows, columns), fingerprint(rows))
+    rows = materialise(formats.normalise_columns(cleaned, columns, formats.detect_formats(cleaned, columns), zone), "rows")
+    judged = PR.judged_counts(rows, columns)
+    profile = materialise(PR.profile_of(judged), "profile")
+    issues = materialise(PR.quality_issues(rows, columns, profile), "issues")
+    return Ingested(rows, clean.applied_log(df, list(steps)), formats.format_notes(cleaned, columns, zone), profile, issues,
+                    PR.quality_score(issues), SH.ranked_columns(rows, columns, judged), fingerprint(rows))

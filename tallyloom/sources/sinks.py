@@ -20,7 +20,8 @@ def formula_safe(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    formula_safe(df).write.option("header", True).option("escape", '"').csv(path)
+    (formula_safe(df).write.option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 REPORT_BLOCKS = ("summary", "kpis", "sections", "forecast", "recommendations")

@@ -76,16 +76,26 @@ def threshold_alerts(totals: DataFrame, rules: DataFrame, opened: Callable[[], D
     return _start(totals, sink, checkpoint)
 
 
-def score_arrivals(actuals: DataFrame, points: DataFrame, by: list[str], scores_at: Callable[[int], DataFrame | None],
-                   output: Callable[[int], str], checkpoint: str) -> StreamingQuery:
+def score_arrivals(actuals: DataFrame, points: DataFrame, by: list[str], folder: str, checkpoint: str) -> StreamingQuery:
     """Saved forecast points graded as actual values arrive, one score per point, the latest kept.
 
-    `scores_at(batch)` gives the scores as they stood before that batch.
+    Every batch keeps its actuals and writes a full set of scores, one row per forecast
+    period, built from all actuals up to that batch and the scores before it.
     """
+    spark = actuals.sparkSession
+
     def sink(rows: DataFrame, batch: int) -> None:
-        scored = score_points(points, rows, by).withColumn("version", F.lit(batch))
-        before = scores_at(batch)
-        merged = scored if before is None else upsert_scores(before, scored, [*by, "period"], "version")
-        merged.write.mode("overwrite").parquet(output(batch))
+        rows.write.mode("overwrite").parquet(_batch_path(f"{folder}/actuals", batch))
+        known = read_batches(spark, f"{folder}/actuals")
+        scored = score_points(points, known, by).withColumn("version", F.lit(batch))
+        if batch > 0:
+            before = spark.read.parquet(_batch_path(f"{folder}/scores", batch - 1))
+            scored = upsert_scores(before, scored, [*by, "period"], "version").select(*scored.columns)
+        scored.write.mode("overwrite").parquet(_batch_path(f"{folder}/scores", batch))
 
     return _start(actuals, sink, checkpoint)
+
+
+def latest_scores(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
+    """The scores after the last batch of a finished job."""
+    return spark.read.parquet(_batch_path(f"{folder}/scores", query.lastProgress["batchId"]))
