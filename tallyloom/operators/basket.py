@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.functions.numbers import round2, round_half_up
 from tallyloom.functions.strings import tidy_key
 from tallyloom.operators.customers import status_row
+from tallyloom.session import materialise
 
 MIN_ORDERS, MIN_MULTI_SHARE, MIN_MEAN_BASKET = 200, 0.15, 1.2
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.10, 1.0
@@ -46,10 +47,10 @@ def frequent_itemsets(rows: DataFrame, min_support: float = MIN_SUPPORT) -> Data
     A basket is an array of distinct products of the bounded catalogue, so it stays short
     even for an order with a third of all rows.
     """
-    orders = rows.select("order").distinct().count()
-    baskets = best_sellers(rows).groupBy("order").agg(F.collect_set("product").alias("items"))
-    # Support counts are taken against every order, also those the catalogue bound emptied.
-    kept = baskets.count()
+    listed = best_sellers(rows).groupBy("order").agg(F.collect_set("product").alias("items"))
+    baskets = materialise(listed, "baskets")  # mined in several passes
+    # Support is a share of every order, also of those the catalogue bound emptied.
+    orders, kept = rows.select("order").distinct().count(), baskets.count()
     share = min(1.0, min_support * orders / kept) if kept else 1.0
     found = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
     return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / F.lit(orders)).alias("support"))
