@@ -17,17 +17,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor reaches: below the cluster's checkpoint folder.
 
-    Only a session with no such folder, as in tests, gets one of its own.
+    Only a local session that names none, as in tests, gets one of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if "local" not in spark.sparkContext.master:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="tallyloom-"))
+        base = _OWN_DIR[0]
     return f"{base.rstrip('/')}/{name}"
 
 
