@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyloom.functions.numbers import round2, round_half_up
 from tallyloom.functions.strings import row_identity, tidy_key
 from tallyloom.operators.quantiles import exact_quantiles, value_weights
+from tallyloom.session import materialise
 
 # --- value tiers ------------------------------------------------------------------------------------
 
@@ -25,7 +26,7 @@ def value_tiers(totals: DataFrame, member: str, members_shown: int = 12) -> Data
     shown are the largest few of each tier, picked inside each task first.
     """
     v = F.col("value")
-    positive = totals.where(v > 0).select(F.col(member).alias("member"), v.alias("value"))
+    positive = materialise(totals.where(v > 0).select(F.col(member).alias("member"), v.alias("value")), "totals")
     cuts = exact_quantiles(value_weights(positive, [], "value"), [], "value", "n", [0.5, 0.75]).select(F.struct("q0", "q1")).scalar()
     tiered = positive.select("*", cuts.alias("_c")).select(
         "member", "value", F.col("_c.q0").alias("median"), F.col("_c.q1").alias("q3"),

@@ -11,6 +11,7 @@ from tallyloom.functions.strings import group_label, window_phrase
 from tallyloom.operators.compare import tag_periods
 from tallyloom.operators.formats import quoted
 from tallyloom.operators.metrics import row_quantity, row_revenue
+from tallyloom.session import materialise
 
 
 def contributions(df: DataFrame, schema: SchemaMap, dimensions: list[str], value: Column, bounds: DataFrame,
@@ -26,11 +27,12 @@ def contributions(df: DataFrame, schema: SchemaMap, dimensions: list[str], value
         F.when(F.col("is_current"), value).otherwise(0.0).alias("_c"), F.when(F.col("is_previous"), value).otherwise(0.0).alias("_p"),
         *[group_label(F.col(quoted(c))).alias(d) for c, d in zip(columns, dimensions)])
     long = wide.unpivot(["_c", "_p"], [F.col(quoted(d)) for d in dimensions], "dimension", "member")
-    members = long.groupBy("dimension", "member").agg(F.sum("_c").alias("_c"), F.sum("_p").alias("_p"))
-    # One row per dimension.
+    # Written once: the wholes, the top and the rest below all read it instead of the rows.
+    members = materialise(long.groupBy("dimension", "member").agg(F.sum("_c").alias("_c"), F.sum("_p").alias("_p")), "members")
+    # One row per dimension named by the caller.
     wholes = members.groupBy("dimension").agg(F.sum(F.col("_c") - F.col("_p")).alias("_whole"))
     whole = F.col("_whole")
-    return members.join(wholes, "dimension").select(
+    return members.join(F.broadcast(wholes), "dimension").select(
         "dimension", "member", round2(F.col("_c")).alias("current"), round2(F.col("_p")).alias("previous"),
         round2(F.col("_c") - F.col("_p")).alias("delta"),
         F.when(F.col("_p") != 0, round_half_up((F.col("_c") - F.col("_p")) / F.abs("_p") * 100, 2)).alias("change_pct"),
@@ -130,7 +132,7 @@ def decomposition_tree(df: DataFrame, fields: list[str], value: Column, levels:
     out, used = None, F.array().cast("array<string>")
     for level in range(1, levels + 1):
         long = rows.select("_v", F.explode("_f").alias("field", "member")).where(~F.array_contains(used, F.col("field")))
-        groups = long.groupBy("field", "member").agg(F.sum("_v").alias("value"))
+        groups = materialise(long.groupBy("field", "member").agg(F.sum("_v").alias("value")), "groups")
         sums = groups.groupBy("field").agg(F.sum("value").alias("whole"), F.max_by(F.struct("member", "value"), F.struct(
             "value", F.col("member"))).alias("top"), F.count("*").alias("k"))
         best = sums.where("k >= 2").select("field", "top", (F.abs("top.value") / F.abs("whole")).alias("share"), "whole").orderBy(
@@ -153,10 +155,11 @@ def headlines_by_group(df: DataFrame, schema: SchemaMap, group: str, dimension:
     One grouped pass over (group, member) feeds both the totals and the members.
     """
     tagged = tag_periods(df, schema, Filters(), bounds).where("is_current or is_previous")
-    cells = tagged.groupBy(F.col(quoted(schema.get(group, group))).alias(group),
-                           group_label(F.col(quoted(schema.get(dimension, dimension)))).alias("member")).agg(
+    cells = materialise(tagged.groupBy(
+        F.col(quoted(schema.get(group, group))).alias(group),
+        group_label(F.col(quoted(schema.get(dimension, dimension)))).alias("member")).agg(
         F.sum(F.when(F.col("is_current"), value).otherwise(0.0)).alias("_c"),
-        F.sum(F.when(F.col("is_previous"), value).otherwise(0.0)).alias("_p"))
+        F.sum(F.when(F.col("is_previous"), value).otherwise(0.0)).alias("_p")), "cells")
     wholes = cells.groupBy(group).agg(F.sum("_c").alias("_cc"), F.sum("_p").alias("_pp"))
     members = cells.join(wholes, group).select(
         group, "member", round2(F.col("_c") - F.col("_p")).alias("delta"),

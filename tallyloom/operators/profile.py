@@ -97,11 +97,11 @@ def with_types(statistics: DataFrame) -> DataFrame:
 def outlier_counts(judged: DataFrame, k: float = 1.5) -> DataFrame:
     """Per column how many rows lie outside the quartile fences."""
     numbers = judged.where("number is not null").groupBy("column", "number").agg(F.sum("n").alias("n"))
-    fences = exact_quantiles(numbers, ["column"], "number", "n", [0.25, 0.75])
+    fences = exact_quantiles(numbers, ["column"], "number", "n", [0.25, 0.75], few_keys=True)
     reach = (F.col("q1") - F.col("q0")) * k
     outside = (F.col("number") < F.col("q0") - reach) | (F.col("number") > F.col("q1") + reach)
-    # One row per column on the right.
-    return numbers.join(fences, "column").groupBy("column").agg(
+    # One row per column of the table on the right.
+    return numbers.join(F.broadcast(fences), "column").groupBy("column").agg(
         F.coalesce(F.sum(F.when(outside & (F.col("total") >= MIN_OUTLIER_VALUES), F.col("n"))), F.lit(0)).alias("outliers"))
 
 

@@ -13,13 +13,16 @@ SLICES = 4096
 ROUNDS = 2
 
 
-def exact_quantiles(weighted: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(weighted: DataFrame, keys: list[str], value: str, weight: str, probs: list[float],
+                    few_keys: bool = False) -> DataFrame:
     """One row per key: `total` and the linearly interpolated quantiles `q0`, `q1`, ...
 
     `weighted` holds each distinct value once per key with how often it occurs, so one
     value that fills a third of the table is still a single row. Each round is a plain
-    grouped sum over those rows; the frames joined to them have a few rows per key.
+    grouped sum over those rows; the frames joined to them have at most two rows per key and
+    quantile. With no keys, or `few_keys` such as the columns of a table, they are broadcast.
     """
+    small = F.broadcast if few_keys or not keys else (lambda frame: frame)
     v = F.col(value)
     key = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
     by = keys or ["_all"]
@@ -38,7 +41,7 @@ def exact_quantiles(weighted: DataFrame, keys: list[str], value: str, weight: st
         *span, F.col("_q.i").alias("_i"), place.alias("_place"), ranks).groupBy(*span).agg(seek)
 
     for _ in range(ROUNDS):
-        inside = values.join(spans, by).where("_v between _lo and _hi")
+        inside = values.join(small(spans), by).where("_v between _lo and _hi")
         width = F.col("_hi") - F.col("_lo")
         slice_of = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * SLICES), F.lit(SLICES - 1)))
         slices = inside.groupBy(*span, F.coalesce(slice_of, F.lit(0)).alias("_slice")).agg(
@@ -52,7 +55,7 @@ def exact_quantiles(weighted: DataFrame, keys: list[str], value: str, weight: st
         found = summed.select(*span, "_to", F.inline("_seek")).where("_rank >= _before and _rank < _to")
         spans = found.groupBy(*span).agg(seek)
 
-    inside = values.join(spans, by).where("_v between _lo and _hi")
+    inside = values.join(small(spans), by).where("_v between _lo and _hi")
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*span).orderBy("_v"))
     summed = inside.select(*by, "_total", "_v", (upto - F.col("_n")).alias("_from"), upto.alias("_to"), "_seek")
     hits = summed.select(*by, "_total", "_v", "_from", "_to", F.inline("_seek")).where("_rank >= _from and _rank < _to")

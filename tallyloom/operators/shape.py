@@ -117,10 +117,10 @@ def separation(df: DataFrame, dimensions: list[str], measure: Column) -> DataFra
     wide = df.select(value.alias("_value"), *[trimmed(F.col(quoted(d))).alias(d) for d in dimensions])
     long = wide.unpivot(["_value"], [F.col(quoted(d)) for d in dimensions], "column", "label")
     groups = long.where("label <> ''").groupBy("column", "label").agg(F.sum("_value").alias("v"))
-    # One row per dimension.
+    # One row per dimension named by the caller.
     wholes = groups.groupBy("column").agg(F.sum("v").alias("whole"), F.count("*").alias("k"))
     spread = F.sum(F.abs(F.col("v") / F.nullif(F.col("whole"), F.lit(0.0)) - 1 / F.col("k"))) / 2
-    return groups.join(wholes, "column").groupBy("column").agg(
+    return groups.join(F.broadcast(wholes), "column").groupBy("column").agg(
         F.when(F.max("k") < 2, 0.0).otherwise(N.round_half_up(F.coalesce(spread, F.lit(0.0)), 3)).alias("separation"))
 
 
