@@ -67,6 +67,7 @@ def number_formats(evidence: DataFrame) -> DataFrame:
     decimal, grouping, confidence = _number_decision()
     comma, dot, space = F.col("n_comma"), F.col("n_dot"), F.col("n_space")
     total = (comma + dot + space).cast("string")
+    # The wording is part of the result (fixed values).
     reason = (
         F.when(comma + dot + space == 0, F.lit("no separator evidence in the column; assumed 1,234.56"))
         .when((space >= comma) & (space >= dot),

@@ -15,6 +15,7 @@ from tallyloom.operators.formats import cells, quoted
 from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.session import materialise
 
+# The shapes of a currency amount and of a number.
 CURRENCY_SHAPE = r"^\s*[-(]?\s*[$€£₹]\s?[0-9,]+(\.[0-9]+)?\s*\)?\s*$"
 NUMERIC_SHAPE = r"^\s*-?[0-9,]*\.?[0-9]+\s*$"
 MIN_OUTLIER_VALUES = 8

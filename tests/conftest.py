@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -18,7 +17,6 @@ def build_session(partitions: int = 8):
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyloom-check-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
