@@ -181,16 +181,14 @@ def _figures(df, schema, filters, bounds, blank_counts: bool) -> DataFrame:
         text = cell.cast("string")
         return F.coalesce(text, F.lit("")) if blank_counts else text
 
-    def under(kind, column, revenue, profit):
-        return F.struct(F.lit(kind).alias("kind"), key_of(column).alias("key"),
-                        revenue.alias("revenue"), profit.alias("profit"))
-
-    sent = [under("order", schema.get("order_id"), row_revenue(df, schema), row_profit(df, schema))]
-    if customer:
-        sent.append(under("customer", customer, F.lit(0.0), F.lit(0.0)))
-    rows = tagged.select("in_filter", "is_current", "is_previous", F.inline(F.array(*sent)))
+    narrow = tagged.select(
+        "in_filter", "is_current", "is_previous", row_revenue(df, schema).alias("revenue"), row_profit(df, schema).alias("profit"),
+        key_of(schema.get("order_id")).alias("order"), key_of(customer).alias("customer"))
+    rows = narrow.unpivot(["in_filter", "is_current", "is_previous", "revenue", "profit"],
+                          ["order", "customer"] if customer else ["order"], "kind", "key")
+    # Measures count under the order key alone.
     keyed = rows.groupBy("kind", "key").agg(
-        *[F.sum(F.when(F.col(flag), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}")
+        *[F.sum(F.when(F.col(flag) & (F.col("kind") == "order"), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}")
           for m in ("revenue", "profit") for s, flag in _SIDES],
         *[F.count_if(flag).alias(f"rows_{s}") for s, flag in _SIDES],
     )
