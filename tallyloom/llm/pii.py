@@ -240,7 +240,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, a hash of the base spans and all spans as text."""
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select(
         id_col, *counts,
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
