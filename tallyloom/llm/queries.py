@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, jaccard, langid, licences, pii, shards, topk
+from tallyloom.llm import chat, decontaminate, jaccard, langid, licences, pieces, pii, shards, topk, toxicity
 
 #: Folder of the public tokenizer files; another one may be named.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -62,6 +62,11 @@ def op3_topk(spark, sf_dir):
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op4_decontaminate")
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _licence_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     flat = licences.flat_templates(licences.TEMPLATES)
@@ -88,6 +93,12 @@ def op5_licences(spark, sf_dir):
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,6 +122,11 @@ def op7_jaccard(spark, sf_dir):
     return jaccard.JaccardJoin(_table(spark, sf_dir, "documents")).members()
 
 
+@query("op8_pieces")
+def op8_pieces(spark, sf_dir):
+    return pieces.encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query("op9_shards")
 def op9_shards(spark, sf_dir):
     return shards.assign(_table(spark, sf_dir, "documents"))

@@ -52,8 +52,11 @@ def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def hash_words(blobs: list[bytes], breaks: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and offsets: text k has words offsets[k]:offsets[k+1]."""
+def hash_words(blobs: list[bytes], breaks: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> tuple:
+    """Hashes of the words of all texts in order, and offsets: text k has words offsets[k]:offsets[k+1].
+
+    With `prefixes`, also the hashes of each word's first so many bytes (of all, if it has fewer).
+    """
     data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
     white = breaks[data]
     edge = np.diff(white, prepend=True)
@@ -63,7 +66,10 @@ def hash_words(blobs: list[bytes], breaks: np.ndarray = WHITE) -> tuple[np.ndarr
     np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverses[starts])
     first = np.cumsum([0, *(len(b) + 1 for b in blobs)])
-    return hashes, np.searchsorted(starts, first)
+    at = np.searchsorted(starts, first)
+    if not prefixes:
+        return hashes, at
+    return hashes, at, [mix((sums[np.minimum(ends, starts + p)] - sums[starts]) * inverses[starts] + np.uint64(p)) for p in prefixes]
 
 
 def hash_windows(hashes: np.ndarray, width: int) -> np.ndarray:
