@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = (4, 16)
-PAIRS_AT_ONCE = 1 << 17
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -35,50 +34,36 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([sums / np.sqrt(lengths), np.sqrt(np.maximum(squares - sums * sums / lengths, 0))])
 
 
-def _score(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.empty(len(i), q.dtype)
-    for s in range(0, len(i), PAIRS_AT_ONCE):
-        out[s : s + PAIRS_AT_ONCE] = np.einsum("nd,nd->n", q[i[s : s + PAIRS_AT_ONCE]], c[j[s : s + PAIRS_AT_ONCE]])
-    return out
-
-
 def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of each query's k best other rows of this block."""
-    found: list[tuple] = []
-    for width in np.unique(c.shape[1:]) if len(c) else ():
-        if not width:
-            i, j = (x.ravel() for x in np.indices((len(q), len(c))))
-            score = np.zeros(len(i), np.int64)
-            own = q_ids[i] == c_ids[j]
-            found.append((i[~own], j[~own], score[~own]))
-            continue
+    out: list[tuple] = [(q_ids[:0], c_ids[:0], np.zeros(0, np.int64))]
+    if not len(q) or not len(c):
+        return out[0]
+    if not c.shape[1]:  # empty vectors: all scores are 0
+        levels, bound = [], np.zeros((len(q), len(c)))
+    else:
         levels = [(statistics(q, s), statistics(c, s)) for s in LEVELS]
         bound = levels[0][0] @ levels[0][1].T
-        bound[q_ids[:, None] == c_ids[None, :]] = -np.inf
-        # rounding of the bounds stays far below this
-        slack = 1e-9 * np.sqrt((levels[0][0] ** 2).sum(1))[:, None] * np.sqrt((levels[0][1] ** 2).sum(1))[None, :] + 1e-6
-        bound += slack
-        if len(c) > 4 * k:
-            near = np.argpartition(-bound, 4 * k, axis=1)[:, : 4 * k]
-            i = np.repeat(np.arange(len(q)), 4 * k)
-            tried = _score(q, c, i, near.ravel()).reshape(len(q), -1).astype(np.float64)
-            tried[~np.isfinite(np.take_along_axis(bound, near, 1))] = -np.inf
-            least = np.partition(tried, -k, axis=1)[:, -k]  # the k-th best so far
-        else:
-            least = np.full(len(q), -np.inf)
-        i, j = np.nonzero((bound >= least[:, None]) & np.isfinite(bound))
+    bound[q_ids[:, None] == c_ids[None, :]] = -np.inf
+    # doubles hold the products exactly unless values are huge
+    largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, c.shape[1])
+    fq, fc = (q.astype(np.float64), c.astype(np.float64)) if largest < 2**52 else (q, c)
+    # rounding of the bounds stays far below this
+    length = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(1))
+    slack = 1e-9 * length(q) * length(c).max() + 1e-6
+    tries = min(4 * k, len(c))
+    near = np.argpartition(-bound, tries - 1, axis=1)[:, :tries]
+    for row in range(len(q)):
+        score = (fc[near[row]] @ fq[row]).astype(np.float64)
+        score[~np.isfinite(bound[row, near[row]])] = -np.inf
+        least = np.partition(score, -k)[-k] if tries >= k else -np.inf  # the k-th best so far
+        left = np.flatnonzero((bound[row] >= least - slack[row]) & np.isfinite(bound[row]))
         for mine, theirs in levels[1:]:
-            keep = _score(mine, theirs, i, j) + slack[i, j] >= least[i]
-            i, j = i[keep], j[keep]
-        found.append((i, j, _score(q, c, i, j)))
-    if not found:
-        return q_ids[:0], c_ids[:0], np.zeros(0, np.int64)
-    i, j, score = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((c_ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)  # rows before it for the same query
-    keep = place < k
-    return q_ids[i[keep]], c_ids[j[keep]], score[keep]
+            left = left[theirs[left] @ mine[row] >= least - slack[row]]
+        exact = (fc[left] @ fq[row]).astype(np.int64)
+        keep = np.lexsort((c_ids[left], -exact))[:k]
+        out.append((np.full(len(keep), q_ids[row]), c_ids[left[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding",
