@@ -3,8 +3,9 @@
 Texts with equal sets form classes first; from then on a class is one row. Two sets of sizes
 m <= n can have a Jaccard similarity of t only if m >= t * n and they share one of the first
 n - ceil(t * n) + 1 elements in any order that is the same for all. The order puts n-grams that
-very many documents share last, so a passage found everywhere brings nobody together. Sharing an
-element makes a candidate. Candidates meet in tiles of like size, where bitmap signatures are
+very many documents share last, so a passage found everywhere brings nobody together. By the same
+count partners share many of the first elements, so documents that share few of theirs with
+anybody are settled alone before pairs are made. Candidates share an element and meet in tiles of like size, where bitmap signatures are
 compared first: each bit is the parity of the elements hashed to it, so the number of differing
 bits bounds the number of differing elements from below and the overlap from above. Pairs that
 this bound leaves are decided by intersecting the sorted arrays.
@@ -32,6 +33,8 @@ from tallyloom.session import materialise
 FREQUENT = 1 << 16
 #: A task reports the elements that this many of about `WINDOW` / set size documents share.
 SEEN, WINDOW = 4, 2_000_000
+#: Words of 64 bits in the short signature.
+SHORT = 8
 #: Bits of the filter that tells which documents' arrays are wanted (1 MB).
 FILTER_BITS = 1 << 23
 
@@ -67,6 +70,12 @@ def bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def short_bitmap(elements: np.ndarray) -> list[int]:
+    """The same for a fixed number of bits, as whole numbers that a join condition can compare."""
+    parity = np.bincount((elements & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.int64).tolist()
+
+
 def differing(a: bytes, b: bytes) -> int:
     """Elements in which two sets differ at least; the longer bitmap is folded to the shorter."""
     x, y = (int.from_bytes(v, "little") for v in (a, b))
@@ -84,6 +93,13 @@ def _blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def _slices(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that few sets are held at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 class JaccardJoin:
     """Links at intersection * den >= num * union, between documents' sets of word n-grams."""
 
@@ -105,10 +121,10 @@ class JaccardJoin:
                 keep = counts >= SEEN
                 return _rows(element=values[keep].view(np.int64), n=counts[keep])
 
-            for batch in batches:
+            for batch in _slices(batches):
                 sets = element_sets(_blobs(batch.column(1)), width)
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets])
+                yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets], short=[short_bitmap(s) for s in sets])
                 for s in sets:
                     held.append(s)
                     if len(held) % 256 == 0 and sum(map(len, held)) >= WINDOW:
@@ -117,24 +133,29 @@ class JaccardJoin:
             if held:
                 yield frequent()
 
-        facts = materialise(self.texts.mapInArrow(run, "id long, n long, mark binary, bits binary, element long"), "sets")
+        facts = materialise(self.texts.mapInArrow(run, "id long, n long, mark binary, bits binary, short array<long>, element long"), "sets")
         self.sets = facts.where("element is null").drop("element")
         top = (facts.where("element is not null").groupBy("element").agg(F.sum("n").alias("n"))
                .orderBy(F.desc("n"), "element").limit(FREQUENT).toArrow())  # bounded: FREQUENT rows
         values = top.column("element").to_numpy().view(np.uint64)
         order = np.argsort(values)
         self.frequent = values[order], top.column("n").to_numpy()[order]
-        self.classes = materialise(self.sets.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+        self.classes = materialise(self.sets.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short")), "classes")
 
     def _groups(self) -> DataFrame:
-        """(element, id, n, hub): the classes that share a search element, hub the smallest of them."""
+        """(element, id, n, hub): the classes that share a search element, hub the smallest of them.
+
+        With p search elements, partners share as many as p (of the smaller set) of the first
+        2 * p - 1. So a class that shares fewer of those with anybody has no partner; such
+        classes leave before any pair is made, and those that then share too few leave too.
+        """
         width, num, den = self.width, self.num, self.den
         frequent = self.texts.sparkSession.sparkContext.broadcast(self.frequent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, weights = frequent.value
-            for batch in batches:
-                ids, sizes, found = [], [], []
+            for batch in _slices(batches):
+                ids, sizes, found, early = [], [], [], []
                 for i, s in zip(batch.column(0).to_pylist(), element_sets(_blobs(batch.column(1)), width)):
                     if not len(s):
                         continue
@@ -143,16 +164,29 @@ class JaccardJoin:
                         common = values[at] == s
                         if common.any():
                             s = s[np.lexsort((s, np.where(common, weights[at], 0)))]
-                    s = s[: len(s) + (-num * len(s)) // den + 1]
+                    p = len(s) + (-num * len(s)) // den + 1
                     ids.append(i)
-                    sizes.append(len(s))
-                    found.append(s)
-                yield _rows(element=np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), id=np.repeat(np.array(ids, np.int64), sizes))
-
-        places = self.texts.mapInArrow(run, "element long, id long")
-        hubs = places.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
-        shared = places.join(hubs, "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
-        return materialise(shared.select("element", "id", "n", "hub"), "groups")
+                    sizes.append(2 * p - 1)
+                    found.append(s[: 2 * p - 1])
+                    early.append(np.arange(2 * p - 1) < p)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, bool), *early]))],
+                    names=["element", "id", "early"])
+
+        def by_two(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
+
+        places = self.texts.mapInArrow(run, "element long, id long, early boolean")
+        shared = places.join(by_two(places).select("element"), "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
+        shared = materialise(shared.select("element", "id", "n", "early"), "shared")
+        least = F.expr(f"({self.num} * n + {self.den - 1}) div {self.den}")  # the smallest partner's size
+        need = least - F.expr(f"({self.num} * m + {self.den - 1}) div {self.den}") + 1
+        for _ in range(2):
+            mine = shared.join(by_two(shared).select("element"), "element")
+            rich = mine.groupBy("id").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("m", least).where(F.col("held") >= need).select("id")
+            shared = materialise(mine.join(rich, "id"), "shared")
+        first = shared.where("early")
+        return materialise(first.join(by_two(first), "element").select("element", "id", "n", "hub"), "groups")
 
     def _near(self, pairs: DataFrame, closest: bool) -> DataFrame:
         """Pairs (a, b) whose signatures allow a link; of each b only its closest, if asked."""
@@ -193,8 +227,8 @@ class JaccardJoin:
                 at = batch.column(2).to_numpy()
                 keep = pa.array((marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
                 batch = batch.filter(keep)
-                if batch.num_rows:
-                    yield _rows(id=batch.column(0), elements=[s.tobytes() for s in element_sets(_blobs(batch.column(1)), width)])
+                for part in _slices([batch]):
+                    yield _rows(id=part.column(0), elements=[s.tobytes() for s in element_sets(_blobs(part.column(1)), width)])
 
         arrays = materialise(self.texts.select("id", "text", place.alias("place")).mapInArrow(read, "id long, elements binary").join(wanted, "id", "left_semi"), "arrays")
 
@@ -219,12 +253,16 @@ class JaccardJoin:
         self._labels = labels = components(found)
         named = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", F.coalesce("label", "id").alias("part"))
         mixed = named.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("element")
-        rest = materialise(named.join(mixed, "element"), "rest")
+        signs = self.classes.select(F.col("rep").alias("id"), "short")
+        rest = materialise(named.join(mixed, "element").join(signs, "id"), "rest")
         if rest.isEmpty():
             return found
-        one = rest.select("element", F.col("id").alias("a"), F.col("n").alias("p"), F.col("part").alias("part_a"))
-        two = rest.select("element", F.col("id").alias("b"), F.col("n").alias("q"), F.col("part").alias("part_b"))
-        fits = F.expr(f"part_a < part_b and least(p, q) * {self.den} >= greatest(p, q) * {self.num}")
+        one = rest.select("element", F.col("id").alias("a"), F.col("n").alias("p"), F.col("part").alias("part_a"), F.col("short").alias("x"))
+        two = rest.select("element", F.col("id").alias("b"), F.col("n").alias("q"), F.col("part").alias("part_b"), F.col("short").alias("y"))
+        # the signatures are compared inside the join: a pair too far apart is never made
+        far = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SHORT))
+        fits = F.expr(f"part_a < part_b and least(p, q) * {self.den} >= greatest(p, q) * {self.num} "
+                      f"and ({far}) * {self.den + self.num} <= (p + q) * {self.den - self.num}")
         more = one.join(two, "element").where(fits).select("a", "b").distinct()
         return found.unionByName(self._linked(self._near(more, closest=False)))
 
@@ -242,8 +280,8 @@ def _rows(**columns) -> pa.RecordBatch:
     out = {k: v if isinstance(v, pa.Array) else pa.array(v, _TYPES.get(k)) for k, v in columns.items()}
     if "mark" in out or set(out) == {"element", "n"}:
         n = len(next(iter(out.values())))
-        out = {k: out.get(k, pa.nulls(n, _TYPES[k])) for k in ("id", "n", "mark", "bits", "element")}
+        out = {k: out.get(k, pa.nulls(n, _TYPES[k])) for k in ("id", "n", "mark", "bits", "short", "element")}
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-_TYPES = {"id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "bits": pa.binary(), "element": pa.int64(), "elements": pa.binary()}
+_TYPES = {"id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "bits": pa.binary(), "short": pa.list_(pa.int64()), "element": pa.int64(), "elements": pa.binary()}
