@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.words import chunks, hash_windows, hash_words, mix
+from tallyloom.llm.words import chunks, hash_windows, hash_words, mix, slices
 from tallyloom.session import materialise
 
 #: Elements kept as frequent; they only order the search, whatever their number.
@@ -93,13 +93,6 @@ def _blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def _slices(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches of at most `rows` rows, so that few sets are held at once."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 class JaccardJoin:
     """Links at intersection * den >= num * union, between documents' sets of word n-grams."""
 
@@ -121,7 +114,7 @@ class JaccardJoin:
                 keep = counts >= SEEN
                 return _rows(element=values[keep].view(np.int64), n=counts[keep])
 
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 sets = element_sets(_blobs(batch.column(1)), width)
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets], short=[short_bitmap(s) for s in sets])
@@ -154,7 +147,7 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, weights = frequent.value
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 ids, sizes, found, early = [], [], [], []
                 for i, s in zip(batch.column(0).to_pylist(), element_sets(_blobs(batch.column(1)), width)):
                     if not len(s):
@@ -227,7 +220,7 @@ class JaccardJoin:
                 at = batch.column(2).to_numpy()
                 keep = pa.array((marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
                 batch = batch.filter(keep)
-                for part in _slices([batch]):
+                for part in slices([batch]):
                     yield _rows(id=part.column(0), elements=[s.tobytes() for s in element_sets(_blobs(part.column(1)), width)])
 
         arrays = materialise(self.texts.select("id", "text", place.alias("place")).mapInArrow(read, "id long, elements binary").join(wanted, "id", "left_semi"), "arrays")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import chunks
+from tallyloom.llm.words import chunks, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -109,10 +109,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             order = sorted(range(len(langs)), key=langs.__getitem__)
-            for start, end in chunks([texts[k] for k in order], 1_000_000):
+            for start, end in chunks([texts[k] for k in order], 250_000):
                 part = order[start:end]
                 grams, offsets = ngrams([texts[k] for k in part])
                 for k, (a, b) in zip(part, zip(offsets[:-1], offsets[1:])):
@@ -149,7 +149,7 @@ def decode(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
     """Language, score (0 to 1) and whether a second codeword is about as close, for each text."""
     langs, scores, unclear = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
     known = [k for k, t in enumerate(texts) if model.languages and t and any(map(str.isalpha, t))]
-    for start, end in chunks([texts[k] for k in known], 1_000_000):
+    for start, end in chunks([texts[k] for k in known], 250_000):
         part = known[start:end]
         grams, offsets = ngrams([texts[k] for k in part])
         evidence = np.zeros((len(grams) + 1, model.code.shape[1]), np.float64)
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, unclear = decode(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(unclear)], names=[*names, "lang_pred", "score", "ambiguous"])
 

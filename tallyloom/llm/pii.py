@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.words import slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("intl_email", "login", "ipv6", "iban", "account")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -205,7 +207,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[dict(zip(("kind", "start", "end", "base"), s)) for s in scan(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPAN_TYPE)], names=["id", "spans"])
 
@@ -224,7 +226,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text_col)
             texts = [redact(t, scan(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import PUNCTUATED, chunks, hash_words
+from tallyloom.llm.words import PUNCTUATED, chunks, hash_words, slices
 
 GRADES = 4
 BITS = 20
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for a, b in chunks(texts):
                 found, at = buckets(texts[a:b])
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 doc, feature, number = _counts(shared.value, texts[a:b])
@@ -183,7 +183,7 @@ def grade_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             score = np.zeros(len(texts))
             for a, b in chunks(texts):

@@ -7,9 +7,10 @@ a few passes of numpy over its bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` characters together (a longer text is alone)."""
     start = held = 0
     for k, text in enumerate(texts):
@@ -52,6 +53,13 @@ def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that a task holds few texts as Python values at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def hash_words(blobs: list[bytes], breaks: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> tuple:
     """Hashes of the words of all texts in order, and offsets: text k has words offsets[k]:offsets[k+1].
 
