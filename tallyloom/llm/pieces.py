@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
-KEPT_WORDS = 500_000
-KEPT_PAIRS = 500_000
+KEPT_WORDS = 120_000
+KEPT_PAIRS = 300_000
 _WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
