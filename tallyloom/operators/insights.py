@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyloom.functions.numbers import pct_change, round2
@@ -81,8 +84,10 @@ def forecast_risk(next_points: DataFrame, last_points: DataFrame, by: list[str])
 
 
 def new_alerts(fresh: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
-    """The alerts that are not open yet: one per key."""
-    return fresh.dropDuplicates(key).join(known.select(*key).distinct(), key, "left_anti")
+    """The alerts that are not open yet: one per key; a null in a key equals a null."""
+    seen = known.select(*[F.col(k).alias(f"open_{k}") for k in key]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"open_{k}")) for k in key])
+    return fresh.dropDuplicates(key).join(seen, same, "left_anti")
 
 
 def rule_hits(metrics: DataFrame, rules: DataFrame) -> DataFrame:
