@@ -25,15 +25,23 @@ def _to_double(text: Column) -> Column:
 
 
 def round2(value: Column) -> Column:
-    """Two decimals, halves up.
+    """Two decimals, halves up: floor(x * 100 + 0.5) / 100.
 
-    Sums of money live on a 1e-4 grid, so the value is first snapped to that grid. This
-    keeps the last digit independent of the order partitions were summed in.
+    Amounts are decimals of six places; what a sum of doubles adds beyond them is noise that
+    depends on the order of the partitions, and goes first.
     """
-    value = value.cast("double")
-    snapped = F.floor((F.round(value * 10000) + 50) / 100) / 100
+    value = F.round(value.cast("double"), 6)
     # floor() yields a 64-bit integer; beyond that range doubles carry no cents anyway.
-    return F.when(F.abs(value) < 9e13, snapped).otherwise(F.round(value, 2))
+    return F.when(F.abs(value) < 9e13, F.floor(value * 100 + 0.5) / 100).otherwise(F.round(value, 2))
+
+
+def exact_sum(value: Column | str) -> Column:
+    """The sum of amounts in decimals of six places, the same in whatever order rows come.
+
+    Values that are no finite number take no part.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    return F.sum(value.try_cast("decimal(38,6)")).cast("double")
 
 
 def round_half_up(value: Column, places: int) -> Column:

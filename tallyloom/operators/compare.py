@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.context import DEFAULT_CALENDAR, Calendar, Filters, SchemaMap
 from tallyloom.functions.dates import day_of
-from tallyloom.functions.numbers import all_of, pct_change, round2
+from tallyloom.functions.numbers import all_of, exact_sum, pct_change, round2
 from tallyloom.functions.strings import group_label
 from tallyloom.operators.filters import date_condition, filter_condition
 from tallyloom.operators.formats import quoted
@@ -120,8 +120,8 @@ def change_by_group(df: DataFrame, schema: SchemaMap, dimension: str, value: Col
     label = group_label(F.col(quoted(schema.get(dimension, dimension))))
     comparable = tagged.where("is_current or is_previous")
     totals = comparable.groupBy(label.alias("label")).agg(
-        round2(F.sum(F.when(F.col("is_current"), value))).alias("current"),
-        round2(F.sum(F.when(F.col("is_previous"), value))).alias("previous"),
+        round2(exact_sum(F.when(F.col("is_current"), value))).alias("current"),
+        round2(exact_sum(F.when(F.col("is_previous"), value))).alias("previous"),
     )
     return totals.where((F.col("previous") > 0) & F.col("current").isNotNull()).select(
         "label", "current", "previous", pct_change(F.col("current"), F.col("previous")).alias("change_pct"))

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.functions.numbers import round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.functions.strings import row_identity, tidy_key
 from tallyloom.operators.quantiles import exact_quantiles, value_weights
 from tallyloom.session import materialise
@@ -31,8 +31,8 @@ def value_tiers(totals: DataFrame, member: str, members_shown: int = 12) -> Data
     tiered = positive.select("*", cuts.alias("_c")).select(
         "member", "value", F.col("_c.q0").alias("median"), F.col("_c.q1").alias("q3"),
         F.when(v >= F.col("_c.q1"), "high").when(v >= F.col("_c.q0"), "mid").otherwise("low").alias("tier"))
-    whole = positive.agg(F.sum("value")).scalar()
-    sums = tiered.groupBy("tier").agg(F.count("*").alias("members"), F.sum("value").alias("_t"), F.max("median").alias("median"), F.max("q3").alias("q3"))
+    whole = positive.agg(exact_sum("value")).scalar()
+    sums = tiered.groupBy("tier").agg(F.count("*").alias("members"), exact_sum("value").alias("_t"), F.max("median").alias("median"), F.max("q3").alias("q3"))
     first = Window.partitionBy("tier").orderBy(F.desc("value"), "member")
     names = tiered.select("tier", "member", F.row_number().over(first).alias("r")).where(F.col("r") <= members_shown).groupBy("tier").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "member"))), lambda x: x["member"]), ", ").alias("top_members"))
@@ -72,7 +72,7 @@ def rfm(df: DataFrame, customer: str, date: str, order: str | None, revenue: str
     """Per customer: days since the last purchase, number of orders, total spend."""
     as_of = df.agg(F.max(date)).scalar()
     counted = F.count_distinct(order) if order else F.count_distinct(date)
-    return df.groupBy(customer).agg(F.max(date).alias("_last"), counted.alias("frequency"), F.sum(revenue).alias("_m")).select(
+    return df.groupBy(customer).agg(F.max(date).alias("_last"), counted.alias("frequency"), exact_sum(revenue).alias("_m")).select(
         customer, F.datediff(as_of, "_last").alias("recency_days"), "frequency", round2(F.col("_m")).alias("monetary"))
 
 
@@ -156,8 +156,8 @@ def churn_features(rows: DataFrame, cut: datetime.date) -> DataFrame:
     calendar, even for a customer who places a third of all orders.
     """
     history = rows.where(F.col("date") <= F.lit(cut))
-    orders = history.groupBy("customer", "order_key").agg(F.min("date").alias("day"), F.sum("revenue").alias("revenue"))
-    days = orders.groupBy("customer", "day").agg(F.count("*").alias("c"), F.sum("revenue").alias("r"))
+    orders = history.groupBy("customer", "order_key").agg(F.min("date").alias("day"), exact_sum("revenue").alias("revenue"))
+    days = orders.groupBy("customer", "day").agg(F.count("*").alias("c"), exact_sum("revenue").alias("r"))
     by_day = Window.partitionBy("customer").orderBy("day")
     whole = Window.partitionBy("customer")
     upto = F.sum("c").over(by_day)
@@ -179,11 +179,11 @@ def churn_features(rows: DataFrame, cut: datetime.date) -> DataFrame:
     split = walked.where("before < half and upto > half").select("customer", "day", (F.col("half") - F.col("before")).alias("take"))
     on_split = orders.join(split, ["customer", "day"]).select("customer", "revenue", "take", F.row_number().over(
         Window.partitionBy("customer", "day").orderBy("order_key")).alias("i"))
-    part = on_split.where("i <= take").groupBy("customer").agg(F.sum("revenue").alias("part"))
+    part = on_split.where("i <= take").groupBy("customer").agg(exact_sum("revenue").alias("part"))
 
     base = walked.groupBy("customer").agg(
-        F.max("day").alias("last"), F.min("day").alias("first"), F.sum("c").alias("orders"), F.sum("r").alias("revenue"),
-        F.coalesce(F.sum(F.when(F.col("upto") <= F.col("half"), F.col("r"))), F.lit(0.0)).alias("full_days"))
+        F.max("day").alias("last"), F.min("day").alias("first"), F.sum("c").alias("orders"), exact_sum("r").alias("revenue"),
+        F.coalesce(exact_sum(F.when(F.col("upto") <= F.col("half"), F.col("r"))), F.lit(0.0)).alias("full_days"))
     joined = base.join(rhythm, "customer", "left").join(part, "customer", "left").select("*", population.alias("_population"))
     earlier = F.col("full_days") + F.coalesce("part", F.lit(0.0))
     own = F.nullif(F.col("own_gap"), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.context import Filters, SchemaMap
 from tallyloom.functions.money import short_number, usd
-from tallyloom.functions.numbers import pct_change, round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, pct_change, round2, round_half_up
 from tallyloom.functions.strings import group_label, window_phrase
 from tallyloom.operators.compare import tag_periods
 from tallyloom.operators.formats import quoted
@@ -28,9 +28,9 @@ def contributions(df: DataFrame, schema: SchemaMap, dimensions: list[str], value
         *[group_label(F.col(quoted(c))).alias(d) for c, d in zip(columns, dimensions)])
     long = wide.unpivot(["_c", "_p"], [F.col(quoted(d)) for d in dimensions], "dimension", "member")
     # Written once: the wholes, the top and the rest below all read it instead of the rows.
-    members = materialise(long.groupBy("dimension", "member").agg(F.sum("_c").alias("_c"), F.sum("_p").alias("_p")), "members")
+    members = materialise(long.groupBy("dimension", "member").agg(exact_sum("_c").alias("_c"), exact_sum("_p").alias("_p")), "members")
     # One row per dimension named by the caller.
-    wholes = members.groupBy("dimension").agg(F.sum(F.col("_c") - F.col("_p")).alias("_whole"))
+    wholes = members.groupBy("dimension").agg(exact_sum(F.col("_c") - F.col("_p")).alias("_whole"))
     whole = F.col("_whole")
     return members.join(F.broadcast(wholes), "dimension").select(
         "dimension", "member", round2(F.col("_c")).alias("current"), round2(F.col("_p")).alias("previous"),
@@ -68,7 +68,7 @@ def price_volume_mix(df: DataFrame, schema: SchemaMap, bounds: DataFrame) -> Dat
     q, r = row_quantity(df, schema), row_revenue(df, schema)
 
     def side(value, flag):
-        return F.sum(F.when(F.col(flag), value))
+        return exact_sum(F.when(F.col(flag), value))
 
     one = tagged.agg(side(q, "is_current").alias("q2"), side(q, "is_previous").alias("q1"),
                      side(r, "is_current").alias("r2"), side(r, "is_previous").alias("r1")).where("q1 <> 0 and q2 <> 0")
@@ -132,8 +132,8 @@ def decomposition_tree(df: DataFrame, fields: list[str], value: Column, levels:
     out, used = None, F.array().cast("array<string>")
     for level in range(1, levels + 1):
         long = rows.select("_v", F.explode("_f").alias("field", "member")).where(~F.array_contains(used, F.col("field")))
-        groups = materialise(long.groupBy("field", "member").agg(F.sum("_v").alias("value")), "groups")
-        sums = groups.groupBy("field").agg(F.sum("value").alias("whole"), F.max_by(F.struct("member", "value"), F.struct(
+        groups = materialise(long.groupBy("field", "member").agg(exact_sum("_v").alias("value")), "groups")
+        sums = groups.groupBy("field").agg(exact_sum("value").alias("whole"), F.max_by(F.struct("member", "value"), F.struct(
             "value", F.col("member"))).alias("top"), F.count("*").alias("k"))
         best = sums.where("k >= 2").select("field", "top", (F.abs("top.value") / F.abs("whole")).alias("share"), "whole").orderBy(
             F.desc("share"), "field").limit(1)
@@ -158,9 +158,9 @@ def headlines_by_group(df: DataFrame, schema: SchemaMap, group: str, dimension:
     cells = materialise(tagged.groupBy(
         F.col(quoted(schema.get(group, group))).alias(group),
         group_label(F.col(quoted(schema.get(dimension, dimension)))).alias("member")).agg(
-        F.sum(F.when(F.col("is_current"), value).otherwise(0.0)).alias("_c"),
-        F.sum(F.when(F.col("is_previous"), value).otherwise(0.0)).alias("_p")), "cells")
-    wholes = cells.groupBy(group).agg(F.sum("_c").alias("_cc"), F.sum("_p").alias("_pp"))
+        exact_sum(F.when(F.col("is_current"), value).otherwise(0.0)).alias("_c"),
+        exact_sum(F.when(F.col("is_previous"), value).otherwise(0.0)).alias("_p")), "cells")
+    wholes = cells.groupBy(group).agg(exact_sum("_c").alias("_cc"), exact_sum("_p").alias("_pp"))
     members = cells.join(wholes, group).select(
         group, "member", round2(F.col("_c") - F.col("_p")).alias("delta"),
         F.when(F.col("_cc") != F.col("_pp"), round_half_up((F.col("_c") - F.col("_p")) / (F.col("_cc") - F.col("_pp")) * 100, 2)).alias("share_pct"))

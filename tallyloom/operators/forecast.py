@@ -1,17 +1,15 @@
 """Forecasting many series at once.
 
 A table of series holds one row per series and period, so each series is as long as its
-history. The simple methods are window and regression expressions; the full bake-off fits
-every method to each series in its own group, all series in parallel.
+history. The simple methods are window and regression expressions; the full bake-off folds
+every method over the array of each series and origin, all of them in parallel.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.calendar import period_index
 from tallyloom.functions.numbers import round2, round_half_up
@@ -141,7 +139,7 @@ def goal_status(points: DataFrame, value: str, goal: str) -> DataFrame:
         "status", F.when(v >= g, "on_track").when(F.col("gap_pct") <= 10, "at_risk").otherwise("missed"))
 
 
-# --- the bake-off, one series per group -------------------------------------------------------------
+# --- the bake-off: every method at every origin, as folds over arrays ---------------------------------
 
 GRID = [0.1, 0.3, 0.5, 0.7, 0.9]
 DAMPING = [0.8, 0.85, 0.9, 0.95, 0.98]
@@ -156,282 +154,257 @@ METHODS = [
     ("seasonal_multiplicative", 24), ("holt_winters_additive", 24), ("holt_winters_multiplicative", 24),
 ]
 POSITIVE_ONLY = {"seasonal_multiplicative", "holt_winters_multiplicative"}
+SEASONAL = ("seasonal_additive", "seasonal_multiplicative", "holt_winters_additive", "holt_winters_multiplicative")
 
+# The texts below are Spark SQL over one row per series and origin: `_y` the values a method is
+# fitted to, `_r` the raw ones, `_cut` their number, `_m` their slots in the year, `_h` the steps
+# ahead and `_hm` the slots of those. A fit is its raw squared error, its parameters and its steps.
+_FIT = "named_struct('q', {q}, 'params', {params}, 'ahead', transform(_h, h -> {ahead}))"
 
-def _line(y):
-    x = np.arange(len(y)) - (len(y) - 1) / 2
-    spread = (x * x).sum()
-    slope = (x * (y - y.mean())).sum() / spread if spread else 0.0
-    return y.mean() - slope * (len(y) - 1) / 2, slope
-
-
-def _best(y, fitted, names, grid):
-    """The grid row with the least one-step error; the first of equals."""
-    with np.errstate(all="ignore"):
-        sse = ((fitted[:, 1:] - y[1:]) ** 2).sum(axis=1)
-    sse = np.where(np.isfinite(sse), sse, np.inf)
-    if not len(sse) or not np.isfinite(sse.min()):
-        return None, None
-    i = int(sse.argmin())
-    return i, dict(zip(names, grid[i]))
-
-
-def _smooth(y, grid, names, damped):
-    """Exponential smoothing of all grid rows at once; a row is (alpha[, beta[, phi]])."""
-    a, b = grid[:, 0], grid[:, 1] if grid.shape[1] > 1 else np.zeros(len(grid))
-    phi = grid[:, 2] if damped else np.ones(len(grid))
-    trended = grid.shape[1] > 1
-    level = np.full(len(grid), y[0])
-    slope = np.full(len(grid), y[1] - y[0] if trended else 0.0)
-    fitted = np.empty((len(grid), len(y)))
-    fitted[:, 0] = y[0]
-    for t in range(1, len(y)):
-        expected = level + phi * slope
-        fitted[:, t] = expected
-        after = a * y[t] + (1 - a) * expected
-        slope = b * (after - level) + (1 - b) * phi * slope if trended else slope
-        level = after
-    i, params = _best(y, fitted, names, grid)
-    if i is None:
-        return None
-    reach = lambda h: np.cumsum(phi[i] ** np.arange(1, h.max() + 1))[h - 1]
-    return fitted[i], (lambda h, slot: level[i] + slope[i] * reach(h)), params
-
-
-def _winters(y, slots, multiplicative):
-    """Holt-Winters over the whole grid at once, seasons kept by slot of the year."""
-    if len(y) < 2 * SEASON or slots is None:
-        return None
-    grid = np.array(list(product(GRID, GRID, GRID)))
-    a, b, g = grid.T
-    base = y[:SEASON].mean()
-    if multiplicative and base <= 0:
-        return None
-    level = np.full(len(grid), base)
-    slope = np.full(len(grid), (y[SEASON:2 * SEASON].mean() - base) / SEASON)
-    season = np.ones((len(grid), SEASON)) if multiplicative else np.zeros((len(grid), SEASON))
-    for t in range(SEASON):
-        season[:, slots[t]] = y[t] / base if multiplicative else y[t] - base
-    fitted = np.empty((len(grid), len(y)))
-    with np.errstate(all="ignore"):
-        for t, m in enumerate(slots):
-            along, usual = level + slope, season[:, m].copy()
-            if multiplicative:
-                fitted[:, t] = along * usual
-                after = a * (y[t] / usual) + (1 - a) * along
-                season[:, m] = g * (y[t] / after) + (1 - g) * usual
-            else:
-                fitted[:, t] = along + usual
-                after = a * (y[t] - usual) + (1 - a) * along
-                season[:, m] = g * (y[t] - after) + (1 - g) * usual
-            slope = b * (after - level) + (1 - b) * slope
-            level = after
-    i, params = _best(y, fitted, ("alpha", "beta", "gamma"), grid)
-    if i is None or not np.isfinite(level[i] + slope[i]):
-        return None
-
-    def ahead(h, slot):
-        line = level[i] + slope[i] * h
-        return line * season[i, slot] if multiplicative else line + season[i, slot]
-
-    return fitted[i], ahead, params
-
-
-def _by_slot(y, slots, multiplicative):
-    if slots is None:
-        return None
-    start, slope = _line(y)
-    line = start + slope * np.arange(len(y))
-    if multiplicative and (line <= 0).any():
-        return None
-    against = y / line if multiplicative else y - line
-    counts = np.bincount(slots, minlength=SEASON)
-    if (counts == 0).any():
-        return None
-    usual = np.bincount(slots, weights=against, minlength=SEASON) / counts
-    usual = usual / usual.mean() if multiplicative else usual - usual.mean()
-    fitted = line * usual[slots] if multiplicative else line + usual[slots]
-
-    def ahead(h, slot):
-        on = start + slope * (len(y) - 1 + h)
-        return on * usual[slot] if multiplicative else on + usual[slot]
-
-    return fitted, ahead, None
-
-
-def _fit(method, y, slots):
-    """(one-step fit, function of steps ahead and slots, parameters), or None."""
-    n = len(y)
-    if method == "naive":
-        return np.r_[y[0], y[:-1]], lambda h, slot: np.full(len(h), y[-1]), None
-    if method == "seasonal_naive":
-        fitted = np.where(np.arange(n) >= SEASON, np.r_[np.zeros(SEASON), y[:-SEASON]], y)
-        return fitted, lambda h, slot: y[np.maximum(0, n - SEASON + (h - 1) % SEASON)], None
-    if method == "moving_average":
-        windows = [w for w in WINDOWS if w <= n // 2]
-        if not windows:
-            return None
-        sums = np.r_[0.0, np.cumsum(y)]
-        at = np.arange(1, n)
-        fitted = np.array([np.r_[y[0], (sums[at] - sums[np.maximum(0, at - w)]) / np.minimum(w, at)] for w in windows])
-        i, params = _best(y, fitted, ("window",), np.array(windows, dtype=float)[:, None])
-        if i is None:
-            return None
-        return fitted[i], (lambda h, slot: np.full(len(h), y[-windows[i]:].mean())), params
-    if method == "simple_exponential_smoothing":
-        return _smooth(y, np.array(GRID)[:, None], ("alpha",), False)
-    if method == "linear_regression":
-        start, slope = _line(y)
-        return start + slope * np.arange(n), lambda h, slot: start + slope * (n - 1 + h), None
-    if method == "holt":
-        return _smooth(y, np.array(list(product(GRID, GRID))), ("alpha", "beta"), False)
-    if method == "damped_holt":
-        return _smooth(y, np.array(list(product(GRID, GRID, DAMPING))), ("alpha", "beta", "phi"), True)
-    if method.startswith("seasonal"):
-        return _by_slot(y, slots, method.endswith("multiplicative"))
-    return _winters(y, slots, method.endswith("multiplicative"))
-
-
-def _half_up(x, places):
-    f = 10.0**places
-    return float(np.floor(x * f + 0.5) / f)
-
-
-def _clamp_unusual(y):
-    if len(y) < 4:
-        return y
-    middle = np.median(y)
-    mad = np.median(np.abs(y - middle))
-    scale = mad / 0.6745 if mad > 0 else y.std()
-    if scale <= 0:
-        return y
-    low, high = _half_up(middle - 3.5 * scale, 2), _half_up(middle + 3.5 * scale, 2)
-    return np.where(np.abs(y - middle) / scale >= 3.5, np.clip(y, low, high), y)
-
-
-def _hold_out(method, least, raw, fit_on, slots, H, K):
-    """Errors by step ahead over K rolling origins; fitted on clamped, scored on raw values."""
-    steps, errors, scaled, shares, scale_ok = np.arange(1, H + 1), [], [], [], True
-    for k in range(K):
-        cut = len(raw) - H - k
-        model = _fit(method, fit_on[:cut], None if slots is None else slots[:cut]) if cut >= least else None
-        if model is None:
-            continue
-        lag = SEASON if cut > SEASON else 1
-        scale = np.abs(raw[lag:cut] - raw[:cut - lag]).mean() if cut > lag else 0.0
-        off = raw[cut:cut + H] - model[1](steps, None if slots is None else slots[cut:cut + H])
-        errors.append(off)
-        scale_ok = scale_ok and scale > 0
-        scaled.append(np.abs(off) / scale if scale > 0 else np.zeros(H))
-        actual = np.abs(raw[cut:cut + H])
-        shares.append(np.where(actual > 0, np.abs(off) / np.where(actual > 0, actual, 1), np.nan))
-    if not errors:
-        return None
-    e = np.array(errors)
-    kept = np.isfinite(e)
-    mape = None if np.isnan(np.array(shares)[kept]).any() else _half_up(np.array(shares)[kept].mean() * 100, 4)
-    return e, (_half_up(np.array(scaled)[kept].mean(), 4) if scale_ok else None), mape, _half_up(np.abs(e[kept]).mean(), 4)
-
-
-def _bake_off(raw, slots, horizon):
-    """Scoreboard rows and forecast rows of one series."""
-    n = len(raw)
-    if n < 2:
-        return [], [dict(step=h, value=raw[0], lower=raw[0] * 0.8, upper=raw[0] * 1.2, best=raw[0], worst=raw[0],
-                         method="flat", basis="residual") for h in range(1, horizon + 1)]
-    fit_on, positive = _clamp_unusual(raw), bool((raw > 0).all())
-    can_run = [least for m, least in METHODS if n >= least and (m not in POSITIVE_ONLY or positive)]
-    H = min(horizon, MAX_SCORED_HORIZON)
-    while H > 1 and not any(n - H - least + 1 >= 1 for least in can_run):
-        H -= 1
-    origins = 1 if n < 12 else 3 if n < 24 else 5 if n < 48 else 8
-
-    board, models, held = [], {}, {}
-    for method, least in METHODS:
-        row = dict(method=method, mase=None, mape=None, mae=None, origins=0, eligible=False, reason=None, winner=False, params=None)
-        board.append(row)
-        if n < least:
-            row["reason"] = f"needs {least} periods of history, has {n}"
-        elif method in POSITIVE_ONLY and not positive:
-            row["reason"] = "needs every period above zero"
-        else:
-            model = _fit(method, fit_on, slots)
-            if model is None:
-                row["reason"] = "could not be fitted to this history"
-                continue
-            models[method], K = model, min(origins, n - H - least + 1)
-            scored = _hold_out(method, least, raw, fit_on, slots, H, K) if K >= 1 else None
-            row.update(eligible=True, params=None if not model[2] else ", ".join(f"{k}={v:g}" for k, v in model[2].items()))
-            if scored is None:
-                row["reason"] = f"needs {H + least} periods to hold any out, has {n}"
-            else:
-                held[method] = scored[0]
-                row.update(mase=scored[1], mape=scored[2], mae=scored[3], origins=len(scored[0]))
-    key = "mase" if any(r["mase"] is not None for r in board) else "mae"
-    pool = [r for r in board if r[key] is not None]
-    if pool:
-        limit = min(r[key] for r in pool) * TOLERANCE
-        winner = next(r for r in pool if r[key] <= limit)
-    else:
-        winner = next((r for r in board if r["eligible"]), None)
-    winner["winner"] = True
-    fitted, ahead, _ = models[winner["method"]]
-    errors = held.get(winner["method"])
-    count = 0 if errors is None else len(errors)
-    basis = "empirical" if count >= 8 else "normal" if count >= 3 else "residual"
-    sd = float(np.sqrt(((raw - fitted) ** 2).mean()))
-    x = np.arange(n)
-    slope_error = sd / np.sqrt(((x - x.mean()) ** 2).sum())
-    steps = np.arange(1, horizon + 1)
-    central = ahead(steps, None if slots is None else (slots[-1] + steps) % SEASON)
-    points = []
-    for h, projected in zip(steps, central):
-        value = max(0.0, projected if np.isfinite(projected) else raw[-1])
-        if basis == "residual":
-            high = Z95 * sd * np.sqrt(1 + h / n)
-            low = -high
-        else:
-            of_step = errors[:, min(h, H) - 1]
-            stretch = np.sqrt(h / H) if h > H else 1.0
-            if basis == "empirical":
-                low, high = np.percentile(of_step, [2.5, 97.5]) * stretch
-            else:
-                low, high = ((of_step.mean() + s * Z95 * of_step.std()) * stretch for s in (-1, 1))
-        fan = slope_error * h
-        points.append(dict(step=int(h), value=_half_up(value, 2), lower=_half_up(max(0.0, min(value, value + low)), 2),
-                           upper=_half_up(max(value, value + high), 2), best=_half_up(value + fan, 2),
-                           worst=_half_up(max(0.0, value - fan), 2), method=winner["method"], basis=basis))
-    return board, points
-
-
-_RESULT = ("kind string, step int, value double, lower double, upper double, best double, worst double, method string, "
-           "basis string, mase double, mape double, mae double, origins int, eligible boolean, reason string, winner boolean, params string")
-_COLUMNS = [c.split()[0] for c in _RESULT.split(", ")]
+
+def _plain(fitted: str, ahead: str) -> str:
+    """A method without parameters: its value at `t` and at `h` steps ahead."""
+    error = f"aggregate(sequence(0, _cut - 1), 0D, (e, t) -> e + pow(_r[t] - ({fitted}), 2))"
+    return _FIT.format(q=error, params="cast(null as string)", ahead=ahead)
+
+
+def _tried(grid: str, fold: str, ahead: str) -> str:
+    """The point of a grid with the least one-step error, the first of equals; none if all fail.
+
+    `fold` gives a struct that starts with the error `e` and the point's place `i`.
+    """
+    fit = _FIT.format(q="b.q", params="b.params", ahead=ahead)
+    return f"get(transform(filter(array(array_min(transform({grid}, g -> {fold}))), b -> b.e < double('infinity')), b -> {fit}), 0)"
+
+
+def _points(**axes: list[float]) -> str:
+    """All combinations of the parameters as an array of structs, the last one running fastest."""
+    rows = []
+    for i, values in enumerate(product(*axes.values())):
+        named = dict(zip(axes, values))
+        text = ", ".join(f"{k}={v:g}" for k, v in named.items())
+        fields = ", ".join(f"'{k}', {v}D" for k, v in named.items())
+        rows.append(f"named_struct('i', {i}, 'params', '{text}', {fields})")
+    return f"array({', '.join(rows)})"
+
+
+_FINITE = "coalesce(nullif({}, double('NaN')), double('infinity'))"
+
+
+def _smoothing(trended: bool, damped: bool) -> str:
+    """Exponential smoothing: level, and with a trend a slope that may die away."""
+    axes = {"alpha": GRID} | ({"beta": GRID} if trended else {}) | ({"phi": DAMPING} if damped else {})
+    phi, beta = ("g.phi" if damped else "1D"), ("g.beta" if trended else "0D")
+    expected = f"(s.l + {phi} * s.b)"
+    after = f"(g.alpha * _y[t] + (1 - g.alpha) * {expected})"
+    fold = f"""aggregate(sequence(1, _cut - 1), named_struct('l', _y[0], 'b', {'_y[1] - _y[0]' if trended else '0D'}, 'e', 0D, 'q', pow(_r[0] - _y[0], 2)),
+      (s, t) -> named_struct('l', {after}, 'b', {beta} * ({after} - s.l) + (1 - {beta}) * {phi} * s.b,
+        'e', s.e + pow(_y[t] - {expected}, 2), 'q', s.q + pow(_r[t] - {expected}, 2)),
+      s -> named_struct('e', {_FINITE.format('s.e')}, 'i', g.i, 'q', s.q, 'params', g.params, 'l', s.l, 'b', s.b, 'phi', {phi}))"""
+    return _tried(_points(**axes), fold, "b.l + b.b * aggregate(sequence(1, h), 0D, (p, j) -> p + pow(b.phi, j))")
+
+
+def _winters(multiplicative: bool) -> str:
+    """Holt-Winters with one season value for each slot of the year."""
+    def put(season, slot, value):
+        return f"concat(slice({season}, 1, {slot}), array({value}), slice({season}, {slot} + 2, {SEASON}))"
+
+    start = "try_divide(_y[t], _base)" if multiplicative else "_y[t] - _base"
+    seasons = f"aggregate(sequence(0, {SEASON - 1}), array_repeat({'1D' if multiplicative else '0D'}, {SEASON}), (z, t) -> {put('z', '_m[t]', start)})"
+    along, usual = "(s.l + s.b)", "s.z[_m[t]]"
+    fitted = f"({along} * {usual})" if multiplicative else f"({along} + {usual})"
+    bare = f"try_divide(_y[t], {usual})" if multiplicative else f"(_y[t] - {usual})"
+    after = f"(g.alpha * {bare} + (1 - g.alpha) * {along})"
+    left = f"try_divide(_y[t], {after})" if multiplicative else f"(_y[t] - {after})"
+    fold = f"""aggregate(sequence(0, _cut - 1), named_struct('l', _base, 'b', _rise, 'z', {seasons}, 'e', 0D, 'q', 0D),
+      (s, t) -> named_struct('l', {after}, 'b', g.beta * ({after} - s.l) + (1 - g.beta) * s.b,
+        'z', {put('s.z', '_m[t]', f'g.gamma * {left} + (1 - g.gamma) * {usual}')},
+        'e', s.e + if(t = 0, 0D, pow(_y[t] - {fitted}, 2)), 'q', s.q + pow(_r[t] - {fitted}, 2)),
+      s -> named_struct('e', if(s.l + s.b is null, double('infinity'), {_FINITE.format('s.e')}), 'i', g.i, 'q', s.q, 'params', g.params,
+        'l', s.l, 'b', s.b, 'z', s.z))"""
+    best = _tried(_points(alpha=GRID, beta=GRID, gamma=GRID), fold,
+                  f"(b.l + b.b * h) {'*' if multiplicative else '+'} b.z[_hm[h - 1]]")
+    return f"if(_base > 0, {best}, null)" if multiplicative else best
+
+
+def _window_mean() -> str:
+    def mean(of, size):
+        return f"aggregate({of}, 0D, (u, v) -> u + v) / {size}"
+
+    before = mean("slice(_y, greatest(t - g.window, 0) + 1, least(g.window, t))", "least(g.window, t)")
+    windows = ", ".join(f"named_struct('i', {i}, 'params', 'window={w}', 'window', {w})" for i, w in enumerate(WINDOWS))
+    fold = f"""aggregate(sequence(1, _cut - 1), named_struct('e', 0D, 'q', pow(_r[0] - _y[0], 2)),
+      (s, t) -> named_struct('e', s.e + pow(_y[t] - {before}, 2), 'q', s.q + pow(_r[t] - {before}, 2)),
+      s -> named_struct('e', {_FINITE.format('s.e')}, 'i', g.i, 'q', s.q, 'params', g.params, 'mean', {mean('slice(_y, _cut - g.window + 1, g.window)', 'g.window')}))"""
+    return _tried(f"filter(array({windows}), g -> g.window <= _cut div 2)", fold, "b.mean")
+
+
+def _by_slot(multiplicative: bool) -> str:
+    sign, usual = ("*", "_times") if multiplicative else ("+", "_plus")
+    fit = _plain(f"(_start + _slope * t) {sign} {usual}[_m[t]]", f"(_start + _slope * (_cut - 1 + h)) {sign} {usual}[_hm[h - 1]]")
+    return f"if({usual} is null, null, {fit})"
+
+
+def _method_sql(method: str) -> str:
+    return {
+        "naive": lambda: _plain("if(t = 0, _y[0], _y[t - 1])", "_y[_cut - 1]"),
+        "seasonal_naive": lambda: _plain(f"if(t >= {SEASON}, _y[t - {SEASON}], _y[t])", f"_y[greatest(0, _cut - {SEASON} + (h - 1) % {SEASON})]"),
+        "moving_average": _window_mean,
+        "simple_exponential_smoothing": lambda: _smoothing(False, False),
+        "linear_regression": lambda: _plain("_start + _slope * t", "_start + _slope * (_cut - 1 + h)"),
+        "holt": lambda: _smoothing(True, False),
+        "damped_holt": lambda: _smoothing(True, True),
+        "seasonal_additive": lambda: _by_slot(False),
+        "seasonal_multiplicative": lambda: _by_slot(True),
+        "holt_winters_additive": lambda: _winters(False),
+        "holt_winters_multiplicative": lambda: _winters(True),
+    }[method]()
+
+
+def _usual(against: str) -> str:
+    """The mean of `against` for each slot, or null unless every slot occurs."""
+    each = f"""transform(sequence(0, {SEASON - 1}), m -> aggregate(sequence(0, _cut - 1), named_struct('s', 0D, 'k', 0),
+      (u, t) -> if(_m[t] = m, named_struct('s', u.s + {against}, 'k', u.k + 1), u), u -> try_divide(u.s, u.k)))"""
+    return f"get(filter(array({each}), z -> not exists(z, v -> v is null)), 0)"
+
+
+def _histories(series: DataFrame, by: list[str], horizon: int) -> DataFrame:
+    """One row per series of at least two points: its values raw and clamped, and how it is held out."""
+    points = winsorise(series.select(*by, "period", F.col("value").cast("double").alias("value")), by)
+    point = F.struct("period", "value", "fitted_value", (period_index(F.col("period")) - 1).cast("int").alias("slot"))
+    rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("_p")).where(F.size("_p") >= 2)
+    return rows.select(
+        *by, F.size("_p").alias("_n"), F.col("_p.value").alias("_raw"), F.col("_p.fitted_value").alias("_fit"), F.col("_p.slot").alias("_slots"),
+        F.element_at("_p.period", -1).alias("last_period")).select(
+        "*", F.expr("not exists(_slots, s -> s is null)").alias("_seasonal"), F.expr("forall(_raw, v -> v > 0)").alias("_positive"),
+        F.greatest(F.lit(1), F.least(F.lit(min(horizon, MAX_SCORED_HORIZON)), F.col("_n") - 2)).alias("_held"),
+        F.when(F.col("_n") < 12, 1).when(F.col("_n") < 24, 3).when(F.col("_n") < 48, 5).otherwise(8).alias("_origins"))
+
+
+def method_fits(series: DataFrame, by: list[str], horizon: int = 3, methods: list[str] | None = None, origins: bool = False) -> DataFrame:
+    """One row per series with `_fits`: for each method its fit to the whole history and, with
+    `origins`, to the history up to each rolling origin.
+
+    Grids are tried inside the row of a series and origin, so nothing is moved for them and a
+    method that is not asked for costs nothing.
+    """
+    histories = _histories(series, by, horizon)
+    # Few bytes but much to compute: a task for each share of the series and origins, whatever their size.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = histories.select("*", F.explode(F.expr("sequence(0, _origins)" if origins else "array(0)")).alias("_k")).repartition(tasks, *by, "_k").select(
+        "*", F.expr("if(_k = 0, _n, _n - _held - _k + 1)").alias("_cut")).where("_cut >= 2").selectExpr(
+        "*", "slice(_fit, 1, _cut) as _y", "slice(_raw, 1, _cut) as _r", "slice(_slots, 1, _cut) as _m",
+        f"if(_k = 0, sequence(1, {horizon}), sequence(1, _held)) as _h",
+        f"if(_k = 0, transform(sequence(1, {horizon}), h -> (_slots[_n - 1] + h) % {SEASON}), slice(_slots, _cut + 1, _held)) as _hm").selectExpr(
+        "*", "(_cut - 1) / 2D as _middle", "aggregate(_y, 0D, (u, v) -> u + v) / _cut as _mean",
+        f"aggregate(slice(_y, 1, {SEASON}), 0D, (u, v) -> u + v) / {SEASON} as _base",
+        f"(aggregate(slice(_y, {SEASON + 1}, {SEASON}), 0D, (u, v) -> u + v) - aggregate(slice(_y, 1, {SEASON}), 0D, (u, v) -> u + v)) / {SEASON} / {SEASON} as _rise",
+        f"if(_k = 0, 0D, if(_cut > {SEASON}, aggregate(sequence({SEASON}, _cut - 1), 0D, (u, t) -> u + abs(_r[t] - _r[t - {SEASON}])) / (_cut - {SEASON}), "
+        "aggregate(sequence(1, _cut - 1), 0D, (u, t) -> u + abs(_r[t] - _r[t - 1])) / (_cut - 1))) as _scale").selectExpr(
+        "*", "aggregate(sequence(0, _cut - 1), 0D, (u, t) -> u + (t - _middle) * (_y[t] - _mean)) "
+        "/ aggregate(sequence(0, _cut - 1), 0D, (u, t) -> u + (t - _middle) * (t - _middle)) as _slope").selectExpr(
+        "*", "_mean - _slope * _middle as _start")
+    wanted = [(i, m, least) for i, (m, least) in enumerate(METHODS) if methods is None or m in methods]
+    if any(m.startswith("seasonal_") and m in SEASONAL for _, m, _ in wanted):
+        year = f"_seasonal and _cut >= {2 * SEASON}"
+        rows = rows.selectExpr(
+            "*", f"if({year}, {_usual('_y[t] - (_start + _slope * t)')}, null) as _by_plus",
+            f"if({year} and _start > 0 and _start + _slope * (_cut - 1) > 0, {_usual('_y[t] / (_start + _slope * t)')}, null) as _by_times").selectExpr(
+            "*", f"transform(_by_plus, v -> v - aggregate(_by_plus, 0D, (u, w) -> u + w) / {SEASON}) as _plus",
+            f"transform(_by_times, v -> try_divide(v, aggregate(_by_times, 0D, (u, w) -> u + w) / {SEASON})) as _times")
+    each = []
+    for i, m, least in wanted:
+        may = f"_cut >= {least}" + (" and _positive" if m in POSITIVE_ONLY else "") + (" and _seasonal" if m in SEASONAL else "")
+        each.append(f"named_struct('m', {i}, 'fit', if({may}, {_method_sql(m)}, null))")
+    fitted = rows.selectExpr(*[f"`{c}`" for c in histories.columns], "_k", "_cut", "_scale", f"filter(array({', '.join(each)}), f -> f.fit is not null) as _f")
+    same = [F.first(c).alias(c) for c in histories.columns if c not in by]
+    return fitted.groupBy(*by).agg(*same, F.sort_array(F.collect_list(F.struct("_k", "_cut", "_scale", "_f"))).alias("_fits"))
+
+
+_HALF_UP = "floor(({}) * {f} + 0.5) / {f}"
+_MEAN = "try_divide(aggregate({0}, 0D, (u, v) -> u + v.{1}), size({0}))"
+
+
+def _board(fits: DataFrame, by: list[str]) -> DataFrame:
+    """One row per series and method: its errors at the rolling origins and whether it wins."""
+    listed = ", ".join(f"named_struct('m', {i}, 'method', '{m}', 'least', {least}, 'positive_only', {str(m in POSITIVE_ONLY).lower()})"
+                       for i, (m, least) in enumerate(METHODS))
+    mine = "filter(transform(_fits, x -> named_struct('k', x._k, 'cut', x._cut, 'scale', x._scale, 'fit', get(filter(x._f, f -> f.m = _x.m), 0).fit)), z -> z.fit is not null)"
+    rows = fits.selectExpr("*", f"explode(array({listed})) as _x").selectExpr("*", f"{mine} as _mine").selectExpr(
+        "*", "get(filter(_mine, z -> z.k = 0), 0).fit as _full").selectExpr(
+        "*", "if(_full is null, null, transform(filter(_mine, z -> z.k > 0), z -> named_struct('scale', z.scale, 'actual', slice(_raw, z.cut + 1, _held), "
+        "'off', zip_with(slice(_raw, z.cut + 1, _held), z.fit.ahead, (a, p) -> a - p)))) as _errors").selectExpr(
+        "*", "filter(flatten(transform(_errors, z -> zip_with(z.off, z.actual, (o, a) -> named_struct('off', abs(o), 'scaled', if(z.scale > 0, abs(o) / z.scale, 0D), "
+        "'share', if(a = 0, null, abs(o) / abs(a)))))), v -> v.off < double('infinity')) as _each").selectExpr(
+        "*", "coalesce(size(_errors), 0) as origins").selectExpr(
+        "*", f"if(origins > 0 and forall(_errors, z -> z.scale > 0), {_HALF_UP.format(_MEAN.format('_each', 'scaled'), f='10000')}, null) as mase",
+        f"if(origins > 0 and not exists(_each, v -> v.share is null), {_HALF_UP.format(_MEAN.format('_each', 'share') + ' * 100', f='10000')}, null) as mape",
+        f"if(origins > 0, {_HALF_UP.format(_MEAN.format('_each', 'off'), f='10000')}, null) as mae",
+        """case when _n < _x.least then concat('needs ', _x.least, ' periods of history, has ', _n) when _x.positive_only and not _positive then 'needs every period above zero'
+          when _full is null then 'could not be fitted to this history' when origins = 0 then concat('needs ', _held + _x.least, ' periods to hold any out, has ', _n) end as reason""")
+    whole = Window.partitionBy(*by)  # one row per method
+    scored = rows.select("*", F.max(F.col("mase").isNotNull()).over(whole).alias("_any")).select(
+        "*", F.when(F.col("_any"), F.col("mase")).otherwise(F.col("mae")).alias("_score"))
+    near = F.min("_score").over(whole) * TOLERANCE
+    judged = scored.select("*", F.coalesce(F.col("_score") <= near, F.lit(False)).alias("_near"))
+    first = F.coalesce(F.min(F.when(F.col("_near"), F.col("_x.m"))).over(whole), F.min(F.when(F.col("_full").isNotNull(), F.col("_x.m"))).over(whole))
+    return judged.select("*", F.coalesce(F.col("_x.m") == first, F.lit(False)).alias("winner"), F.col("_x.method").alias("method"),
+                         F.col("_full").isNotNull().alias("eligible"), F.col("_full.params").alias("params"))
+
+
+def _projected(board: DataFrame, by: list[str], horizon: int) -> DataFrame:
+    """The winner's periods ahead with their bands.
+
+    Eight origins give bands by rank, three a mean and a deviation, fewer the spread of the fit.
+    """
+    spread = "sqrt(_full.q / _n)"
+    rows = board.where("winner").selectExpr(
+        "*", f"{spread} as _sd", f"{spread} / sqrt(aggregate(sequence(0, _n - 1), 0D, (u, t) -> u + pow(t - (_n - 1) / 2D, 2))) as _fan",
+        "if(origins >= 8, 'empirical', if(origins >= 3, 'normal', 'residual')) as basis", f"explode(sequence(1, {horizon})) as step").selectExpr(
+        "*", "transform(_errors, z -> z.off[least(step, _held) - 1]) as _o", "if(step > _held, sqrt(step / _held), 1D) as _stretch",
+        "_full.ahead[step - 1] as _p").selectExpr(
+        "*", "array_sort(_o) as _s", "try_divide(aggregate(_o, 0D, (u, v) -> u + v), size(_o)) as _mu",
+        "greatest(0D, if(_p is null or isnan(_p) or abs(_p) = double('infinity'), _raw[_n - 1], _p)) as _v").selectExpr(
+        "*", "sqrt(try_divide(aggregate(_o, 0D, (u, v) -> u + pow(v - _mu, 2)), size(_o))) as _dev")
+
+    def rank(p):
+        at = f"{p} * (size(_s) - 1)"
+        return f"(_s[int(floor({at}))] + (_s[int(ceil({at}))] - _s[int(floor({at}))]) * ({at} - floor({at})))"
+
+    by_fit = f"{Z95}D * _sd * sqrt(1 + step / _n)"
+    low = f"case basis when 'residual' then -({by_fit}) when 'empirical' then {rank('0.025D')} * _stretch else (_mu - {Z95}D * _dev) * _stretch end"
+    high = f"case basis when 'residual' then {by_fit} when 'empirical' then {rank('0.975D')} * _stretch else (_mu + {Z95}D * _dev) * _stretch end"
+    return rows.selectExpr("*", f"{low} as _low", f"{high} as _high").selectExpr(
+        *[f"`{c}`" for c in by], "last_period", "step", *[f"{_HALF_UP.format(e, f='100')} as {name}" for e, name in (
+            ("_v", "value"), ("greatest(0D, least(_v, _v + _low))", "lower"), ("greatest(_v, _v + _high)", "upper"),
+            ("_v + _fan * step", "best"), ("greatest(0D, _v - _fan * step)", "worst"))], "method", "basis")
 
 
 def bake_off(series: DataFrame, by: list[str], horizon: int = 3) -> DataFrame:
     """Every method against every series: `kind` is 'score' for a method's held-out errors and
     'point' for a projected period of the winner.
 
-    `series` is already one row per period, so a group is one short history, whatever the
-    size of the fact table behind it.
+    `series` is already one row per period, so an array is one short history, whatever the
+    size of the fact table behind it. A series of one point is projected flat.
     """
-    placed = series.select(*by, "period", F.col("value").cast("double").alias("value"), (period_index(F.col("period")) - 1).alias("slot"))
-    types = {f.name: f.dataType for f in placed.schema.fields}
-    schema = T.StructType([T.StructField(c, types[c]) for c in by] + [
-        T.StructField("last_period", T.StringType())] + T._parse_datatype_string(_RESULT).fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period")
-        slots = None if pdf["slot"].isna().any() else pdf["slot"].to_numpy(dtype=int)
-        board, points = _bake_off(pdf["value"].to_numpy(dtype=float), slots, horizon)
-        rows = [dict(r, kind="score") for r in board] + [dict(r, kind="point") for r in points]
-        same = {c: pdf[c].iloc[0] for c in by} | {"last_period": pdf["period"].iloc[-1]}
-        # Plain objects with None where a kind of row has no such value.
-        table = {c: [r.get(c) for r in rows] for c in _COLUMNS} | {c: [v] * len(rows) for c, v in same.items()}
-        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in table.items()})[[*by, "last_period", *_COLUMNS]]
-
-    return placed.groupBy(*by).applyInPandas(run, schema)
+    board = _board(method_fits(series, by, horizon, origins=True), by)
+    scores = board.select(*by, "last_period", F.lit("score").alias("kind"), "method", "mase", "mape", "mae", "origins", "eligible", "reason", "winner", "params")
+    points = _projected(board, by, horizon).withColumn("kind", F.lit("point"))
+    single = series.select(*by, "period", F.col("value").cast("double").alias("value"), F.count("*").over(Window.partitionBy(*by)).alias("_n")).where(
+        "_n = 1").select(*by, F.col("period").alias("last_period"), F.lit("point").alias("kind"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"),
+                         "value", (F.col("value") * 0.8).alias("lower"), (F.col("value") * 1.2).alias("upper"), F.col("value").alias("best"),
+                         F.col("value").alias("worst"), F.lit("flat").alias("method"), F.lit("residual").alias("basis"))
+    return scores.unionByName(points, allowMissingColumns=True).unionByName(single, allowMissingColumns=True)
+
+
+def method_forecasts(series: DataFrame, by: list[str], horizon: int, methods: list[str]) -> DataFrame:
+    """What each of the named methods projects from the whole history, with its parameters."""
+    fits = method_fits(series, by, horizon, methods)
+    names = F.array(*[F.lit(m) for m, _ in METHODS])
+    each = fits.select(*by, "last_period", F.explode(F.flatten("_fits._f")).alias("_x")).select(
+        *by, "last_period", names[F.col("_x.m")].alias("method"), F.col("_x.fit.params").alias("params"), F.posexplode("_x.fit.ahead").alias("_i", "value"))
+    return each.select(*by, "method", "params", (F.col("_i") + 1).alias("step"), period_plus(F.col("last_period"), F.col("_i") + 1).alias("period"),
+                       round2(F.col("value")).alias("value"))
 
 
 def forecast_points(results: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from tallyloom.functions.numbers import round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.functions.strings import join_key, normalise_region
 from tallyloom.operators.formats import quoted
 
@@ -190,7 +190,7 @@ def match_regions(rows: DataFrame, label: str, value: Column, map_names: DataFra
     """
     from tallyloom.functions.strings import region_aliases
 
-    totals = rows.groupBy(F.col(label).alias("label")).agg(F.sum(value).alias("v")).select(
+    totals = rows.groupBy(F.col(label).alias("label")).agg(exact_sum(value).alias("v")).select(
         "*", normalise_region(F.col("label")).alias("norm"))
     names = map_names.select(F.col(map_name).alias("name"), normalise_region(F.col(map_name)).alias("name_norm")).distinct()
     aliases = region_aliases(rows.sparkSession).select(
@@ -201,4 +201,4 @@ def match_regions(rows: DataFrame, label: str, value: Column, map_names: DataFra
     found = aliased.join(second, F.col("alias_norm") == F.col("by_alias_norm"), "left").select(
         "label", "v", F.coalesce("name", "by_alias").alias("region"))
     return found.groupBy(F.coalesce("region", "label").alias("region"), F.col("region").isNotNull().alias("matched")).agg(
-        round2(F.sum("v")).alias("value"))
+        round2(exact_sum("v")).alias("value"))

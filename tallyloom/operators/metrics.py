@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tallyloom.context import DEFAULT_CALENDAR, Calendar, Filters, SchemaMap
 from tallyloom.functions import calendar as C
 from tallyloom.functions.dates import day_of
-from tallyloom.functions.numbers import is_blank, number_or_zero, pct_change, plain_number, round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, is_blank, number_or_zero, pct_change, plain_number, round2, round_half_up
 from tallyloom.functions.strings import group_label, tidy_key, trimmed
 from tallyloom.operators.compare import period_bounds, tag_periods
 from tallyloom.operators.filters import apply_filters, row_condition
@@ -134,13 +134,13 @@ def metric_column(df: DataFrame, schema: SchemaMap, spec: MetricSpec, where: Col
     cell = F.col(quoted(column))
     if spec.kind == "distinct":
         return F.count_distinct(F.when(keep, F.lower(tidy_key(cell)))).cast("double")
-    total = F.coalesce(F.sum(F.when(keep, number(df, column))), F.lit(0.0))
+    total = F.coalesce(exact_sum(F.when(keep, number(df, column))), F.lit(0.0))
     if spec.kind == "sum":
         return round2(total)
     if spec.kind == "avg":
         # Blank cells do not count as zeros.
         n = F.count_if(keep & ~is_blank(cell))
-        filled = F.sum(F.when(keep & ~is_blank(cell), number(df, column)))
+        filled = exact_sum(F.when(keep & ~is_blank(cell), number(df, column)))
         return F.when(n > 0, round2(filled / n)).otherwise(0.0)
     below = spec.column(schema, spec.denominator)
     if below not in df.columns:
@@ -188,12 +188,12 @@ def _figures(df, schema, filters, bounds, blank_counts: bool) -> DataFrame:
                           ["order", "customer"] if customer else ["order"], "kind", "key")
     # Measures count under the order key alone.
     keyed = rows.groupBy("kind", "key").agg(
-        *[F.sum(F.when(F.col(flag) & (F.col("kind") == "order"), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}")
+        *[exact_sum(F.when(F.col(flag) & (F.col("kind") == "order"), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}")
           for m in ("revenue", "profit") for s, flag in _SIDES],
         *[F.count_if(flag).alias(f"rows_{s}") for s, flag in _SIDES],
     )
     is_order, has_key = F.col("kind") == "order", F.col("key").isNotNull()
-    figures = [F.sum(f"{m}_{s}").alias(f"{m}_{s}") for m in ("revenue", "profit") for s, _ in _SIDES]
+    figures = [exact_sum(f"{m}_{s}").alias(f"{m}_{s}") for m in ("revenue", "profit") for s, _ in _SIDES]
     for s, _ in _SIDES:
         seen = F.col(f"rows_{s}") > 0
         if schema.get("order_id"):
@@ -274,7 +274,7 @@ def _aggregate(df: DataFrame, schema: SchemaMap, metric) -> Column:
         return metric_column(df, schema, metric)
     if isinstance(metric, Column):
         return metric
-    return round2(F.sum(row_value(df, schema, metric)))
+    return round2(exact_sum(row_value(df, schema, metric)))
 
 
 def group_totals(df: DataFrame, schema: SchemaMap, dimension: str, metric="revenue",
@@ -346,7 +346,7 @@ def value_inclusion(df: DataFrame, kind: str, sources: list[str]) -> DataFrame:
 
 def mrr(df: DataFrame, schema: SchemaMap) -> Column:
     named = [c for c in df.columns if re.search(r"^mrr$|monthly.*recurr|subscription.*revenue", c, re.I)]
-    return round2(F.sum(number(df, named[0]) if named else row_revenue(df, schema)))
+    return round2(exact_sum(number(df, named[0]) if named else row_revenue(df, schema)))
 
 
 def arpu(df: DataFrame, schema: SchemaMap) -> Column:
@@ -354,7 +354,7 @@ def arpu(df: DataFrame, schema: SchemaMap) -> Column:
     if not customer:
         return F.max(F.lit(0.0))
     customers = F.count_distinct(trimmed(F.col(quoted(customer))))
-    return F.when(customers > 0, round2(F.sum(row_revenue(df, schema)) / customers)).otherwise(0.0)
+    return F.when(customers > 0, round2(exact_sum(row_revenue(df, schema)) / customers)).otherwise(0.0)
 
 
 def _ratio(top: Column, below: Column, factor: float, places: int) -> Column:

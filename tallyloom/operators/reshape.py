@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyloom.functions.numbers import round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 
 
 def pivot_totals(df: DataFrame, rows: list[str], column: str, value: Column) -> DataFrame:
@@ -16,10 +16,10 @@ def pivot_totals(df: DataFrame, rows: list[str], column: str, value: Column) ->
     named = df.select(*[F.coalesce(F.col(r).cast("string"), F.lit("—")).alias(r) for r in rows],
                       F.coalesce(F.col(column).cast("string"), F.lit("—")).alias(column), value.alias("_v"))
     # Sum the finest cells first, so the grouping sets expand cells and not rows.
-    cells = named.groupBy(*rows, column).agg(F.sum("_v").alias("_v"))
+    cells = named.groupBy(*rows, column).agg(exact_sum("_v").alias("_v"))
     sets = [[F.col(c) for c in [*rows[:d], column]] for d in range(len(rows), -1, -1)]
     sums = cells.groupingSets(sets, *[F.col(c) for c in [*rows, column]]).agg(
-        F.sum("_v").alias("_v"), *[F.grouping(r).alias(f"_g_{r}") for r in rows])
+        exact_sum("_v").alias("_v"), *[F.grouping(r).alias(f"_g_{r}") for r in rows])
     depth = sum([1 - F.col(f"_g_{r}").cast("int") for r in rows], F.lit(0))
     return sums.select(depth.alias("depth"), *rows, column, round2(F.col("_v")).alias("value"))
 
@@ -31,7 +31,7 @@ def pivot_matrix(df: DataFrame, rows: list[str], column: str, value: Column, col
     """
     totals = pivot_totals(df, rows, column, value)
     return totals.groupBy("depth", *rows).agg(
-        *[F.max(F.when(F.col(column) == c, F.col("value"))).alias(c) for c in columns], round2(F.sum("value")).alias("total"))
+        *[F.max(F.when(F.col(column) == c, F.col("value"))).alias(c) for c in columns], round2(exact_sum("value")).alias("total"))
 
 
 def percent_of_row(cells: DataFrame, row: str) -> DataFrame:

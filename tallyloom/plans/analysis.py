@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.context import Filters
-from tallyloom.functions.numbers import round2, round_half_up
+from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.operators import (compare as P, drivers as DR, evidence as EV, insights as IN, joins as J, metrics as MT,
                                  reshape as RS, scenario as SC, stats as ST)
 from tallyloom.plans import oracle as O
@@ -105,7 +105,7 @@ select period, revenue, profit, case when revenue <> 0 then floor(profit / reven
 def _(spark, sf):
     df = sales(spark, sf, "date", "revenue", "cost")
     both = df.groupBy(F.date_format("date", "yyyy-MM").alias("period")).agg(
-        round2(F.sum("revenue")).alias("revenue"), round2(F.sum(F.col("revenue") - F.col("cost"))).alias("profit"))
+        round2(exact_sum("revenue")).alias("revenue"), round2(exact_sum(F.col("revenue") - F.col("cost"))).alias("profit"))
     return both.withColumn("margin_pct", F.when(F.col("revenue") != 0, round_half_up(F.col("profit") / F.col("revenue") * 100, 4)).otherwise(0.0))
 
 
@@ -302,7 +302,7 @@ alerts as (select region, metric, metric || case when change_pct <= lim then '_d
 def _key_series(spark, sf):
     df = sales(spark, sf, "date", "region", "revenue", "cost", "order_id")
     wide = df.groupBy("region", F.date_format("date", "yyyy-MM").alias("period")).agg(
-        round2(F.sum("revenue")).alias("revenue"), round2(F.sum(F.col("revenue") - F.col("cost"))).alias("profit"),
+        round2(exact_sum("revenue")).alias("revenue"), round2(exact_sum(F.col("revenue") - F.col("cost"))).alias("profit"),
         F.count_distinct("order_id").cast("double").alias("orders"))
     return wide.unpivot(["region", "period"], ["revenue", "profit", "orders"], "metric", "value")
 
@@ -318,7 +318,7 @@ select product_id, quantity, margin_pct, case when margin_pct < 0 then 'HIGH' el
 def _(spark, sf):
     df = sales(spark, sf, "product_id", "revenue", "cost", "quantity")
     totals = df.groupBy("product_id", "quantity").agg(
-        F.sum("revenue").alias("revenue"), F.sum(F.col("revenue") - F.col("cost")).alias("profit"))
+        exact_sum("revenue").alias("revenue"), exact_sum(F.col("revenue") - F.col("cost")).alias("profit"))
     return IN.thin_margin(totals, ["product_id", "quantity"])
 
 
@@ -406,7 +406,7 @@ def _(spark, sf):
 select *, {O.half_up('abs(value) / sum(abs(value)) over (partition by department) * 100', 4)} as share_pct from c""")
 def _(spark, sf):
     signed = F.when(F.col("region") == "ASIA", -F.col("revenue")).otherwise(F.col("revenue"))
-    cells = sales(spark, sf, "department", "category", "region", "revenue").groupBy("department", "category").agg(round2(F.sum(signed)).alias("value"))
+    cells = sales(spark, sf, "department", "category", "region", "revenue").groupBy("department", "category").agg(round2(exact_sum(signed)).alias("value"))
     return RS.percent_of_row(cells, "department")
 
 
@@ -460,7 +460,7 @@ _LEVERS = [SC.Lever("revenue", 5), SC.Lever("revenue", -2), SC.Lever("cost", 10)
 def _(spark, sf):
     df = sales(spark, sf, "brand", "revenue", "cost", "quantity")
     changed = SC.apply_levers(df, schema_of(df), _LEVERS)
-    return changed.groupBy("brand").agg(*[round2(F.sum(c)).alias(c) for c in ("revenue", "cost", "quantity")])
+    return changed.groupBy("brand").agg(*[round2(exact_sum(c)).alias(c) for c in ("revenue", "cost", "quantity")])
 
 
 @query("n3_scenario_kpis", f"""with {SALES_SQL}, s as (select *, floor(revenue * (1.05 * 0.98) * 1e6 + 0.5) / 1e6 as r2_, floor(cost * 1.1 * 1e6 + 0.5) / 1e6 as c2_ from sales),

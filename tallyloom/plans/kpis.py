@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.context import Calendar, Filters
 from tallyloom.functions.calendar import period_key
-from tallyloom.functions.numbers import pct_change, round2
+from tallyloom.functions.numbers import exact_sum, pct_change, round2
 from tallyloom.operators import compare as P, filters as FL, metrics as MT
 from tallyloom.plans import oracle as O
 from tallyloom.plans.registry import query
@@ -122,7 +122,7 @@ where date between '1996-10-01' and '1996-12-31' group by 1""")
 def _(spark, sf):
     df = sales(spark, sf, "date", "revenue")
     inside = FL.date_drill(df, S, "1996-Q3", APRIL)
-    return inside.groupBy(F.col("bucket").alias("period")).agg(round2(F.sum("revenue")).alias("value"))
+    return inside.groupBy(F.col("bucket").alias("period")).agg(round2(exact_sum("revenue")).alias("value"))
 
 
 _F8_DAYS = """days as (select cast(unnest(generate_series(date '1990-01-01', date '2010-12-31', interval 1 day)) as date) as d)"""
@@ -174,9 +174,9 @@ def _(spark, sf):
     df = sales(spark, sf, "category", "revenue", "quantity", "unit_price")
     derived = {"quantity": "quantity", "unit_price": "unit_price"}
     return df.groupBy("category").agg(
-        round2(F.sum(MT.row_revenue(df, S))).alias("stored"),
-        round2(F.sum(MT.row_revenue(df, derived))).alias("derived"),
-        round2(F.sum(MT.row_revenue(df, {}))).alias("unavailable"))
+        round2(exact_sum(MT.row_revenue(df, S))).alias("stored"),
+        round2(exact_sum(MT.row_revenue(df, derived))).alias("derived"),
+        round2(exact_sum(MT.row_revenue(df, {}))).alias("unavailable"))
 
 
 @query("h2_row_profit", f"""with {SALES_SQL}
@@ -184,9 +184,9 @@ select category, {O.r2('sum(revenue - cost)')} as from_cost, {O.r2('sum(cost)')}
 def _(spark, sf):
     df = sales(spark, sf, "category", "revenue", "cost")
     return df.groupBy("category").agg(
-        round2(F.sum(MT.row_profit(df, S))).alias("from_cost"),
-        round2(F.sum(MT.row_profit(df, {"profit": "cost"}))).alias("stored"),
-        round2(F.sum(MT.row_profit(df, {"revenue": "revenue"}))).alias("unavailable"))
+        round2(exact_sum(MT.row_profit(df, S))).alias("from_cost"),
+        round2(exact_sum(MT.row_profit(df, {"profit": "cost"}))).alias("stored"),
+        round2(exact_sum(MT.row_profit(df, {"revenue": "revenue"}))).alias("unavailable"))
 
 
 _COUNTS = " union all ".join(
@@ -456,8 +456,8 @@ select brand, {O.pct('c', 'p')} as change_pct from g""")
 def _(spark, sf):
     df = sales(spark, sf, "date", "brand", "revenue")
     tagged = P.tag_periods(df, S, Filters(), P.period_bounds(sales(spark, sf, "date"), S))
-    sums = tagged.groupBy("brand").agg(F.sum(F.when(F.col("is_current"), F.col("revenue"))).alias("c"),
-                                       F.sum(F.when(F.col("is_previous"), F.col("revenue"))).alias("p"))
+    sums = tagged.groupBy("brand").agg(exact_sum(F.when(F.col("is_current"), F.col("revenue"))).alias("c"),
+                                       exact_sum(F.when(F.col("is_previous"), F.col("revenue"))).alias("p"))
     return sums.select("brand", pct_change(F.col("c"), F.col("p")).alias("change_pct"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def r2(e: str) -> str:
-    return f"(floor((round(({e})*10000)+50)/100)/100)"
+    """Amounts are decimals of six places; two of them stay, halves up."""
+    return f"(floor(cast(cast({e} as decimal(38,6)) as double)*100+0.5)/100)"
 
 
 def half_up(e: str, places: int) -> str:

@@ -15,6 +15,7 @@ from tallyloom.operators import (basket as B, clean as CL, compare as P, custome
                                  forecast as FC, formats as FM, joins as J, metrics as MT, profile as PR, quantiles as Q, scenario as SC,
                                  stats as ST)
 from tallyloom.sources import append as AP, readers as RD, sinks as SK
+from tests import forecast_check
 
 SCHEMA = {"date": "date", "region": "region", "product_name": "product", "revenue": "revenue", "order_id": "order", "customer_id": "customer"}
 CALENDARS = [Calendar(), Calendar(4), Calendar(2, "445", 0), Calendar(1, "454", 1), Calendar(7, "544", 6)]
@@ -230,22 +231,36 @@ def test_forecasts_pick_one_winner_bracket_the_point_and_repeat(spark):
     assert sorted(map(tuple, points)) == sorted(map(tuple, again))
 
 
-def test_smoothing_matches_a_plain_loop():
-    y = np.array([3.0, 5.0, 4.0, 8.0, 7.0, 9.0])
-    fitted, ahead, params = FC._fit("simple_exponential_smoothing", y, None)
-    level, expected = y[0], [y[0]]
-    for v in y[1:]:
-        expected.append(level)
-        level = params["alpha"] * v + (1 - params["alpha"]) * level
-    assert np.allclose(fitted, expected) and np.allclose(ahead(np.array([1, 2]), None), level)
-    fitted, ahead, p = FC._fit("damped_holt", y, None)
-    level, slope = y[0], y[1] - y[0]
-    for t, v in enumerate(y[1:], 1):
-        f = level + p["phi"] * slope
-        assert np.isclose(fitted[t], f)
-        before, level = level, p["alpha"] * v + (1 - p["alpha"]) * f
-        slope = p["beta"] * (level - before) + (1 - p["beta"]) * p["phi"] * slope
-    assert np.isclose(ahead(np.array([1, 2, 3]), None)[2], level + slope * (p["phi"] + p["phi"] ** 2 + p["phi"] ** 3))
+def test_the_bake_off_equals_one_series_at_a_time(spark):
+    history = _history(spark)
+    result = FC.bake_off(history, ["s"], 8).persist()
+    scores = {(r["s"], r["method"]): r for r in FC.scoreboard(result, ["s"]).collect()}
+    points = {(r["s"], r["step"]): r for r in FC.forecast_points(result, ["s"]).collect()}
+    by_name = {}
+    for r in sorted(history.collect()):
+        by_name.setdefault(r["s"], []).append((int(r["period"][5:]) - 1, r["value"]))
+    for name, rows in by_name.items():
+        board, ahead = forecast_check._bake_off(np.array([v for _, v in rows]), np.array([s for s, _ in rows]), 8)
+        for want in board:
+            got = scores[(name, want["method"])]
+            assert (got["eligible"], got["reason"], got["winner"], got["origins"], got["params"]) == tuple(
+                want[k] for k in ("eligible", "reason", "winner", "origins", "params")), (name, want)
+            for k in ("mase", "mape", "mae"):
+                assert (got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 2e-4), (name, want)
+        for want in ahead:
+            got = points[(name, want["step"])]
+            assert (got["method"], got["basis"]) == (want["method"], want["basis"])
+            assert all(abs(got[k] - want[k]) < 0.02 for k in ("value", "lower", "upper", "best", "worst")), (name, want)
+
+
+def test_one_method_alone_projects_what_the_plain_loop_does(spark):
+    got = {(r["s"], r["method"], r["step"]): r["value"] for r in FC.method_forecasts(
+        _history(spark), ["s"], 3, ["holt", "damped_holt", "holt_winters_additive"]).collect()}
+    y = np.array([1.0, 2.0, 3.0, 4.0, 5.0])
+    assert ("five", "damped_holt", 1) in got and ("five", "holt_winters_additive", 1) not in got
+    for m in ("holt", "damped_holt"):
+        _, ahead, _ = forecast_check._fit(m, y, None)
+        assert np.allclose([got[("five", m, h)] for h in (1, 2, 3)], ahead(np.array([1, 2, 3]), None), atol=0.006)
 
 
 def test_levers_compound_and_an_empty_scenario_changes_nothing(sales):
