@@ -155,13 +155,15 @@ def question_metric(question: Column, default: str = "revenue") -> Column:
     return out.otherwise(F.lit(default))
 
 
-def question_limit(question: Column, default: int = 10) -> Column:
+def question_limit(question: Column, default: int = 10, most: int | None = None) -> Column:
+    """How many rows a question asks for, at most `most` where that is given."""
     pattern = r"top\s+([0-9]+)|([0-9]+)\s+(customers|products|regions|items)"
     first = F.nullif(F.regexp_extract(question, pattern, 1), F.lit(""))
     second = F.nullif(F.regexp_extract(question, pattern, 2), F.lit(""))
     asked = F.coalesce(first, second).try_cast("int")  # null where nothing was asked
     chosen = F.when(asked == 0, F.lit(default)).otherwise(F.coalesce(asked, F.lit(default)))
-    return F.least(F.lit(50), F.greatest(F.lit(1), chosen))
+    wanted = F.greatest(F.lit(1), chosen)
+    return wanted if most is None else F.least(F.lit(most), wanted)
 
 
 def question_intent(question: Column) -> Column:
@@ -179,7 +181,7 @@ def question_intent(question: Column) -> Column:
     )
 
 
-def tag_questions(df: DataFrame, text: str) -> DataFrame:
+def tag_questions(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
     """Intent, metric, dimension, row limit and chart for every question of a table."""
     q = F.lower(F.col(text))
     intent = question_intent(q)
@@ -194,6 +196,6 @@ def tag_questions(df: DataFrame, text: str) -> DataFrame:
         intent.alias("intent"),
         question_metric(q).alias("metric"),
         dimension.alias("dimension"),
-        question_limit(q).alias("row_limit"),
+        question_limit(q, most=most).alias("row_limit"),
         F.when(intent.isin("forecast", "trend"), "line").otherwise("bar").alias("chart"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +14,6 @@ from tallyloom.session import materialise
 
 MIN_ORDERS, MIN_MULTI_SHARE, MIN_MEAN_BASKET = 200, 0.15, 1.2
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.10, 1.0
-MAX_RULES, MAX_PRODUCTS = 200, 500
 
 
 def basket_rows(df: DataFrame, order: str, product: str) -> DataFrame:
@@ -33,9 +34,10 @@ def basket_gates(rows: DataFrame) -> DataFrame:
                           round2(F.col("_mean")).alias("mean_basket"), "status", "reason")
 
 
-def best_sellers(rows: DataFrame, limit: int = MAX_PRODUCTS) -> DataFrame:
-    """The rows of the products found in most orders. The catalogue bound is part of the
-    method: it also bounds how many products one basket can hold."""
+def best_sellers(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows of the `limit` products found in most orders, or all rows without one."""
+    if limit is None:
+        return rows
     counts = rows.groupBy("product").agg(F.count("*").alias("orders"))
     top = counts.orderBy(F.desc("orders"), "product").limit(limit).select("product")
     return rows.join(top, "product", "left_semi")
@@ -44,26 +46,31 @@ def best_sellers(rows: DataFrame, limit: int = MAX_PRODUCTS) -> DataFrame:
 def frequent_itemsets(rows: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """Product sets found in at least that share of orders.
 
-    A basket is an array of distinct products of the bounded catalogue, so it stays short
-    even for an order with a third of all rows.
+    A product below that share is in no such set, so baskets hold frequent products alone.
+    There are at most (mean basket / min_support) of those, which bounds a basket even for an
+    order with a third of all rows.
     """
-    listed = best_sellers(rows).groupBy("order").agg(F.collect_set("product").alias("items"))
+    orders = rows.select("order").distinct().count()
+    least = max(1, math.ceil(min_support * orders - 1e-9))
+    counts = rows.groupBy("product").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    listed = rows.join(counts.select("product"), "product", "left_semi").groupBy("order").agg(F.collect_set("product").alias("items"))
     baskets = materialise(listed, "baskets")  # mined in several passes
-    # Support is a share of every order, also of those the catalogue bound emptied.
-    orders, kept = rows.select("order").distinct().count(), baskets.count()
-    share = min(1.0, min_support * orders / kept) if kept else 1.0
+    # Support is a share of every order, also of those without a frequent product. The miner
+    # rounds its share of the baskets up to a count: half a basket below hits `least` exactly.
+    kept = baskets.count()
+    share = min(1.0, (least - 0.5) / kept) if kept else 1.0
     found = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
     return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / F.lit(orders)).alias("support"))
 
 
-def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, limit: int | None = MAX_RULES) -> DataFrame:
+def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, limit: int | None = None) -> DataFrame:
     """Rules between every two parts of each frequent set, strongest lift first.
 
     All subsets of a frequent set are frequent, so both sides' supports are in the table.
     """
     sets = itemsets.withColumn("key", F.concat_ws("\0", "items")).select("key", "items", "n", "support")
     # Every number with one bit per item stands for one way to part the set in two.
-    masks = F.expr("sequence(1, shiftleft(1, size(items)) - 2)")
+    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")
     splits = sets.where(F.size("items") >= 2).select("n", "support", "items", F.explode(masks).alias("mask"))
 
     bit = "filter(items, (x, i) -> (shiftright(mask, i) & 1) = {})"

@@ -10,7 +10,9 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
+from tallyloom.functions.dates import day_of
 from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.functions.strings import row_identity, tidy_key
 from tallyloom.operators.quantiles import exact_quantiles, value_weights
@@ -68,8 +70,22 @@ def order_key_report(df: DataFrame, order: str) -> DataFrame:
                       .when(F.col("blank") > 0, "blank ids count as orders of their own").otherwise("").alias("warning"))
 
 
+def usable(df: DataFrame, customer: str, date: str, revenue: str) -> DataFrame:
+    """Rows with a customer, a day and an amount; written customer keys are tidied."""
+    key = F.col(customer)
+    if isinstance(df.schema[customer].dataType, StringType):
+        key = tidy_key(key)
+    day = day_of(F.col(date))
+    return df.withColumn(customer, key).withColumn(date, day).where(
+        F.col(customer).isNotNull() & F.col(date).isNotNull() & F.col(revenue).isNotNull() & ~F.isnan(F.col(revenue).cast("double")))
+
+
 def rfm(df: DataFrame, customer: str, date: str, order: str | None, revenue: str) -> DataFrame:
-    """Per customer: days since the last purchase, number of orders, total spend."""
+    """Per customer: days since the last purchase, number of orders, total spend.
+
+    Rows without a customer, a day or an amount take no part.
+    """
+    df = usable(df, customer, date, revenue)
     as_of = df.agg(F.max(date)).scalar()
     counted = F.count_distinct(order) if order else F.count_distinct(date)
     return df.groupBy(customer).agg(F.max(date).alias("_last"), counted.alias("frequency"), exact_sum(revenue).alias("_m")).select(
@@ -79,7 +95,6 @@ def rfm(df: DataFrame, customer: str, date: str, order: str | None, revenue: str
 MIN_CUSTOMERS_TO_CLUSTER = 50
 MIN_SILHOUETTE = 0.15
 CLUSTER_RANGE = range(2, 7)
-MAX_LISTED = 5000
 
 
 def cluster(table: DataFrame, seed: int = 42) -> tuple[DataFrame, list[tuple[int, float]]]:
@@ -90,7 +105,8 @@ def cluster(table: DataFrame, seed: int = 42) -> tuple[DataFrame, list[tuple[int
     logged = table.select("*", *[F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(f"_{c}")
                                  for c in ("recency_days", "frequency", "monetary")])
     raw = VectorAssembler(inputCols=["_recency_days", "_frequency", "_monetary"], outputCol="_raw").transform(logged)
-    scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw).transform(raw).persist()
+    scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw).transform(raw)
+    scaled = materialise(scaled, "scaled")  # read by every fit
     judge, scores, best = ClusteringEvaluator(featuresCol="features", predictionCol="cluster"), [], None
     customers = scaled.count()
     for k in CLUSTER_RANGE:
@@ -135,9 +151,10 @@ def describe_clusters(clustered: DataFrame) -> DataFrame:
         round_half_up(F.col("recency_days"), 1).alias("recency_days"), round2(F.col("frequency")).alias("frequency"), round2(F.col("monetary")).alias("monetary"))
 
 
-def highest(df: DataFrame, by: str, tie: str, limit: int = MAX_LISTED) -> DataFrame:
-    """The rows listed in a result; totals are computed elsewhere and cover everyone."""
-    return df.orderBy(F.desc(by), tie).limit(limit)
+def highest(df: DataFrame, by: str, tie: str, limit: int | None = None) -> DataFrame:
+    """The rows listed in a result, all without a limit; totals are computed elsewhere and cover everyone."""
+    ordered = df.orderBy(F.desc(by), tie)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 # --- churn --------------------------------------------------------------------------------------------
@@ -204,8 +221,10 @@ def churn_labels(rows: DataFrame, features: DataFrame, label_at: datetime.date,
 
 def time_cuts(rows: DataFrame) -> dict:
     """The days the training and the test window end on, from one row of span."""
-    one = rows.agg(F.min("date").alias("a"), F.max("date").alias("z"), F.approx_count_distinct("customer").alias("n")).first()
-    span = (one["z"] - one["a"]).days if one["a"] else 0
+    one = rows.agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
+    if one["a"] is None:  # no purchase at all: any day will do, the span refuses the model
+        return {"span": 0} | {k: datetime.date(1970, 1, 1) for k in ("end", "train", "test")}
+    span = (one["z"] - one["a"]).days
     return {"span": span, "end": one["z"], "train": one["a"] + datetime.timedelta(days=int(span * 0.5)),
             "test": one["a"] + datetime.timedelta(days=int(span * 0.75))}
 
@@ -246,27 +265,41 @@ def _risk(model, df: DataFrame) -> DataFrame:
 def churn_scores(rows: DataFrame, threshold: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Every customer's risk today, and the model's report: its accuracy on the later window,
     or the reason it is not used."""
+    # Every cut below starts from one row per customer, order and day, joined and summed once.
+    bought = usable(rows, "customer", "date", "revenue").groupBy("customer", "order_key", "date")
+    rows = materialise(bought.agg(exact_sum("revenue").alias("revenue")), "purchases")
     cuts = time_cuts(rows)
     customers = rows.select("customer").distinct().count()
-    train, test = training_windows(rows, cuts)
     # Fitting passes over its examples many times; a fixed order makes it repeatable.
-    train, test = (d.repartition("customer").sortWithinPartitions("customer").persist() for d in (train, test))
+    train, test = (materialise(d.repartition("customer").sortWithinPartitions("customer"), "examples") for d in training_windows(rows, cuts))
     report = window_report(train, test, cuts, customers)
     none = churn_features(rows, cuts["end"]).withColumn("risk", F.lit(None).cast("double"))
     if report.first()["reason"] is not None:
-        return none, report.select("reason", F.lit(None).cast("double").alias("auc"))
+        return none, _empty_summary(report.select("reason"))
     model = GBTClassifier(labelCol="churned", featuresCol="features", seed=seed).fit(_assembled(train))
     judged = model.transform(_assembled(test))
     auc = BinaryClassificationEvaluator(labelCol="churned").evaluate(judged)
     if auc < MIN_AUC:
-        return none, report.select(F.lit("the model is no better than guessing").alias("reason"), F.lit(auc).alias("auc"))
+        return none, _empty_summary(report.select(F.lit("the model is no better than guessing").alias("reason"), F.lit(auc).alias("auc")))
     at_risk = vector_to_array("probability")[1] >= threshold
     hit = F.count_if(at_risk & (F.col("churned") == 1))
     summary = judged.agg(
         F.lit(None).cast("string").alias("reason"), F.lit(auc).alias("auc"),
         (hit / F.nullif(F.count_if(at_risk), F.lit(0))).alias("precision"),
-        (hit / F.nullif(F.count_if(F.col("churned") == 1), F.lit(0))).alias("recall"), F.count("*").alias("test_customers"))
-    return with_factors(_risk(model, churn_features(rows, cuts["end"])), model, train), summary
+        (hit / F.nullif(F.count_if(F.col("churned") == 1), F.lit(0))).alias("recall"), F.count("*").alias("test_customers"),
+        F.avg("churned").alias("test_churn_rate"))
+    scored = with_factors(_risk(model, churn_features(rows, cuts["end"])), model, train)
+    high = F.col("risk") >= threshold
+    today = scored.agg(
+        F.count("*").alias("customers"), F.count_if(high).alias("high_risk_customers"),
+        round2(F.coalesce(exact_sum(F.when(high, F.col("revenue"))), F.lit(0.0))).alias("revenue_at_risk"))
+    return scored, summary.select("*", today.select(F.struct("*")).scalar().alias("_t"), *[
+        F.lit(cuts[k]).alias(f"{k}_day") for k in ("train", "test", "end")]).select("*", "_t.*").drop("_t")
+
+
+def _empty_summary(reason: DataFrame) -> DataFrame:
+    """The report of a refused model: its reason, and no figures."""
+    return reason if "auc" in reason.columns else reason.withColumn("auc", F.lit(None).cast("double"))
 
 
 def with_factors(scored: DataFrame, model, train: DataFrame, top: int = 3) -> DataFrame:
@@ -290,7 +323,7 @@ def with_factors(scored: DataFrame, model, train: DataFrame, top: int = 3) -> Da
 
 
 def status_row(frame: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
-    """One row `status`, `reason`: the first failed check of a one-row frame, or ok."""
+    """Each row with `status` and `reason`: the first failed check, or ok."""
     reason = F.lit(None).cast("string")
     for fails, text in reversed(checks):
         reason = F.when(fails, F.lit(text)).otherwise(reason)

@@ -63,7 +63,11 @@ def reconciled(members: DataFrame) -> DataFrame:
 
 
 def price_volume_mix(df: DataFrame, schema: SchemaMap, bounds: DataFrame) -> DataFrame:
-    """The change in revenue split into volume, price and the rest."""
+    """The change in revenue split into volume, price and the rest.
+
+    No row unless the table has a quantity and a price.
+    """
+    priced_table = bool(schema.get("quantity") and schema.get("unit_price"))
     tagged = tag_periods(df, schema, Filters(), bounds)
     q, r = row_quantity(df, schema), row_revenue(df, schema)
 
@@ -71,7 +75,7 @@ def price_volume_mix(df: DataFrame, schema: SchemaMap, bounds: DataFrame) -> Dat
         return exact_sum(F.when(F.col(flag), value))
 
     one = tagged.agg(side(q, "is_current").alias("q2"), side(q, "is_previous").alias("q1"),
-                     side(r, "is_current").alias("r2"), side(r, "is_previous").alias("r1")).where("q1 <> 0 and q2 <> 0")
+                     side(r, "is_current").alias("r2"), side(r, "is_previous").alias("r1")).where(F.lit(priced_table) & (F.col("q1") != 0) & (F.col("q2") != 0))
     priced = one.select("*", (F.col("r1") / F.col("q1")).alias("p1"), (F.col("r2") / F.col("q2")).alias("p2"))
     volume, price = (F.col("q2") - F.col("q1")) * F.col("p1"), F.col("q2") * (F.col("p2") - F.col("p1"))
     total = F.col("r2") - F.col("r1")
@@ -91,6 +95,7 @@ def headline(members: DataFrame, totals: DataFrame, bounds: DataFrame, label: st
     """One sentence per row of `totals` (`current`, `previous`, optional `by` keys).
 
     A driver is named only when it explains at least a quarter of the move in its direction.
+    Without a value before, the sentence says so and nothing is compared.
     """
     window = bounds.select(F.struct("*")).scalar()
     days = F.datediff("_w.current_to", "_w.current_from") + 1
@@ -109,15 +114,16 @@ def headline(members: DataFrame, totals: DataFrame, bounds: DataFrame, label: st
     change = pct_change(F.col("current"), F.col("previous"))
     told = joined.select("*", window.alias("_w"), change.alias("change_pct"), round2(delta).alias("delta")).select(
         "*", window_phrase(days, F.col("_w.basis")).alias("window"),
-        F.when((F.col("delta") == 0) | (F.abs("change_pct") < FLAT_BELOW), "flat").when(F.col("delta") > 0, "up").otherwise("down").alias("direction"))
+        F.when(F.col("previous").isNull(), "none").when((F.col("delta") == 0) | (F.abs("change_pct") < FLAT_BELOW), "flat").when(F.col("delta") > 0, "up").otherwise("down").alias("direction"))
     named = (F.signum("_d") == F.signum("delta")) & (F.abs("_s") >= MIN_DRIVER_SHARE)
-    driver = F.when(named & (F.col("direction") != "flat"), F.col("_m"))
+    driver = F.when(named & F.col("direction").isin("up", "down"), F.col("_m"))
     now, then = usd(F.col("current")), usd(F.col("previous"))
     moved = F.coalesce(F.concat(short_number(F.abs("change_pct")), F.lit("%")), usd(F.abs("delta")))
-    text = F.when(F.col("direction") == "flat", F.concat(F.lit(label + " held flat at "), now, F.lit(" against "), F.col("window"), F.lit("."))).otherwise(
-        F.concat(F.lit(label + " "), F.when(F.col("direction") == "up", "rose ").otherwise("fell "), moved, F.lit(" against "),
-                 F.col("window"), F.lit(", from "), then, F.lit(" to "), now,
-                 F.coalesce(F.concat(F.lit(", mostly on "), driver), F.lit("")), F.lit(".")))
+    alone = F.concat(F.lit(label + ": "), now, F.lit("; no earlier period to compare with"))
+    level = F.concat(F.lit(label + ": level at "), now, F.lit(", compared with "), F.col("window"))
+    shift = F.concat(F.lit(label + ": "), F.col("direction"), F.lit(" "), moved, F.lit(" compared with "), F.col("window"), F.lit(" ("), then,
+                     F.lit(" then, "), now, F.lit(" now)"), F.coalesce(F.concat(F.lit("; moved most by "), driver), F.lit("")))
+    text = F.when(F.col("direction") == "none", alone).when(F.col("direction") == "flat", level).otherwise(shift)
     return told.select(*keys, "direction", "change_pct", "window", driver.alias("driver"), text.alias("text"))
 
 

@@ -9,7 +9,7 @@ from tallyloom.operators.compare import period_bounds
 from tallyloom.operators.drivers import contributions, top_contributions
 from tallyloom.operators.filters import apply_filters, cascade_exclusions
 from tallyloom.operators.formats import quoted
-from tallyloom.operators.metrics import kpi_table, revenue_columns, row_profit, row_revenue, value_inclusion
+from tallyloom.operators.metrics import kpi_table, overview, revenue_columns, row_profit, row_revenue, value_inclusion
 
 _PART = 12  # hex digits per part: sums stay exact in a decimal(38,0)
 
@@ -35,19 +35,31 @@ def kpi_evidence(df: DataFrame, schema: SchemaMap, kpi: str = "revenue", dimensi
     """Everything behind one key figure, as frames: the figure, its inputs, what was left
     out and why, the windows compared, the largest drivers and the rows' fingerprint."""
     bounds = bounds if bounds is not None else period_bounds(df, schema, filters, compare, cal)
-    sources = {"revenue": revenue_columns(schema),
-               "profit": [schema["profit"]] if schema.get("profit") else revenue_columns(schema) + [schema.get("cost")],
+    if kpi not in ("revenue", "profit", "orders", "customers", "margin"):
+        raise ValueError(f"no evidence for {kpi}: revenue, profit, orders, customers or margin")
+    profit = [schema["profit"]] if schema.get("profit") else revenue_columns(schema) + [schema.get("cost")]
+    sources = {"margin": revenue_columns(schema) + profit, "revenue": revenue_columns(schema),
+               "profit": profit,
                "orders": [schema.get("order_id")], "customers": [schema.get("customer_id")]}[kpi]
-    sources = [c for c in sources if c]
-    kind = "sum" if kpi in ("revenue", "profit") else "distinct"
+    sources = list(dict.fromkeys(c for c in sources if c))
+    kind = "sum" if kpi in ("revenue", "profit", "margin") else "distinct"
+    spark, earned = df.sparkSession, " * ".join(revenue_columns(schema)) or "0"
+    gained = schema.get("profit") or (f"{earned} - {schema['cost']}" if schema.get("cost") else "0")
+    formula = {"revenue": f"SUM({earned})", "profit": f"SUM({gained})", "margin": f"SUM({gained}) / SUM({earned}) x 100",
+               "orders": f"COUNT(DISTINCT {schema['order_id']})" if schema.get("order_id") else "COUNT(rows)",
+               "customers": f"COUNT(DISTINCT {schema.get('customer_id') or schema.get('customer_name')})"}[kpi]
+    rule = {c: slot for slot, c in schema.items()}
     out = {
         "figure": kpi_table(df, schema, filters, compare, cal, bounds=bounds).where(F.col("kpi") == kpi),
+        "formula": spark.createDataFrame([(kpi, formula)], "kpi string, formula string"),
+        "sources": spark.createDataFrame([(c, rule.get(c)) for c in sources], "column string, slot string"),
+        "compared": overview(df, schema, filters, compare, cal, bounds=bounds).where(F.col("measure") == kpi),
         "inputs": value_inclusion(apply_filters(df, schema, filters), kind, sources),
         "exclusions": cascade_exclusions(df, schema, filters),
         "windows": bounds,
         "fingerprint": fingerprint(df),
     }
-    if kind == "sum":  # only totals can be attributed to members
+    if kpi in ("revenue", "profit"):  # only totals can be attributed to members
         value = row_revenue(df, schema) if kpi == "revenue" else row_profit(df, schema)
         out["drivers"] = top_contributions(contributions(df, schema, [dimension], value, bounds, filters), 10)
     return out

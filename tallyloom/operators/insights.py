@@ -65,15 +65,15 @@ def inventory_shortage(low: DataFrame) -> DataFrame:
         F.lit("inventory_shortage").alias("type"), F.lit("MEDIUM").alias("severity"), "products")
 
 
-def recommendations(changes: DataFrame) -> DataFrame:
-    """The groups to look into: the three that fell most and the one that grew most."""
-    fell = changes.where("change_pct <= -10").orderBy("change_pct", "label").limit(3).agg(
+def recommendations(changes: DataFrame, fallers: int = 3) -> DataFrame:
+    """The groups to look into: the few that fell most and the one that grew most."""
+    fell = changes.where("change_pct <= -10").orderBy("change_pct", "label").limit(fallers).agg(
         F.sort_array(F.collect_list(F.struct("change_pct", "label"))).alias("g")).where(F.size("g") > 0)
     rose = changes.where("change_pct >= 10").orderBy(F.desc("change_pct"), "label").limit(1)
     listed = F.array_join(F.transform("g", lambda x: F.concat(x["label"], F.lit(" ("), x["change_pct"].cast("string"), F.lit("%)"))), ", ")
-    return fell.select(F.lit("Products in decline").alias("title"), F.concat(listed, F.lit(" show falling revenue across periods.")).alias("observation")).unionByName(
-        rose.select(F.lit("Growth opportunity").alias("title"),
-                    F.concat("label", F.lit(" grew "), F.col("change_pct").cast("string"), F.lit("% — the fastest-growing segment.")).alias("observation")))
+    return fell.select(F.lit("Shrinking groups").alias("title"), F.concat(F.lit("Below the period before: "), listed).alias("observation")).unionByName(
+        rose.select(F.lit("Fastest grower").alias("title"),
+                    F.concat("label", F.lit(": up "), F.col("change_pct").cast("string"), F.lit("% on the period before")).alias("observation")))
 
 
 def forecast_risk(next_points: DataFrame, last_points: DataFrame, by: list[str]) -> DataFrame:

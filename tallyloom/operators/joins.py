@@ -96,8 +96,11 @@ def guarded_join(left: DataFrame, right: DataFrame, relation: Relation) -> tuple
     right_key = join_key(F.col(quoted(relation.right_column)))
     kept = right.where(right_key.isNotNull()).select(
         right_key.alias("_key"), F.lit(True).alias("_hit"), *[F.col(quoted(c)).alias(n) for c, n in names.items()])
-    joined = left.withColumn("_left_key", join_key(F.col(quoted(relation.left_column)))).join(
-        kept, F.col("_left_key") == F.col("_key"), "left")
+    # Blank keys match nothing; dealt out by the row they spread over all tasks instead of one.
+    left_key = join_key(F.col(quoted(relation.left_column)))
+    alone = F.concat(F.lit("\0"), F.xxhash64(*[F.col(quoted(c)) for c in left.columns]).cast("string"))
+    joined = left.withColumn("_left_key", F.coalesce(left_key, alone)).withColumn("_keyed", left_key.isNotNull()).join(
+        kept, (F.col("_left_key") == F.col("_key")) & F.col("_keyed"), "left")
     out = [F.col(quoted(c)) for c in left.columns]
     for source, name in names.items():
         cell = F.col(quoted(name))

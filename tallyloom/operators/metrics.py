@@ -286,9 +286,10 @@ def group_totals(df: DataFrame, schema: SchemaMap, dimension: str, metric="reven
 
 
 def ranking(df: DataFrame, schema: SchemaMap, dimension: str, metric="revenue",
-            filters: Filters = Filters(), limit: int = 10) -> DataFrame:
-    """The top groups; equal values are ordered by label."""
-    return group_totals(df, schema, dimension, metric, filters).orderBy(F.desc("value"), "label").limit(limit)
+            filters: Filters = Filters(), limit: int | None = 10) -> DataFrame:
+    """The top groups, all without a limit; equal values are ordered by label."""
+    ordered = group_totals(df, schema, dimension, metric, filters).orderBy(F.desc("value"), "label")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def time_series(df: DataFrame, schema: SchemaMap, metric="revenue", filters: Filters = Filters(),
@@ -304,12 +305,18 @@ def time_series(df: DataFrame, schema: SchemaMap, metric="revenue", filters: Fil
 
 
 def composition(df: DataFrame, schema: SchemaMap, dimension: str, filters: Filters = Filters(),
-                limit: int = 8) -> DataFrame:
-    """The largest groups with their share of the whole."""
+                limit: int | None = None) -> DataFrame:
+    """The groups with their share of the whole; beyond a limit one row `(other)` holds the rest."""
     totals = group_totals(df, schema, dimension, "revenue", filters)
-    whole = totals.agg(F.sum("value").alias("t")).scalar()
-    top = totals.orderBy(F.desc("value"), "label").limit(limit)
-    return top.select("label", "value", F.when(whole != 0, round_half_up(F.col("value") / whole * 100, 2)).alias("share_pct"))
+    one = totals.agg(exact_sum("value").alias("t"), F.count("*").alias("n"))
+    whole = one.select("t").scalar()
+    shown = totals
+    if limit is not None:
+        top = totals.orderBy(F.desc("value"), "label").limit(limit)
+        rest = top.agg(exact_sum("value").alias("t")).select(
+            F.lit("(other)").alias("label"), round2(whole - F.col("t")).alias("value"), one.select("n").scalar().alias("_n")).where(F.col("_n") > limit)
+        shown = top.unionByName(rest.drop("_n"))
+    return shown.select("label", "value", F.when(whole != 0, round_half_up(F.col("value") / whole * 100, 2)).alias("share_pct"))
 
 
 def best_period(series: DataFrame, worst: bool = False) -> DataFrame:
@@ -317,9 +324,11 @@ def best_period(series: DataFrame, worst: bool = False) -> DataFrame:
     return series.orderBy(order, "period").limit(1)
 
 
-def distinct_values(df: DataFrame, schema: SchemaMap, dimension: str, limit: int = 100) -> DataFrame:
+def distinct_values(df: DataFrame, schema: SchemaMap, dimension: str, limit: int | None = None) -> DataFrame:
+    """The values of a dimension in order, all of them without a limit."""
     value = tidy_key(F.col(quoted(schema.get(dimension, dimension))))
-    return df.select(value.alias("value")).where("value is not null").distinct().orderBy("value").limit(limit)
+    found = df.select(value.alias("value")).where("value is not null").distinct()
+    return found if limit is None else found.orderBy("value").limit(limit)
 
 
 def value_inclusion(df: DataFrame, kind: str, sources: list[str]) -> DataFrame:

@@ -79,6 +79,19 @@ def column_statistics(judged: DataFrame) -> DataFrame:
     )
 
 
+def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per column with the counts that need no distinct values: rows, missing cells,
+    stray spaces, numbers with text. Counted where the cells lie; one row per column moves."""
+    v = F.col("value")
+    text = trim_space(v)
+    filled = F.coalesce(text != "", F.lit(False))
+    with_text = N.plain_number(text).isNull() & F.regexp_replace(text, "[A-Za-z%]", "").rlike(NUMERIC_SHAPE)
+    return cells(df, columns).select("column", filled.alias("filled"), (v != text).alias("spaced"), with_text.alias("with_text")).groupBy("column").agg(
+        F.count("*").alias("n_rows"), F.count_if(~F.col("filled")).alias("missing"),
+        F.count_if(F.col("filled") & F.col("spaced")).alias("whitespace"),
+        F.count_if(F.col("filled") & F.col("with_text")).alias("numeric_with_text"))
+
+
 def with_types(statistics: DataFrame) -> DataFrame:
     """The inferred type: the first rule, in this order, that enough values satisfy."""
     filled = F.col("n_rows") - F.col("missing")

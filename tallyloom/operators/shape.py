@@ -180,12 +180,18 @@ def shape_kind(ranked: DataFrame) -> DataFrame:
 
 
 def dimension_list(ranked: DataFrame) -> DataFrame:
-    """Every grouping of the table with a filter key, a label and its size."""
+    """Every grouping of the table with a filter key, a label and its size.
+
+    Names that give one key are told apart by a number, in rank order.
+    """
     name = F.col("column")
     key = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 40)
-    return ranked.where("role = 'dimension'").select(
+    keyed = ranked.where("role = 'dimension'").select(
         "rank", F.when(key == "", "column").otherwise(key).alias("key"), "column", humanised(name).alias("label"),
         F.col("unique_values").alias("cardinality"))
+    # One row per column of the table.
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "column"))
+    return keyed.withColumn("key", F.when(place == 1, F.col("key")).otherwise(F.concat_ws("_", "key", place)))
 
 
 def humanised(name: Column) -> Column:

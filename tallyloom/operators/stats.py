@@ -68,13 +68,14 @@ def correlate_pairs(points: DataFrame, by: list[str], x: str = "x", y: str = "y"
 
 
 def correlate_metric(df: DataFrame, schema: SchemaMap, metric, columns: list[str],
-                     cal: Calendar = DEFAULT_CALENDAR, limit: int = 10) -> DataFrame:
+                     cal: Calendar = DEFAULT_CALENDAR, limit: int | None = None) -> DataFrame:
     """How the per-period total of each column moves with a metric."""
     day = day_of(F.col(quoted(schema["date"])))
     per_period = df.where(day.isNotNull()).groupBy(period_key(day, cal).alias("period")).agg(
         metric.alias("x"), *[F.sum(number(df, c)).alias(c) for c in columns])
     long = per_period.unpivot(["period", "x"], [F.col(quoted(c)) for c in columns], "column", "y")
-    return correlate_pairs(long, ["column"]).where("n >= 3").orderBy(F.desc(F.abs("pearson")), "column").limit(limit)
+    found = correlate_pairs(long, ["column"]).where("n >= 3").orderBy(F.desc(F.abs("pearson")), "column")
+    return found if limit is None else found.limit(limit)
 
 
 def correlate_columns(df: DataFrame, columns: list[str], min_sample: int = 5, numeric_share: float = 0.6) -> DataFrame:

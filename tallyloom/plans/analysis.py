@@ -255,7 +255,7 @@ d as (select *, (q2 - q1) * (r1 / q1) as v, q2 * (r2 / q2 - r1 / q1) as p from t
 @query("l2_price_volume_mix", f"""with {_PVM_SQL} select {O.r2('v')} as volume_delta, {O.r2('p')} as price_delta, {O.r2('r2 - r1 - v - p')} as mix_delta, {O.r2('r2 - r1')} as total_delta,
   {O.r2('q2')} as current_units, {O.r2('q1')} as previous_units, {O.r2('r2 / q2')} as current_price, {O.r2('r1 / q1')} as previous_price from d""")
 def _(spark, sf):
-    df = sales(spark, sf, "date", "quantity", "revenue")
+    df = sales(spark, sf, "date", "quantity", "unit_price", "revenue")
     return DR.price_volume_mix(df, schema_of(df), _bounds(spark, sf))
 
 
@@ -264,7 +264,7 @@ def _(spark, sf):
     from tallyloom.operators.investigate import investigate
 
     df = sales(spark, sf, "date", "revenue", "quantity", "unit_price", "cost", *_L3)
-    return investigate(df, schema_of(df), _bounds(spark, sf), _L3[:4], ["cost", "quantity"])
+    return investigate(df, schema_of(df), _bounds(spark, sf), _L3, ["cost", "quantity"])
 
 
 def _usd(e):
@@ -279,9 +279,9 @@ h as (select t.region, {O.pct('current', 'previous')} as change_pct, {O.r2('curr
 k as (select *, 'the previous ' || case when days <= 10 then 'week' when days <= 45 then 'month' when days <= 135 then 'quarter' when days <= 400 then 'year' else 'period' end as "window",
     case when delta = 0 or abs(change_pct) < 0.05 then 'flat' when delta > 0 then 'up' else 'down' end as direction from h),
 dr as (select *, case when direction <> 'flat' and sign(d) = sign(delta) and abs(s) >= 25 then category end as driver from k)
-select region, direction, change_pct, "window", driver, case when direction = 'flat' then 'Revenue held flat at ' || {_usd('current')} || ' against ' || "window" || '.'
-  else 'Revenue ' || case when direction = 'up' then 'rose ' else 'fell ' end || regexp_replace(cast(abs(change_pct) as varchar), '\\.0$', '') || '% against ' || "window" || ', from ' || {_usd('previous')}
-    || ' to ' || {_usd('current')} || coalesce(', mostly on ' || driver, '') || '.' end as text from dr""")
+select region, direction, change_pct, "window", driver, case when direction = 'flat' then 'Revenue: level at ' || {_usd('current')} || ', compared with ' || "window"
+  else 'Revenue: ' || direction || ' ' || regexp_replace(cast(abs(change_pct) as varchar), '\\.0$', '') || '% compared with ' || "window" || ' (' || {_usd('previous')}
+    || ' then, ' || {_usd('current')} || ' now)' || coalesce('; moved most by ' || driver, '') end as text from dr""")
 def _(spark, sf):
     df = sales(spark, sf, "date", "region", "category", "revenue")
     bounds = _bounds(spark, sf)
@@ -331,8 +331,8 @@ def _(spark, sf):
 
 @query("l9_recommendations", f"""with {_CHANGE_SQL}, f as (select * from changes where change_pct <= -10 order by change_pct, label limit 3),
 rose as (select * from changes where change_pct >= 10 order by change_pct desc, label limit 1)
-select 'Products in decline' as title, string_agg(label || ' (' || change_pct || '%)', ', ' order by change_pct, label) || ' show falling revenue across periods.' as observation from f
-union all select 'Growth opportunity', label || ' grew ' || change_pct || '% — the fastest-growing segment.' from rose""")
+select 'Shrinking groups' as title, 'Below the period before: ' || string_agg(label || ' (' || change_pct || '%)', ', ' order by change_pct, label) as observation from f
+union all select 'Fastest grower', label || ': up ' || change_pct || '% on the period before' from rose""")
 def _(spark, sf):
     df = sales(spark, sf, "date", "customer_name", "revenue")
     return IN.recommendations(P.change_by_group(df, S, "customer_name", F.col("revenue"), _bounds(spark, sf)))
@@ -473,14 +473,17 @@ def _(spark, sf):
     return SC.compare_scenario(df, schema_of(df), _LEVERS, _bounds(spark, sf))
 
 
-_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'"""
+_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
+  || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || cast(floor(o_totalprice * 100 + 0.5) as bigint) || '}'"""
 
 
 @query("q1_fingerprint", f"""with h as (select sha256({_JSON}) as h from orders)
 select count(*) as n_rows, """ + ", ".join(
     f"cast(sum(cast('0x' || substr(h, {1 + i * 12}, 12) as bigint)) as varchar) as part_{i}" for i in range(5)) + " from h")
 def _(spark, sf):
-    return EV.fingerprint(load(spark, sf, "orders").select("o_orderstatus", "o_orderkey", "o_custkey"))
+    return EV.fingerprint(load(spark, sf, "orders").select(
+        "o_orderstatus", "o_orderkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+        F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint").alias("o_totalprice")))
 
 
 @query("q3_kpi_evidence")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import round2, round_half_up
@@ -68,18 +70,58 @@ def _(spark, sf):
     return FC.seasonal_trend(many_series(spark, sf), BY, multiplicative=True)
 
 
-def _board(method):
+_CLAMPED_SQL = f"""with recursive {MONTHLY_SQL}, {_MAD_SQL.format(k='region')},
+c as (select region, period, cast(case when abs(z) >= 3.5 then least({O.r2('med + 3.5 * sc')}, greatest({O.r2('med - 3.5 * sc')}, value)) else value end as double) as y, cast(right(period, 2) as integer) - 1 as slot,
+  row_number() over (partition by region order by period) - 1 as t, count(*) over (partition by region) as n, max(period) over (partition by region) as lp from m4)"""
+_BEST_SQL = """w as (select st.*, grid.params, n, lp, row_number() over (partition by st.region order by e, st.i) as r from st join grid on st.i = grid.i join (select distinct region, n, lp from c) z on st.region = z.region where t = n - 1)
+select region, params, step, strftime(cast(lp || '-01' as date) + to_months(step), '%Y-%m') as period, {value} as value from (select *, unnest([1, 2, 3]) as step from w where r = 1)"""
+
+
+def _grid_sql(**axes):
+    rows = []
+    for i, values in enumerate(product(*axes.values())):
+        text = ", ".join(f"{k}={v:g}" for k, v in zip(axes, values))
+        rows.append(f"({i}, '{text}', {', '.join(f'{v}::double' for v in values)})")
+    return f"grid(i, params, {', '.join(axes)}) as (values {', '.join(rows)})"
+
+
+def _smoothing_sql(least, **axes):
+    beta, phi = ("beta" if "beta" in axes else "0"), ("phi" if "phi" in axes else "1")
+    expected = f"(l + {phi} * b)"
+    after = f"(alpha * y + (1 - alpha) * {expected})"
+    return f"""{_CLAMPED_SQL}, {_grid_sql(**axes)},
+st as (select c.region, grid.i, c.t, c.y as l, {'d.y - c.y' if 'beta' in axes else '0.0::double'} as b, 0.0::double as e, {phi}::double as f from c join c d on c.region = d.region and c.t = 0 and d.t = 1, grid where c.n >= {least}
+  union all select st.region, st.i, c.t, {after}, {beta} * ({after} - l) + (1 - {beta}) * {phi} * b, e + (y - {expected}) * (y - {expected}), f
+  from st join c on c.region = st.region and c.t = st.t + 1 join grid on grid.i = st.i),
+""" + _BEST_SQL.format(value=O.r2("l + b * list_sum(list_transform(range(1, step + 1), lambda j: pow(f, j)))"))
+
+
+def _winters_sql(times):
+    along, usual = "(l + b)", "z[slot + 1]"
+    fitted, bare = (f"({along} * {usual})", f"(y / {usual})") if times else (f"({along} + {usual})", f"(y - {usual})")
+    after = f"(alpha * {bare} + (1 - alpha) * {along})"
+    left = f"(y / {after})" if times else f"(y - {after})"
+    return f"""{_CLAMPED_SQL}, {_grid_sql(alpha=FC.GRID, beta=FC.GRID, gamma=FC.GRID)},
+y1 as (select region, sum(y) filter (t < 12) / 12 as base, (sum(y) filter (t between 12 and 23) - sum(y) filter (t < 12)) / 12 / 12 as rise from c where n >= 24 group by 1),
+z1 as (select c.region, list({'y / base' if times else 'y - base'} order by slot) as z from c join y1 on c.region = y1.region where t < 12 group by 1),
+st as (select y1.region, grid.i, cast(-1 as bigint) as t, base as l, rise as b, 0.0::double as e, z, 0 as m from y1 join z1 on y1.region = z1.region, grid where {'base > 0' if times else 'true'}
+  union all select st.region, st.i, c.t, {after}, beta * ({after} - l) + (1 - beta) * b, e + case when c.t = 0 then 0 else ({fitted} - y) * ({fitted} - y) end,
+    z[1:slot] || [gamma * {left} + (1 - gamma) * {usual}] || z[slot + 2:], slot from st join c on c.region = st.region and c.t = st.t + 1 join grid on grid.i = st.i),
+""" + _BEST_SQL.format(value=O.r2(f"(l + b * step) {'*' if times else '+'} z[(m + step) % 12 + 1]"))
+
+
+def _one_method(method):
     def build(spark, sf):
-        scores = FC.scoreboard(FC.bake_off(monthly(spark, sf), ["region"]), ["region"])
-        return scores.where(F.col("method").isin(method))
+        return FC.method_forecasts(monthly(spark, sf), ["region"], 3, [method]).drop("method")
     return build
 
 
-query("m4_exponential_smoothing")(_board(["simple_exponential_smoothing"]))
-query("m6_holt")(_board(["holt"]))
-query("m7_damped_holt")(_board(["damped_holt"]))
-query("m10_holt_winters_additive")(_board(["holt_winters_additive"]))
-query("m11_holt_winters_multiplicative")(_board(["holt_winters_multiplicative"]))
+query("m4_exponential_smoothing", _smoothing_sql(3, alpha=FC.GRID))(_one_method("simple_exponential_smoothing"))
+query("m6_holt", _smoothing_sql(4, alpha=FC.GRID, beta=FC.GRID))(_one_method("holt"))
+query("m7_damped_holt", _smoothing_sql(5, alpha=FC.GRID, beta=FC.GRID, phi=FC.DAMPING))(_one_method("damped_holt"))
+query("m10_holt_winters_additive", _winters_sql(False))(_one_method("holt_winters_additive"))
+# The ratios need every period above zero, which monthly revenue is.
+query("m11_holt_winters_multiplicative", _winters_sql(True))(_one_method("holt_winters_multiplicative"))
 
 
 @query("m12_rolling_origin")

@@ -145,11 +145,11 @@ def _(spark, sf):
 
 @query("f9_table_search", """select o_orderkey, o_orderpriority, cast(o_orderdate as date)::varchar as day from (
   select * from orders where contains(lower(o_orderkey || '|' || o_orderpriority || '|' || o_orderstatus), 'urgent')
-  order by o_orderdate desc nulls last, o_orderkey limit 100)""")
+  )""")
 def _(spark, sf):
     df = load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     hits = FL.text_search(df, "Urgent", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
-    page = FL.sort_rows(hits, "o_orderdate", descending=True, ties=["o_orderkey"]).limit(100)
+    page = FL.sort_rows(hits, "o_orderdate", descending=True, ties=["o_orderkey"])
     return page.select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").cast("string").alias("day"))
 
 
@@ -370,11 +370,12 @@ def _(spark, sf):
     return best.select(F.lit("best").alias("kind"), "*").unionByName(worst.select(F.lit("worst").alias("kind"), "*"))
 
 
-@query("h24_composition", f"""with {SALES_SQL}, g as (select product_name as label, {O.r2('sum(revenue)')} as value from sales group by 1)
-select label, value, floor(value / (select sum(value) from g) * 100 * 100 + 0.5) / 100 as share_pct from g order by value desc, label limit 8""")
+@query("h24_composition", f"""with {SALES_SQL}, g as (select product_name as label, {O.r2('sum(revenue)')} as value from sales group by 1),
+r as (select *, row_number() over (order by value desc, label) as r from g), l as (select label, value from r where r <= 8 union all select '(other)', {O.r2('sum(value::decimal(38,6))')} from r where r > 8 having count(*) > 0)
+select label, value, floor(value / (select sum(value::decimal(38,6))::double from g) * 100 * 100 + 0.5) / 100 as share_pct from l""")
 def _(spark, sf):
     df = sales(spark, sf, "product_name", "revenue")
-    return MT.composition(df, schema_of(df), "product_name")
+    return MT.composition(df, schema_of(df), "product_name", limit=8)
 
 
 @query("h25_record_series", "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as records from events group by 1, 2")

@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("c2_type_inference", f"""with {JUDGED_SQL} select col as "column", type from typed""")
 def _(spark, sf):
-    judged = PR.judged_counts(messy(spark, sf), MESSY_TEXT)
+    judged = PR.judged_values(PR.value_counts(messy(spark, sf), MESSY_TEXT))  # read once, so never written
     return PR.with_types(PR.column_statistics(judged)).select("column", "type")
 
 
@@ -116,20 +116,18 @@ def _profile_columns(spark, sf, *columns):
 
 @query("c6_whitespace_count", f"""with {JUDGED_SQL} select col as "column", coalesce(spaced, 0) as whitespace from stats""")
 def _(spark, sf):
-    statistics = PR.column_statistics(PR.judged_counts(messy(spark, sf), MESSY_TEXT))
-    return statistics.select("column", (F.col("spaced_all") - F.col("spaced_blank")).alias("whitespace"))
+    return PR.cell_counts(messy(spark, sf), MESSY_TEXT).select("column", "whitespace")
 
 
 @query("c7_numeric_with_text", f"""with {JUDGED_SQL} select col as "column", coalesce(with_text, 0) as numeric_with_text from stats""")
 def _(spark, sf):
-    statistics = PR.column_statistics(PR.judged_counts(messy(spark, sf), MESSY_TEXT))
-    return statistics.select("column", F.col("with_text").alias("numeric_with_text"))
+    return PR.cell_counts(messy(spark, sf), MESSY_TEXT).select("column", "numeric_with_text")
 
 
 @query("c8_inconsistent_case", f"""with {JUDGED_SQL}
 select col as "column", count(*) as folded_values from (select col, lower(t), count(distinct t) as k from judged group by 1, 2) where k > 1 group by 1""")
 def _(spark, sf):
-    return PR.inconsistent_case(PR.judged_counts(messy(spark, sf), MESSY_TEXT))
+    return PR.inconsistent_case(PR.value_counts(messy(spark, sf), MESSY_TEXT))
 
 
 @query("c9_duplicate_rows", f"""with {MESSY_SQL} select cast(sum(k) as bigint) as n_rows, cast(sum(k - 1) as bigint) as duplicates from (
@@ -140,8 +138,7 @@ def _(spark, sf):
 
 @query("c10_empty_column", f"""with {JUDGED_SQL} select col as "column", n_rows from stats where filled = 0""")
 def _(spark, sf):
-    judged = PR.judged_counts(messy(spark, sf), MESSY_TEXT)
-    return PR.with_types(PR.column_statistics(judged)).where("type = 'empty'").select("column", "n_rows")
+    return PR.cell_counts(messy(spark, sf), MESSY_TEXT).where("missing = n_rows").select("column", "n_rows")
 
 
 @query("c12_quality_issues", f"""with {ISSUES_SQL} select type, "column", cast(affected_rows as bigint) as affected_rows, severity, auto_fixable from issues""")

@@ -374,7 +374,7 @@ select id, source, intent, metric,
 def _(spark, sf):
     asked = load(spark, sf, "orders").selectExpr("o_orderkey as id", "'orders' as source", f"{_QUESTION} as text")
     said = load(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn as id", "'conversations' as source", "text")
-    return S.tag_questions(asked.unionByName(said), "text").drop("text")
+    return S.tag_questions(asked.unionByName(said), "text", most=50).drop("text")
 
 
 # --- calendar -----------------------------------------------------------------------------------

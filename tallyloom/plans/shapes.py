@@ -146,7 +146,7 @@ def _(spark, sf):
     return SH.dimension_list(_ranked(spark, sf))
 
 
-@query("e18_distinct_values", f"with {SALES_SQL} select distinct trim(product_name) as value from sales order by 1 limit 100")
+@query("e18_distinct_values", f"with {SALES_SQL} select distinct trim(product_name) as value from sales")
 def _(spark, sf):
     return MT.distinct_values(sales(spark, sf, "product_name"), {}, "product_name")
 

@@ -47,6 +47,18 @@ def test_parse_number(spark, text, expected):
     assert got == expected
 
 
+@pytest.mark.parametrize("value,expected", [(2.00496, 2.0), (7.00499, 7.0), (1.005, 1.0), (2.675, 2.68), (-1.125, -1.12), (-2.5, -2.5), (0.125, 0.13), (None, None)])
+def test_two_decimals_halves_up(spark, value, expected):
+    assert spark.createDataFrame([(value,)], "x double").select(N.round2(F.col("x")).alias("r")).first()["r"] == expected
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    values = [(0.1 * k + 1e6 * (k % 7),) for k in range(2000)]
+    sums = {one(spark.createDataFrame(values[::step], "x double").repartition(parts).agg(N.exact_sum("x").alias("t")))["t"]
+            for step in (1, -1) for parts in (1, 13)}
+    assert len(sums) == 1
+
+
 @pytest.mark.parametrize("text,order,expected", [
     ("31/04/2026", "dmy", None), ("01/02/2026", "dmy", "2026-02-01"), ("01/02/2026", "mdy", "2026-01-02"), ("5-3-69", "dmy", "2069-03-05"),
     ("5-3-70", "dmy", "1970-03-05"), ("2026/1/9", "mdy", "2026-01-09"), ("2026-01-01T00:30:00+05:30", "mdy", "2026-01-01"), ("x", "mdy", None),
@@ -346,6 +358,30 @@ def test_clusters_of_planted_groups(spark):
     assert CU.cluster(table.limit(20))[1] == []
 
 
+def test_unusable_purchases_take_no_part(spark):
+    day = datetime.date(2024, 1, 1)
+    rows = [(" b", day, "1", 2.0), ("b", day, "2", 3.0), ("", day, "3", 9.0), (None, day, "4", 9.0), ("c", None, "5", 9.0), ("d", day, "6", None)]
+    df = spark.createDataFrame(rows, "customer string, date date, order_key string, revenue double")
+    assert [(r["customer"], r["frequency"], r["monetary"]) for r in CU.rfm(df, "customer", "date", "order_key", "revenue").collect()] == [("b", 2, 5.0)]
+    scored, report = CU.churn_scores(df.limit(0))
+    assert scored.count() == 0 and one(report)["reason"] is not None
+
+
+def test_limits_are_the_callers_and_carry_the_rest(spark, sales):
+    every = MT.composition(sales, SCHEMA, "product_name").collect()
+    top = {r["label"]: r["value"] for r in MT.composition(sales, SCHEMA, "product_name", limit=2).collect()}
+    assert len(every) == 5 and len(top) == 3 and abs(sum(r["value"] for r in every) - sum(top.values())) < 0.01
+    rows = spark.range(6000).select(F.col("id").cast("string").alias("order"), (F.col("id") % 600).cast("string").alias("product"))
+    assert B.best_sellers(rows).select("product").distinct().count() == 600
+    assert B.frequent_itemsets(rows, 0.001).count() == 600
+
+
+def test_blank_keys_pass_a_join(spark):
+    left = spark.createDataFrame([(i, None if i % 3 == 0 else "k1") for i in range(30)], "id int, k string")
+    joined, made = J.guarded_join(left, spark.createDataFrame([("k1", "x"), (None, "y")], "k string, name string"), J.Relation("k", "r", "k"))
+    assert made and sorted((r["id"], r["name"]) for r in joined.collect()) == [(i, "" if i % 3 == 0 else "x") for i in range(30)]
+
+
 def test_append_refuses_and_names_both_sides(spark):
     a = spark.createDataFrame([("1", "x")] * 30, "n string, t string")
     with pytest.raises(ValueError, match="type_mismatch n: number / category"):
