@@ -221,6 +221,23 @@ def test_paraphrases_and_odd_rows(spark, docs):
     assert decontaminate.find_leaks(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_rare_words_around_hide_no_reworded_item(spark, docs):
+    """The items' words stand in every document and those around in one, so further apart than at 30 GB."""
+    sizes = (16, 17, 18, 19, 24, 33, 36, 38, 48, 60, 64)
+    items = {k: [f"w{k}x{i}" for i in range(n)] for k, n in enumerate(sizes)}
+    every = [w for ws in items.values() for w in ws]
+    rng = np.random.Generator(np.random.PCG64(3))
+    rows = [(1000 + d, " ".join(rng.permutation(every))) for d in range(200)]
+    for k, ws in items.items():
+        for shift in range(5):
+            changed = [f"c{k}x{shift}x{i}" if i % 5 == 2 else w for i, w in enumerate(ws)]
+            before, after = ([f"{side}{k}x{shift}x{i}" for i in range(100 + shift)] for side in "ba")
+            rows.append((10 * k + shift, " ".join(before + changed + after)))
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()] + [(99, " ".join(f"nowhere{i}" for i in range(20)))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert got == {(10 * k + shift, k) for k in items for shift in range(5)}
+
+
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
