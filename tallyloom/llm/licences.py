@@ -4,6 +4,7 @@ Texts are lower-cased and everything but letters and digits parts words. Units o
 its lines, its paragraphs of several lines and the whole text, so a notice is found on a line of
 its own, as a block and as a licence file. For a threshold t and a template of n bigrams only
 units with t / (2 - t) * n to (2 - t) / t * n bigrams can reach t; other pairs are not compared.
+Long licences are known by their heading. Notices within a longer line or paragraph are not found.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 # Usual wordings of licence notices.
 TEMPLATES = {
     "Apache-2.0": [
@@ -56,6 +61,33 @@ TEMPLATES = {
 }
 
 
+# Wordings that came later; their numbers go on after those above.
+MORE = {
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "BSD-2-Clause": [f"{_BSD_GRANT} {_BSD_WARRANTY}"],
+    "BSD-3-Clause": [f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_WARRANTY}"],
+    "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MPL-2.0": ["Mozilla Public License Version 2.0 1. Definitions"],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
+}
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
@@ -66,7 +98,8 @@ def flat_templates(templates: dict[str, list[str]]) -> list[tuple[str, int, list
     return [(name, k, template_bigrams(text)) for name, texts in templates.items() for k, text in enumerate(texts)]
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+         more: dict[str, list[str]] = MORE) -> DataFrame:
     """(doc_id, unit, place, licence, wording, dice): the best template of every unit that reaches the threshold.
 
     Units are `line` (place: its number from 0), `block` (a paragraph of several lines, parted by
@@ -74,7 +107,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     template first in order. Null and empty texts and lines without two words find nothing;
     repeated rows repeat. Bigrams count once; no unit is cut.
     """
-    flat = flat_templates(templates)
+    flat = flat_templates(templates) + [(name, k + len(templates.get(name, [])), grams) for name, k, grams in flat_templates(more)]
     factor = threshold / (2 - threshold)
     least = min(len(g) for *_, g in flat) * factor
     most = max(len(g) for *_, g in flat) / factor

@@ -113,6 +113,17 @@ def test_licences_in_lines_blocks_and_texts(docs):
     assert licences.scan(docs([])).count() == 0
 
 
+def test_licences_that_resemble_others_and_whole_texts(docs):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    heading = "{}\n   Version 3, {} 2007\n\nEveryone is permitted to copy this."
+    rows = [
+        (10, gnu.format("Affero")), (11, "Title\n\n" + gnu.format("Lesser").replace(", ", ",\n") + "\n\nend"), (12, gnu.replace("{} ", "")),
+        (13, "Copyright (c) 2020 A. Person\n\n" + licences.MORE["BSD-2-Clause"][0].replace(". ", ".\n\n")), (14, "Copyright (c) 2020 A. Person\n\n" + licences.MORE["BSD-3-Clause"][0].replace(". ", ".\n\n")),
+        (15, heading.format("GNU AFFERO GENERAL PUBLIC LICENSE", "19 November")), (16, heading.format("GNU GENERAL PUBLIC LICENSE", "29 June"))]
+    got = {(r["doc_id"], r["licence"]) for r in licences.scan(docs([*ODD, *rows])).collect()}
+    assert got == {(10, "AGPL-3.0"), (11, "LGPL-3.0"), (12, "GPL-3.0"), (13, "BSD-2-Clause"), (14, "BSD-3-Clause"), (15, "AGPL-3.0"), (16, "GPL-3.0")}
+
+
 # -- set joins
 
 
