@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, jaccard, langid, licences, pieces, pii, shards, topk, toxicity
+from tallyloom.llm import chat, crosspolytope, decontaminate, jaccard, langid, licences, negatives, pieces, pii, shards, topk, toxicity, trie
 
 #: Folder of the public tokenizer files; another one may be named.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -152,3 +152,58 @@ def op10_chat(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", _MARKED), (-1, 1, "assistant", _MARKED)], rows.schema)
     return chat.digest(chat.format_conversations(rows.unionByName(extra), f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
+#: crc32 of a decimal number, bit by bit: a byte joins before the first of its eight steps.
+_CRC32 = """xor(4294967295, list_reduce(flatten([[4294967295::bigint], flatten(list_transform(string_split({0}::varchar, ''), lambda y: [ascii(y)::bigint, 0, 0, 0, 0, 0, 0, 0]))]),
+  lambda a, s: xor(xor(a, s) >> 1, 3988292384 * (xor(a, s) & 1))))"""
+
+
+@query("op11_trie", rf"""
+with turns as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+convs as (select c, c - c % 100 as base, {_CRC32.format('c')} % 6 as h, max(pos) as len from turns group by c),
+lent as (select a.c, a.base, a.h, least(a.h, coalesce(b.len, 0)) as lent from convs a left join convs b on b.c = a.base),
+steps as (
+  select l.c, t.pos, t.role, t.text from lent l join turns t on t.c = l.base and t.pos <= l.lent
+  union all select l.c, t.pos - l.h + l.lent, t.role, t.text from lent l join turns t on t.c = l.c and t.pos > l.h),
+marked as (
+  select c, pos, text, sha256(string_agg(sha256(role || chr(0) || text), '' order by pos) over (partition by c order by pos rows between unbounded preceding and current row)) as k,
+    coalesce(sha256(string_agg(sha256(role || chr(0) || text), '' order by pos) over (partition by c order by pos rows between unbounded preceding and 1 preceding)), '') as p from steps
+  union all select c, 0, '', '', null from convs),
+lens as (select c, max(pos) as len from marked group by c),
+nodes as (select pos as depth, k, any_value(p) as p, min(c) as conv_id, count(*) as n_convs, any_value(length(text)) as chars, string_agg(c::varchar, ',' order by c) filter (pos = len) as ends
+          from marked join lens using (c) group by pos, k),
+kids as (select depth - 1 as depth, p as k, count(*) as n_children from nodes where depth > 0 group by all),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, k)),
+sums as (select m.pos as depth, m.k, sum((n.n_children = 0)::int) as n_leaves, sum((n.n_convs - 1) * n.chars) as saved_tokens
+         from full_nodes n join marked m on m.c = n.conv_id and m.pos <= n.depth group by 1, 2)
+select n.conv_id, n.depth::bigint as depth, a.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children, n_leaves::bigint as n_leaves,
+  saved_tokens::bigint as saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from full_nodes n join sums s on s.depth = n.depth and s.k = n.k left join nodes a on a.depth = n.depth - 1 and a.k = n.p
+""")
+def op11_trie(spark, sf_dir):
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("op12_negatives", """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+one as (select vec_id, min(v) as v, arg_min(label, v) as label from v group by vec_id),
+scores as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+           from one a join one b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scores where alike
+              qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+           from positives join scores using (anchor_id) where not alike and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+""")
+def op12_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op13_neighbours")
+def op13_neighbours(spark, sf_dir):
+    return crosspolytope.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
