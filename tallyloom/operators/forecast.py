@@ -168,40 +168,47 @@ def _plain(fitted: str, ahead: str) -> str:
     return _FIT.format(q=error, params="cast(null as string)", ahead=ahead)
 
 
-def _tried(grid: str, fold: str, ahead: str) -> str:
-    """The point of a grid with the least one-step error, the first of equals; none if all fail.
-
-    `fold` gives a struct that starts with the error `e` and the point's place `i`.
-    """
-    fit = _FIT.format(q="b.q", params="b.params", ahead=ahead)
-    return f"get(transform(filter(array(array_min(transform({grid}, g -> {fold}))), b -> b.e < double('infinity')), b -> {fit}), 0)"
+_FINITE = "coalesce(nullif({}, double('NaN')), double('infinity'))"
+_STATE = "array<struct<cut:int,e:double,q:double,l:double,b:double,z:array<double>>>"
+_GRIDS = {
+    "moving_average": {"window": WINDOWS}, "simple_exponential_smoothing": {"alpha": GRID}, "holt": {"alpha": GRID, "beta": GRID},
+    "damped_holt": {"alpha": GRID, "beta": GRID, "phi": DAMPING}, "holt_winters_additive": {"alpha": GRID, "beta": GRID, "gamma": GRID},
+    "holt_winters_multiplicative": {"alpha": GRID, "beta": GRID, "gamma": GRID},
+}
 
 
-def _points(**axes: list[float]) -> str:
-    """All combinations of the parameters as an array of structs, the last one running fastest."""
+def _points(methods: list[str] | None) -> str:
+    """Every point of the grids of the methods asked for, as an array of structs; a grid's last axis runs fastest."""
+    usual = {"window": 0, "alpha": 0.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0}
     rows = []
-    for i, values in enumerate(product(*axes.values())):
-        named = dict(zip(axes, values))
-        text = ", ".join(f"{k}={v:g}" for k, v in named.items())
-        fields = ", ".join(f"'{k}', {v}D" for k, v in named.items())
-        rows.append(f"named_struct('i', {i}, 'params', '{text}', {fields})")
+    for m, (method, least) in enumerate(METHODS):
+        if method in _GRIDS and (methods is None or method in methods):
+            for i, values in enumerate(product(*_GRIDS[method].values())):
+                named = dict(zip(_GRIDS[method], values))
+                text = ", ".join(f"{k}={v:g}" for k, v in named.items())
+                fields = ", ".join(f"'{k}', {v}" + ("" if k == "window" else "D") for k, v in (usual | named).items())
+                rows.append(f"named_struct('m', {m}, 'i', {i}, 'least', {least}, 'params', '{text}', {fields})")
     return f"array({', '.join(rows)})"
 
 
-_FINITE = "coalesce(nullif({}, double('NaN')), double('infinity'))"
+def _shared(start: str, first: int, step: str) -> str:
+    """One fold over a whole history that keeps its state wherever a history is cut.
+
+    `start` and `step` give the fields l, b, z, e (error of the fitted values), q (of the raw ones).
+    """
+    kept = "named_struct('cut', {}, 'e', s.e, 'q', s.q, 'l', s.l, 'b', s.b, 'z', s.z)"
+    return f"""aggregate(sequence({first}, _n - 1), named_struct({start}, 'a', cast(array() as {_STATE})),
+      (s, t) -> named_struct({step}, 'a', if(array_contains(_cuts, t), concat(s.a, array({kept.format('t')})), s.a)),
+      s -> concat(s.a, array({kept.format('_n')})))"""
 
 
-def _smoothing(trended: bool, damped: bool) -> str:
+def _smoothing() -> str:
     """Exponential smoothing: level, and with a trend a slope that may die away."""
-    axes = {"alpha": GRID} | ({"beta": GRID} if trended else {}) | ({"phi": DAMPING} if damped else {})
-    phi, beta = ("g.phi" if damped else "1D"), ("g.beta" if trended else "0D")
-    expected = f"(s.l + {phi} * s.b)"
-    after = f"(g.alpha * _y[t] + (1 - g.alpha) * {expected})"
-    fold = f"""aggregate(sequence(1, _cut - 1), named_struct('l', _y[0], 'b', {'_y[1] - _y[0]' if trended else '0D'}, 'e', 0D, 'q', pow(_r[0] - _y[0], 2)),
-      (s, t) -> named_struct('l', {after}, 'b', {beta} * ({after} - s.l) + (1 - {beta}) * {phi} * s.b,
-        'e', s.e + pow(_y[t] - {expected}, 2), 'q', s.q + pow(_r[t] - {expected}, 2)),
-      s -> named_struct('e', {_FINITE.format('s.e')}, 'i', g.i, 'q', s.q, 'params', g.params, 'l', s.l, 'b', s.b, 'phi', {phi}))"""
-    return _tried(_points(**axes), fold, "b.l + b.b * aggregate(sequence(1, h), 0D, (p, j) -> p + pow(b.phi, j))")
+    expected = "(s.l + _g.phi * s.b)"
+    after = f"(_g.alpha * _fit[t] + (1 - _g.alpha) * {expected})"
+    simple = [m for m, _ in METHODS].index("simple_exponential_smoothing")
+    return _shared(f"'l', _fit[0], 'b', if(_g.m = {simple}, 0D, _fit[1] - _fit[0]), 'z', cast(null as array<double>), 'e', 0D, 'q', pow(_raw[0] - _fit[0], 2)", 1,
+                   f"'l', {after}, 'b', _g.beta * ({after} - s.l) + (1 - _g.beta) * _g.phi * s.b, 'z', s.z, 'e', s.e + pow(_fit[t] - {expected}, 2), 'q', s.q + pow(_raw[t] - {expected}, 2)")
 
 
 def _winters(multiplicative: bool) -> str:
@@ -209,34 +216,57 @@ def _winters(multiplicative: bool) -> str:
     def put(season, slot, value):
         return f"concat(slice({season}, 1, {slot}), array({value}), slice({season}, {slot} + 2, {SEASON}))"
 
-    start = "try_divide(_y[t], _base)" if multiplicative else "_y[t] - _base"
-    seasons = f"aggregate(sequence(0, {SEASON - 1}), array_repeat({'1D' if multiplicative else '0D'}, {SEASON}), (z, t) -> {put('z', '_m[t]', start)})"
-    along, usual = "(s.l + s.b)", "s.z[_m[t]]"
+    begin = "try_divide(_fit[t], _base)" if multiplicative else "_fit[t] - _base"
+    seasons = f"aggregate(sequence(0, {SEASON - 1}), array_repeat({'1D' if multiplicative else '0D'}, {SEASON}), (z, t) -> {put('z', '_slots[t]', begin)})"
+    along, usual = "(s.l + s.b)", "s.z[_slots[t]]"
     fitted = f"({along} * {usual})" if multiplicative else f"({along} + {usual})"
-    bare = f"try_divide(_y[t], {usual})" if multiplicative else f"(_y[t] - {usual})"
-    after = f"(g.alpha * {bare} + (1 - g.alpha) * {along})"
-    left = f"try_divide(_y[t], {after})" if multiplicative else f"(_y[t] - {after})"
-    fold = f"""aggregate(sequence(0, _cut - 1), named_struct('l', _base, 'b', _rise, 'z', {seasons}, 'e', 0D, 'q', 0D),
-      (s, t) -> named_struct('l', {after}, 'b', g.beta * ({after} - s.l) + (1 - g.beta) * s.b,
-        'z', {put('s.z', '_m[t]', f'g.gamma * {left} + (1 - g.gamma) * {usual}')},
-        'e', s.e + if(t = 0, 0D, pow(_y[t] - {fitted}, 2)), 'q', s.q + pow(_r[t] - {fitted}, 2)),
-      s -> named_struct('e', if(s.l + s.b is null, double('infinity'), {_FINITE.format('s.e')}), 'i', g.i, 'q', s.q, 'params', g.params,
-        'l', s.l, 'b', s.b, 'z', s.z))"""
-    best = _tried(_points(alpha=GRID, beta=GRID, gamma=GRID), fold,
-                  f"(b.l + b.b * h) {'*' if multiplicative else '+'} b.z[_hm[h - 1]]")
-    return f"if(_base > 0, {best}, null)" if multiplicative else best
+    bare = f"try_divide(_fit[t], {usual})" if multiplicative else f"(_fit[t] - {usual})"
+    after = f"(_g.alpha * {bare} + (1 - _g.alpha) * {along})"
+    left = f"try_divide(_fit[t], {after})" if multiplicative else f"(_fit[t] - {after})"
+    return _shared(f"'l', _base, 'b', _rise, 'z', {seasons}, 'e', 0D, 'q', 0D", 0,
+                   f"""'l', {after}, 'b', _g.beta * ({after} - s.l) + (1 - _g.beta) * s.b, 'z', {put('s.z', '_slots[t]', f'_g.gamma * {left} + (1 - _g.gamma) * {usual}')},
+        'e', s.e + if(t = 0, 0D, pow(_fit[t] - {fitted}, 2)), 'q', s.q + pow(_raw[t] - {fitted}, 2)""")
+
+
+def _mean_of(start: str, size: str) -> str:
+    return f"aggregate(slice(_fit, {start} + 1, {size}), 0D, (u, v) -> u + v) / {size}"
 
 
 def _window_mean() -> str:
-    def mean(of, size):
-        return f"aggregate({of}, 0D, (u, v) -> u + v) / {size}"
+    """The mean of the last values; a state needs none of them, only the errors so far."""
+    before = _mean_of("greatest(t - _g.window, 0)", "least(_g.window, t)")
+    return _shared("'l', 0D, 'b', 0D, 'z', cast(null as array<double>), 'e', 0D, 'q', pow(_raw[0] - _fit[0], 2)", 1,
+                   f"'l', 0D, 'b', 0D, 'z', s.z, 'e', s.e + pow(_fit[t] - {before}, 2), 'q', s.q + pow(_raw[t] - {before}, 2)")
+
+
+def _grid_fits(histories: DataFrame, by: list[str], horizon: int, methods: list[str] | None) -> DataFrame:
+    """One row per series and cut with `_f`: the best point of each grid, by its one-step error up to the cut.
 
-    before = mean("slice(_y, greatest(t - g.window, 0) + 1, least(g.window, t))", "least(g.window, t)")
-    windows = ", ".join(f"named_struct('i', {i}, 'params', 'window={w}', 'window', {w})" for i, w in enumerate(WINDOWS))
-    fold = f"""aggregate(sequence(1, _cut - 1), named_struct('e', 0D, 'q', pow(_r[0] - _y[0], 2)),
-      (s, t) -> named_struct('e', s.e + pow(_y[t] - {before}, 2), 'q', s.q + pow(_r[t] - {before}, 2)),
-      s -> named_struct('e', {_FINITE.format('s.e')}, 'i', g.i, 'q', s.q, 'params', g.params, 'mean', {mean('slice(_y, _cut - g.window + 1, g.window)', 'g.window')}))"""
-    return _tried(f"filter(array({windows}), g -> g.window <= _cut div 2)", fold, "b.mean")
+    Every point is folded once over the whole history; what it is like at a cut is the state kept
+    there, so more origins cost no more folds. The first point of equals wins.
+    """
+    at = {m: i for i, (m, _) in enumerate(METHODS)}
+    usable = "filter({}, g -> g.least <= _n and (g.m != {} or _positive) and (g.m not in ({}, {}) or _seasonal))".format(
+        _points(methods), at["holt_winters_multiplicative"], at["holt_winters_additive"], at["holt_winters_multiplicative"])
+    fold = (f"case when _g.m = {at['moving_average']} then {_window_mean()} when _g.m = {at['holt_winters_additive']} then {_winters(False)} "
+            f"when _g.m = {at['holt_winters_multiplicative']} then if(_base > 0, {_winters(True)}, cast(array() as {_STATE})) else {_smoothing()} end")
+    year = lambda k: f"aggregate(slice(_fit, {k * SEASON + 1}, {SEASON}), 0D, (u, v) -> u + v)"
+    points = histories.selectExpr(*[f"`{c}`" for c in histories.columns], "transform(_origin, o -> o.cut) as _cuts", f"{year(0)} / {SEASON} as _base",
+                                  f"({year(1)} - {year(0)}) / {SEASON} / {SEASON} as _rise", f"explode({usable}) as _g")
+    states = points.selectExpr(*[f"`{c}`" for c in by], "_n", "_held", "_fit", "_slots", "_origin", "_g", f"explode({fold}) as _st").where(
+        f"_st.cut >= _g.least and (_g.m != {at['moving_average']} or _g.window <= _st.cut div 2)")
+    # a state without a slope or level is no fit
+    error = f"if(_st.l + _st.b is null, double('infinity'), {_FINITE.format('_st.e')})"
+    best = states.where(f"{error} < double('infinity')").groupBy(*by, F.col("_st.cut").alias("_cut"), F.col("_g.m").alias("_m")).agg(
+        F.min(F.expr(f"struct({error} as e, _g.i as i, _st.q as q, _g.params as params, _st.l as l, _st.b as b, _st.z as z, _g.phi as phi, _g.window as window)")).alias("_b"),
+        *[F.first(c).alias(c) for c in ("_n", "_held", "_fit", "_slots", "_origin")])
+    each = best.selectExpr("*", "explode(filter(_origin, o -> o.cut = _cut)) as _o").selectExpr(
+        "*", "_o.k as _k", f"if(_o.k = 0, sequence(1, {horizon}), sequence(1, _held)) as _h",
+        f"if(_o.k = 0, transform(sequence(1, {horizon}), h -> (_slots[_n - 1] + h) % {SEASON}), slice(_slots, _cut + 1, _held)) as _hm")
+    ahead = (f"case when _m = {at['moving_average']} then {_mean_of('(_cut - _b.window)', '_b.window')} when _m = {at['holt_winters_additive']} then _b.l + _b.b * h + _b.z[_hm[h - 1]] "
+             f"when _m = {at['holt_winters_multiplicative']} then (_b.l + _b.b * h) * _b.z[_hm[h - 1]] else _b.l + _b.b * aggregate(sequence(1, h), 0D, (p, j) -> p + pow(_b.phi, j)) end")
+    fit = F.expr(f"named_struct('m', _m, 'fit', {_FIT.format(q='_b.q', params='_b.params', ahead=ahead)})")
+    return each.select(*by, "_k", "_cut", fit.alias("_x")).groupBy(*by, "_k", "_cut").agg(F.collect_list("_x").alias("_f"))
 
 
 def _by_slot(multiplicative: bool) -> str:
@@ -249,15 +279,9 @@ def _method_sql(method: str) -> str:
     return {
         "naive": lambda: _plain("if(t = 0, _y[0], _y[t - 1])", "_y[_cut - 1]"),
         "seasonal_naive": lambda: _plain(f"if(t >= {SEASON}, _y[t - {SEASON}], _y[t])", f"_y[greatest(0, _cut - {SEASON} + (h - 1) % {SEASON})]"),
-        "moving_average": _window_mean,
-        "simple_exponential_smoothing": lambda: _smoothing(False, False),
         "linear_regression": lambda: _plain("_start + _slope * t", "_start + _slope * (_cut - 1 + h)"),
-        "holt": lambda: _smoothing(True, False),
-        "damped_holt": lambda: _smoothing(True, True),
         "seasonal_additive": lambda: _by_slot(False),
         "seasonal_multiplicative": lambda: _by_slot(True),
-        "holt_winters_additive": lambda: _winters(False),
-        "holt_winters_multiplicative": lambda: _winters(True),
     }[method]()
 
 
@@ -268,8 +292,11 @@ def _usual(against: str) -> str:
     return f"get(filter(array({each}), z -> not exists(z, v -> v is null)), 0)"
 
 
-def _histories(series: DataFrame, by: list[str], horizon: int) -> DataFrame:
-    """One row per series of at least two points: its values raw and clamped, and how it is held out."""
+def _histories(series: DataFrame, by: list[str], horizon: int, origins: bool) -> DataFrame:
+    """One row per series of at least two points: its values raw and clamped, and where it is cut.
+
+    `_origin` has the whole history as k = 0 and, with `origins`, the rolling origins from k = 1.
+    """
     points = winsorise(series.select(*by, "period", F.col("value").cast("double").alias("value")), by)
     point = F.struct("period", "value", "fitted_value", (period_index(F.col("period")) - 1).cast("int").alias("slot"))
     rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("_p")).where(F.size("_p") >= 2)
@@ -278,7 +305,8 @@ def _histories(series: DataFrame, by: list[str], horizon: int) -> DataFrame:
         F.element_at("_p.period", -1).alias("last_period")).select(
         "*", F.expr("not exists(_slots, s -> s is null)").alias("_seasonal"), F.expr("forall(_raw, v -> v > 0)").alias("_positive"),
         F.greatest(F.lit(1), F.least(F.lit(min(horizon, MAX_SCORED_HORIZON)), F.col("_n") - 2)).alias("_held"),
-        F.when(F.col("_n") < 12, 1).when(F.col("_n") < 24, 3).when(F.col("_n") < 48, 5).otherwise(8).alias("_origins"))
+        F.when(F.col("_n") < 12, 1).when(F.col("_n") < 24, 3).when(F.col("_n") < 48, 5).otherwise(8).alias("_origins")).select("*", F.expr(
+            "filter(transform(" + ("sequence(0, _origins)" if origins else "array(0)") + ", k -> named_struct('k', k, 'cut', if(k = 0, _n, _n - _held - k + 1))), o -> o.cut >= 2)").alias("_origin"))
 
 
 def method_fits(series: DataFrame, by: list[str], horizon: int = 3, methods: list[str] | None = None, origins: bool = False) -> DataFrame:
@@ -288,23 +316,21 @@ def method_fits(series: DataFrame, by: list[str], horizon: int = 3, methods: lis
     Grids are tried inside the row of a series and origin, so nothing is moved for them and a
     method that is not asked for costs nothing.
     """
-    histories = _histories(series, by, horizon)
-    # Few bytes but much to compute: a task for each share of the series and origins, whatever their size.
-    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = histories.select("*", F.explode(F.expr("sequence(0, _origins)" if origins else "array(0)")).alias("_k")).repartition(tasks, *by, "_k").select(
-        "*", F.expr("if(_k = 0, _n, _n - _held - _k + 1)").alias("_cut")).where("_cut >= 2").selectExpr(
+    histories = _histories(series, by, horizon, origins)
+    # Few bytes but much to compute: series are dealt over all tasks, whatever their size, and stay there.
+    tasks = 4 * int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    histories = histories.repartition(tasks, *by)
+    rows = histories.selectExpr("*", "inline(_origin)").withColumnsRenamed({"k": "_k", "cut": "_cut"}).selectExpr(
         "*", "slice(_fit, 1, _cut) as _y", "slice(_raw, 1, _cut) as _r", "slice(_slots, 1, _cut) as _m",
         f"if(_k = 0, sequence(1, {horizon}), sequence(1, _held)) as _h",
         f"if(_k = 0, transform(sequence(1, {horizon}), h -> (_slots[_n - 1] + h) % {SEASON}), slice(_slots, _cut + 1, _held)) as _hm").selectExpr(
         "*", "(_cut - 1) / 2D as _middle", "aggregate(_y, 0D, (u, v) -> u + v) / _cut as _mean",
-        f"aggregate(slice(_y, 1, {SEASON}), 0D, (u, v) -> u + v) / {SEASON} as _base",
-        f"(aggregate(slice(_y, {SEASON + 1}, {SEASON}), 0D, (u, v) -> u + v) - aggregate(slice(_y, 1, {SEASON}), 0D, (u, v) -> u + v)) / {SEASON} / {SEASON} as _rise",
         f"if(_k = 0, 0D, if(_cut > {SEASON}, aggregate(sequence({SEASON}, _cut - 1), 0D, (u, t) -> u + abs(_r[t] - _r[t - {SEASON}])) / (_cut - {SEASON}), "
         "aggregate(sequence(1, _cut - 1), 0D, (u, t) -> u + abs(_r[t] - _r[t - 1])) / (_cut - 1))) as _scale").selectExpr(
         "*", "aggregate(sequence(0, _cut - 1), 0D, (u, t) -> u + (t - _middle) * (_y[t] - _mean)) "
         "/ aggregate(sequence(0, _cut - 1), 0D, (u, t) -> u + (t - _middle) * (t - _middle)) as _slope").selectExpr(
         "*", "_mean - _slope * _middle as _start")
-    wanted = [(i, m, least) for i, (m, least) in enumerate(METHODS) if methods is None or m in methods]
+    wanted = [(i, m, least) for i, (m, least) in enumerate(METHODS) if m not in _GRIDS and (methods is None or m in methods)]
     if any(m.startswith("seasonal_") and m in SEASONAL for _, m, _ in wanted):
         year = f"_seasonal and _cut >= {2 * SEASON}"
         rows = rows.selectExpr(
@@ -316,12 +342,22 @@ def method_fits(series: DataFrame, by: list[str], horizon: int = 3, methods: lis
     for i, m, least in wanted:
         may = f"_cut >= {least}" + (" and _positive" if m in POSITIVE_ONLY else "") + (" and _seasonal" if m in SEASONAL else "")
         each.append(f"named_struct('m', {i}, 'fit', if({may}, {_method_sql(m)}, null))")
-    fitted = rows.selectExpr(*[f"`{c}`" for c in histories.columns], "_k", "_cut", "_scale", f"filter(array({', '.join(each)}), f -> f.fit is not null) as _f")
-    same = [F.first(c).alias(c) for c in histories.columns if c not in by]
+    none = "array(named_struct('m', -1, 'fit', " + _FIT.format(q="0D", params="cast(null as string)", ahead="0D") + "))"
+    plain = f"array({', '.join(each)})" if each else none
+    kept = [c for c in histories.columns if c not in by]
+    fitted = rows.selectExpr(*[f"`{c}`" for c in histories.columns], "_k", "_cut", "_scale", f"filter({plain}, f -> f.fit is not null and f.m >= 0) as _f")
+    if methods is None or any(m in _GRIDS for m in methods):
+        fitted = fitted.unionByName(_grid_fits(histories, by, horizon, methods), allowMissingColumns=True)
+    # two entries for each origin: the plain methods, which carry the history, and the tuned ones
+    same = [F.first(c, ignorenulls=True).alias(c) for c in kept]
+    scale = F.max("_scale").over(Window.partitionBy(*by, "_k"))
+    fitted = fitted.withColumn("_scale", scale)
     return fitted.groupBy(*by).agg(*same, F.sort_array(F.collect_list(F.struct("_k", "_cut", "_scale", "_f"))).alias("_fits"))
 
 
 _HALF_UP = "floor(({}) * {f} + 0.5) / {f}"
+# means of amounts often end on a half: eight places first, so that the order of a sum decides nothing
+_HALF_UP_OF_MEAN = "floor(coalesce(cast(try_cast({0} as decimal(38,8)) as double), {0}) * {f} + 0.5) / {f}"
 _MEAN = "try_divide(aggregate({0}, 0D, (u, v) -> u + v.{1}), size({0}))"
 
 
@@ -337,9 +373,9 @@ def _board(fits: DataFrame, by: list[str]) -> DataFrame:
         "*", "filter(flatten(transform(_errors, z -> zip_with(z.off, z.actual, (o, a) -> named_struct('off', abs(o), 'scaled', if(z.scale > 0, abs(o) / z.scale, 0D), "
         "'share', if(a = 0, null, abs(o) / abs(a)))))), v -> v.off < double('infinity')) as _each").selectExpr(
         "*", "coalesce(size(_errors), 0) as origins").selectExpr(
-        "*", f"if(origins > 0 and forall(_errors, z -> z.scale > 0), {_HALF_UP.format(_MEAN.format('_each', 'scaled'), f='10000')}, null) as mase",
-        f"if(origins > 0 and not exists(_each, v -> v.share is null), {_HALF_UP.format(_MEAN.format('_each', 'share') + ' * 100', f='10000')}, null) as mape",
-        f"if(origins > 0, {_HALF_UP.format(_MEAN.format('_each', 'off'), f='10000')}, null) as mae",
+        "*", f"if(origins > 0 and forall(_errors, z -> z.scale > 0), {_HALF_UP_OF_MEAN.format(_MEAN.format('_each', 'scaled'), f='10000')}, null) as mase",
+        f"if(origins > 0 and not exists(_each, v -> v.share is null), {_HALF_UP_OF_MEAN.format(_MEAN.format('_each', 'share') + ' * 100', f='10000')}, null) as mape",
+        f"if(origins > 0, {_HALF_UP_OF_MEAN.format(_MEAN.format('_each', 'off'), f='10000')}, null) as mae",
         """case when _n < _x.least then concat('needs ', _x.least, ' periods of history, has ', _n) when _x.positive_only and not _positive then 'needs every period above zero'
           when _full is null then 'could not be fitted to this history' when origins = 0 then concat('needs ', _held + _x.least, ' periods to hold any out, has ', _n) end as reason""")
     whole = Window.partitionBy(*by)  # one row per method

@@ -10,6 +10,7 @@ from tallyloom.functions.numbers import round2, round_half_up
 from tallyloom.operators import forecast as FC, insights as IN, metrics as MT
 from tallyloom.plans import oracle as O
 from tallyloom.plans.analysis import MONTHLY_SQL, _MAD_SQL, monthly
+from tallyloom.plans.bake_off_sql import bake_off_sql
 from tallyloom.plans.registry import query
 from tallyloom.plans.views import SALES_SCHEMA as S, SALES_SQL, sales
 
@@ -124,12 +125,17 @@ query("m10_holt_winters_additive", _winters_sql(False))(_one_method("holt_winter
 query("m11_holt_winters_multiplicative", _winters_sql(True))(_one_method("holt_winters_multiplicative"))
 
 
-@query("m12_rolling_origin")
+_MANY_SQL = f"{SALES_SQL}, s as (select region || ' / ' || category as k, strftime(date, '%Y-%m') as period, {O.r2('sum(revenue)')} as value from sales group by 1, 2)"
+
+
+@query("m12_rolling_origin", f"""with recursive {bake_off_sql(_MANY_SQL, 6)}
+select k as series, method, mase, mape, mae, origins, eligible, reason, winner, params from board""")
 def _(spark, sf):
     return FC.scoreboard(FC.bake_off(many_series(spark, sf), BY, 6), BY)
 
 
-@query("m13_selection")
+@query("m13_selection", f"""with recursive {bake_off_sql(_MANY_SQL, 3)}
+select k as series, method, mase, origins from board where winner""")
 def _(spark, sf):
     return FC.scoreboard(FC.bake_off(many_series(spark, sf), BY), BY).where("winner").select("series", "method", "mase", "origins")
 
@@ -148,12 +154,14 @@ def _points(spark, sf, horizon=3):
     return FC.forecast_points(FC.bake_off(many_series(spark, sf), BY, horizon), BY)
 
 
-@query("m15_forecast_bands")
+@query("m15_forecast_bands", f"""with recursive {bake_off_sql(_MANY_SQL, 8)}
+select k as series, period, step, method, basis, value, lower, upper from dated""")
 def _(spark, sf):
     return _points(spark, sf, 8).select("series", "period", "step", "method", "basis", "value", "lower", "upper")
 
 
-@query("m16_scenario_fan")
+@query("m16_scenario_fan", f"""with recursive {bake_off_sql(_MANY_SQL, 3)}
+select k as series, period, value, best, worst from dated""")
 def _(spark, sf):
     return _points(spark, sf).select("series", "period", "value", "best", "worst")
 
@@ -166,7 +174,12 @@ def _(spark, sf):
     return FC.goal_status(latest, "value", "goal").withColumn("goal", round2(F.col("goal")))
 
 
-@query("m18_what_if")
+_MOVED_SQL = f"""{SALES_SQL}, s0 as (select region, strftime(date, '%Y-%m') as period, {O.r2('sum(revenue)')} as value from sales group by 1, 2),
+s as (select 'base|' || region as k, period, value from s0 union all select 'scenario|' || region, period, value + case when period = max(period) over (partition by region) then 1000000.0 else 0 end from s0)"""
+
+
+@query("m18_what_if", f"""with recursive {bake_off_sql(_MOVED_SQL, 3)}
+select split_part(k, '|', 1) as "case", split_part(k, '|', 2) as region, period, step, method, basis, value, lower, upper, best, worst from dated""")
 def _(spark, sf):
     return FC.what_if(monthly(spark, sf), ["region"], 1_000_000.0)
 
@@ -226,7 +239,8 @@ def _(spark, sf):
     return FC.upsert_scores(old, new, ["series", "period"], "version")
 
 
-@query("l10_forecast_risk")
+@query("l10_forecast_risk", f"""with recursive {bake_off_sql(_MANY_SQL, 1)}
+select dated.k as series, 'forecast_risk' as type, 'MEDIUM' as severity, {O.r2('value')} as projected, {O.r2('last_raw')} as last from dated join hist using (k) where value < last_raw * 0.9""")
 def _(spark, sf):
     history = many_series(spark, sf)
     following = FC.forecast_points(FC.bake_off(history, BY, 1), BY).select("series", "value")
