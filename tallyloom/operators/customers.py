@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 from tallyloom.functions.dates import day_of
 from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.functions.strings import row_identity, tidy_key
-from tallyloom.operators.quantiles import exact_quantiles, value_weights
+from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.session import materialise
 
 # --- value tiers ------------------------------------------------------------------------------------
@@ -29,7 +29,7 @@ def value_tiers(totals: DataFrame, member: str, members_shown: int = 12) -> Data
     """
     v = F.col("value")
     positive = materialise(totals.where(v > 0).select(F.col(member).alias("member"), v.alias("value")), "totals")
-    cuts = exact_quantiles(value_weights(positive, [], "value"), [], "value", "n", [0.5, 0.75]).select(F.struct("q0", "q1")).scalar()
+    cuts = exact_quantiles(positive, [], "value", [0.5, 0.75]).select(F.struct("q0", "q1")).scalar()
     tiered = positive.select("*", cuts.alias("_c")).select(
         "member", "value", F.col("_c.q0").alias("median"), F.col("_c.q1").alias("q3"),
         F.when(v >= F.col("_c.q1"), "high").when(v >= F.col("_c.q0"), "mid").otherwise("low").alias("tier"))

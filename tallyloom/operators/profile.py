@@ -111,7 +111,7 @@ def with_types(statistics: DataFrame) -> DataFrame:
 def outlier_counts(judged: DataFrame, k: float = 1.5) -> DataFrame:
     """Per column how many rows lie outside the quartile fences."""
     numbers = judged.where("number is not null").groupBy("column", "number").agg(F.sum("n").alias("n"))
-    fences = exact_quantiles(numbers, ["column"], "number", "n", [0.25, 0.75], few_keys=True)
+    fences = exact_quantiles(numbers, ["column"], "number", [0.25, 0.75], "n", few_keys=True)
     reach = (F.col("q1") - F.col("q0")) * k
     outside = (F.col("number") < F.col("q0") - reach) | (F.col("number") > F.col("q1") + reach)
     # One row per column of the table on the right.
@@ -230,8 +230,7 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = 3.0) -> DataF
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows outside the quartile fences."""
     x = F.col(quoted(column))
-    weights = df.where(x.isNotNull()).groupBy(x.cast("double").alias("x")).agg(F.count("*").alias("n"))
-    fences = exact_quantiles(weights, [], "x", "n", [0.25, 0.75]).select(F.struct("q0", "q1")).scalar()
+    fences = exact_quantiles(df.select(x.cast("double").alias("x")), [], "x", [0.25, 0.75]).select(F.struct("q0", "q1")).scalar()
     reach = (F.col("_f.q1") - F.col("_f.q0")) * k
     held = df.select("*", fences.alias("_f"))
     return held.where((x < F.col("_f.q0") - reach) | (x > F.col("_f.q1") + reach)).drop("_f")

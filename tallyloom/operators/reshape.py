@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions.numbers import exact_sum, round2, round_half_up
+from tallyloom.operators.quantiles import at_ranks
+from tallyloom.operators.ranges import running
 
 
 def pivot_totals(df: DataFrame, rows: list[str], column: str, value: Column) -> DataFrame:
@@ -41,35 +43,33 @@ def percent_of_row(cells: DataFrame, row: str) -> DataFrame:
 
 
 def rank_by_period(cells: DataFrame, series: str) -> DataFrame:
-    """Each series' place within a period and where its band starts and ends when stacked."""
-    order = Window.partitionBy("period").orderBy(F.desc("value"), series)
-    end = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return cells.select("period", series, "value", (F.row_number().over(order) - 1).alias("rank"),
-                        round2(end - F.col("value")).alias("band_from"), round2(end).alias("band_to"))
+    """Each series' place within a period and where its band starts and ends when stacked.
+
+    A period may hold any number of series: places and sums run over ranges of it.
+    """
+    placed = running(cells.select("period", series, "value"), ["period"], ["-value", series], {"_end": F.col("value")})
+    return placed.select("period", series, "value", F.col("place").cast("int").alias("rank"),
+                         round2(F.col("_end") - F.col("value")).alias("band_from"), round2(F.col("_end")).alias("band_to"))
 
 
 def waterfall(deltas: DataFrame, order: str, by: list[str] = ()) -> DataFrame:
-    """Signed changes as floating bars with the running total."""
-    upto = Window.partitionBy(*by or [F.lit(1)]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("value").over(upto)
-    return deltas.select(*by, order, "value", round2(F.least(end - F.col("value"), end)).alias("base"),
+    """Signed changes as floating bars with the running total, over ranges of the order."""
+    placed = running(deltas.select(*by, order, "value"), list(by), [order], {"_end": F.col("value")})
+    end = F.col("_end")
+    return placed.select(*by, order, "value", round2(F.least(end - F.col("value"), end)).alias("base"),
                          round2(F.abs("value")).alias("delta"), round2(end).alias("cumulative"), (F.col("value") >= 0).alias("positive"))
 
 
 def quantile_breaks(totals: DataFrame, buckets: int = 5) -> DataFrame:
-    """The distinct break values of a short list of totals, as one sorted array."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("value")) - 1
-    placed = totals.where("value is not null").select("value", place.alias("i"), n.alias("n"))
-    at = F.array(*[F.floor(F.lit(b / buckets) * F.col("n")) for b in range(1, buckets)])
-    kept = placed.agg(
-        F.sort_array(F.collect_set(F.when(F.array_contains(at, F.col("i").cast("bigint")), F.col("value")))).alias("breaks"),
-        (F.min("value") == F.max("value")).alias("flat"))
-    return kept.select(F.when(F.col("flat"), F.array().cast("array<double>")).otherwise(F.col("breaks")).alias("breaks"))
+    """The distinct values at each n-th of the totals in order, as one sorted array."""
+    ranks = F.array(*[F.floor(F.lit(b / buckets) * F.col("total")) for b in range(1, buckets)])
+    spread = totals.agg((F.min("value") == F.max("value")).alias("flat"))
+    kept = at_ranks(totals.select("value"), [], "value", ranks).agg(F.sort_array(F.collect_set("value")).alias("breaks"))  # fewer than buckets
+    return kept.select(F.when(spread.scalar(), F.array().cast("array<double>")).otherwise(F.col("breaks")).alias("breaks"))
 
 
 def quantile_buckets(totals: DataFrame, buckets: int = 5) -> DataFrame:
-    """Which colour bucket each total falls into. Meant for one total per place on a map."""
+    """Which colour bucket each total falls into."""
     breaks = quantile_breaks(totals, buckets).scalar()
     held = totals.select("*", breaks.alias("_b"))
     return held.withColumn("bucket", F.size(F.filter("_b", lambda x: F.col("value") >= x))).drop("_b")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.functions.numbers import all_of, is_blank
 from tallyloom.operators.formats import quoted
+from tallyloom.operators.ranges import rows_between
 
 
 def read_csv(spark: SparkSession, path: str | list[str], header: list[str] | None = None) -> DataFrame:
@@ -74,15 +75,15 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-def page(df: DataFrame, key: list[str], number: int, size: int = 50) -> DataFrame:
+def page(df: DataFrame, key: list[str], number: int, size: int = 50, total: int | None = None) -> DataFrame:
     """One page in key order, with the total and whether more follows.
 
-    Each task keeps its first rows up to the end of the page; nothing is sorted whole.
+    The page is found by counts of slices of the key, however deep it lies; only rows near it are
+    put in order. A caller that turns pages passes the total on, so it is counted once.
     """
     start = max(0, number) * size
-    total = df.agg(F.count("*")).scalar()
-    rows = df.orderBy(*[F.col(quoted(k)) for k in key]).offset(start).limit(size)
-    return rows.select("*", total.alias("total"), (F.lit(start + size) < total).alias("has_more"))
+    total = df.count() if total is None else total
+    return rows_between(df, key, start, size, total).select("*", F.lit(total).cast("bigint").alias("total"), F.lit(start + size < total).alias("has_more"))
 
 
 def preview(df: DataFrame, rows: int = 50) -> DataFrame:
