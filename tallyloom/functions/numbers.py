@@ -35,13 +35,28 @@ def round2(value: Column) -> Column:
     return F.when(F.abs(value) < 9e13, F.floor(value * 100 + 0.5) / 100).otherwise(F.round(value, 2))
 
 
+#: From here on doubles hold no places after the point.
+WHOLE = float(2**53)
+
+
 def exact_sum(value: Column | str) -> Column:
-    """The sum of amounts in decimals of six places, the same in whatever order rows come.
+    """The sum of amounts with six places, the same in whatever order rows come.
 
-    Values that are no finite number take no part.
+    Whole units and millionths are summed as 64-bit integers, which neither round nor depend on
+    an order. Amounts beyond 2 ** 53, which have no places left, are summed as they are. Values
+    that are no finite number take no part; a sum of units beyond 64 bits is an error.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    return F.sum(value.try_cast("decimal(38,6)")).cast("double")
+    value = (F.col(value) if isinstance(value, str) else value).try_cast("double")
+    valid = F.abs(value) < float("inf")  # false for NaN, which is above all numbers
+    fine = valid & (F.abs(value) < WHOLE)
+    units = F.floor(value)
+    millionths = F.floor((value - units) * 1e6 + 0.5).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    whole = F.sum(F.when(fine, units).when(valid, zero))
+    parts = F.sum(F.when(fine, millionths).when(valid, zero))
+    large = F.sum(F.when(valid & ~fine, value).otherwise(0.0))
+    carried = F.floor(parts / 1_000_000)
+    return (whole + carried).cast("double") + (parts - carried * 1_000_000) / 1e6 + large
 
 
 def round_half_up(value: Column, places: int) -> Column:

@@ -164,45 +164,47 @@ _SIDES = (("value", "in_filter"), ("current", "is_current"), ("previous", "is_pr
 def _figures(df, schema, filters, bounds, blank_counts: bool) -> DataFrame:
     """One row with the sums and both distinct counts on each side.
 
-    Every row is sent out under its order key and under its customer key. Grouping by
-    (kind, key) makes each key one row with its flags, and a count of flags is then the
-    distinct count: one shuffle, and a hot key is one row per map task when it moves.
+    Rows are summed per order and customer first, under their keys as they are stored; lines of an
+    order mostly lie together, so little moves. Those sums then count once under the order and once
+    under the customer: grouping by (kind, key) makes each key one row with its flags, and a count
+    of flags is the distinct count. A hot key is one row per map task whenever it moves.
     """
     tagged = tag_periods(df, schema, filters, bounds)
     tidy = trimmed if blank_counts else tidy_key
-    customer = _customer(schema)
+    order, customer = schema.get("order_id"), _customer(schema)
+
+    def stored(column):
+        return F.col(quoted(column)) if column else F.lit(None).cast("string")
 
-    def key_of(column):
-        if not column:
-            return F.lit(None).cast("string")
-        cell = F.col(quoted(column))
-        if isinstance(df.schema[column].dataType, T.StringType):
-            return tidy(cell)
-        text = cell.cast("string")
-        return F.coalesce(text, F.lit("")) if blank_counts else text
+    def key_of(name, column):
+        if column and isinstance(df.schema[column].dataType, T.StringType):
+            return tidy(F.col(name))
+        text = F.col(name).cast("string")
+        return F.coalesce(text, F.lit("")) if blank_counts and column else text
 
     narrow = tagged.select(
         "in_filter", "is_current", "is_previous", row_revenue(df, schema).alias("revenue"), row_profit(df, schema).alias("profit"),
-        key_of(schema.get("order_id")).alias("order"), key_of(customer).alias("customer"))
-    rows = narrow.unpivot(["in_filter", "is_current", "is_previous", "revenue", "profit"],
-                          ["order", "customer"] if customer else ["order"], "kind", "key")
-    # Measures count under the order key alone.
-    keyed = rows.groupBy("kind", "key").agg(
-        *[exact_sum(F.when(F.col(flag) & (F.col("kind") == "order"), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}")
-          for m in ("revenue", "profit") for s, flag in _SIDES],
-        *[F.count_if(flag).alias(f"rows_{s}") for s, flag in _SIDES],
-    )
-    is_order, has_key = F.col("kind") == "order", F.col("key").isNotNull()
-    figures = [exact_sum(f"{m}_{s}").alias(f"{m}_{s}") for m in ("revenue", "profit") for s, _ in _SIDES]
+        stored(order).alias("order"), stored(customer).alias("customer"))
+    pairs = narrow.groupBy("order", "customer").agg(
+        *[exact_sum(F.when(F.col(flag), F.col(m)).otherwise(0.0)).alias(f"{m}_{s}") for m in ("revenue", "profit") for s, flag in _SIDES],
+        *[F.count_if(flag).alias(f"rows_{s}") for s, flag in _SIDES])
+    seen = [(F.col(f"rows_{s}") > 0).alias(f"seen_{s}") for s, _ in _SIDES]
+    kinds = [F.struct(F.lit(kind).alias("kind"), key_of(kind, column).alias("key")) for kind, column in (("order", order), ("customer", customer)) if column]
+    measures = [f"{m}_{s}" for m in ("revenue", "profit") for s, _ in _SIDES]
+    sums = pairs.agg(*[exact_sum(c).alias(c) for c in measures], *[F.sum(f"rows_{s}").alias(f"rows_{s}") for s, _ in _SIDES])
+    figures = []
     for s, _ in _SIDES:
-        seen = F.col(f"rows_{s}") > 0
-        if schema.get("order_id"):
-            orders = F.count_if(is_order & has_key & seen)
-        else:  # with no order column every row is an order
-            orders = F.sum(F.when(is_order, F.col(f"rows_{s}")).otherwise(0))
-        figures.append(orders.cast("double").alias(f"orders_{s}"))
-        figures.append(F.count_if(~is_order & has_key & seen).cast("double").alias(f"customers_{s}"))
-    one = keyed.agg(*figures)
+        for kind, column in (("order", order), ("customer", customer)):
+            figures.append(F.count_if((F.col("kind") == kind) & F.col(f"seen_{s}")).cast("double").alias(f"{kind}s_{s}"))
+    if kinds:
+        keyed = pairs.select(F.explode(F.array(*kinds)).alias("k"), *seen).select("k.*", *[f"seen_{s}" for s, _ in _SIDES]).where("key is not null")
+        once = keyed.groupBy("kind", "key").agg(*[F.max(f"seen_{s}").alias(f"seen_{s}") for s, _ in _SIDES])
+        counts = once.agg(*figures)
+    else:
+        counts = pairs.limit(0).select(F.lit("").alias("kind"), *seen).agg(*figures)
+    one = sums.select("*", counts.select(F.struct("*")).scalar().alias("_c")).select("*", "_c.*").drop("_c")
+    if not order:  # with no order column every row is an order
+        one = one.withColumns({f"orders_{s}": F.coalesce(f"rows_{s}", F.lit(0)).cast("double") for s, _ in _SIDES})
     margin = F.when(F.col("revenue_value") != 0, F.col("profit_value") / F.col("revenue_value") * 100).otherwise(0.0)
     empty = F.lit(None).cast("double")
     return one.select("*", margin.alias("margin_value"), empty.alias("margin_current"), empty.alias("margin_previous"))

@@ -1,8 +1,9 @@
 """Column profiles, quality issues and the quality score.
 
-The table is unpivoted and grouped by (column, trimmed value) once. That grouping carries
-every row count, so all statistics below read distinct values instead of rows, and a value
-that fills a third of a column has become one row before it is moved.
+Most of a profile is a state of one row per column: counts, extremes, moments and sketches, taken
+where the cells lie and merged, so nothing but those rows moves and the state of an appended part
+is merged with a stored one. Only what needs the values themselves (their exact number, spellings,
+smallest ones) groups by (column, value).
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from tallyloom.functions import dates as D, numbers as N
 from tallyloom.functions.strings import trim_space
 from tallyloom.operators.formats import cells, quoted
 from tallyloom.operators.quantiles import exact_quantiles
-from tallyloom.session import materialise
 
 # The shapes of a currency amount and of a number.
 CURRENCY_SHAPE = r"^\s*[-(]?\s*[$€£₹]\s?[0-9,]+(\.[0-9]+)?\s*\)?\s*$"
@@ -22,61 +22,74 @@ MIN_OUTLIER_VALUES = 8
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value) with the number of rows and of cells that carry stray spaces."""
-    v = F.col("value")
-    trimmed = trim_space(v)
-    counted = cells(df, columns).select("column", trimmed.alias("value"), (v != trimmed).alias("spaced"))
-    grouped = counted.groupBy("column", "value").agg(F.count("*").alias("n"), F.count_if("spaced").alias("n_spaced"))
-    filled = F.when(F.col("value") != "", F.col("value"))
-    return grouped.select("column", filled.alias("value"), "n", "n_spaced")
+    """(column, value) with the number of rows; blank cells are null."""
+    text = trim_space(F.col("value"))
+    return cells(df, columns).select("column", F.when(text != "", text).alias("value")).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def judged_values(counts: DataFrame) -> DataFrame:
-    """Each distinct value with what it could be."""
+def judged_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each cell with what it could be."""
+    raw = F.col("value")
+    text = trim_space(raw)
+    trimmed = cells(df, columns).select("column", F.when(text != "", text).alias("value"), (raw != text).alias("spaced"))
     v = F.col("value")
     number = N.plain_number(v)
-    return counts.select(
-        "*", number.alias("number"),
+    return trimmed.select(
+        "column", "value", "spaced", number.alias("number"),
         F.when(number.isNull(), F.regexp_replace(v, "[A-Za-z%]", "").rlike(NUMERIC_SHAPE)).alias("with_text"),
-        v.rlike(CURRENCY_SHAPE).alias("currency"),
-        F.lower(v).isin("true", "false", "yes", "no").alias("flag"),
-        D.looks_like_date(v).alias("date"),
-        F.year(D.to_iso_date(v).try_cast("date")).alias("year"),
-    )
+        v.rlike(CURRENCY_SHAPE).alias("currency"), F.lower(v).isin("true", "false", "yes", "no").alias("flag"),
+        D.looks_like_date(v).alias("date"), F.year(D.to_iso_date(v).try_cast("date")).alias("year"))
 
 
-def judged_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The judged values of a table, written once: every statistic reads them, not the table."""
-    return materialise(judged_values(value_counts(df, columns)), "values")
-
-
-def _rows_where(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-
-def column_statistics(judged: DataFrame) -> DataFrame:
-    """One row per column with every count the profile and the shape are read from."""
-    x, n, v = F.col("number"), F.col("n"), F.col("value")
-    filled = v.isNotNull()
-    return judged.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        _rows_where(~filled).alias("missing"),
-        F.count("value").alias("distinct"),
-        F.sum("n_spaced").cast("bigint").alias("spaced_all"),
-        _rows_where(x.isNotNull()).alias("n_number"),
-        _rows_where(F.col("with_text")).alias("with_text"),
-        _rows_where(F.col("currency")).alias("n_currency"),
-        _rows_where(F.col("flag")).alias("n_flag"),
-        _rows_where(F.col("date")).alias("n_date"),
-        _rows_where(F.col("year").between(1900, 2100)).alias("n_plausible"),
-        F.sum(F.when(~filled, F.col("n_spaced")).otherwise(0)).alias("spaced_blank"),
-        F.min("number").alias("lo"), F.max("number").alias("hi"),
-        F.sum(x * n).alias("total"), F.sum(x * x * n).alias("total_squares"),
-        F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias("whole"),
-        F.coalesce(F.bool_and(v.rlike("^[0-9]{3,}$")), F.lit(False)).alias("all_digits"),
-        F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"),
-        F.avg(F.length("value")).alias("avg_length"),
-    )
+# How each field of a state comes from cells and from states: the plain fields, then the sketches.
+_FIELDS = {
+    "n_rows": (lambda: F.count("*"), F.sum), "missing": (lambda: F.count_if(F.col("value").isNull()), F.sum),
+    "spaced": (lambda: F.count_if(F.col("value").isNotNull() & F.col("spaced")), F.sum), "n_number": (lambda: F.count("number"), F.sum),
+    "with_text": (lambda: F.count_if("with_text"), F.sum), "n_currency": (lambda: F.count_if("currency"), F.sum),
+    "n_flag": (lambda: F.count_if("flag"), F.sum), "n_date": (lambda: F.count_if("date"), F.sum),
+    "n_plausible": (lambda: F.count_if(F.col("year").between(1900, 2100)), F.sum), "lo": (lambda: F.min("number"), F.min), "hi": (lambda: F.max("number"), F.max),
+    "total": (lambda: N.exact_sum("number"), N.exact_sum), "total_squares": (lambda: F.sum(F.col("number") * F.col("number")), F.sum),
+    "whole": (lambda: F.bool_and(F.col("number") == F.floor("number")), F.bool_and), "all_digits": (lambda: F.bool_and(F.col("value").rlike("^[0-9]{3,}$")), F.bool_and),
+    "shortest": (lambda: F.min(F.length("value")), F.min), "longest": (lambda: F.max(F.length("value")), F.max),
+}
+_SKETCHES = {"values_seen": (lambda: F.hll_sketch_agg("value"), F.hll_union_agg), "numbers_seen": (lambda: F.kll_sketch_agg_double("number"), F.kll_merge_agg_double)}
+
+
+def column_states(df: DataFrame, columns: list[str], sketches: bool = False) -> DataFrame:
+    """One mergeable row per column; with `sketches` also of the distinct values and the numbers' ranks."""
+    fields = _FIELDS | (_SKETCHES if sketches else {})
+    return judged_cells(df, columns).groupBy("column").agg(*[make().alias(k) for k, (make, _) in fields.items()])
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """The states of several parts of a table as that of the whole."""
+    fields = {k: v for k, v in (_FIELDS | _SKETCHES).items() if k in states.columns}
+    return states.groupBy("column").agg(*[merge(k).alias(k) for k, (_, merge) in fields.items()])
+
+
+def estimates(states: DataFrame) -> DataFrame:
+    """What the sketches of a state tell: about how many values differ, and about where the quartiles lie."""
+    quartiles = F.when(F.col("n_number") > 0, F.kll_sketch_get_quantile_double("numbers_seen", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    return states.select("column", F.hll_sketch_estimate("values_seen").alias("about_distinct"), quartiles.alias("about_quartiles"))
+
+
+def value_facts(counts: DataFrame) -> DataFrame:
+    """Per column the exact number of values and their mean length."""
+    return counts.groupBy("column").agg(F.count("value").alias("distinct"), F.avg(F.length("value")).alias("avg_length"))
+
+
+def column_statistics(states: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per column with everything the profile and the shape are read from.
+
+    The values are grouped only where a result needs `distinct` or `avg_length`; otherwise Spark
+    drops the join.
+    """
+    cleaned = states.withColumns({"whole": F.coalesce("whole", F.lit(False)), "all_digits": F.coalesce("all_digits", F.lit(False))})
+    return cleaned.join(value_facts(counts), "column", "left")
+
+
+def statistics_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    return column_statistics(column_states(df, columns), value_counts(df, columns))
 
 
 def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,46 +121,42 @@ def with_types(statistics: DataFrame) -> DataFrame:
     return statistics.select("*", kind.alias("type"), filled.alias("filled"))
 
 
-def outlier_counts(judged: DataFrame, k: float = 1.5) -> DataFrame:
-    """Per column how many rows lie outside the quartile fences."""
-    numbers = judged.where("number is not null").groupBy("column", "number").agg(F.sum("n").alias("n"))
-    fences = exact_quantiles(numbers, ["column"], "number", [0.25, 0.75], "n", few_keys=True)
+def outlier_counts(numbers: DataFrame, k: float = 1.5) -> DataFrame:
+    """Per column how many of its numbers, (column, number) rows, lie outside the quartile fences."""
+    fences = exact_quantiles(numbers, ["column"], "number", [0.25, 0.75], few_keys=True)
     reach = (F.col("q1") - F.col("q0")) * k
     outside = (F.col("number") < F.col("q0") - reach) | (F.col("number") > F.col("q1") + reach)
     # One row per column of the table on the right.
-    return numbers.join(F.broadcast(fences), "column").groupBy("column").agg(
-        F.coalesce(F.sum(F.when(outside & (F.col("total") >= MIN_OUTLIER_VALUES), F.col("n"))), F.lit(0)).alias("outliers"))
+    return numbers.join(F.broadcast(fences), "column").groupBy("column").agg(F.count_if(outside & (F.col("total") >= MIN_OUTLIER_VALUES)).alias("outliers"))
 
 
-def samples(judged: DataFrame, k: int = 5) -> DataFrame:
+def samples(counts: DataFrame, k: int = 5) -> DataFrame:
     """The k smallest distinct values of every column.
 
     A rank filter this small is applied inside each map task before anything is moved.
     """
     first = Window.partitionBy("column").orderBy("value")
-    top = judged.where("value is not null").select("column", "value", F.row_number().over(first).alias("r"))
+    top = counts.where("value is not null").select("column", "value", F.row_number().over(first).alias("r"))
     return top.where(F.col("r") <= k).groupBy("column").agg(
         F.array_join(F.sort_array(F.collect_list("value")), "|").alias("samples"))
 
 
-def inconsistent_case(judged: DataFrame) -> DataFrame:
+def inconsistent_case(counts: DataFrame) -> DataFrame:
     """Columns where two values differ only in case."""
-    return judged.where("value is not null").groupBy("column", F.lower("value").alias("folded")).agg(
+    return counts.where("value is not null").groupBy("column", F.lower("value").alias("folded")).agg(
         F.count("*").alias("spellings")).where("spellings > 1").groupBy("column").agg(
         F.count("*").alias("folded_values"))
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column."""
-    return profile_of(judged_counts(df, columns))
-
-
-def profile_of(judged: DataFrame) -> DataFrame:
-    typed = with_types(column_statistics(judged))
+def profile(df: DataFrame, columns: list[str], statistics: DataFrame | None = None) -> DataFrame:
+    """One row per column; `statistics` are those of the table where they are already at hand."""
+    counts = value_counts(df, columns)
+    typed = with_types(statistics if statistics is not None else statistics_of(df, columns))
+    numbers = judged_cells(df, columns).where("number is not null").select("column", "number")
     numeric = F.col("type").isin("number", "currency")
     # Every frame joined here has at most one row per column.
-    joined = typed.join(outlier_counts(judged), "column", "left").join(samples(judged), "column", "left").join(
-        inconsistent_case(judged), "column", "left")
+    joined = typed.join(outlier_counts(numbers), "column", "left").join(samples(counts), "column", "left").join(
+        inconsistent_case(counts), "column", "left")
     return joined.select(
         "column", "type", "n_rows", "missing",
         F.floor(F.col("missing") / F.col("n_rows") * 100 + 0.5).cast("bigint").alias("missing_pct"),
@@ -156,7 +165,7 @@ def profile_of(judged: DataFrame) -> DataFrame:
         F.when(numeric, F.col("hi")).alias("max"),
         F.when(numeric, N.round_half_up(F.col("total") / F.col("n_number"), 4)).alias("mean"),
         F.coalesce("samples", F.lit("")).alias("samples"),
-        (F.col("spaced_all") - F.col("spaced_blank")).alias("whitespace"),
+        F.col("spaced").alias("whitespace"),
         F.col("with_text").alias("numeric_with_text"),
         F.when(numeric, F.coalesce("outliers", F.lit(0))).otherwise(0).alias("outliers"),
         ((F.col("type") == "category") & (F.coalesce("folded_values", F.lit(0)) > 0)).alias("inconsistent_case"),

@@ -12,7 +12,7 @@ from tallyloom.functions import numbers as N
 from tallyloom.functions.strings import trimmed
 from tallyloom.operators.formats import quoted
 from tallyloom.session import materialise
-from tallyloom.operators.profile import column_statistics, judged_counts, with_types
+from tallyloom.operators.profile import statistics_of, with_types
 
 # Name hints. They order equals and never make a role on their own.
 HINT_MONEY = "(?i)(revenue|sales|amount|price|cost|profit|margin|spend|budget|value|fee|charge|payment|total|salary|income)"
@@ -25,12 +25,12 @@ NAME_PROFIT = r"(?i)(^|[_\s])(profit|margin|net[_\s]?income|earnings|gross[_\s]?
 MAX_SCALE_RATIO = 50
 
 
-def column_evidence(df: DataFrame, columns: list[str], judged: DataFrame | None = None) -> DataFrame:
+def column_evidence(df: DataFrame, columns: list[str], statistics: DataFrame | None = None) -> DataFrame:
     """Per column: coverage, distinctness, date and code checks, spread.
 
-    `judged` is the table's value counts where they are already at hand.
+    `statistics` are those of the table where they are already at hand.
     """
-    typed = with_types(column_statistics(judged if judged is not None else judged_counts(df, columns)))
+    typed = with_types(statistics if statistics is not None else statistics_of(df, columns))
     filled, n = F.col("filled"), F.col("n_number")
     mean = F.col("total") / n
     variance = F.greatest(F.col("total_squares") / n - mean * mean, F.lit(0.0))
@@ -124,11 +124,11 @@ def separation(df: DataFrame, dimensions: list[str], measure: Column) -> DataFra
         F.when(F.max("k") < 2, 0.0).otherwise(N.round_half_up(F.coalesce(spread, F.lit(0.0)), 3)).alias("separation"))
 
 
-def ranked_columns(df: DataFrame, columns: list[str], judged: DataFrame | None = None) -> DataFrame:
+def ranked_columns(df: DataFrame, columns: list[str], statistics: DataFrame | None = None) -> DataFrame:
     """Every column with its role, traits, score and rank within the role."""
     c, name = F.col, F.col("column")
     # One row per column, read three times below.
-    traits = materialise(measure_traits(classify(column_evidence(df, columns, judged))), "traits")
+    traits = materialise(measure_traits(classify(column_evidence(df, columns, statistics))), "traits")
     moves = F.least(c("variation"), F.lit(1.5)) / 1.5
     hint = F.when(name.rlike(HINT_MONEY), 0.002).otherwise(0.0)
     measure_score = (

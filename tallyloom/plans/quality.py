@@ -72,10 +72,22 @@ def _(spark, sf):
     return PR.profile(messy(spark, sf), MESSY_TEXT)
 
 
+@query("c1_merged_states", f"""with {JUDGED_SQL} select col as "column", n_rows, missing, coalesce(spaced, 0) as spaced, coalesce(n_number, 0) as n_number,
+  coalesce(with_text, 0) as with_text, coalesce(n_currency, 0) as n_currency, coalesce(n_flag, 0) as n_flag, coalesce(n_date, 0) as n_date, lo, hi, shortest, longest from stats""")
+def _(spark, sf):
+    """The profile of a table from the states of its parts, as after appends."""
+    rows = messy(spark, sf)
+    part = F.pmod(F.xxhash64("order_key"), F.lit(3))
+    states = None
+    for k in range(3):
+        one = PR.column_states(rows.where(part == k), MESSY_TEXT, sketches=True)
+        states = one if states is None else states.unionByName(one)
+    return PR.merge_states(states).select("column", "n_rows", "missing", "spaced", "n_number", "with_text", "n_currency", "n_flag", "n_date", "lo", "hi", "shortest", "longest")
+
+
 @query("c2_type_inference", f"""with {JUDGED_SQL} select col as "column", type from typed""")
 def _(spark, sf):
-    judged = PR.judged_values(PR.value_counts(messy(spark, sf), MESSY_TEXT))  # read once, so never written
-    return PR.with_types(PR.column_statistics(judged)).select("column", "type")
+    return PR.with_types(PR.statistics_of(messy(spark, sf), MESSY_TEXT)).select("column", "type")
 
 
 _NUMERIC_LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_skewed"]
@@ -90,7 +102,7 @@ def _(spark, sf):
     wide = load(spark, sf, "lineitem").selectExpr(
         "l_quantity", "l_extendedprice", "l_discount", "l_extendedprice * l_quantity * l_quantity as l_skewed")
     long = wide.unpivot([], _NUMERIC_LINES, "column", "number")
-    return PR.outlier_counts(long.groupBy("column", "number").agg(F.count("*").alias("n")))
+    return PR.outlier_counts(long)
 
 
 @query("c4_zscore_outliers", """with x as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice * l_quantity as x from lineitem),

@@ -12,7 +12,7 @@ from tallyloom.session import materialise
 
 
 def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    return PR.with_types(PR.column_statistics(PR.judged_values(PR.value_counts(df, columns)))).select("column", "type")
+    return PR.with_types(PR.statistics_of(df, columns)).select("column", "type")
 
 
 def append_problems(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def ingest(df: DataFrame, steps: list[clean.Step] = (), zone: str = "UTC") -> In
     cleaned = materialise(clean.apply_recipe(df, list(steps)), "cleaned")
     columns = cleaned.columns
     rows = materialise(formats.normalise_columns(cleaned, columns, formats.detect_formats(cleaned, columns), zone), "rows")
-    judged = PR.judged_counts(rows, columns)
-    profile = materialise(PR.profile_of(judged), "profile")
+    statistics = materialise(PR.statistics_of(rows, columns), "statistics")
+    profile = materialise(PR.profile(rows, columns, statistics), "profile")
     issues = materialise(PR.quality_issues(rows, columns, profile), "issues")
     return Ingested(rows, clean.applied_log(df, list(steps)), formats.format_notes(cleaned, columns, zone), profile, issues,
-                    PR.quality_score(issues), SH.ranked_columns(rows, columns, judged), fingerprint(rows))
+                    PR.quality_score(issues), SH.ranked_columns(rows, columns, statistics), fingerprint(rows))
