@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,6 +19,7 @@ from tallyloom.functions.dates import day_of
 from tallyloom.functions.numbers import exact_sum, round2, round_half_up
 from tallyloom.functions.strings import row_identity, tidy_key
 from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.operators.shapley import explain
 from tallyloom.session import materialise
 
 # --- value tiers ------------------------------------------------------------------------------------
@@ -95,31 +99,71 @@ def rfm(df: DataFrame, customer: str, date: str, order: str | None, revenue: str
 MIN_CUSTOMERS_TO_CLUSTER = 50
 MIN_SILHOUETTE = 0.15
 CLUSTER_RANGE = range(2, 7)
+MAX_SILHOUETTE_SAMPLE, STARTS = 10_000, 3
+
+
+def silhouettes(rows: DataFrame, labels: list[str], features: str) -> dict[str, float]:
+    """The mean silhouette of each labelling, by plain distances between all pairs of a sample.
+
+    The sample is at most MAX_SILHOUETTE_SAMPLE rows, by a hash of the row's `member`; up to that
+    many rows it is all of them. It is sent to every task, which compares its share of it.
+    """
+    sample = materialise(rows.orderBy(F.xxhash64("member"), "member").limit(MAX_SILHOUETTE_SAMPLE).select(features, *labels), "sample")
+    whole = sample.toArrow()  # bounded: MAX_SILHOUETTE_SAMPLE rows
+    points = np.array(whole.column(features).to_pylist(), np.float64)
+    given = {c: whole.column(c).to_numpy() for c in labels}
+    held = rows.sparkSession.sparkContext.broadcast((points, given))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, given = held.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                mine = np.array(part.column(0).to_pylist(), np.float64)
+                far = np.sqrt(((mine[:, None, :] - points[None]) ** 2).sum(axis=2))
+                out = []
+                for c in labels:
+                    own = part.column(c).to_numpy()
+                    kinds, place = np.unique(given[c], return_inverse=True)
+                    sums = far @ (place[:, None] == np.arange(len(kinds)))
+                    sizes = np.bincount(place, minlength=len(kinds))
+                    at = np.searchsorted(kinds, own)
+                    within = sums[np.arange(len(own)), at] / np.maximum(sizes[at] - 1, 1)
+                    means = sums / sizes
+                    means[np.arange(len(own)), at] = np.inf
+                    outside = means.min(axis=1)
+                    score = (outside - within) / np.maximum(np.maximum(within, outside), 1e-300)
+                    out.append(np.where((sizes[at] == 1) | ~np.isfinite(outside), 0.0, score))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=labels)
+
+    dealt = sample.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    one = dealt.mapInArrow(run, ", ".join(f"{c} double" for c in labels)).agg(*[F.avg(c).alias(c) for c in labels]).first()
+    return {c: one[c] or 0.0 for c in labels}
 
 
 def cluster(table: DataFrame, seed: int = 42) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Customers of an RFM table with a `cluster`, and the separation each count of clusters reached.
 
-    The separation uses squared distances, so its floor is not that of a plain silhouette.
+    Of several seeded starts of each count the tightest is kept; the separation is a silhouette
+    by plain distances, which its floor is made for.
     """
     logged = table.select("*", *[F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))).alias(f"_{c}")
                                  for c in ("recency_days", "frequency", "monetary")])
     raw = VectorAssembler(inputCols=["_recency_days", "_frequency", "_monetary"], outputCol="_raw").transform(logged)
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(raw).transform(raw)
     scaled = materialise(scaled, "scaled")  # read by every fit
-    judge, scores, best = ClusteringEvaluator(featuresCol="features", predictionCol="cluster"), [], None
     customers = scaled.count()
-    for k in CLUSTER_RANGE:
-        if customers < MIN_CUSTOMERS_TO_CLUSTER or k >= customers:
-            break
-        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(scaled).transform(scaled)
-        score = judge.evaluate(labelled)
-        scores.append((k, score))
-        if best is None or score > best[0]:
-            best = (score, labelled)
-    if best is None or best[0] < MIN_SILHOUETTE:
+    counts = [k for k in CLUSTER_RANGE if k < customers] if customers >= MIN_CUSTOMERS_TO_CLUSTER else []
+    labelled = scaled.withColumn("member", F.col(table.columns[0])).withColumn("point", vector_to_array("features"))
+    for k in counts:
+        fits = [KMeans(k=k, seed=seed + start, featuresCol="features", predictionCol=f"cluster_{k}").fit(scaled) for start in range(STARTS)]
+        labelled = min(fits, key=lambda fit: fit.summary.trainingCost).transform(labelled)
+    found = silhouettes(labelled, [f"cluster_{k}" for k in counts], "point") if counts else {}
+    scores = [(k, found[f"cluster_{k}"]) for k in counts]
+    best = max(scores, key=lambda s: (s[1], -s[0]), default=None)
+    if best is None or best[1] < MIN_SILHOUETTE:
         return table.withColumn("cluster", F.lit(None).cast("int")), scores
-    return best[1].select(*table.columns, "cluster"), scores
+    return labelled.select(*table.columns, F.col(f"cluster_{best[0]}").alias("cluster")), scores
 
 
 def describe_clusters(clustered: DataFrame) -> DataFrame:
@@ -288,7 +332,7 @@ def churn_scores(rows: DataFrame, threshold: float = 0.5, seed: int = 42) -> tup
         (hit / F.nullif(F.count_if(at_risk), F.lit(0))).alias("precision"),
         (hit / F.nullif(F.count_if(F.col("churned") == 1), F.lit(0))).alias("recall"), F.count("*").alias("test_customers"),
         F.avg("churned").alias("test_churn_rate"))
-    scored = with_factors(_risk(model, churn_features(rows, cuts["end"])), model, train)
+    scored = with_factors(_risk(model, churn_features(rows, cuts["end"])), model)
     high = F.col("risk") >= threshold
     today = scored.agg(
         F.count("*").alias("customers"), F.count_if(high).alias("high_risk_customers"),
@@ -302,24 +346,18 @@ def _empty_summary(reason: DataFrame) -> DataFrame:
     return reason if "auc" in reason.columns else reason.withColumn("auc", F.lit(None).cast("double"))
 
 
-def with_factors(scored: DataFrame, model, train: DataFrame, top: int = 3) -> DataFrame:
-    """The features that move each customer's risk most.
+def with_factors(scored: DataFrame, model, top: int = 3) -> DataFrame:
+    """The features that move each customer's risk most, by their Shapley values.
 
-    Impact is how far the risk falls when the feature alone is set to its training median:
-    a replacement test on the same model, computed row by row with no further shuffle.
+    A feature's value is its fair share of how far the customer's margin is from the mean, over
+    all orders in which the features could become known; the values of a row add up to just that.
     """
-    # Six numbers; the sketch is as exact as its accuracy asks for.
-    medians = train.agg(*[F.percentile_approx(f, 0.5, F.lit(10000)).alias(f) for f in FEATURES]).first()
-    out = scored
-    for f in FEATURES:
-        replaced = out.withColumn("_kept", F.col(f)).withColumn(f, F.lit(medians[f])).withColumnRenamed("risk", "_risk")
-        out = _risk(model, replaced).withColumn(f"_impact_{f}", F.col("_risk") - F.col("risk")).withColumn(f, F.col("_kept")).withColumn(
-            "risk", F.col("_risk")).drop("_kept", "_risk")
+    out = explain(scored, FEATURES, model)
     impacts = F.sort_array(F.array(*[F.struct(
-        F.abs(f"_impact_{f}").alias("size"), F.lit(f).alias("feature"), F.col(f"_impact_{f}").alias("impact")) for f in FEATURES]), asc=False)
+        F.abs(F.get("shapley", F.lit(i))).alias("size"), F.lit(f).alias("feature"), F.get("shapley", F.lit(i)).alias("impact")) for i, f in enumerate(FEATURES)]), asc=False)
     named = F.transform(F.slice(impacts, 1, top), lambda x: F.concat(
         x["feature"], F.when(x["impact"] > 0, " raises").otherwise(" lowers")))
-    return out.withColumn("factors", F.array_join(named, ", ")).drop(*[f"_impact_{f}" for f in FEATURES])
+    return out.withColumn("factors", F.array_join(named, ", ")).drop("shapley")
 
 
 def status_row(frame: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:

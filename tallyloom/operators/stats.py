@@ -5,8 +5,11 @@ Series have one row per period, so a window over one series is as long as its hi
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
@@ -18,6 +21,8 @@ from tallyloom.operators.formats import quoted
 from tallyloom.operators.metrics import number
 from tallyloom.operators.quantiles import approx_quantiles, exact_quantiles
 
+#: Columns whose products are taken at once.
+BLOCK = 64
 THRESHOLD = 3.5
 MAD_TO_SD = 0.6745
 
@@ -78,33 +83,64 @@ def correlate_metric(df: DataFrame, schema: SchemaMap, metric, columns: list[str
     return found if limit is None else found.limit(limit)
 
 
+def pair_sums(numbers: DataFrame, columns: list[str], centres: list[float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every pair of columns over the rows that have both.
+
+    A task takes the products of its rows' matrix with itself, BLOCK columns at a time, and sends
+    one row for each pair, whatever its number of rows. Values are taken from their column's
+    centre, so that the sums of squares keep their places.
+    """
+    blocks = [list(range(k, min(k + BLOCK, len(columns)))) for k in range(0, len(columns), BLOCK)]
+    middle = np.array(centres, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(p, q): np.zeros((6, len(blocks[p]), len(blocks[q]))) for p in range(len(blocks)) for q in range(p, len(blocks))}
+        for batch in batches:
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns], axis=1) - middle
+            there = np.isfinite(x)
+            x[~there] = 0
+            there = there.astype(np.float64)
+            for (p, q), held in sums.items():
+                a, b, m, w = x[:, blocks[p]], x[:, blocks[q]], there[:, blocks[p]], there[:, blocks[q]]
+                held += np.stack([m.T @ w, a.T @ w, m.T @ b, (a * a).T @ w, m.T @ (b * b), a.T @ b])
+        for (p, q), held in sums.items():
+            i, j = np.meshgrid(blocks[p], blocks[q], indexing="ij")
+            keep = (i < j) & (held[0] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), *(pa.array(h[keep]) for h in held)],
+                                             names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    found = numbers.mapInArrow(run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return found.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
 def correlate_columns(df: DataFrame, columns: list[str], min_sample: int = 5, numeric_share: float = 0.6) -> DataFrame:
-    """Correlation of every pair of numeric columns, in one pass over the rows."""
+    """Correlation of every pair of numeric columns over the rows that have both, however many columns."""
     def as_number(c):
         cell = F.col(quoted(c))
         return cell.cast("double") if isinstance(df.schema[c].dataType, NumericType) else association_number(cell)
 
-    present = [F.count_if(F.col(quoted(c)).isNotNull() & (F.col(quoted(c)).cast("string") != "")).alias(f"present_{c}")
-               for c in columns]
-    read = df.select("*", *[as_number(c).alias(f"_x_{c}") for c in columns])
-    pairs = list(combinations(columns, 2))
-    numbers = [F.count(F.col(quoted(f"_x_{c}"))).alias(f"numeric_{c}") for c in columns]
-    one = read.agg(
-        *present, *numbers,
-        *[F.corr(F.col(quoted(f"_x_{a}")), F.col(quoted(f"_x_{b}"))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.regr_count(F.col(quoted(f"_x_{a}")), F.col(quoted(f"_x_{b}"))).alias(f"n{i}") for i, (a, b) in enumerate(pairs)])
-
-    def numeric(c):
-        return F.col(quoted(f"numeric_{c}")) >= F.greatest(F.col(quoted(f"present_{c}")) * numeric_share, F.lit(1.0))
-
-    rows = one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("sample_size"),
-                 (numeric(a) & numeric(b)).alias("numeric")) for i, (a, b) in enumerate(pairs)])))
+    counted = df.agg(*[a for i, c in enumerate(columns) for a in (
+        F.count_if(F.col(quoted(c)).isNotNull() & (F.col(quoted(c)).cast("string") != "")).alias(f"present{i}"),
+        F.count(as_number(c)).alias(f"numeric{i}"), F.avg(as_number(c)).alias(f"centre{i}"))]).first()  # one row
+    usable = [i for i in range(len(columns)) if counted[f"numeric{i}"] >= max(counted[f"present{i}"] * numeric_share, 1.0)]
+    names = [columns[i] for i in usable]
+    finite = [c if c is not None and math.isfinite(c) else 0.0 for c in (counted[f"centre{i}"] for i in usable)]
+    schema = "a string, b string, coefficient double, sample_size long, strength string, direction string"
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    sums = pair_sums(df.select(*[as_number(c).alias(f"x{i}") for i, c in enumerate(names)]), names, finite)
+    def spread(s, ss):  # what is left of a constant is rounding
+        left = F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+        return F.when(left > F.col(ss) * 1e-12, left).otherwise(0.0)
+
+    r = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(spread("sx", "sxx") * spread("sy", "syy")))
+    listed = F.array(*[F.lit(c) for c in names])
+    rows = sums.select(F.get(listed, F.col("i")).alias("a"), F.get(listed, F.col("j")).alias("b"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"), F.col("n").cast("bigint").alias("sample_size"))
     size = F.abs("r")
     strength = (F.when(size >= 0.8, "very strong").when(size >= 0.6, "strong").when(size >= 0.4, "moderate")
                 .when(size >= 0.2, "weak").otherwise("negligible"))
-    usable = F.col("numeric") & (F.col("sample_size") >= min_sample) & F.col("r").isNotNull() & ~F.isnan("r")
-    return rows.where(usable).select(
+    told = (F.col("sample_size") >= min_sample) & F.col("r").isNotNull() & ~F.isnan("r")
+    return rows.where(told).select(
         "a", "b", round_half_up(F.col("r"), 3).alias("coefficient"), "sample_size", strength.alias("strength"),
         F.when(size < 0.2, "none").when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"))
 

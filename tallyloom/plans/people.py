@@ -54,6 +54,28 @@ def _(spark, sf):
     return CU.describe_clusters(CU.cluster(_rfm(spark, sf))[0])
 
 
+def _average_rank(column, order=""):
+    return f"(rank() over (order by {column}{order}) + (count(*) over (partition by {column}) - 1) / 2.0)"
+
+
+def _unit(column):
+    return f"case when max({column}) over () > min({column}) over () then ({column} - min({column}) over ()) / (max({column}) over () - min({column}) over ()) else 0.5 end"
+
+
+@query("o5_described_segments", f"""with {SALES_SQL}, r as (select customer_id, (select max(date) from sales) - max(date) as recency_days, count(distinct order_id) as frequency, {O.r2('sum(revenue)')} as monetary from sales group by 1),
+c as (select (customer_id % 4 + case when monetary > 2000000 then 4 else 0 end)::int as cluster, count(*) as size, avg(recency_days) as recency_days, avg(frequency) as frequency, avg(monetary) as monetary, sum(monetary) as revenue from r group by 1),
+k as (select *, {_average_rank('recency_days', ' desc')} as r_, {_average_rank('frequency')} + {_average_rank('monetary')} as fm from c),
+v as (select *, {_average_rank('fm')} as v_ from k), u as (select *, {_unit('r_')} as recent, {_unit('v_')} as worth from v),
+n as (select *, case when recent >= 0.6 and worth >= 0.6 then 'Champions' when recent >= 0.6 and worth <= 0.4 then 'New' when recent <= 0.4 and worth >= 0.6 then 'At risk'
+  when recent <= 0.4 and worth <= 0.4 then 'Hibernating' else 'Loyal' end as name_ from u)
+select cluster, case when count(*) over (partition by name_) > 1 then name_ || ' ' || row_number() over (partition by name_ order by monetary desc, cluster) else name_ end as name, size,
+  {O.r2('revenue')} as revenue, {O.half_up('revenue / sum(revenue) over ()', 4)} as revenue_share, {O.half_up('recency_days', 1)} as recency_days, {O.r2('frequency')} as frequency, {O.r2('monetary')} as monetary from n""")
+def _(spark, sf):
+    """The description over a grouping that SQL can make too."""
+    grouped = _rfm(spark, sf).withColumn("cluster", (F.col("customer_id") % 4 + F.when(F.col("monetary") > 2_000_000, 4).otherwise(0)).cast("int"))
+    return CU.describe_clusters(grouped)
+
+
 # --- churn --------------------------------------------------------------------------------------------------
 
 
