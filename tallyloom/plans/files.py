@@ -187,16 +187,16 @@ def _event_stream(spark, sf):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_CLOSED = "where day + interval 2 day <= (select max(ts) from events)"
 _DAILY = f"daily as (select cast(ts as date) as day, event_type, {O.r2('sum(value)')} as value, count(*) as n from events group by 1, 2)"
 
 
-@query("r4_period_totals", f"with {_DAILY} select cast(day as varchar) as day, event_type, value, n from daily {_CLOSED}")
+@query("r4_period_totals", f"with {_DAILY} select cast(day as varchar) as day, event_type, value, n, day + interval 2 day <= (select max(ts) from events) as final from daily")
 def _(spark, sf):
     folder = _folder(spark, "r4")
     totals = ST.daily_totals(_event_stream(spark, sf), "ts", ["event_type"], "value")
     ST.write_daily_totals(totals, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return ST.read_batches(spark, f"{folder}/out").select(F.col("day").cast("string").alias("day"), "event_type", round2(F.col("value")).alias("value"), "n")
+    days = ST.read_daily_totals(spark, f"{folder}/out", ["event_type"])
+    return days.select(F.col("day").cast("string").alias("day"), "event_type", round2(F.col("value")).alias("value"), "n", "final")
 
 
 _R2_RULES = [(1, "click", "GT", 900.0), (2, "error", "GT", 900.0), (3, "purchase", "LT", 700.0), (4, "view", "GTE", 1.0), (5, "view", "GT", 1e12)]
@@ -204,22 +204,18 @@ _R2_RULES = [(1, "click", "GT", 900.0), (2, "error", "GT", 900.0), (3, "purchase
 
 @query("r2_threshold_rules", f"""with {_DAILY}, r(rule_id, metric, comparator, threshold) as (values {', '.join(str(r) for r in _R2_RULES)}),
 h as (select rule_id, metric, day, value, row_number() over (partition by rule_id order by day) as k from daily join r on metric = event_type and case comparator when 'LT' then value < threshold when 'GTE' then value >= threshold else value > threshold end
-  {_CLOSED} and rule_id <> 2)
+  where rule_id <> 2)
 select rule_id, metric, cast(day as varchar) as day, value from h where k = 1""")
 def _(spark, sf):
     folder = _folder(spark, "r2")
     totals = ST.daily_totals(_event_stream(spark, sf), "ts", ["event_type"], "value")
-    metrics = totals.select(F.col("event_type").alias("metric"), "day", "value")
+    metrics = totals.select(F.col("event_type").alias("metric"), "day", "value", "latest")
     rules = spark.createDataFrame(_R2_RULES, "rule_id int, metric string, comparator string, threshold double")
-    first = spark.createDataFrame([(2, -1)], "rule_id int, batch int")
-    first.write.parquet(f"{folder}/alerts/part=start")  # rule 2 already has an open alert
-
-    def opened():
-        return spark.read.option("basePath", f"{folder}/alerts").schema("rule_id int, batch int").parquet(f"{folder}/alerts").drop("part")
-
-    ST.threshold_alerts(metrics, rules, opened, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
-    alerts = spark.read.schema("rule_id int, metric string, day date, value double, batch int").parquet(f"{folder}/alerts").where("batch >= 0")
-    return alerts.select("rule_id", "metric", F.col("day").cast("string").alias("day"), round2(F.col("value")).alias("value"))
+    opened = spark.createDataFrame([(2,)], "rule_id int")  # rule 2 already has an open alert
+    job = ST.threshold_alerts(metrics, rules, opened, folder, f"{folder}/checkpoint")
+    job.awaitTermination()
+    ST.close_alerts(spark, rules, folder, job)  # the table of events is all there is
+    return ST.read_batches(spark, f"{folder}/alerts").select("rule_id", "metric", F.col("day").cast("string").alias("day"), round2(F.col("value")).alias("value"))
 
 
 @query("r3_score_upsert", f"with {_SAVED_SQL} select series, period, predicted, actual, abs_error, pct_error, within_band from scored")
@@ -227,10 +223,8 @@ def _(spark, sf):
     folder = _folder(spark, "r3")
     history = many_series(spark, sf)
     points = _saved(spark, sf, history)
-    job = None
-    for part, months in enumerate((F.col("period") <= "2000-06", F.col("period") > "2000-06")):
+    for months in (F.col("period") <= "2000-06", F.col("period") > "2000-06"):
         history.where(months).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(history.schema).parquet(f"{folder}/in")
-        job = ST.score_arrivals(stream, points, ["series"], folder, f"{folder}/checkpoint")
-        job.awaitTermination()
-    return ST.latest_scores(spark, folder, job).select("series", "period", "predicted", "actual", "abs_error", "pct_error", "within_band")
+        ST.score_arrivals(stream, points, ["series"], folder, f"{folder}/checkpoint").awaitTermination()
+    return ST.latest_scores(spark, folder, ["series"]).select("series", "period", "predicted", "actual", "abs_error", "pct_error", "within_band")
