@@ -5,14 +5,26 @@ m <= n can have a Jaccard similarity of t only if m >= t * n and they share one
 n - ceil(t * n) + 1 elements in any order that is the same for all. The order puts n-grams that
 very many documents share last, so a passage found everywhere brings nobody together. By the same
 count partners share many of the first elements, so documents that share few of theirs with
-anybody are settled alone before pairs are made. Candidates share an element and meet in tiles of like size, where bitmap signatures are
-compared first: each bit is the parity of the elements hashed to it, so the number of differing
-bits bounds the number of differing elements from below and the overlap from above. Pairs that
-this bound leaves are decided by intersecting the sorted arrays.
+anybody are settled alone before pairs are made.
+
+The classes left meet in size-banded tiles. Sizes are cut into bands so that partners are of one
+band or of neighbouring ones; a class takes part in its own band and in the next. Partners in a
+band differ in at most d elements. The elements are dealt by a hash into about twice d tiles, so
+many tiles of two partners hold the very same elements: (band, tile, hash of its elements) is the
+key they meet by. As partners have a known number c of keys in common, a class that shares fewer
+has none, and each may leave its c - 1 most frequent keys out: sets that share a good part but not
+enough of their elements rarely meet. A class with so many empty tiles that this count fails for it
+meets the others by the first elements instead. Candidates are compared by bitmap signatures as wide as their sets:
+each bit is the parity of the elements hashed to it, so the number of differing bits bounds the
+number of differing elements from below and the overlap from above. Pairs that this bound leaves
+are decided by intersecting the sorted arrays.
 
 A large group of near copies would be quadratic. So links are sought in two rounds: each class
-first tries one partner, the closest by signature among the smallest members of its groups.
-Only pairs between different components of that round's links are then compared further.
+first tries one partner, the closest by signature among the hubs of its groups. A group's hub is
+the member whose keys are the most frequent ones, so of copies of one text the text that is
+nearest to all of them, if it is there.
+Only pairs between different components of that round's links are then compared further; keys
+with the same members count once there.
 """
 
 from __future__ import annotations
@@ -22,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -33,8 +45,10 @@ from tallyloom.session import materialise
 FREQUENT = 1 << 16
 #: A task reports the elements that this many of about `WINDOW` / set size documents share.
 SEEN, WINDOW = 4, 2_000_000
-#: Words of 64 bits in the short signature.
-SHORT = 8
+#: Tiles beyond those that partners can differ in: a share of them and a number.
+SPARE = 1.0, 4
+#: Words of 64 bits in a signature that a join compares first, and at most in one that it compares then.
+SHORT, WIDE = 8, 128
 #: Bits of the filter that tells which documents' arrays are wanted (1 MB).
 FILTER_BITS = 1 << 23
 
@@ -70,10 +84,53 @@ def bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def short_bitmap(elements: np.ndarray) -> list[int]:
-    """The same for a fixed number of bits, as whole numbers that a join condition can compare."""
-    parity = np.bincount((elements & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT).astype(np.uint8) & 1
-    return np.packbits(parity, bitorder="little").view(np.int64).tolist()
+def signature(elements: np.ndarray) -> np.ndarray:
+    """The bitmap with at least two bits for each element (but SHORT to WIDE words), as whole numbers for a join."""
+    words = SHORT
+    while 64 * words < 2 * len(elements) and words < WIDE:
+        words *= 2
+    parity = np.bincount((elements & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.int64)
+
+
+def far_sql(x: str, y: str) -> str:
+    """SQL for the number of differing bits of two signatures; the longer one is folded to the shorter."""
+    fold = lambda a, b: f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q), {a})"
+    return f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (u, v) -> u + v)"
+
+
+def band_edges(largest: int, num: int, den: int) -> list[int]:
+    """First sizes of the bands, beyond `largest`: a partner of a band's size is at most in the next."""
+    edges = [1]
+    while edges[-1] <= largest:
+        edges.append(edges[-1] * den // num + 1)
+    return [*edges, edges[-1] * den // num + 1]
+
+
+def tiles_of(band: int, edges: list[int], num: int, den: int) -> tuple[int, int]:
+    """(elements in which partners in a band differ at most, tiles of the band)."""
+    most = 2 * (edges[band + 1] - 1) * (den - num) // (den + num)
+    return most, most + int(most * SPARE[0]) + SPARE[1]
+
+
+def tile_keys(elements: np.ndarray, edges: list[int], num: int, den: int) -> list[tuple[int, np.ndarray, int]]:
+    """For a set's own band and the next: (band, its keys there, how many of them any partner shares).
+
+    Of the tiles of two partners at least tiles - most are equal, and those that hold elements in
+    either hold them in both, so what is left after the empty ones are shared keys.
+    """
+    own = int(np.searchsorted(edges, len(elements), "right")) - 1
+    out = []
+    scattered = mix(elements + np.uint64(0x51ED270B))
+    for band in (own, own + 1):
+        most, count = tiles_of(band, edges, num, den)
+        tile = (((scattered >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, tile, mix(scattered))
+        held = np.flatnonzero(np.bincount(tile, minlength=count))
+        keys = mix(mix(sums[held]) + held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+        out.append((band, keys, len(held) - most))
+    return out
 
 
 def differing(a: bytes, b: bytes) -> int:
@@ -97,9 +154,10 @@ class JaccardJoin:
     """Links at intersection * den >= num * union, between documents' sets of word n-grams."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100):
-        """Ids are taken as numbers; rows that share an id count as one document."""
+        """Ids are taken as numbers; rows that share an id count as one document, but for null ids."""
         self.width, self.num, self.den, self.id_col = width, num, den, id_col
-        self.texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
+        self.all = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+        self.texts = self.all.where("id is not null")
         self._read()
 
     def _read(self) -> None:
@@ -117,7 +175,7 @@ class JaccardJoin:
             for batch in slices(batches):
                 sets = element_sets(_blobs(batch.column(1)), width)
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets], short=[short_bitmap(s) for s in sets])
+                yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets], digest=batch.column(2))
                 for s in sets:
                     held.append(s)
                     if len(held) % 256 == 0 and sum(map(len, held)) >= WINDOW:
@@ -126,16 +184,17 @@ class JaccardJoin:
             if held:
                 yield frequent()
 
-        facts = materialise(self.texts.mapInArrow(run, "id long, n long, mark binary, bits binary, short array<long>, element long"), "sets")
+        told = self.all.select("id", "text", F.xxhash64("text").alias("digest"))
+        facts = materialise(told.mapInArrow(run, "id long, n long, mark binary, bits binary, digest long, element long"), "sets")
         self.sets = facts.where("element is null").drop("element")
         top = (facts.where("element is not null").groupBy("element").agg(F.sum("n").alias("n"))
                .orderBy(F.desc("n"), "element").limit(FREQUENT).toArrow())  # bounded: FREQUENT rows
         values = top.column("element").to_numpy().view(np.uint64)
         order = np.argsort(values)
         self.frequent = values[order], top.column("n").to_numpy()[order]
-        self.classes = materialise(self.sets.where("n > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("short").alias("short")), "classes")
+        self.classes = materialise(self.sets.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
-    def _groups(self) -> DataFrame:
+    def _sharing(self) -> DataFrame:
         """(element, id, n, hub): the classes that share a search element, hub the smallest of them.
 
         With p search elements, partners share as many as p (of the smaller set) of the first
@@ -166,10 +225,7 @@ class JaccardJoin:
                     [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, bool), *early]))],
                     names=["element", "id", "early"])
 
-        def by_two(rows: DataFrame) -> DataFrame:
-            return rows.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
-
-        places = self.texts.mapInArrow(run, "element long, id long, early boolean")
+        places = self.texts.mapInArrow(run, "element long, id long, early boolean").repartition("element")  # dealt once, read twice
         shared = places.join(by_two(places).select("element"), "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
         shared = materialise(shared.select("element", "id", "n", "early"), "shared")
         least = F.expr(f"({self.num} * n + {self.den - 1}) div {self.den}")  # the smallest partner's size
@@ -179,7 +235,67 @@ class JaccardJoin:
             rich = mine.groupBy("id").agg(F.count("*").alias("held"), F.first("n").alias("n")).withColumn("m", least).where(F.col("held") >= need).select("id")
             shared = materialise(mine.join(rich, "id"), "shared")
         first = shared.where("early")
-        return materialise(first.join(by_two(first), "element").select("element", "id", "n", "hub"), "groups")
+        return materialise(first.join(by_two(first), "element").select("element", "id", "n", "hub"), "sharing")
+
+    def _groups(self) -> DataFrame:
+        """(element, id, n, hub): the classes that share a tile, or, where tiles may not do, a search element."""
+        sharing = self._sharing()
+        num, den = self.num, self.den
+        self.arrays = self._arrays(sharing.select("id").distinct())
+        largest = self.classes.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+        edges = band_edges(largest, num, den)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices([batch], 128):
+                    told = [(i, len(blob) // 8, *of_band) for i, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                            for of_band in tile_keys(np.frombuffer(blob, np.uint64), edges, num, den)]
+                    ids, n, bands, keys, common = zip(*told)
+                    sizes = [len(k) for k in keys]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (ids, n, bands, common))],
+                        names=["element", "id", "n", "band", "common"])
+
+        keyed = self.arrays.mapInArrow(run, "element long, id long, n long, band long, common long")
+        tiles = keyed.repartition("element")
+        met = tiles.join(by_two(tiles).drop("hub"), "element").withColumnRenamed("n_ids", "times")
+        unsure = materialise(keyed.where("common < 1").select("id").distinct(), "unsure")
+        # of its keys in a band that others have too, a class leaves the (common - 1) most frequent ones out
+        mine = Window.partitionBy("id", "band")
+        ranked = met.withColumn("place", F.row_number().over(mine.orderBy("times", "element"))).withColumn("shared", F.count("*").over(mine)).withColumn("weight", F.sum("times").over(mine))
+        kept = materialise(ranked.where("place <= shared - greatest(common, 1) + 1").select("element", "id", "n", "weight"), "tiles")
+        kept = kept.repartition("element")
+        met = materialise(kept.join(by_two(kept).select("element"), "element"), "met")
+        hubs = met.groupBy("element").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+        met = met.join(hubs, "element").select("element", "id", "n", "hub")
+        if unsure.isEmpty():
+            return materialise(met, "groups")
+        theirs = sharing.join(unsure, "id", "left_semi").select("element").distinct()
+        return materialise(met.unionByName(sharing.join(theirs, "element").select("element", "id", "n", "hub")), "groups")
+
+    def _arrays(self, wanted: DataFrame) -> DataFrame:
+        """(id, elements): the sorted elements of the documents with the wanted ids."""
+        width = self.width
+        spark = self.texts.sparkSession
+        place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+        bit = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
+        marks = np.zeros(FILTER_BITS // 64, np.uint64)
+        words = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(bit.alias("bits"))
+        words = words.toArrow()  # bounded: FILTER_BITS bits
+        marks[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().view(np.uint64)
+        marks = spark.sparkContext.broadcast(marks)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                keep = pa.array((marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+                batch = batch.filter(keep)
+                for part in slices([batch]):
+                    sets = element_sets(_blobs(part.column(1)), width)
+                    wide = [signature(s) for s in sets]
+                    yield _rows(id=part.column(0), elements=[s.tobytes() for s in sets], short=[np.bitwise_xor.reduce(w.reshape(-1, SHORT)) for w in wide], wide=wide)
+
+        return materialise(self.texts.select("id", "text", place.alias("place")).mapInArrow(read, "id long, elements binary, short array<long>, wide array<long>").join(wanted, "id", "left_semi").where("length(elements) > 0"), "arrays")
 
     def _near(self, pairs: DataFrame, closest: bool) -> DataFrame:
         """Pairs (a, b) whose signatures allow a link; of each b only its closest, if asked."""
@@ -204,26 +320,7 @@ class JaccardJoin:
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets, intersected, reach the threshold."""
-        num, den, width = self.num, self.den, self.width
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        spark = self.texts.sparkSession
-        place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-        bit = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
-        marks = np.zeros(FILTER_BITS // 64, np.uint64)
-        words = wanted.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(bit.alias("bits"))
-        words = words.toArrow()  # bounded: FILTER_BITS bits
-        marks[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().view(np.uint64)
-        marks = spark.sparkContext.broadcast(marks)
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(2).to_numpy()
-                keep = pa.array((marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-                batch = batch.filter(keep)
-                for part in slices([batch]):
-                    yield _rows(id=part.column(0), elements=[s.tobytes() for s in element_sets(_blobs(part.column(1)), width)])
-
-        arrays = materialise(self.texts.select("id", "text", place.alias("place")).mapInArrow(read, "id long, elements binary").join(wanted, "id", "left_semi"), "arrays")
+        num, den, arrays = self.num, self.den, self.arrays
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -241,40 +338,52 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Links (a, b) between class representatives whose components are those of all links."""
         groups = self._groups()
-        first = groups.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        first = groups.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         found = self._linked(self._near(first, closest=True))
         self._labels = labels = components(found)
         named = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", F.coalesce("label", "id").alias("part"))
-        mixed = named.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("element")
-        signs = self.classes.select(F.col("rep").alias("id"), "short")
-        rest = materialise(named.join(mixed, "element").join(signs, "id"), "rest")
+        # a key counts where it brings components together; of keys with the same members one does
+        members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"m{k}") for k in (1, 2)]
+        mixed = named.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), *members).where("low < high")
+        once = mixed.groupBy("m1", "m2", "size").agg(F.min("element").alias("element")).select("element")
+        signs = self.arrays.groupBy("id").agg(F.first("short").alias("short"), F.first("wide").alias("wide"))
+        rest = materialise(named.join(once, "element").join(signs, "id"), "rest")
         if rest.isEmpty():
             return found
-        one = rest.select("element", F.col("id").alias("a"), F.col("n").alias("p"), F.col("part").alias("part_a"), F.col("short").alias("x"))
-        two = rest.select("element", F.col("id").alias("b"), F.col("n").alias("q"), F.col("part").alias("part_b"), F.col("short").alias("y"))
-        # the signatures are compared inside the join: a pair too far apart is never made
-        far = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SHORT))
-        fits = F.expr(f"part_a < part_b and least(p, q) * {self.den} >= greatest(p, q) * {self.num} "
-                      f"and ({far}) * {self.den + self.num} <= (p + q) * {self.den - self.num}")
+        one = rest.select("element", F.col("id").alias("a"), F.col("n").alias("p"), F.col("part").alias("part_a"), F.col("short").alias("x"), F.col("wide").alias("xx"))
+        two = rest.select("element", F.col("id").alias("b"), F.col("n").alias("q"), F.col("part").alias("part_b"), F.col("short").alias("y"), F.col("wide").alias("yy"))
+        # signatures are compared inside the join, the short ones first: a pair too far apart is never made
+        near = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SHORT))
+        may = f"* {self.den + self.num} <= (p + q) * {self.den - self.num}"
+        fits = F.expr(f"part_a < part_b and least(p, q) * {self.den} >= greatest(p, q) * {self.num} and ({near}) {may} and ({far_sql('xx', 'yy')}) {may}")
         more = one.join(two, "element").where(fits).select("a", "b").distinct()
         return found.unionByName(self._linked(self._near(more, closest=False)))
 
     def members(self) -> DataFrame:
-        """(id, n_shingles, component_id) for every row; a text without words is alone with size 0."""
+        """(id, n_shingles, component_id, digest) for every row; a text without words is alone with size 0.
+
+        A row with a null id is linked with nothing: its component is null. digest tells rows that
+        share an id apart by their text.
+        """
         labels = components(self.links()).withColumnRenamed("node", "rep")
         rep = self.classes.select("mark", "rep").join(labels, "rep", "left").select("mark", F.coalesce("label", "rep").alias("component_id"))
-        some = self.sets.where("n > 0").join(rep, "mark").select("id", F.col("n").alias("n_shingles"), "component_id")
-        none = self.sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        some = self.sets.where("n > 0 and id is not null").join(rep, "mark").select("id", F.col("n").alias("n_shingles"), "component_id", "digest")
+        none = self.sets.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "digest")
         return some.unionByName(none).withColumnRenamed("id", self.id_col)
 
 
+def by_two(rows: DataFrame) -> DataFrame:
+    """(element, hub, n_ids) of the elements that two ids have at least; hub is the smallest."""
+    return rows.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n_ids")).where("hub < top").drop("top")
+
+
 def _rows(**columns) -> pa.RecordBatch:
     """A batch with the given columns; `_read` needs those it leaves out as nulls."""
     out = {k: v if isinstance(v, pa.Array) else pa.array(v, _TYPES.get(k)) for k, v in columns.items()}
     if "mark" in out or set(out) == {"element", "n"}:
         n = len(next(iter(out.values())))
-        out = {k: out.get(k, pa.nulls(n, _TYPES[k])) for k in ("id", "n", "mark", "bits", "short", "element")}
+        out = {k: out.get(k, pa.nulls(n, _TYPES[k])) for k in ("id", "n", "mark", "bits", "digest", "element")}
     return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
 
-_TYPES = {"id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "bits": pa.binary(), "short": pa.list_(pa.int64()), "element": pa.int64(), "elements": pa.binary()}
+_TYPES = {"id": pa.int64(), "n": pa.int64(), "mark": pa.binary(), "bits": pa.binary(), "digest": pa.int64(), "short": pa.list_(pa.int64()), "wide": pa.list_(pa.int64()), "element": pa.int64(), "elements": pa.binary()}

@@ -119,7 +119,7 @@ reach(doc_id, other) as (select doc_id, doc_id from sizes union select doc_id, b
 select doc_id, n::bigint as n_shingles, component_id from sizes join (select doc_id, min(other) as component_id from reach group by 1) using (doc_id)
 """)
 def op7_jaccard(spark, sf_dir):
-    return jaccard.JaccardJoin(_table(spark, sf_dir, "documents")).members()
+    return jaccard.JaccardJoin(_table(spark, sf_dir, "documents")).members().drop("digest")
 
 
 @query("op8_pieces")
