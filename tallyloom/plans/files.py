@@ -13,6 +13,7 @@ from tallyloom.plans import oracle as O
 from tallyloom.plans.forecasting import _SAVED_SQL, _saved, many_series
 from tallyloom.plans.quality import TITLE_SQL
 from tallyloom.plans.registry import query
+from tallyloom.plans.scalars import _KIND_SQL, _normalised_sql
 from tallyloom.plans.views import MESSY_SQL, SALES_SCHEMA as S, load, messy, sales
 from tallyloom.session import shared_dir
 from tallyloom.sources import append as AP, readers as RD, sinks as SK
@@ -115,18 +116,22 @@ def _(spark, sf):
     return AP.append(*_two_files(spark, sf), steps)
 
 
-@query("a9_ingest")
+def _rewritten_sql(column):
+    return _normalised_sql(column, f"(rw['{column}'])", "UTC")
+
+
+@query("a9_ingest", f"""with {_KIND_SQL}, m as (select map(list(col order by col), list(rewrite order by col)) as rw from fmt where rewrite is not null)
+select {_rewritten_sql('euro_text')} as euro_text, {_rewritten_sql('dmy_text')} as dmy_text, trim(segment_text) as segment_text,
+  case when coalesce(trim(flag_text), '') = '' then 'Unknown' else flag_text end as flag_text, 4 as profiled, 1 as versions from messy, m""")
 def _(spark, sf):
     folder = _folder(spark, "a9")
     table = messy(spark, sf).select("euro_text", "dmy_text", "segment_text", "flag_text")
     taken = AP.ingest(table, [CL.Step("whitespace", "segment_text"), CL.Step("missing_values", "flag_text", "Unknown")])
-    taken.write(folder)
-    out = None
-    for part in vars(taken):
-        stored = spark.read.parquet(f"{folder}/{part}")
-        one = stored.agg(F.count("*").alias("n_rows")).select(F.lit(part).alias("part"), "n_rows", F.lit(len(stored.columns)).alias("n_columns"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    for _ in range(2):  # a run repeated is there once
+        taken.write(folder, "first")
+    stored = AP.read_ingested(spark, folder)
+    counts = [(stored["profile"], "profiled"), (AP.published(spark, folder), "versions")]
+    return stored["rows"].select("*", *[frame.agg(F.count("*").cast("int")).scalar().alias(name) for frame, name in counts])
 
 
 @query("a10_csv_export", f"""with {MESSY_SQL} select cast(order_key as varchar) as order_key, case when regexp_matches(formula_text, '^[=+\\-@]') then '''' || formula_text else formula_text end as formula_text,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.operators import clean, formats, profile as PR, shape as SH
 from tallyloom.operators.evidence import fingerprint
@@ -55,9 +55,34 @@ class Ingested:
     shape: DataFrame
     fingerprint: DataFrame
 
-    def write(self, folder: str) -> None:
+    def write(self, folder: str, run: str) -> None:
+        """All tables beside one another under the run's name, then one row that makes them current.
+
+        A failure before that row leaves readers with the version before. The same run again
+        replaces what it wrote and is current once.
+        """
+        spark = self.rows.sparkSession
         for name, frame in vars(self).items():
-            frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+            frame.write.mode("overwrite").parquet(f"{folder}/version={run}/{name}")
+        past = published(spark, folder).where(F.col("run") != run)
+        number = past.agg(F.coalesce(F.max("number") + 1, F.lit(0)).alias("number"))
+        number.select(F.lit(run).alias("run"), "number").coalesce(1).write.mode("overwrite").parquet(f"{folder}/published/at={run}")
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, number): the versions that were written to the end; the highest number is current."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "run string, number int")
+    return spark.read.schema("run string, number int").option("recursiveFileLookup", True).parquet(f"{folder}/published")
+
+
+def read_ingested(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the current version."""
+    last = published(spark, folder).orderBy(F.desc("number")).first()
+    if last is None:
+        raise FileNotFoundError(f"nothing has been taken in at {folder}")
+    return {name: spark.read.parquet(f"{folder}/version={last['run']}/{name}") for name in (f.name for f in fields(Ingested))}
 
 
 def ingest(df: DataFrame, steps: list[clean.Step] = (), zone: str = "UTC") -> Ingested:

@@ -1,5 +1,7 @@
 """Quantiles by rank, places over ranges, pages and bake-off states, on values of any distribution."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -91,3 +93,62 @@ def test_breaks_are_values_at_their_ranks(spark):
     rows = spark.createDataFrame([(float(v),) for v in [5, 1, 4, 2, 3, 9, 8, 7, 6, 10]], "value double")
     assert reshape.quantile_breaks(rows).first()[0] == [3.0, 5.0, 7.0, 9.0]
     assert reshape.quantile_breaks(spark.createDataFrame([(2.0,), (2.0,)], "value double")).first()[0] == []
+
+
+def test_a_table_is_taken_in_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from tallyloom.sources import append as AP
+
+    folder = str(tmp_path / "taken")
+    first = AP.ingest(spark.createDataFrame([("1", "x"), ("2", "y")], "n string, t string"))
+    with pytest.raises(FileNotFoundError):
+        AP.read_ingested(spark, folder)
+    first.write(folder, "a")
+    second = AP.ingest(spark.createDataFrame([("3", "z")], "n string, t string"))
+    second.score = spark.range(1).select(F.raise_error(F.lit("lost half way")).alias("score"))
+    with pytest.raises(Exception, match="lost half way"):
+        second.write(folder, "b")
+    assert sorted(r["n"] for r in AP.read_ingested(spark, folder)["rows"].collect()) == ["1", "2"]
+    second.score = first.score
+    second.write(folder, "b")
+    second.write(folder, "b")
+    assert [r["n"] for r in AP.read_ingested(spark, folder)["rows"].collect()] == ["3"]
+    assert sorted(map(tuple, AP.published(spark, folder).collect())) == [("a", 0), ("b", 1)]
+
+
+def test_files_with_the_columns_in_another_order_arrive_and_others_are_refused(spark, tmp_path):
+    from tallyloom.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "in" / "two.csv").write_text("b,a\nz,3\n")
+    run = lambda: jobs.ingest_files(spark, str(tmp_path / "in"), "a string, b string", [], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    run()
+    assert sorted(map(tuple, jobs.read_batches(spark, str(tmp_path / "out")).collect())) == [("1", "x"), ("2", "y"), ("3", "z")]
+    (tmp_path / "in" / "three.csv").write_text("a,c\n1,x\n")
+    with pytest.raises(Exception, match="missing \\['b'\\], extra \\['c'\\]"):
+        run()
+
+
+def test_days_are_final_once_the_watermark_has_passed(spark, tmp_path):
+    from tallyloom.streaming import jobs
+
+    events = "ts timestamp, kind string, value double"
+    day = lambda d, v: (datetime.datetime(2024, 1, d, 10), "k", v)
+    rules = spark.createDataFrame([(1, "k", "LT", 50.0), (2, "k", "GT", 8.0)], "rule_id int, metric string, comparator string, threshold double")
+    none = spark.createDataFrame([], "rule_id int")
+    job = None
+    for part, rows in enumerate([[day(1, 5.0), day(2, 7.0)], [day(2, 2.0), day(4, 1.0)], [day(9, 3.0)]]):
+        spark.createDataFrame(rows, events).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = lambda: spark.readStream.schema(events).parquet(str(tmp_path / "in"))
+        totals = jobs.daily_totals(stream(), "ts", ["kind"], "value")
+        jobs.write_daily_totals(totals, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+        metrics = jobs.daily_totals(stream(), "ts", ["kind"], "value").select(F.col("kind").alias("metric"), "day", "value", "latest")
+        job = jobs.threshold_alerts(metrics, rules, none, str(tmp_path / "alerts"), str(tmp_path / "c2"))
+        job.awaitTermination()
+        found = {r["day"].day: (r["value"], r["final"]) for r in jobs.read_daily_totals(spark, str(tmp_path / "out"), ["kind"]).collect()}
+        assert found == [{1: (5.0, False), 2: (7.0, False)}, {1: (5.0, True), 2: (9.0, True), 4: (1.0, False)}, {1: (5.0, True), 2: (9.0, True), 4: (1.0, True), 9: (3.0, False)}][part]
+        alerts = {r["rule_id"]: (r["day"].day, r["value"]) for r in jobs.read_batches(spark, str(tmp_path / "alerts" / "alerts")).collect()}
+        assert alerts == [{}, {1: (1, 5.0), 2: (2, 9.0)}, {1: (1, 5.0), 2: (2, 9.0)}][part]
+    assert all(r["final"] for r in jobs.read_daily_totals(spark, str(tmp_path / "out"), ["kind"], closed=True).collect())
+    jobs.close_alerts(spark, rules, str(tmp_path / "alerts"), job)
+    assert jobs.read_batches(spark, str(tmp_path / "alerts" / "alerts")).count() == 2
