@@ -53,7 +53,7 @@ def classify(evidence: DataFrame) -> DataFrame:
     coverage, distinctness, unique, filled = c("coverage"), c("distinctness"), c("unique_values"), c("filled")
     span = c("hi") - c("lo")
     density = F.when(span > 0, unique / (span + 1)).otherwise(0.0)
-    numeric = c("type").isin("number", "currency")
+    numeric = c("type").isin("number", "currency") & c("lo").isNotNull()  # codes like "A-17" hold digits, but no number
     key_like = (c("type") == "number") & c("whole") & (distinctness > 0.9) & (filled >= 8)
     few_wholes = c("whole") & (unique <= 12) & (distinctness < 0.05) & (filled >= 40)
     grouping = (c("type") == "category") | ((unique <= F.greatest(F.lit(50.0), c("n_rows") * 0.2)) & (distinctness <= 0.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import round_half_up
-from tallyloom.operators import metrics as MT, profile as PR, semantics as SE, shape as SH
+from tallyloom.operators import derive as DV, metrics as MT, profile as PR, semantics as SE, shape as SH
 from tallyloom.plans import oracle as O
 from tallyloom.plans.quality import judged_sql
 from tallyloom.plans.registry import query
@@ -22,7 +22,7 @@ SHAPE_SQL = judged_sql(sheet_cells_sql("orders")) + f""", ev as (select t.*, fil
     coalesce(whole and lo >= 1900 and hi <= 2100 and hi - lo <= 120, false) as years,
     case when n_number >= 2 and mean <> 0 then abs(sd / mean) else 0 end as variation, dl.avg_length
   from typed t left join {_PLAUSIBLE} p on t.col = p.col left join (select col, avg(length(t)) as avg_length from (select distinct col, t from judged) group by 1) dl on t.col = dl.col),
-roles as (select *, type in ('number','currency') as num, type = 'number' and whole and distinctness > 0.9 and filled >= 8 as keyish,
+roles as (select *, type in ('number','currency') and lo is not null as num, type = 'number' and whole and distinctness > 0.9 and filled >= 8 as keyish,
     case when hi > lo then uniq / (hi - lo + 1) else 0 end as density, regexp_matches(lower(col), '{_ID}') as idn from ev),
 v as (select *, case when type = 'empty' or filled = 0 then 'ignored' when coverage < 0.05 then 'ignored' when uniq <= 1 then 'ignored'
     when not idn and type = 'date' and plausible_dates then 'time' when type = 'boolean' then 'dimension'
@@ -139,6 +139,48 @@ def _(spark, sf):
     return SH.financial_pairs(table, SH.ranked_columns(table, COLUMNS))
 
 
+_COST, _PROFIT = "(^|[_\\s])(cost|cogs|expense|expenses|spend|outlay)([_\\s]|$)", "(^|[_\\s])(profit|margin|earnings)([_\\s]|$)"
+_PLAIN = {c: O.plain_number(chr(34) + c + chr(34)) for c in COLUMNS}
+_BOUND_SQL = f"""{SHAPE_SQL}, totals as (""" + " union all ".join(f"select '{c}' as col, sum(abs({_PLAIN[c]})) as t from orders_sheet" for c in COLUMNS) + f"""),
+m as (select ranked.col, rank, t, case when regexp_matches(lower(ranked.col), '{_PROFIT}') then 'profit' when regexp_matches(lower(ranked.col), '{_COST}') then 'cost' end as named, format
+  from ranked join totals on ranked.col = totals.col where role = 'measure' and aggregate = 'sum' and additive and format <> 'percent'),
+fin as (select named as slot, col from (select * from m where rank > 1 and named is not null qualify row_number() over (partition by named order by rank) = 1), (select t as lt from m where rank = 1)
+  where greatest(t, lt) / least(t, lt) <= 50 order by slot desc limit 1),
+dims as (select *, row_number() over (order by uniq > 50, rank) as nth from ranked where role = 'dimension'),
+ents as (select col, row_number() over (order by uniq desc, rank) as nth from dims where nth > 1 or (select count(*) from dims) = 1),
+bound as (select 'date' as slot, col from ranked where role = 'time' and rank = 1 union all select 'revenue', col from ranked where role = 'measure' and rank = 1 union all select * from fin
+  union all select 'quantity', col from (select col from m where rank > 1 and named is null and format = 'number' order by rank limit 1)
+  union all select case nth when 1 then 'category' when 2 then 'region' else 'department' end, col from dims where nth <= 3
+  union all select case nth when 1 then 'product_name' else 'customer_name' end, col from ents where nth <= 2
+  union all select case rank when 1 then 'order_id' else 'customer_id' end, col from ranked where role = 'identifier' and rank <= 2)"""
+
+
+@query("e14_slot_binding", f"""with {_BOUND_SQL} select slot, col as "column" from bound""")
+def _(spark, sf):
+    table = sheet(spark, sf, "orders")
+    return DV.slot_binding(table, SH.ranked_columns(table, COLUMNS))
+
+
+_FIGURE = " ".join(f"when '{c}' then (select case x.aggregate when 'avg' then {O.r2(f'avg({v})')} else {O.r2(f'sum({v})')} end from orders_sheet)" for c, v in _PLAIN.items())
+_KEYS = " ".join(f"when '{c}' then (select count(distinct trim(lower({chr(34)}{c}{chr(34)}))) from orders_sheet)" for c in COLUMNS)
+_ONE = " ".join(f"when '{c}' then (select sum({v}) from orders_sheet)" for c, v in _PLAIN.items())
+_LABEL = "list_reduce(list_transform(string_split(col, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), lambda x, y: x || ' ' || y)"
+
+
+@query("e16_derived_figures", f"""with {_BOUND_SQL},
+shown as (select 0 as part, rank, col, case when aggregate = 'avg' then 'avg' else 'sum' end as kind, format, case col {_FIGURE} end as value from ranked x
+    where role = 'measure' and rank <= 3 and col not in (select col from bound where slot = 'cost')
+  union all select 1, 1, col, 'distinct', 'number', case col {_KEYS} end from ranked where role = 'identifier' and rank = 1
+  union all select case when exists (select 1 from ranked where role = 'measure') then 2 else -1 end, 1, 'records', 'count', 'number', (select count(*) from orders_sheet)
+  union all select 3, row_number() over (), c, 'derived', f, case c when 'profit' then {O.r2('p')} else {O.r2('p / r * 100')} end from (
+    select unnest(['profit', 'margin']) as c, unnest([(select format from ranked where role = 'measure' and rank = 1), 'percent']) as f, r, case slot when 'cost' then r - v else v end as p
+    from (select slot, case b.col {_ONE} end as v, (select case col {_ONE} end from bound where slot = 'revenue') as r from bound b where slot in ('cost', 'profit'))))
+select (row_number() over (order by part, rank) - 1)::int as position, col as key, {_LABEL} as label, kind, format, value::double as value from shown""")
+def _(spark, sf):
+    table = sheet(spark, sf, "orders")
+    return DV.derived_figures(table, SH.ranked_columns(table, COLUMNS))
+
+
 @query("e17_dimension_list", f"""with {SHAPE_SQL} select rank, col as key, col as "column",
   list_reduce(list_transform(string_split(col, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), lambda x, y: x || ' ' || y) as label,
   uniq as cardinality from ranked where role = 'dimension'""")
