@@ -7,6 +7,7 @@ grouped pass over (column, value) cells, and every value of the table counts.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.functions import dates as D, numbers as N
 from tallyloom.functions.strings import trim_space
@@ -187,6 +188,22 @@ def normalise_columns(df: DataFrame, columns: list[str], formats: DataFrame, zon
     return read.select(*out)
 
 
+def with_dates(df: DataFrame, columns: list[str], zone: str = "UTC") -> DataFrame:
+    """The table with written dates as dates, each column under the order its own values prove.
+
+    Series, filters and windows then read day-first, month-first and two-digit years alike. The
+    order is decided over the whole column; where nothing proves one it is month first. Cells
+    that are no real day become null; columns that hold dates already stay.
+    """
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, StringType)]
+    if not texts:
+        return df
+    day_first = detect_formats(df, texts).where("rewrite = 'dmy'").agg(F.collect_set("column")).scalar()
+    held = df.select("*", day_first.alias("_day_first"))
+    order = lambda c: F.when(F.array_contains("_day_first", c), "dmy").otherwise("mdy")
+    return held.select(*[D.to_iso_date(F.col(quoted(c)), order(c), zone).try_cast("date").alias(c) if c in texts else F.col(quoted(c)) for c in df.columns])
+
+
 def format_notes(df: DataFrame, columns: list[str], zone: str = "UTC") -> DataFrame:
     """The decisions with the number of cells each one rewrote."""
     formats = detect_formats(df, columns)

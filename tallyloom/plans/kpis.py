@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tallyloom.context import Calendar, Filters
 from tallyloom.functions.calendar import period_key
 from tallyloom.functions.numbers import exact_sum, pct_change, round2
-from tallyloom.operators import compare as P, filters as FL, metrics as MT
+from tallyloom.operators import compare as P, filters as FL, formats as FM, metrics as MT
 from tallyloom.plans import oracle as O
 from tallyloom.plans.registry import query
-from tallyloom.plans.scalars import APRIL, RETAIL, grain_key_sql
+from tallyloom.plans.scalars import APRIL, RETAIL, _iso_sql, grain_key_sql
 from tallyloom.plans.views import MESSY_SQL, SALES_SCHEMA, SALES_SQL, load, messy, sales
 
 S = SALES_SCHEMA
@@ -64,6 +64,26 @@ def _(spark, sf):
     return kept.groupBy("iso_text").agg(F.count("*").alias("n"))
 
 
+_WRITTEN = f"{MESSY_SQL}, m as (select order_key, try_cast({_iso_sql('dmy_text', chr(39) + 'dmy' + chr(39))} as date) as d, try_cast({_iso_sql('mdy_text', chr(39) + 'mdy' + chr(39))} as date) as e from messy)"
+
+
+@query("f3_written_dates", f"""with {_WRITTEN} select d as dmy_text, count(*) as n from m where d is null or d between date '1996-03-01' and date '1996-03-31' group by 1""")
+def _(spark, sf):
+    """A window over dates that are written day first."""
+    df = FM.with_dates(messy(spark, sf).select("dmy_text"), ["dmy_text"])
+    kept = FL.apply_filters(df, {"date": "dmy_text"}, Filters("1996-03-01", "1996-03-31"))
+    return kept.groupBy("dmy_text").agg(F.count("*").alias("n"))
+
+
+@query("h7_written_dates", f"""with {_WRITTEN} select 'dmy' as "order", strftime(d, '%Y-%m') as period, sum(order_key % 100)::double as value from m where d is not null group by 2
+union all select 'mdy', strftime(e, '%Y-%m'), sum(order_key % 100)::double from m where e is not null group by 2""")
+def _(spark, sf):
+    """Monthly series over dates that are written day first and month first."""
+    df = FM.with_dates(messy(spark, sf).select("dmy_text", "mdy_text", (F.col("order_key") % 100).alias("x")), ["dmy_text", "mdy_text"])
+    out = [MT.time_series(df, {"date": c, "revenue": "x"}).select(F.lit(c[:3]).alias("order"), "period", "value") for c in ("dmy_text", "mdy_text")]
+    return out[0].unionByName(out[1])
+
+
 _RAW = "try_cast(regexp_replace(trim(amount_text), '[$€£₹,()]', '', 'g') as double)"
 
 
