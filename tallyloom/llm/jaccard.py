@@ -19,12 +19,12 @@ each bit is the parity of the elements hashed to it, so the number of differing
 number of differing elements from below and the overlap from above. Pairs that this bound leaves
 are decided by intersecting the sorted arrays.
 
-A large group of near copies would be quadratic. So links are sought in two rounds: each class
-first tries one partner, the closest by signature among the hubs of its groups. A group's hub is
-the member whose keys are the most frequent ones, so of copies of one text the text that is
-nearest to all of them, if it is there.
-Only pairs between different components of that round's links are then compared further; keys
-with the same members count once there.
+A large group of near copies would be quadratic. So a few rounds come first in which each class
+tries one partner, the closest by signature among the hubs of its groups. A group's hub is the
+member whose keys are the most frequent ones, so of copies of one text the text that is nearest to
+all of them, if it is there; later rounds take hubs of other components. Only pairs between
+different components of those rounds' links are then compared further, however many; keys with the
+same members count once there.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ FREQUENT = 1 << 16
 SEEN, WINDOW = 4, 2_000_000
 #: Tiles beyond those that partners can differ in: a share of them and a number.
 SPARE = 1.0, 4
+#: Rounds of one partner each before pairs are made; they decide only how many pairs are left.
+ROUNDS = 3
 #: Words of 64 bits in a signature that a join compares first, and at most in one that it compares then.
 SHORT, WIDE = 8, 128
 #: Bits of the filter that tells which documents' arrays are wanted (1 MB).
@@ -238,7 +240,7 @@ class JaccardJoin:
         return materialise(first.join(by_two(first), "element").select("element", "id", "n", "hub"), "sharing")
 
     def _groups(self) -> DataFrame:
-        """(element, id, n, hub): the classes that share a tile, or, where tiles may not do, a search element."""
+        """(element, id, n, weight, hub): the classes that share a tile, or, where tiles may not do, a search element."""
         sharing = self._sharing()
         num, den = self.num, self.den
         self.arrays = self._arrays(sharing.select("id").distinct())
@@ -267,11 +269,11 @@ class JaccardJoin:
         kept = kept.repartition("element")
         met = materialise(kept.join(by_two(kept).select("element"), "element"), "met")
         hubs = met.groupBy("element").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-        met = met.join(hubs, "element").select("element", "id", "n", "hub")
+        met = met.join(hubs, "element").select("element", "id", "n", "weight", "hub")
         if unsure.isEmpty():
             return materialise(met, "groups")
         theirs = sharing.join(unsure, "id", "left_semi").select("element").distinct()
-        return materialise(met.unionByName(sharing.join(theirs, "element").select("element", "id", "n", "hub")), "groups")
+        return materialise(met.unionByName(sharing.join(theirs, "element").select("element", "id", "n", F.lit(0).cast("long").alias("weight"), "hub")), "groups")
 
     def _arrays(self, wanted: DataFrame) -> DataFrame:
         """(id, elements): the sorted elements of the documents with the wanted ids."""
@@ -335,16 +337,39 @@ class JaccardJoin:
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(meet, "a long, b long")
         return materialise(met.distinct(), "linked")
 
+    @staticmethod
+    def _mixed(named: DataFrame, *more) -> DataFrame:
+        """The keys whose members are of several components."""
+        return named.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high"), *more).where("low < high")
+
+    @staticmethod
+    def _across(named: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components: b with its group's hub, those of the hub's component with the next hub."""
+        best = lambda name: F.max_by(F.struct("id", "part"), F.struct("weight", -F.col("id"))).alias(name)
+        first = named.join(named.groupBy("element").agg(best("hub")), "element")
+        others = first.where("part <> hub.part")
+        second = first.join(others.groupBy("element").agg(best("next")), "element").where("part = hub.part")
+        return others.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).unionByName(second.select(F.col("next.id").alias("a"), F.col("id").alias("b")))
+
     def links(self) -> DataFrame:
         """Links (a, b) between class representatives whose components are those of all links."""
-        groups = self._groups()
-        first = groups.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        found = self._linked(self._near(first, closest=True))
-        self._labels = labels = components(found)
-        named = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", F.coalesce("label", "id").alias("part"))
+        groups, found, tested = self._groups(), None, None
+        for turn in range(ROUNDS):
+            pairs = groups.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")) if turn == 0 else self._across(named)
+            pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+            near = self._near(pairs, closest=True)
+            linked = self._linked(near)
+            if turn and linked.isEmpty():
+                break
+            both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            tested = both if tested is None else tested.unionByName(both)
+            found = linked if found is None else found.unionByName(linked)
+            labels = components(found)
+            named = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("element", "id", "n", "weight", F.coalesce("label", "id").alias("part"))
+            named = materialise(named.join(self._mixed(named).select("element"), "element"), "named")
         # a key counts where it brings components together; of keys with the same members one does
         members = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"m{k}") for k in (1, 2)]
-        mixed = named.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size"), *members).where("low < high")
+        mixed = self._mixed(named, F.count("*").alias("size"), *members)
         once = mixed.groupBy("m1", "m2", "size").agg(F.min("element").alias("element")).select("element")
         signs = self.arrays.groupBy("id").agg(F.first("short").alias("short"), F.first("wide").alias("wide"))
         rest = materialise(named.join(once, "element").join(signs, "id"), "rest")
