@@ -25,11 +25,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: the one with the smallest id.
 
-    The shingles are five words and the threshold is 0.8. Of rows that repeat an id one stays.
+    The shingles are five words and the threshold is 0.8. Of rows equal in id and text one stays;
+    rows that only share that id stay, as do rows without an id.
     """
     groups = jaccard.JaccardJoin(docs, width=5, num=80, den=100).members()
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi").select(*docs.columns)
+    key = ["doc_id", "row_digest"]
+    stay = groups.where("doc_id = component_id").select("doc_id", F.col("digest").alias("row_digest")).distinct()
+    rows = docs.withColumn("row_digest", F.xxhash64("text"))
+    # the join deals the rows by the very key that repeats are dropped by
+    kept = rows.join(stay, key, "left_semi").dropDuplicates(key)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
