@@ -1,19 +1,20 @@
 """Benchmark passages in documents by latent semantic retrieval.
 
-A window of a document is a candidate for a passage if the words around it hold enough of the
-passage's words for the least common subsequence that can count; among the candidates the
-subsequence itself is found for many windows at once. Both are bits of a passage's places, at
-most 64, and exact up to buckets of words, which only add candidates. So how rare a word is, and
-what stands around a passage, cannot lose one.
-
-The passages are TF-IDF vectors over their own words, with document frequencies counted over
-the whole corpus. A randomised SVD, whose products with the passage matrix are Spark aggregates,
-gives their latent space. Candidates are folded into it and taken by their cosine with the
-passage, the closest first; words outside the benchmark are no part of it. A candidate is
-decided on the words around it: the longest common subsequence with the item, and whether the
-item's last words (its answer) are there, which lets a looser paraphrase count.
-
-The benchmark is the query set. It is searched in blocks of a bounded number of items.
+The passages of the benchmark are TF-IDF vectors, with document frequencies counted over the whole
+corpus. A randomised SVD, whose products with the passage matrix are Spark aggregates, gives their
+latent space. Windows of the documents are folded into it, words outside the benchmark being no
+part of them, and a window whose cosine with a passage reaches `Options.cosine` is a candidate. A
+block has no more passages than the space has dimensions (unless one item alone has), so the space
+is complete for them and the cosine is that of the TF-IDF vectors.
+
+A candidate is decided on the words around it, as bits of the passage's places: whether enough of
+its words are there at all, then by the longest common subsequence with the passage and whether the
+item's last words (its answer) are there, which lets a looser paraphrase count. Items of more than
+64 words are several passages, each decided by itself. Items of fewer than eight words are looked
+for word for word, by hashes of word sequences.
+
+The benchmark is the query set. Frequencies take one pass over the corpus; the search holds
+`Options.blocks_at_once` blocks in one pass.
 """
 
 from __future__ import annotations
@@ -26,29 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.words import PUNCTUATED, chunks, hash_words, slices
+from tallyloom.llm.words import PUNCTUATED, chunks, hash_windows, hash_words, slices
 from tallyloom.session import materialise
 
 TERM_BITS = 20
 PASSAGE, STRIDE = 64, 48
-CELLS_AT_ONCE = 1 << 18
-#: Steps around a window's last one that are looked at: the window has four, and two on each side.
-BEFORE, AFTER = 5, 2
+#: Words folded at once.
+FOLDED = 1 << 14
+#: Words in the finest step; a window is four steps of its own, seen with two more on each side.
+STEP = 4
 WINDOWS = (16, 32, 64)
-#: Items of fewer words are not looked for.
+#: Items of fewer words are looked for word for word.
 LEAST_WORDS = 8
 ANSWER = 8
 
 
 @dataclass
 class Options:
-    """Thresholds: common subsequence alone, the same with the answer found."""
+    """Thresholds: cosine of a candidate; common subsequence alone, the same with the answer found."""
 
     rank: int = 320
+    cosine: float = 0.2
     lcs: float = 0.75
     lcs_with_answer: float = 0.55
     answer: float = 0.5
     block_items: int = 256
+    blocks_at_once: int = 8
 
 
 @dataclass
@@ -59,18 +63,19 @@ class Passages:
     items: np.ndarray
     masks: np.ndarray  # row of `latent` x passage -> places of that word
     sizes: np.ndarray
-    tails: np.ndarray  # one place of each of the last words; 0 where the passage is not the whole item
+    tails: np.ndarray  # one place of each of the item's last words; 0 where the passage does not end the item
 
 
 @dataclass
 class Index:
     """One block of the benchmark: words of its items and the latent space of its passages."""
 
-    slots: np.ndarray  # term bucket -> row of `latent`, 0 for words outside the benchmark
+    slots: np.ndarray  # term bucket -> row of `latent`, 0 for words outside the block
     weight: np.ndarray  # idf of each row, 0 for row 0
     latent: np.ndarray  # idf * right singular vectors
     passages: dict[int, Passages]  # by window
-    items: list[tuple[int, list[int]]]
+    short: dict[int, dict[int, list[int]]]  # number of words -> hash of their sequence -> items
+    rank: int
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +99,24 @@ def _places(words: list[int]) -> dict[int, int]:
     return out
 
 
-def _index(texts: DataFrame, block: list[tuple[int, str]], total: int, options: Options) -> Index:
-    spark = texts.sparkSession
-    hashes, at = _words([t for _, t in block])
-    items = [(i, hashes[a:b].tolist()) for (i, _), a, b in zip(block, at[:-1], at[1:]) if b - a >= LEAST_WORDS]
-    terms = np.unique(np.array([w for _, ws in items for w in ws], np.uint64) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+def _terms(items: DataFrame) -> np.ndarray:
+    """The buckets of all words of the benchmark, in order; at most 2 ** TERM_BITS."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.unique(_words(batch.column(0).to_pylist())[0] >> np.uint64(64 - TERM_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["term"])
+
+    return np.sort(items.select("text").mapInArrow(run, "term int").distinct().toArrow().column("term").to_numpy()).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """In how many documents a word of each bucket of the benchmark occurs; one pass for all blocks."""
     slots = np.zeros(1 << TERM_BITS, np.int32)
     slots[terms] = np.arange(1, len(terms) + 1)
     n = len(terms) + 1
-    shared = spark.sparkContext.broadcast(slots)
+    shared = texts.sparkSession.sparkContext.broadcast(slots)
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n, np.int64)
         for batch in slices(batches):
             docs = batch.column(1).to_pylist()
@@ -117,15 +129,30 @@ def _index(texts: DataFrame, block: list[tuple[int, str]], total: int, options:
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["term", "n"])
 
-    counted = texts.mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each benchmark term
-    df = np.zeros(n)
-    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    weight = np.log((total + 1) / (df + 1)) + 0.01
-    weight[0] = 0
+    counted = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** TERM_BITS rows
+    out = np.zeros(1 << TERM_BITS)
+    out[terms[counted.column("term").to_numpy() - 1]] = counted.column("n").to_numpy()
+    return out
+
 
-    units = [(k, ws[a : a + PASSAGE]) for k, (_, ws) in enumerate(items) for a in range(0, max(1, len(ws) - PASSAGE + STRIDE), STRIDE)]
-    rows = [slots[(np.array(ws, np.uint64) >> np.uint64(64 - TERM_BITS)).astype(np.int64)] for _, ws in units]
-    vectors = _singular_vectors(spark, rows, weight, min(options.rank, max(1, len(units))))
+def _index(spark, block: list[tuple[int, str]], frequencies: np.ndarray, total: int, options: Options) -> Index:
+    hashes, at = _words([t for _, t in block])
+    every = [(i, hashes[a:b]) for (i, _), a, b in zip(block, at[:-1], at[1:])]
+    short: dict[int, dict[int, list[int]]] = {}
+    for i, ws in every:
+        if 0 < len(ws) < LEAST_WORDS:
+            short.setdefault(len(ws), {}).setdefault(int(hash_windows(ws, len(ws))[0]), []).append(i)
+    items = [(i, ws) for i, ws in every if len(ws) >= LEAST_WORDS]
+    bucket = lambda ws: (ws >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    terms = np.unique(np.concatenate([np.zeros(0, np.int64), *(bucket(ws) for _, ws in items)]))
+    slots = np.zeros(1 << TERM_BITS, np.int32)
+    slots[terms] = np.arange(1, len(terms) + 1)
+    n = len(terms) + 1
+    weight = np.append(0.0, np.log((total + 1) / (frequencies[terms] + 1)) + 0.01)
+
+    units = [(i, ws[a : a + PASSAGE], a + PASSAGE >= len(ws)) for i, ws in items for a in range(0, max(1, len(ws) - PASSAGE + STRIDE), STRIDE)]
+    rows = [slots[bucket(ws)] for _, ws, _ in units]
+    vectors = _singular_vectors(spark, rows, weight, max(1, min(max(options.rank, 1), len(units))))
     latent = (vectors * weight[:, None]).astype(np.float32)
     folded = np.array([latent[r].sum(0) for r in rows], np.float32).reshape(len(rows), latent.shape[1])
     folded /= np.array([np.sqrt((weight[r] ** 2).sum()) for r in rows], np.float32)[:, None]
@@ -139,11 +166,11 @@ def _index(texts: DataFrame, block: list[tuple[int, str]], total: int, options:
         for j, u in enumerate(chosen):
             for place, r in enumerate(rows[u]):
                 masks[r, j] |= np.uint64(1 << place)
-            k, ws = units[u]
-            if len(ws) == len(items[k][1]):
-                tails[j] = sum(1 << place for place in {w: place for place, w in enumerate(ws[-ANSWER:], len(ws[:-ANSWER]))}.values())
+            _, ws, ends = units[u]
+            if ends:
+                tails[j] = sum(1 << place for place in {w: place for place, w in enumerate(ws[-ANSWER:].tolist(), len(ws[:-ANSWER]))}.values())
         passages[window] = Passages(folded[chosen], np.array([units[u][0] for u in chosen], np.int64), masks, np.array([len(rows[u]) for u in chosen]), tails)
-    return Index(slots, weight, latent, passages, items)
+    return Index(slots, weight.astype(np.float32), latent, passages, short, latent.shape[1])
 
 
 def _singular_vectors(spark, rows: list[np.ndarray], weight: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
@@ -177,74 +204,119 @@ def _singular_vectors(spark, rows: list[np.ndarray], weight: np.ndarray, rank: i
 
 
 def _enough(found: np.ndarray, around: np.ndarray, sizes: np.ndarray, tails: np.ndarray, options: Options) -> np.ndarray:
-    """Whether so many words of passages can decide for them; around: the places whose words are near."""
+    """Whether so many words of passages decide for them; around: the places whose words are near."""
     here, last = np.bitwise_count(around & tails), np.bitwise_count(tails)
-    loose = (found >= options.lcs_with_answer * sizes - 1e-9) & (here >= options.answer * last - 1e-9)
+    loose = (found >= options.lcs_with_answer * sizes - 1e-9) & (last > 0) & (here >= options.answer * last - 1e-9)
     return loose | (found >= options.lcs * sizes - 1e-9)
 
 
-def candidates(index: Index, words: np.ndarray, at: np.ndarray, options: Options) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, first word, last word, item, cosine) for the windows of these texts that may hold an item.
+def _folded(index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums in the latent space, and squared lengths, of each STEP of the rows (a multiple of STEP)."""
+    sums = np.zeros((len(rows) // STEP, index.latent.shape[1]), np.float32)
+    for start in range(0, len(rows), FOLDED):
+        part = rows[start : start + FOLDED]
+        held = np.flatnonzero(part)
+        steps, first = np.unique(held // STEP, return_index=True)
+        if len(steps):
+            sums[start // STEP + steps] = np.add.reduceat(index.latent[part[held]], first, axis=0)
+    return sums, (index.weight[rows] ** 2).reshape(-1, STEP).sum(axis=1)
 
-    Windows are four steps long and begin at every step; they do not cross texts. The words
-    around a window are two steps more on each side, at least half a passage.
+
+def candidates(index: Index, words: np.ndarray, at: np.ndarray, options: Options) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (window, passage, first place, place behind, text, cosine) of the windows near passages.
+
+    Windows are four steps long and begin at every step; texts are set apart by empty steps. For
+    each window length also the words' rows in their places and the number of each place's word
+    in its text are given.
     """
-    rows = np.append(index.slots[(words >> np.uint64(64 - TERM_BITS)).astype(np.int64)], 0)  # the last stands for no word
-    for window, these in index.passages.items():
-        step = window // 4
-        counts = -(-np.diff(at) // step)
-        if not counts.sum():
+    rows = index.slots[(words >> np.uint64(64 - TERM_BITS)).astype(np.int64)]
+    # each text begins at a whole number of the coarsest windows, so that steps add up to coarser ones
+    coarse = WINDOWS[-1]
+    wide = -(-np.diff(at) // coarse) * coarse + coarse
+    start = np.cumsum(wide) - wide
+    place = np.repeat(start - at[:-1], np.diff(at)) + np.arange(len(words))
+    laid = np.zeros(int(wide.sum()), np.int32)
+    laid[place] = rows
+    text = np.repeat(np.arange(len(wide)), wide // STEP)
+    sums, squares = _folded(index, laid)
+    step = STEP
+    for window in WINDOWS:
+        if step < window // 4:
+            sums, squares, text = sums[0::2] + sums[1::2], squares[0::2] + squares[1::2], text[0::2]
+            step *= 2
+        these = index.passages.get(window)
+        if these is None or not len(sums):
             continue
-        wide = counts + BEFORE  # empty steps part the texts
-        text = np.repeat(np.arange(len(counts)), wide)
-        first = (np.cumsum(wide) - wide)[text]  # the text's first step
-        final = first + counts[text] - 1
-        begin = np.minimum(at[text] + (np.arange(len(text)) - first) * step, at[text + 1])
-        end = np.minimum(begin + step, at[text + 1])
-        least = np.ceil(np.minimum(options.lcs, options.lcs_with_answer) * these.sizes - 1e-9).astype(np.uint8)
-        most = max(1, CELLS_AT_ONCE // len(these.items))
-        for start in range(0, len(text), most):
-            stop = min(len(text), start + most)
-            low, high = max(0, start - BEFORE), min(len(text), stop + AFTER)
-            held = np.zeros((stop - start + BEFORE + AFTER, len(these.items)), np.uint64)  # places of the passages' words in each step
-            here = held[low - start + BEFORE : high - start + BEFORE]
-            for k in range(step):
-                here |= these.masks.take(rows[np.where(begin[low:high] + k < end[low:high], begin[low:high] + k, len(words))], axis=0)
-            for k in (1, 2, 4):  # of two, four and eight steps
-                held = held[:-k] | held[k:]
-            w, j = np.nonzero(np.bitwise_count(held) >= least)
-            around = held[w, j]
-            may = (end > begin)[start + w] & _enough(np.bitwise_count(around), around, these.sizes[j], these.tails[j], options)
-            w, j, around = start + w[may], j[may], around[may]
-            yield from _in_order(index, these, rows, w, j, around, text, first, final, begin, end, at, options)
-
-
-def _in_order(index: Index, these: Passages, rows: np.ndarray, w: np.ndarray, j: np.ndarray, around: np.ndarray, text: np.ndarray, first: np.ndarray, final: np.ndarray,
-              begin: np.ndarray, end: np.ndarray, at: np.ndarray, options: Options) -> Iterator[tuple[int, int, int, int, float]]:
-    """Those of the windows w and passages j whose words around have a common subsequence that may do."""
-    low = begin[np.maximum(w - BEFORE, first[w])]
-    high = end[np.minimum(w + AFTER, final[w])]
-    free = np.full(len(w), 2**64 - 1, np.uint64)
-    for k in range(int((high - low).max(initial=0))):
-        here = low + k
-        hit = free & these.masks[rows[np.where(here < high, here, len(rows) - 1)], j]
+        part = max(1, (1 << 22) // max(1, len(these.items)))
+        for low in range(0, len(sums), part):
+            high = min(len(sums), low + part)
+            held, norm = sums[low : high + 3], squares[low : high + 3]
+            n = high - low
+            whole, square = np.zeros((n, held.shape[1]), np.float32), np.zeros(n, np.float32)
+            for k in range(min(4, len(held))):  # a window's steps
+                whole[: len(held) - k] += held[k : k + n]
+                square[: len(held) - k] += norm[k : k + n]
+            cosine = whole @ these.vectors.T / np.sqrt(np.maximum(square, 1e-12))[:, None]
+            w, j = np.nonzero(cosine >= options.cosine)
+            if len(w):
+                yield window, these, laid, start, (w + low) * step, j, text[w + low], cosine[w, j]
+
+
+def _decided(these: Passages, laid: np.ndarray, begin: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, options: Options):
+    """Of windows and passages: which hold them, the places in order and the places found, by the words of [low, high)."""
+    def seen(keep):
+        return [(np.where(low[keep] + k < high[keep], laid[np.minimum(low[keep] + k, len(laid) - 1)], 0), j[keep]) for k in range(int((high - low)[keep].max(initial=0)))]
+
+    sizes, tails = these.sizes[j], these.tails[j]
+    around = np.zeros(len(begin), np.uint64)
+    for rows, passage in seen(np.arange(len(begin))):
+        around |= these.masks[rows, passage]
+    keep = np.flatnonzero(_enough(np.bitwise_count(around), around, sizes, tails, options))
+    free = np.full(len(keep), 2**64 - 1, np.uint64)
+    for rows, passage in seen(keep):
+        hit = free & these.masks[rows, passage]
         free = (free + hit) | (free - hit)
-    whole = np.uint64(2**64 - 1) >> (np.uint64(64) - these.sizes[j].astype(np.uint64))
-    for k in np.flatnonzero(_enough(np.bitwise_count(~free & whole), around, these.sizes[j], these.tails[j], options)):
-        a, b = begin[max(w[k] - 3, first[w[k]])], end[w[k]]
-        norm = np.sqrt((index.weight[rows[a:b]] ** 2).sum())
-        cosine = index.latent[rows[a:b]].sum(0) @ these.vectors[j[k]] / norm if norm else 0.0
-        yield int(text[w[k]]), int(a - at[text[w[k]]]), int(b - at[text[w[k]]]), int(these.items[j[k]]), float(cosine)
+    full = np.uint64(2**64 - 1) >> (np.uint64(64) - sizes[keep].astype(np.uint64))
+    found = np.bitwise_count(~free & full)
+    sure = _enough(found, around[keep], sizes[keep], tails[keep], options)
+    keep, found = keep[sure], found[sure]
+    last = np.maximum(np.bitwise_count(tails[keep]), 1)
+    return keep, found / sizes[keep], np.bitwise_count(around[keep] & tails[keep]) / last
+
+
+def leaks_in(index: Index, words: np.ndarray, at: np.ndarray, options: Options) -> dict[tuple[int, int], tuple]:
+    """(text, item) -> (lcs, answer, cosine, -first word) of the best window."""
+    out: dict[tuple[int, int], tuple] = {}
+
+    def keep(text: int, item: int, row: tuple) -> None:
+        if row > out.get((text, item), ()):
+            out[text, item] = row
+
+    for window, these, laid, start, begin, j, text, cosine in candidates(index, words, at, options):
+        ends = start[text] + np.diff(at)[text]
+        low, high = np.maximum(begin - window // 2, start[text]), np.minimum(begin + window + window // 2, ends)
+        chosen, share, answer = _decided(these, laid, begin, j, low, high, options)
+        for k, s, t in zip(chosen.tolist(), share.tolist(), answer.tolist()):
+            keep(int(text[k]), int(these.items[j[k]]), (round(s, 6), round(t, 6), round(float(cosine[k]), 6), -int(begin[k] - start[text[k]])))
+    for n, wanted in index.short.items():
+        sequences = hash_windows(words, n)
+        inside = np.searchsorted(at, np.arange(len(sequences)), "right") == np.searchsorted(at, np.arange(len(sequences)) + n - 1, "right")
+        for k in np.flatnonzero(inside & np.isin(sequences, np.array(list(wanted), np.uint64))).tolist():
+            text = int(np.searchsorted(at, k, "right")) - 1
+            for item in wanted[int(sequences[k])]:
+                keep(text, item, (1.0, 1.0, 1.0, -int(k - at[text])))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, options: Options | None = None, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, cosine, lcs, answer): every document that holds an item, with its best window.
 
-    `lcs` is the share of the item's words found in order, `answer` the share of its last
-    words found. Ties go to the earlier window. Null and empty texts hold nothing; items with
-    fewer than LEAST_WORDS words are not looked for; repeated rows count once; an empty table
-    on either side gives an empty result.
+    `lcs` is the share of the words of the item (of more than 64 words: of one of its passages)
+    found in order, `answer` the share of its last words found. Ties go to the earlier window.
+    Items of fewer than LEAST_WORDS words have to be there word for word. Null and empty texts hold
+    nothing; null and wordless items are in nothing; repeated rows count once; an empty table on
+    either side gives an empty result.
     """
     options = options or Options()
     spark = docs.sparkSession
@@ -252,46 +324,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, options: Options | None =
     kind = texts.schema["id"].dataType.simpleString()
     total = texts.count()
     wanted = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[item_text_col].cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    blocks = max(1, -(-wanted.count() // options.block_items))
+    # a passage for each STRIDE words; a block has about block_items of them, whatever the items' lengths
+    passages = F.greatest(F.lit(1), F.ceil(F.size(F.split("text", " ")) / STRIDE))
+    blocks = max(1, -(-(wanted.agg(F.sum(passages)).first()[0] or 0) // options.block_items))
     numbered = materialise(wanted.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "benchmark")
-    found = None
-    for block in range(blocks):
-        part = [(r["item"], r["text"]) for r in numbered.where(F.col("block") == block).orderBy("item", "text").collect()]  # about block_items rows
-        hits = _search(spark, texts, _index(texts, part, total, options), options, kind)
-        found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("first_word")).alias("back"))).alias("best"))
+    hits = None
+    frequencies = _frequencies(texts, _terms(numbered))
+    for first in range(0, blocks, options.blocks_at_once):
+        some = [[(r["item"], r["text"]) for r in numbered.where(F.col("block") == b).orderBy("item", "text").collect()]  # about block_items passages each
+                for b in range(first, min(blocks, first + options.blocks_at_once))]
+        found = _search(spark, texts, [_index(spark, part, frequencies, total, options) for part in some], options, kind)
+        hits = found if hits is None else hits.unionByName(found)
+    best = hits.groupBy("id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine", (-F.col("first_word")).alias("back"))).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", (-F.col("best.back")).alias("first_word"), "best.cosine", "best.lcs", "best.answer")
 
 
-def _search(spark, texts: DataFrame, index: Index, options: Options, kind: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)  # a block of items, its terms x rank numbers
+def _search(spark, texts: DataFrame, indexes: list[Index], options: Options, kind: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast(indexes)  # blocks_at_once blocks, each its terms x rank numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        match = [_places(ws) for _, ws in index.items]
         for batch in slices(batches):
             texts, out = batch.column(1).to_pylist(), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 500_000):
                 words, offsets = _words(texts[a:b])
-                seen: dict[tuple[int, int], tuple] = {}
-                found = sorted(candidates(index, words, offsets, options), key=lambda c: -c[4])
-                for k, first, last, item, cosine in found:  # the closest first; one that holds the item settles it
-                    if seen.get((k, item), (0,))[0] >= options.lcs:
-                        continue
-                    target = index.items[item][1]
-                    low, high = offsets[k] + max(0, first - len(target) // 2), min(offsets[k + 1], offsets[k] + last + len(target) // 2)
-                    near = words[low:high].tolist()
-                    share = lcs(match[item], len(target), near) / len(target)
-                    tail = set(target[-ANSWER:])
-                    answer = len(tail & set(near)) / len(tail)
-                    if share >= options.lcs or share >= options.lcs_with_answer and answer >= options.answer:
-                        row = (share, answer, cosine, -first)
-                        if row > seen.get((k, item), ()):
-                            seen[k, item] = row
-                out += [(a + k, index.items[item][0], row) for (k, item), row in seen.items()]
+                for index in shared.value:
+                    out += [(a + k, item, row) for (k, item), row in leaks_in(index, words, offsets, options).items()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([k for k, *_ in out], pa.int64())), pa.array([i for _, i, _ in out], pa.int64()), pa.array([-r[3] for *_, r in out], pa.int32()),
-                 *(pa.array([round(r[c], 6) for *_, r in out], pa.float64()) for c in (2, 0, 1))],
+                 *(pa.array([r[c] for *_, r in out], pa.float64()) for c in (2, 0, 1))],
                 names=["id", "item_id", "first_word", "cosine", "lcs", "answer"])
 
     return texts.mapInArrow(run, f"id {kind}, item_id long, first_word int, cosine double, lcs double, answer double")

@@ -179,11 +179,86 @@ def test_set_join_loses_no_link(docs, seed):
 
 def test_set_join_of_odd_tables(docs):
     assert jaccard.JaccardJoin(docs([])).members().count() == 0
-    assert jaccard.JaccardJoin(docs([(1, None)])).members().collect()[0][1:] == (0, 1)
-    rows = sorted(tuple(r) for r in jaccard.JaccardJoin(docs(ODD)).members().collect())
+    assert jaccard.JaccardJoin(docs([(1, None)])).members().collect()[0][1:3] == (0, 1)
+    rows = sorted(tuple(r)[:3] for r in jaccard.JaccardJoin(docs(ODD)).members().collect())
     assert rows == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 2, 4), (5, 2, 4), (5, 2, 4), (6, 1, 6), (7, 0, 7), (8, 1, 8)]
 
 
+def test_rows_without_an_id_are_alone(docs):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (9, "a b c d e")]
+    got = sorted((tuple(r)[:3] for r in jaccard.JaccardJoin(docs(rows)).members().collect()), key=str)
+    assert got == [(7, 2, 7), (9, 2, 7), (None, 2, None), (None, 2, None)]
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_partners_share_the_promised_number_of_keys(num):
+    """Sets at the threshold share, in a band of both, as many tile keys as either of them says."""
+    pick = np.random.default_rng(num)
+    edges, unsure = jaccard.band_edges(30_000, num, 100), 0
+    for n in [*range(1, 60), *pick.integers(60, 3000, 60).tolist(), 20_000]:
+        a = pick.integers(0, 2**63, n).astype(np.uint64)
+        for swap in (True, False):
+            if swap:  # as many elements replaced as the threshold allows
+                out = next(x for x in range(n, -1, -1) if 100 * (n - x) >= num * (n + x))
+                b = np.concatenate((a[out:], pick.integers(0, 2**63, out).astype(np.uint64)))
+            else:  # as many left out
+                b = a[: -(-num * n // 100)]
+            mine, theirs = ({band: (keys, common) for band, keys, common in jaccard.tile_keys(s, edges, num, 100)} for s in (a, b))
+            both = mine.keys() & theirs.keys()
+            assert both
+            for band in both:
+                shared = len(np.intersect1d(mine[band][0], theirs[band][0]))
+                assert shared >= max(mine[band][1], theirs[band][1])
+                unsure += min(mine[band][1], theirs[band][1]) < 1
+    assert unsure < 30
+
+
+@pytest.mark.parametrize("n", [100, 1000, 5000, 20_000])
+def test_unrelated_sets_share_few_keys_and_differ_in_their_bits(n):
+    pick = np.random.default_rng(n)
+    edges = jaccard.band_edges(40_000, 80, 100)
+    a, b = (pick.integers(0, 2**63, n).astype(np.uint64) for _ in range(2))
+    b[: n // 4] = a[: n // 4]  # a passage that both hold
+    assert 9 * jaccard.differing(jaccard.bitmap(a), jaccard.bitmap(b)) > 2 * n  # 2 * n / 9 elements may differ at 0.8
+    for (_, x, promised), (_, y, _) in zip(*(jaccard.tile_keys(s, edges, 80, 100) for s in (a, b))):
+        assert len(np.intersect1d(x, y)) < promised
+
+
+def test_links_without_tiles_go_by_elements(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPARE", (0, 1))  # hardly a set is sure
+    rows = near_copies(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.JaccardJoin(docs(rows)).members().collect()}
+    assert got == brute_components(rows)
+
+
+def test_a_large_group_of_near_copies_is_one_component(docs):
+    """Copies of a text that differ among each other more than from it."""
+    pick = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(500, " ".join(base))]
+    for i in range(120):
+        copy = list(base)
+        for k in pick.sample(range(150), 2):
+            copy[k] = f"x{i}_{k}"
+        rows.append((i if i % 2 else 1000 + i, " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.JaccardJoin(docs(rows)).members().collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) < 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 3000), st.integers(1, 3000), st.integers(0, 3000))
+def test_signatures_of_any_width_bound_the_difference(seed, n, m, shared):
+    pick = np.random.default_rng(seed)
+    a, b = (np.unique(pick.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+    b = np.unique(np.concatenate((b, a[:shared])))
+    x, y = jaccard.signature(a), jaccard.signature(b)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    assert sum(int(v).bit_count() if v >= 0 else (int(v) + 2**64).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.integers(0, 300))
 def test_bitmaps_bound_the_difference(a, b, shared):
@@ -225,9 +300,10 @@ def test_paraphrases_and_odd_rows(spark, docs):
     loose = item.replace("clear", "cloudless").replace("bright", "fine").replace("every", "any")
     filler = " ".join(f"f{k}" for k in range(200))
     rows = [*ODD, (10, f"{filler} {item} {filler}"), (11, f"{filler} {loose} {filler}"), (12, filler), (13, item[:40] + filler)]
+    rows += [(14, "this one is Too  short, surely"), (15, "too long to be short")]
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows), bench).collect()}
-    assert got == {(10, 1), (11, 1)}
+    assert got == {(10, 1), (11, 1), (14, 4)}  # few words only word for word
     assert decontaminate.find_leaks(docs([]), bench).count() == 0
     assert decontaminate.find_leaks(docs(rows), bench.limit(0)).count() == 0
 
@@ -249,6 +325,50 @@ def test_rare_words_around_hide_no_reworded_item(spark, docs):
     assert got == {(10 * k + shift, k) for k in items for shift in range(5)}
 
 
+def common_vocabulary(seed, n_items=40):
+    """Items and documents of the same few hundred words, with changed copies of items in documents."""
+    pick = random.Random(seed)
+    vocabulary = [f"v{int(k)}" for k in range(400)]
+    draw = lambda n: pick.choices(vocabulary, weights=[1 / (k + 3) for k in range(400)], k=n)
+    items = {i: draw(pick.randrange(14, 60)) for i in range(n_items)}
+    items[500], items[501] = draw(150), draw(200)
+    rows, planted = [], set()
+    for d in range(120):
+        body = draw(pick.randrange(30, 600))
+        if d % 2:
+            i = pick.choice(list(items))
+            quoted = list(items[i][40:140] if len(items[i]) > 64 else items[i])
+            if d % 4 == 1:  # one word in seven is another one
+                quoted = [w if k % 7 != 3 else pick.choice(vocabulary) for k, w in enumerate(quoted)]
+            at = pick.randrange(len(body))
+            body = body[:at] + quoted + body[at:]
+            planted.add((d, i))
+        rows.append((d, " ".join(body)))
+    return items, rows, planted
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reworded_items_among_their_own_words_are_all_found(spark, docs, seed):
+    items, rows, planted = common_vocabulary(seed)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    for options in (decontaminate.Options(), decontaminate.Options(block_items=8, blocks_at_once=2)):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs(rows), bench, options).collect()}
+        assert planted <= set(got)
+    texts = dict(rows)
+    for (d, i), r in got.items():  # what is found is there: some passage's words in order within the words around the window
+        ws = texts[d].split()
+        near = ws[max(0, r["first_word"] - 32) : r["first_word"] + 96]
+        starts = range(0, max(1, len(items[i]) - 16), 48) if len(items[i]) > 64 else [0]
+        assert max(decontaminate.lcs(decontaminate._places(p), len(p), near) / len(p) for p in (items[i][s : s + 64] for s in starts)) >= r["lcs"] - 1e-6
+
+
+def test_the_latent_space_finds_the_candidates(spark, docs, monkeypatch):
+    items, rows, planted = common_vocabulary(3, 10)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "_singular_vectors", lambda spark, rows, weight, rank: np.zeros((len(weight), rank)))
+    assert decontaminate.find_leaks(docs(rows), bench).count() == 0
+
+
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
