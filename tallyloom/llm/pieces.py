@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from hashlib import blake2b
 
 import ahocorasick
 import numpy as np
@@ -47,6 +48,7 @@ class Machine:
     line_cut: bool
     parts: dict[str, tuple | None] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
+    digest: str = ""  # of the model file, so that another model under the same path is another machine
 
     @cached_property
     def arcs(self) -> ahocorasick.Automaton:
@@ -179,7 +181,7 @@ def compile_model(model_path: str) -> Machine:
     spell = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i)
              else model.id_to_piece(i).replace(BLANK, " ").encode() for i in every]
     return Machine(plain, {i: model.get_score(i) for i in plain.values()}, spell, [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else [],
-                   model.unk_id(), proto.trainer_spec.model_type == 2, spec.add_dummy_prefix, not any("\n" in p for p in plain))
+                   model.unk_id(), proto.trainer_spec.model_type == 2, spec.add_dummy_prefix, not any("\n" in p for p in plain), digest=blake2b(data).hexdigest())
 
 
 class _Paths(dict):
@@ -249,7 +251,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple
     machine = docs.sparkSession.sparkContext.broadcast(compile_model(model_path))  # one vocabulary
     names = [*keep, "text"]
     source = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("text"))
-    name = f"{model_path}:{len(machine.value.pieces)}"
+    name = machine.value.digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, machine)
@@ -271,7 +273,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple[s
     """The kept columns with `text`; null ids give a null text, no ids an empty one."""
     machine = rows.sparkSession.sparkContext.broadcast(compile_model(model_path))  # one vocabulary
     source = rows.select(*[rows[c] for c in keep], rows[ids_col].alias("ids"))
-    name = f"{model_path}:{len(machine.value.pieces)}"
+    name = machine.value.digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, machine)

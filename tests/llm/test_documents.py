@@ -60,6 +60,17 @@ def test_added_kinds_and_redaction():
     assert pii.scan("IBAN DE00 3704 0044 0532 0130 00") == [] and pii.redact(None, []) is None
 
 
+def test_added_kinds_have_no_least_distance_or_length():
+    user, gap = "u" * 1000, " " * 500
+    found = pii.scan(f"ftp://{user}:{user}@host/ account{gap}12345678 IBAN{gap}DE89370400440532013000 end")
+    assert [s[0] for s in found] == ["login", "account", "iban"] and found[0][2] - found[0][1] == 2001
+    import time
+
+    start = time.time()
+    pii.scan("://" * 100_000 + "account " * 50_000 + "x" * 500_000 + "iban" * 50_000 + " " * 200_000)
+    assert time.time() - start < 5  # in proportion to the length
+
+
 def test_pii_of_odd_rows(docs):
     rows = pii.digest(pii.find_pii(docs([*ODD, (9, "mail a@b.org now")]))).collect()
     assert len(rows) == len(ODD) + 1 and {r["doc_id"]: r["spans"] for r in rows}[9] == "email:5:12"
