@@ -63,10 +63,28 @@ def frequent_itemsets(rows: DataFrame, min_support: float = MIN_SUPPORT) -> Data
     return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / F.lit(orders)).alias("support"))
 
 
+def frequent_pairs(rows: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """The frequent sets of one and of two products, in the form of `frequent_itemsets`, without mining larger ones.
+
+    Baskets hold frequent products alone, at most (mean basket / min_support) of them; their pairs
+    are made inside the basket's row and counted in one grouped pass.
+    """
+    rows = materialise(rows, "purchased")  # read three times
+    orders = rows.select("order").distinct().count()
+    least = max(1, math.ceil(min_support * orders - 1e-9))
+    counts = rows.groupBy("product").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    baskets = rows.join(counts.select("product"), "product", "left_semi").groupBy("order").agg(F.sort_array(F.collect_set("product")).alias("items"))
+    both = F.expr("flatten(transform(items, (x, i) -> transform(slice(items, i + 2, size(items)), y -> array(x, y))))")
+    pairs = baskets.select(F.explode(both).alias("items")).groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sets = counts.select(F.array("product").alias("items"), "n").unionByName(pairs)
+    return sets.select("items", "n", (F.col("n") / F.lit(orders)).alias("support"))
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float = MIN_CONFIDENCE, limit: int | None = None) -> DataFrame:
     """Rules between every two parts of each frequent set, strongest lift first.
 
-    All subsets of a frequent set are frequent, so both sides' supports are in the table.
+    All subsets of a frequent set are frequent, so both sides' supports are in the table. For the
+    same reason no set has more items than the table has bits of rows, far below the 62 of a mask.
     """
     sets = itemsets.withColumn("key", F.concat_ws("\0", "items")).select("key", "items", "n", "support")
     # Every number with one bit per item stands for one way to part the set in two.

@@ -205,8 +205,7 @@ def _(spark, sf):
 
 @query("o14_pair_rules", _rule_sql(_PAIR_RULES))
 def _(spark, sf):
-    sets = B.frequent_itemsets(_baskets(spark, sf)).where(F.size("items") <= 2)
-    return B.association_rules(sets)
+    return B.association_rules(B.frequent_pairs(_baskets(spark, sf)))
 
 
 @query("o15_refusal_status", f"""with {SALES_SQL}, s as (select department, category, brand, count(distinct customer_id) as customers, max(date) - min(date) as span_days from sales group by 1, 2, 3)
