@@ -267,7 +267,25 @@ def _(spark, sf):
     return DR.price_volume_mix(df, schema_of(df), _bounds(spark, sf))
 
 
-@query("l4_investigation")
+def _short(e):
+    return f"""case when abs({e}) >= 1000 then case when {e} < 0 then '-' else '' end || format('{{:,}}', cast(floor(abs({e}) + 0.5) as bigint))
+    else regexp_replace(cast(floor({e} * 100 + 0.5) / 100 as varchar), '\\.0$', '') end"""
+
+
+_SPLIT = ", ".join(f"case when abs({p}_delta) > 0.01 then '{p} ' || {_short(p + '_delta')} end" for p in ("volume", "price", "mix"))
+
+
+@query("l4_investigation", f"""with {_contrib_sql(_L3)}, {_PVM_SQL.split(SIDES_SQL + ', ')[1]},
+split as (select {O.r2('v')} as volume_delta, {O.r2('p')} as price_delta, {O.r2('r2 - r1 - v - p')} as mix_delta, {O.r2('r2 - r1')} as total_delta from d where q1 <> 0 and q2 <> 0),
+pp as (select strftime(date, '%Y-%m') as period, sum(revenue) as x, sum(cost) as cost, cast(sum(quantity) as double) as quantity from sales group by 1),
+co as (select 'cost' as col, {O.half_up('corr(x, cost)', 3)} as r, corr(x, cost) as raw, count(*) as n from pp union all select 'quantity', {O.half_up('corr(x, quantity)', 3)}, corr(x, quantity), count(*) from pp),
+s as (select 1 as one, strftime(date, '%Y-%m') as period, {O.r2('sum(revenue)')} as value from sales group by 2), {_MAD_SQL.format(k='one')},
+an as (select period, {O.r2('med')} as expected, {O.r2('value - med')} as deviation from m4 where abs(z) >= 3.5)
+select 'driver' as kind, dimension as subject, member || ': ' || {_short('delta')} as detail, delta as value
+  from (select *, row_number() over (partition by dimension order by abs(delta) desc, member) as rank from members where delta <> 0) where rank = 1
+union all select 'decomposition', 'revenue', 'Of the change: ' || concat_ws(', ', {_SPLIT}), total_delta from split
+union all select 'correlation', col, col || ' follows revenue, correlation ' || printf('%.2f', r), r from co where n >= 3 and abs(raw) >= 0.4
+union all select 'anomaly', period, period || ': ' || {_short('deviation')} || ' away from the usual ' || {_short('expected')}, deviation from an""")
 def _(spark, sf):
     from tallyloom.operators.investigate import investigate
 
