@@ -10,7 +10,9 @@ from tallyloom.functions.numbers import round2
 from tallyloom.operators import clean as CL, joins as J, report as RP
 from tallyloom.operators.compare import period_bounds
 from tallyloom.plans import oracle as O
+from tallyloom.plans.bake_off_sql import bake_off_sql
 from tallyloom.plans.forecasting import _SAVED_SQL, _saved, many_series
+from tallyloom.plans.kpis import SIDES_SQL, _COUNTS, _sum_by_side
 from tallyloom.plans.quality import TITLE_SQL
 from tallyloom.plans.registry import query
 from tallyloom.plans.scalars import _KIND_SQL, _normalised_sql
@@ -154,14 +156,34 @@ def _(spark, sf):
     return RD.preview(load(spark, sf, "orders")).agg(F.count("*").alias("shown"), F.max("total").alias("total"))
 
 
-@query("a13_report")
+_SHOWN = ["revenue", "profit", "orders", "customers", "margin"]
+
+
+@query("a13_report", f"""with recursive {bake_off_sql(f"{SIDES_SQL}, s as (select 'revenue' as k, strftime(date, '%Y-%m') as period, {O.r2('sum(revenue)')} as value from sales group by 2)", 3)},
+f as ({_sum_by_side('revenue', 'revenue')} union all {_sum_by_side('profit', 'revenue - cost')} union all {_COUNTS} union all select 'margin', sum(revenue - cost) / sum(revenue) * 100, null, null from tagged),
+chg as (select {O.group_label('product_name')} as label, {O.r2('sum(revenue) filter (cur)')} as now_, {O.r2('sum(revenue) filter (prev)')} as then_ from tagged where cur or prev group by 1),
+changes as (select label, {O.pct('now_', 'then_')} as change_pct from chg where then_ > 0 and now_ is not null),
+fell as (select * from changes where change_pct <= -10 order by change_pct, label limit 3), rose as (select * from changes where change_pct >= 10 order by change_pct desc, label limit 1)
+select 'kpis' as block, measure as key, {O.r2('v')} as value, {O.pct('c', 'p')} as change_pct, null as text from f where measure in ({', '.join(f"'{k}'" for k in _SHOWN)})
+union all select 'sections.products', {O.group_label('product_name')}, {O.r2('sum(revenue)')}, null, null from sales group by 2
+union all select 'sections.regions', {O.group_label('region')}, {O.r2('sum(revenue)')}, null, null from sales group by 2
+union all select 'forecast', period, value, null, method || ', ' || basis from dated
+union all select 'recommendations', 'Shrinking groups', null, null, 'Below the period before: ' || string_agg(label || ' (' || change_pct || '%)', ', ' order by change_pct, label) from fell having count(*) > 0
+union all select 'recommendations', 'Fastest grower', null, null, label || ': up ' || change_pct || '% on the period before' from rose""")
 def _(spark, sf):
     df = sales(spark, sf, "date", "order_id", "customer_id", "revenue", "cost", "product_name", "region")
     blocks = RP.report(df, {k: v for k, v in S.items() if v in df.columns}, period_bounds(sales(spark, sf, "date"), S))
     folder = _folder(spark, "a13")
+    # what a reader finds in each block; the summary is left out by the template
+    shown = {"kpis": ("kpi", "value", "change_pct", None), "sections.products": ("label", "value", None, None), "sections.regions": ("label", "value", None, None),
+             "forecast": ("period", "value", None, F.concat_ws(", ", "method", "basis")), "recommendations": ("title", None, None, F.col("observation"))}
     out = None
     for path in SK.write_report(blocks, folder, {"summary": False}):
-        line = spark.read.parquet(path).select(F.lit(path.rsplit("/", 1)[1]).alias("block"), F.to_json(F.struct("*")).alias("line"))
+        block = path.rsplit("/", 1)[1]
+        key, value, change, text = shown[block]
+        number = lambda c: (F.col(c) if c else F.lit(None)).cast("double")
+        line = spark.read.parquet(path).select(F.lit(block).alias("block"), F.col(key).alias("key"), number(value).alias("value"), number(change).alias("change_pct"),
+                                               (text if text is not None else F.lit(None)).cast("string").alias("text"))
         out = line if out is None else out.unionByName(line)
     return out
 
