@@ -518,3 +518,35 @@ def _(spark, sf):
     filters = Filters("1998-01-01", "1998-12-31", {"region": "ASIA"})
     bounds = P.period_bounds(sales(spark, sf, "date", "region"), S, filters)
     return EV.evidence_rows(EV.kpi_evidence(df, schema_of(df), "revenue", filters=filters, bounds=bounds))
+
+
+_Q3 = "region = 'ASIA' and date between '1998-01-01' and '1998-12-31'"
+
+
+@query("q3_evidence_figures", f"""with {SALES_SQL}, a as (select *, date between '1998-01-01' and '1998-12-31' as cur, date between '1997-01-01' and '1997-12-31' as prev from sales where region = 'ASIA'),
+t as (select sum(revenue) filter (cur) as c, sum(revenue) filter (prev) as p from a),
+g as (select {O.group_label('product_name')} as member, coalesce(sum(revenue) filter (cur), 0) as c, coalesce(sum(revenue) filter (prev), 0) as p from a where cur or prev group by 1),
+r as (select member, {O.r2('c - p')} as delta, row_number() over (order by abs({O.r2('c - p')}) desc, member) as rank, count(*) over () as n, {O.r2('sum(c - p) over ()')} as whole from g where {O.r2('c - p')} <> 0)
+select 'figure' as block, 'value' as key, {O.r2('c')} as value from t union all select 'figure', 'change_pct', {O.pct('c', 'p')} from t
+union all select 'compared', 'value', {O.r2('c')} from t union all select 'compared', 'previous', {O.r2('p')} from t
+union all select 'inputs', 'n', count(*) from sales where {_Q3} union all select 'inputs', 'included', count(revenue) from sales where {_Q3} union all select 'inputs', 'missing', count(*) - count(revenue) from sales where {_Q3}
+union all select 'exclusions', 'filter:date', count(*) filter (date not between '1998-01-01' and '1998-12-31') from sales
+union all select 'exclusions', 'filter:region', count(*) filter (date between '1998-01-01' and '1998-12-31' and region <> 'ASIA') from sales
+union all select 'drivers', member, delta from r where rank <= 10
+union all select 'drivers', '(other)', {O.r2('sum(delta) filter (rank > 10)')} from r having count(*) > 10
+union all select 'fingerprint', 'n_rows', count(*) from sales""")
+def _(spark, sf):
+    """The numbers among the evidence, as one table."""
+    df = sales(spark, sf, "date", "order_id", "customer_id", "product_name", "region", "revenue", "cost")
+    filters = Filters("1998-01-01", "1998-12-31", {"region": "ASIA"})
+    bounds = P.period_bounds(sales(spark, sf, "date", "region"), S, filters)
+    parts = EV.kpi_evidence(df, schema_of(df), "revenue", filters=filters, bounds=bounds)
+    wide = {"figure": ["value", "change_pct"], "compared": ["value", "previous"], "inputs": ["n", "included", "missing"], "fingerprint": ["n_rows"]}
+    out = None
+    for block, columns in wide.items():
+        one = parts[block].select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "key", "value")
+        rows = one.select(F.lit(block).alias("block"), "key", "value")
+        out = rows if out is None else out.unionByName(rows)
+    for block, key, value in (("exclusions", "reason", "excluded"), ("drivers", "member", "delta")):
+        out = out.unionByName(parts[block].select(F.lit(block).alias("block"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")))
+    return out
