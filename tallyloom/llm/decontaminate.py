@@ -32,8 +32,8 @@ from tallyloom.session import materialise
 
 TERM_BITS = 20
 PASSAGE, STRIDE = 64, 48
-#: Words folded at once.
-FOLDED = 1 << 14
+#: Steps folded at once.
+FOLDED = 1 << 11
 #: Words in the finest step; a window is four steps of its own, seen with two more on each side.
 STEP = 4
 WINDOWS = (16, 32, 64)
@@ -212,13 +212,14 @@ def _enough(found: np.ndarray, around: np.ndarray, sizes: np.ndarray, tails: np.
 
 def _folded(index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums in the latent space, and squared lengths, of each STEP of the rows (a multiple of STEP)."""
-    sums = np.zeros((len(rows) // STEP, index.latent.shape[1]), np.float32)
-    for start in range(0, len(rows), FOLDED):
-        part = rows[start : start + FOLDED]
-        held = np.flatnonzero(part)
-        steps, first = np.unique(held // STEP, return_index=True)
-        if len(steps):
-            sums[start // STEP + steps] = np.add.reduceat(index.latent[part[held]], first, axis=0)
+    steps = rows.reshape(-1, STEP)
+    sums = np.empty((len(steps), index.latent.shape[1]), np.float32)
+    held = np.empty((min(FOLDED, len(steps)), index.latent.shape[1]), np.float32)
+    for start in range(0, len(steps), FOLDED):
+        part, out = steps[start : start + FOLDED], sums[start : start + FOLDED]
+        np.take(index.latent, part[:, 0], axis=0, out=out, mode="clip")
+        for k in range(1, STEP):
+            out += np.take(index.latent, part[:, k], axis=0, out=held[: len(part)], mode="clip")
     return sums, (index.weight[rows] ** 2).reshape(-1, STEP).sum(axis=1)
 
 
@@ -232,12 +233,15 @@ def candidates(index: Index, words: np.ndarray, at: np.ndarray, options: Options
     rows = index.slots[(words >> np.uint64(64 - TERM_BITS)).astype(np.int64)]
     # each text begins at a whole number of the coarsest windows, so that steps add up to coarser ones
     coarse = WINDOWS[-1]
-    wide = -(-np.diff(at) // coarse) * coarse + coarse
-    start = np.cumsum(wide) - wide
-    place = np.repeat(start - at[:-1], np.diff(at)) + np.arange(len(words))
-    laid = np.zeros(int(wide.sum()), np.int32)
+    counts = np.diff(at)
+    # behind a text at least a window and a half less one word are empty, so what is around a window is of its text
+    wide = -(-(counts + coarse // 2 - 1) // coarse) * coarse + coarse
+    start = np.cumsum(wide) - wide + coarse
+    place = np.repeat(start - at[:-1], counts) + np.arange(len(words))
+    laid = np.zeros(int(wide.sum()) + 2 * coarse, np.int64)
     laid[place] = rows
-    text = np.repeat(np.arange(len(wide)), wide // STEP)
+    text = np.repeat(np.arange(-1, len(wide) + 1), np.concatenate([[coarse], wide, [coarse]]) // STEP)
+    ends = np.concatenate([start + counts, [0, 0]])  # of no text at either end
     sums, squares = _folded(index, laid)
     step = STEP
     for window in WINDOWS:
@@ -250,31 +254,40 @@ def candidates(index: Index, words: np.ndarray, at: np.ndarray, options: Options
         part = max(1, (1 << 22) // max(1, len(these.items)))
         for low in range(0, len(sums), part):
             high = min(len(sums), low + part)
-            held, norm = sums[low : high + 3], squares[low : high + 3]
+            near, norm = sums[low : high + 3] @ these.vectors.T, squares[low : high + 3]
             n = high - low
-            whole, square = np.zeros((n, held.shape[1]), np.float32), np.zeros(n, np.float32)
-            for k in range(min(4, len(held))):  # a window's steps
-                whole[: len(held) - k] += held[k : k + n]
-                square[: len(held) - k] += norm[k : k + n]
-            cosine = whole @ these.vectors.T / np.sqrt(np.maximum(square, 1e-12))[:, None]
-            w, j = np.nonzero(cosine >= options.cosine)
+            cosine, square = near[:n].copy(), norm[:n].copy()
+            for k in range(1, min(4, len(near))):  # a window's steps
+                cosine[: len(near) - k] += near[k : k + n]
+                square[: len(near) - k] += norm[k : k + n]
+            cosine /= np.sqrt(np.maximum(square, 1e-12))[:, None]
+            begins = np.arange(low, high) * step
+            inside = np.flatnonzero(begins < ends[text[low:high]])  # windows begin in their text
+            w, j = np.nonzero(cosine[inside] >= options.cosine)
+            w = inside[w]
             if len(w):
-                yield window, these, laid, start, (w + low) * step, j, text[w + low], cosine[w, j]
+                yield window, these, laid, start, begins[w], j, text[w + low], cosine[w, j]
 
 
-def _decided(these: Passages, laid: np.ndarray, begin: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray, options: Options):
-    """Of windows and passages: which hold them, the places in order and the places found, by the words of [low, high)."""
+def _decided(these: Passages, laid: np.ndarray, begin: np.ndarray, j: np.ndarray, reach: int, options: Options):
+    """Of windows and passages: which hold them, the places in order and the places found, by `reach` words.
+
+    They are the words from `begin` on; what is no word of the window's text there is an empty place.
+    """
+    masks, wide = these.masks.ravel(), these.masks.shape[1]
+
     def seen(keep):
-        return [(np.where(low[keep] + k < high[keep], laid[np.minimum(low[keep] + k, len(laid) - 1)], 0), j[keep]) for k in range(int((high - low)[keep].max(initial=0)))]
+        first, passage = begin[keep], j[keep]
+        return (masks.take(laid.take(first + k) * wide + passage) for k in range(reach))
 
     sizes, tails = these.sizes[j], these.tails[j]
     around = np.zeros(len(begin), np.uint64)
-    for rows, passage in seen(np.arange(len(begin))):
-        around |= these.masks[rows, passage]
+    for places in seen(slice(None)):
+        around |= places
     keep = np.flatnonzero(_enough(np.bitwise_count(around), around, sizes, tails, options))
     free = np.full(len(keep), 2**64 - 1, np.uint64)
-    for rows, passage in seen(keep):
-        hit = free & these.masks[rows, passage]
+    for places in seen(keep):
+        hit = free & places
         free = (free + hit) | (free - hit)
     full = np.uint64(2**64 - 1) >> (np.uint64(64) - sizes[keep].astype(np.uint64))
     found = np.bitwise_count(~free & full)
@@ -293,9 +306,7 @@ def leaks_in(index: Index, words: np.ndarray, at: np.ndarray, options: Options)
             out[text, item] = row
 
     for window, these, laid, start, begin, j, text, cosine in candidates(index, words, at, options):
-        ends = start[text] + np.diff(at)[text]
-        low, high = np.maximum(begin - window // 2, start[text]), np.minimum(begin + window + window // 2, ends)
-        chosen, share, answer = _decided(these, laid, begin, j, low, high, options)
+        chosen, share, answer = _decided(these, laid, begin - window // 2, j, 2 * window, options)
         for k, s, t in zip(chosen.tolist(), share.tolist(), answer.tolist()):
             keep(int(text[k]), int(these.items[j[k]]), (round(s, 6), round(t, 6), round(float(cosine[k]), 6), -int(begin[k] - start[text[k]])))
     for n, wanted in index.short.items():
