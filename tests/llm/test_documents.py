@@ -105,6 +105,26 @@ def test_language_of_odd_rows(docs):
     assert langid.decode(one, ["abc"])[0] == ["en"]
 
 
+@pytest.mark.parametrize("n", [2, 4, 7])
+def test_decoding_takes_the_codeword_of_least_weighted_loss(n):
+    """Every n-gram, bit and codeword one by one."""
+    import math
+
+    pick = np.random.default_rng(n)
+    code = langid.codewords(n)
+    model = langid.Model([f"l{k}" for k in range(n)], code, pick.random(code.shape[1]), np.vstack([pick.normal(size=(langid.BUCKETS, code.shape[1])), np.zeros((1, code.shape[1]))]).astype(np.float32))
+    texts = ["the cat", "a", "ünï code Ω", "many words " * 30, "x y z"]
+    got = langid.decode(model, texts)
+    for k, text in enumerate(texts):
+        grams, at = langid.ngrams([text])
+        margin = [min(40, max(-40, langid.DAMPING * sum(float(model.gram_weight[g, b]) for row in grams[at[0] : at[1]].tolist() for g in row))) for b in range(code.shape[1])]
+        loss = [sum(w * math.log1p(math.exp(-int(bit) * m)) if -bit * m < 30 else w * -int(bit) * m for w, bit, m in zip(model.bit_weight, word, margin)) for word in code]
+        best = min(range(n), key=loss.__getitem__)
+        assert got[0][k] == f"l{best}"
+        assert math.isclose(got[1][k], 1 / sum(math.exp(-2 * (x - loss[best])) for x in loss), rel_tol=1e-3, abs_tol=1e-6)
+        assert got[2][k] == (got[1][k] < langid.CLEAR)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9, 20):
         code = langid.codewords(n)
@@ -409,6 +429,30 @@ def test_ordinal_fit_recovers_its_order():
     assert np.allclose(weights, [2, -1, 0], atol=0.15) and np.allclose(thresholds, [0, 1.5, 3], atol=0.2)
 
 
+def test_toxic_documents_are_graded_on_labels_not_learnt_from(spark):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(documents, labels.where("doc_id % 2 = 0"))
+    held = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 2 = 1 and toxic is not null").collect()}
+    got = {r["doc_id"]: r for r in toxicity.grade_documents(documents.where("doc_id % 2 = 1"), model).collect()}
+    called = [(got[k]["toxic"], bool(v)) for k, v in held.items()]
+    assert sum(v for _, v in called) > 20
+    # 217 of 231 toxic ones as measured, from 218 toxic examples
+    assert sum(a and b for a, b in called) > 0.9 * sum(b for _, b in called) and sum(a and not b for a, b in called) < 0.01 * len(called)
+    # severity and grade from each word of a text on its own
+    texts = {r["doc_id"]: r["text"] for r in documents.where("doc_id % 2 = 1 and doc_id < 400").collect()}
+    for k, text in texts.items():
+        seen = defaultdict(int)
+        for row in toxicity.buckets([text])[0].tolist():
+            for bucket in row:
+                if model.slots[bucket] >= 0:
+                    seen[model.slots[bucket]] += 1
+        score = sum(np.log1p(c) * model.weights[f] for f, c in seen.items())
+        above = [1.0, *(1 / (1 + np.exp(t - score)) for t in model.thresholds), 0.0]
+        assert abs(got[k]["severity"] - sum(above[1:])) < 1e-5
+        assert got[k]["grade"] == int(np.argmax([a - b for a, b in zip(above, above[1:])])) and got[k]["toxic"] == (above[1] >= 0.5)
+
+
 def test_toxicity_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 0), (4, 0), (4, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs(ODD), labels)
