@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,47 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+#: Tables made inside the open `scratch` blocks, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+class Scratch:
+    """The intermediate tables of a block; those kept outlive it."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """The table that `materialise` made for this frame goes to the block outside, or stays."""
+        read = {f.rsplit("/", 1)[0] for f in frame.inputFiles()}
+        mine = [p for p in self.paths if any(_same(p, f) for f in read)]
+        self.paths[:] = [p for p in self.paths if p not in mine]
+        if len(_OPEN) > 1:
+            _OPEN[-2].extend(mine)
+        return frame
+
+
+def _same(path: str, folder: str) -> bool:
+    bare = lambda p: p.split(":", 1)[-1].replace("//", "/").rstrip("/")
+    return bare(path).lstrip("/") == bare(folder).lstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables made inside the block when it ends, but for those kept.
+
+    A result is read lazily from such tables, so it has to be written or collected, or itself be
+    materialised and kept, before the block ends.
+    """
+    _OPEN.append([])
+    try:
+        yield Scratch(_OPEN[-1])
+    finally:
+        for made in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder once and read from there.
 
@@ -43,4 +85,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -152,3 +152,20 @@ def test_days_are_final_once_the_watermark_has_passed(spark, tmp_path):
     assert all(r["final"] for r in jobs.read_daily_totals(spark, str(tmp_path / "out"), ["kind"], closed=True).collect())
     jobs.close_alerts(spark, rules, str(tmp_path / "alerts"), job)
     assert jobs.read_batches(spark, str(tmp_path / "alerts" / "alerts")).count() == 2
+
+
+def test_a_scratch_block_leaves_nothing_but_what_is_kept(spark):
+    import os
+
+    from tallyloom.session import materialise, scratch, shared_dir
+
+    folder = shared_dir(spark, "").replace("file:", "").rstrip("/")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with scratch(spark) as outer:
+        with scratch(spark) as tables:
+            first = materialise(spark.range(10), "scratch-first")
+            second = tables.keep(materialise(first.where("id > 3"), "scratch-second"))
+        assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"scratch-second"}
+        assert second.count() == 6
+        third = outer.keep(materialise(second.where("id > 7"), "scratch-third"))
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} == {"scratch-third"} and third.count() == 2
