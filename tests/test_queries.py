@@ -16,6 +16,8 @@ SPREAD = [
     "c3_iqr_outlier_count", "c12_quality_issues", "d2_apply_recipe", "d9_applied_log", "e5_column_roles", "f5_cascade_exclusions",
     "g1_guarded_join", "g2_join_analysis", "h4_kpi_table", "i6_period_range", "j1_previous_period", "k1_anomalies", "k2_metric_correlation",
     "l1_driver_contributions", "l5_headline", "m3_moving_average", "m20_forecast_scoring", "o1_value_tiers", "o6_churn_features",
+    "a9_ingest", "a13_report", "c1_merged_states", "e14_slot_binding", "e16_derived_figures", "f3_written_dates", "g5_join_chain", "h7_written_dates",
+    "l4_investigation", "m13_selection", "m15_forecast_bands", "o5_described_segments", "o14_pair_rules", "p3_rank_by_period", "q3_evidence_figures",
     "p1_pivot_totals", "p5_quantile_buckets", "q1_fingerprint", "r2_threshold_rules", "r3_score_upsert", "r4_period_totals",
 ]
 NAMES = sorted(all_sql()) if os.environ.get("FULL_CHECK") else SPREAD
