@@ -227,9 +227,12 @@ class JaccardJoin:
                     [pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([np.zeros(0, bool), *early]))],
                     names=["element", "id", "early"])
 
-        places = self.texts.mapInArrow(run, "element long, id long, early boolean").repartition("element")  # dealt once, read twice
-        shared = places.join(by_two(places).select("element"), "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
-        shared = materialise(shared.select("element", "id", "n", "early"), "shared")
+        places = self.texts.mapInArrow(run, "element long, id long, early boolean")
+        places = places.where("element is not null and id is not null").repartition("element")  # dealt once, read twice
+        # both sides read every column and have the same conditions, so Spark deals the rows out once
+        twice = by_two(places, F.max("early").alias("some")).select("element", "some")
+        shared = places.join(twice, "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
+        shared = materialise(shared.select("element", "id", "n", "early", "some"), "shared").drop("some")
         least = F.expr(f"({self.num} * n + {self.den - 1}) div {self.den}")  # the smallest partner's size
         need = least - F.expr(f"({self.num} * m + {self.den - 1}) div {self.den}") + 1
         for _ in range(2):
@@ -397,9 +400,9 @@ class JaccardJoin:
         return some.unionByName(none).withColumnRenamed("id", self.id_col)
 
 
-def by_two(rows: DataFrame) -> DataFrame:
+def by_two(rows: DataFrame, *more) -> DataFrame:
     """(element, hub, n_ids) of the elements that two ids have at least; hub is the smallest."""
-    return rows.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n_ids")).where("hub < top").drop("top")
+    return rows.groupBy("element").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n_ids"), *more).where("hub < top").drop("top")
 
 
 def _rows(**columns) -> pa.RecordBatch:
