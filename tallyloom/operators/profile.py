@@ -14,6 +14,7 @@ from tallyloom.functions import dates as D, numbers as N
 from tallyloom.functions.strings import trim_space
 from tallyloom.operators.formats import cells, quoted
 from tallyloom.operators.quantiles import exact_quantiles
+from tallyloom.session import materialise
 
 # The shapes of a currency amount and of a number.
 CURRENCY_SHAPE = r"^\s*[-(]?\s*[$€£₹]\s?[0-9,]+(\.[0-9]+)?\s*\)?\s*$"
@@ -152,7 +153,8 @@ def profile(df: DataFrame, columns: list[str], statistics: DataFrame | None = No
     """One row per column; `statistics` are those of the table where they are already at hand."""
     counts = value_counts(df, columns)
     typed = with_types(statistics if statistics is not None else statistics_of(df, columns))
-    numbers = judged_cells(df, columns).where("number is not null").select("column", "number")
+    # the quartiles look at the numbers several times; read from the text once, they are a narrow table
+    numbers = materialise(judged_cells(df, columns).where("number is not null").select("column", "number"), "numbers")
     numeric = F.col("type").isin("number", "currency")
     # Every frame joined here has at most one row per column.
     joined = typed.join(outlier_counts(numbers), "column", "left").join(samples(counts), "column", "left").join(
