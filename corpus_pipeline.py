@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, jaccard, langid, pieces, pii
 from tallyloom.llm.queries import TOKENIZERS, held_out
-from tallyloom.session import materialise
+from tallyloom.session import materialise, small_batches
 
 #: No stage can be said in SQL as a whole: models and signatures are learnt.
 ORACLE_SQL = None
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is ambiguous."""
+    small_batches(spark)
     named = langid.identify(docs, langid.fit(docs, ~held_out()))
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
 from tallyloom.llm.words import chunks, hash_windows, hash_words, mix, slices
-from tallyloom.session import materialise
+from tallyloom.session import materialise, small_batches
 
 #: Elements kept as frequent; they only order the search, whatever their number.
 FREQUENT = 1 << 16
@@ -49,6 +49,8 @@ SEEN, WINDOW = 4, 2_000_000
 SPARE = 1.0, 4
 #: Rounds of one partner each before pairs are made; they decide only how many pairs are left.
 ROUNDS = 3
+#: Rows of elements that a task sorts and groups at a time; more rows go to more tasks.
+ROWS = 250_000
 #: Words of 64 bits in a signature that a join compares first, and at most in one that it compares then.
 SHORT, WIDE = 8, 128
 #: Bits of the filter that tells which documents' arrays are wanted (1 MB).
@@ -157,6 +159,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100):
         """Ids are taken as numbers; rows that share an id count as one document, but for null ids."""
+        small_batches(docs.sparkSession)
         self.width, self.num, self.den, self.id_col = width, num, den, id_col
         self.all = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
         self.texts = self.all.where("id is not null")
@@ -196,6 +199,13 @@ class JaccardJoin:
         self.frequent = values[order], top.column("n").to_numpy()[order]
         self.classes = materialise(self.sets.where("n > 0 and id is not null").groupBy("mark").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
+    @staticmethod
+    def _dealt(rows: DataFrame, count: int | None) -> DataFrame:
+        """Rows dealt by element; about `count` of them, in as many parts as keep a task's sort small."""
+        parts = -(-(count or 0) // ROWS)
+        few = parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition("element") if few else rows.repartition(parts, "element")
+
     def _sharing(self) -> DataFrame:
         """(element, id, n, hub): the classes that share a search element, hub the smallest of them.
 
@@ -228,7 +238,9 @@ class JaccardJoin:
                     names=["element", "id", "early"])
 
         places = self.texts.mapInArrow(run, "element long, id long, early boolean")
-        places = places.where("element is not null and id is not null").repartition("element")  # dealt once, read twice
+        p = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
+        count = self.sets.where("n > 0 and id is not null").agg(F.sum(2 * p - 1)).first()[0]
+        places = self._dealt(places.where("element is not null and id is not null"), count)  # dealt once, read twice
         # both sides read every column and have the same conditions, so Spark deals the rows out once
         twice = by_two(places, F.max("early").alias("some")).select("element", "some")
         shared = places.join(twice, "element").join(self.classes.select(F.col("rep").alias("id"), "n"), "id")
@@ -262,14 +274,15 @@ class JaccardJoin:
                         names=["element", "id", "n", "band", "common"])
 
         keyed = self.arrays.mapInArrow(run, "element long, id long, n long, band long, common long")
-        tiles = keyed.repartition("element")
+        keys = self.classes.join(self.arrays.select(F.col("id").alias("rep")), "rep", "left_semi").agg(F.sum(F.col("n") + SPARE[1])).first()[0]
+        tiles = self._dealt(keyed, keys)
         met = tiles.join(by_two(tiles).drop("hub"), "element").withColumnRenamed("n_ids", "times")
         unsure = materialise(keyed.where("common < 1").select("id").distinct(), "unsure")
         # of its keys in a band that others have too, a class leaves the (common - 1) most frequent ones out
         mine = Window.partitionBy("id", "band")
         ranked = met.withColumn("place", F.row_number().over(mine.orderBy("times", "element"))).withColumn("shared", F.count("*").over(mine)).withColumn("weight", F.sum("times").over(mine))
         kept = materialise(ranked.where("place <= shared - greatest(common, 1) + 1").select("element", "id", "n", "weight"), "tiles")
-        kept = kept.repartition("element")
+        kept = self._dealt(kept, kept.count())
         met = materialise(kept.join(by_two(kept).select("element"), "element"), "met")
         hubs = met.groupBy("element").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
         met = met.join(hubs, "element").select("element", "id", "n", "weight", "hub")
