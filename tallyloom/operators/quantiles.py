@@ -2,10 +2,11 @@
 
 Spark's exact `percentile` keeps every distinct value of a group in one buffer. Here a quantile
 sketch, merged from one small state for each task, cuts a group's values into slices of about
-equal numbers of rows, whatever their distribution. One pass counts the rows of each slice
-exactly, so the slice that holds a wanted rank is known for certain, and only its values go on: to
-another round while they are many, then into order. The sketch decides how narrow a slice is,
-never which value is returned.
+equal numbers of rows, whatever their distribution. A second pass counts the rows below the slices
+around a wanted rank and keeps their own values with counts, a small share of the table. So it is
+known for certain whether they hold the rank, and only they go on: to rounds of narrower slices
+while they are many, then into order. Should the sketch have missed, the rounds go over the whole
+table. The sketch decides how narrow a slice is, never which value is returned.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Column, weight
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("bigint").alias("_before"), F.sum("_n").alias("total"),
         F.count("*").alias("_held"), _cuts(F.col("_v")).alias("_cuts"))
     spans = materialise(spans.select(*by, "_lo", "_hi", "_before", F.col("total").alias("_total"), "_held", seek.alias("_seek"), "_cuts"), "spans")
+
+    def many(spans: DataFrame) -> bool:
+        return (spans.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_held")))).first()[0] or 0) > FEW
+
+    groups = by
+    if weight is None and many(spans):  # the sketch ranks rows, not weights
+        near = _around(values, spans, by, small)
+        if near is not None:
+            values, spans, by = *near, [*by, "_span"]
     same = [F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
     within = [*same, F.col("_v").between(F.col("_lo"), F.col("_hi"))]
 
@@ -64,7 +74,7 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Column, weight
         rows = values.alias("a").join(small(spans).alias("b"), within)
         return rows.select(*[f"a.{b}" for b in by], "_v", "_n", *[c for c in spans.columns if c not in by])
 
-    while (spans.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_held")))).first()[0] or 0) > FEW:
+    while many(spans):
         slices = inside(spans).groupBy(*by, *_SPAN, _slice_of(F.col("_v"), F.col("_cuts")).alias("_slice")).agg(
             F.sum("_n").alias("_m"), F.count("*").alias("_held"), F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.any_value("_seek").alias("_seek"))
         # At most 2 * SLICES rows per span.
@@ -87,7 +97,36 @@ def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: Column, weight
     placed = distinct.select("*", upto.alias("_to")).select(*by, "_total", "_v", F.filter(
         "_seek", lambda r: (r >= F.col("_to") - F.col("_n")) & (r < F.col("_to"))).alias("_hit"))
     hits = placed.where(F.size("_hit") > 0).select("*", F.explode("_hit").alias("rank"))
-    return hits.select(*[F.col(b).alias(k) for k, b in zip(keys, by)], F.col("_total").alias("total"), "rank", F.col("_v").alias("value"))
+    return hits.select(*[F.col(b).alias(k) for k, b in zip(keys, groups)], F.col("_total").alias("total"), "rank", F.col("_v").alias("value"))
+
+
+def _around(values: DataFrame, spans: DataFrame, by: list[str], small) -> tuple[DataFrame, DataFrame] | None:
+    """The values near the ranks sought, with their counts, and their spans; None where a rank is not among them.
+
+    A rank lies in the slice of the sketch that its share of the rows points at, or in one beside
+    it. The table is read once: of rows below a span only their number is kept, rows above it go.
+    """
+    slice_ = F.floor(F.col("_rank") * SLICES / F.col("_total")).cast("int")
+    sought = spans.select(*by, "_lo", "_hi", "_total", "_cuts", F.explode("_seek").alias("_rank"))
+    wide = sought.select(*by, F.coalesce(F.get("_cuts", slice_ - 2), "_lo").alias("_lo"), F.coalesce(F.get("_cuts", slice_ + 1), "_hi").alias("_hi"), "_total", "_rank")
+    wanted = wide.groupBy(*by, "_lo", "_hi", "_total").agg(F.collect_list("_rank").alias("_seek"))
+    # numbered once: the number stands for the span in every later table
+    wanted = materialise(wanted.withColumn("_span", F.monotonically_increasing_id()), "sought")
+    same = [F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
+    met = values.alias("a").join(small(wanted.select(*by, "_lo", "_hi", "_span")).alias("b"), [*same, F.col("_v") <= F.col("_hi")])
+    inner = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))  # null below the span
+    counted = materialise(met.select("_span", inner.alias("_v"), "_n").groupBy("_span", "_v").agg(F.sum("_n").alias("_n")), "near")
+    below = counted.where("_v is null").select("_span", F.col("_n").alias("_below"))
+    held = counted.where("_v is not null")
+    inside = held.groupBy("_span").agg(F.sum("_n").alias("_m"), F.count("*").alias("_held"), _cuts(F.col("_v")).alias("_cuts"))
+    told = wanted.join(inside, "_span", "left").join(below, "_span", "left").select(
+        *by, "_span", "_lo", "_hi", F.coalesce("_below", F.lit(0).cast("bigint")).alias("_before"), "_total", F.coalesce("_held", F.lit(0).cast("bigint")).alias("_held"), "_seek", "_cuts",
+        F.coalesce("_m", F.lit(0).cast("bigint")).alias("_m"))
+    told = materialise(told, "spans")
+    missed = F.exists("_seek", lambda r: (r < F.col("_before")) | (r >= F.col("_before") + F.col("_m")))
+    if not told.where(missed).isEmpty():
+        return None
+    return held.join(small(wanted.select("_span", *by)), "_span").select(*by, "_span", "_v", "_n"), told.drop("_m")
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None,
