@@ -44,3 +44,12 @@ def test_quantiles_are_right_where_the_sketch_is_not(spark, monkeypatch):
     monkeypatch.setattr(Q, "_around", lambda *a: None)
     df = spark.range(5000).select((F.col("id") * 7 % 5000).cast("double").alias("x"))
     assert Q.exact_quantiles(df, [], "x", [0.5, 0.9]).select("q0", "q1").first()[0:2] == (2499.5, 4499.1)
+
+
+def test_notes_read_the_table_for_the_decisions_and_once_a_way(counted):
+    df, read = counted([(f"{i},5", f"{i % 28 + 1:02d}/01/2024", "x") for i in range(50)], "amount string, day string, word string")
+    notes = {r["column"]: (r["decision"], r["rewritten"]) for r in FM.format_notes(df, df.columns).collect()}
+    assert notes == {"amount": ("1.234,56", 50), "day": ("dmy", 50)}
+    assert read.value <= 3 * 50
+    plain, _ = counted([("word",)], "word string")
+    assert FM.format_notes(plain, ["word"]).count() == 0
