@@ -106,20 +106,44 @@ def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         F.count_if(F.col("filled") & F.col("with_text")).alias("numeric_with_text"))
 
 
-def with_types(statistics: DataFrame) -> DataFrame:
-    """The inferred type: the first rule, in this order, that enough values satisfy."""
-    filled = F.col("n_rows") - F.col("missing")
-    n = F.greatest(filled, F.lit(1))
-    kind = (
-        F.when(filled == 0, "empty")
+def _filled() -> Column:
+    return F.col("n_rows") - F.col("missing")
+
+
+def _counted_type() -> Column:
+    """The first rule, in this order, that enough values satisfy; null where only the number of different values tells."""
+    n = F.greatest(_filled(), F.lit(1))
+    return (
+        F.when(_filled() == 0, "empty")
         .when(F.col("n_date") / n > 0.7, "date")
         .when(F.col("n_currency") / n > 0.5, "currency")
         .when((F.col("n_number") + F.col("with_text")) / n > 0.8, "number")
         .when(F.col("n_flag") / n > 0.8, "boolean")
-        .when(F.col("distinct") <= F.greatest(F.lit(20.0), n * 0.1), "category")
-        .otherwise("text")
     )
-    return statistics.select("*", kind.alias("type"), filled.alias("filled"))
+
+
+def with_types(statistics: DataFrame) -> DataFrame:
+    """The inferred type of every column."""
+    few = F.col("distinct") <= F.greatest(F.lit(20.0), F.greatest(_filled(), F.lit(1)) * 0.1)
+    kind = F.coalesce(_counted_type(), F.when(few, "category").otherwise("text"))
+    return statistics.select("*", kind.alias("type"), _filled().alias("filled"))
+
+
+def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, type) of every column.
+
+    The cells are counted where they lie. Values are grouped only of the columns whose type these
+    counts leave open, so numbers and dates, of which nearly every one differs, are not moved.
+    """
+    states = column_states(df, columns).select("column", "n_rows", "missing", "n_date", "n_currency", "n_number", "with_text", "n_flag")
+    states = materialise(states, "states")
+    left = {r["column"] for r in states.where(_counted_type().isNull()).select("column").collect()}  # one row per column
+    if left:
+        facts = value_facts(value_counts(df, [c for c in columns if c in left])).select("column", "distinct")
+        statistics = states.join(facts, "column", "left")
+    else:
+        statistics = states.withColumn("distinct", F.lit(None).cast("bigint"))
+    return with_types(statistics).select("column", "type")
 
 
 def outlier_counts(numbers: DataFrame, k: float = 1.5) -> DataFrame:
@@ -149,10 +173,11 @@ def inconsistent_case(counts: DataFrame) -> DataFrame:
         F.count("*").alias("folded_values"))
 
 
-def profile(df: DataFrame, columns: list[str], statistics: DataFrame | None = None) -> DataFrame:
-    """One row per column; `statistics` are those of the table where they are already at hand."""
-    counts = value_counts(df, columns)
-    typed = with_types(statistics if statistics is not None else statistics_of(df, columns))
+def profile(df: DataFrame, columns: list[str], statistics: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """One row per column; `statistics` and `counts` are those of the table where they are already at hand."""
+    if counts is None:
+        counts = materialise(value_counts(df, columns), "values")  # grouped once, read three times
+    typed = with_types(statistics if statistics is not None else column_statistics(column_states(df, columns), counts))
     # the quartiles look at the numbers several times; read from the text once, they are a narrow table
     numbers = materialise(judged_cells(df, columns).where("number is not null").select("column", "number"), "numbers")
     numeric = F.col("type").isin("number", "currency")

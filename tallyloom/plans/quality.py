@@ -87,7 +87,7 @@ def _(spark, sf):
 
 @query("c2_type_inference", f"""with {JUDGED_SQL} select col as "column", type from typed""")
 def _(spark, sf):
-    return PR.with_types(PR.statistics_of(messy(spark, sf), MESSY_TEXT)).select("column", "type")
+    return PR.column_types(messy(spark, sf), MESSY_TEXT)
 
 
 _NUMERIC_LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_skewed"]

@@ -46,6 +46,17 @@ def test_quantiles_are_right_where_the_sketch_is_not(spark, monkeypatch):
     assert Q.exact_quantiles(df, [], "x", [0.5, 0.9]).select("q0", "q1").first()[0:2] == (2499.5, 4499.1)
 
 
+def test_types_group_only_what_the_counts_leave_open(spark, monkeypatch):
+    rows = [(str(i), f"2024-01-{i % 28 + 1:02d}", "ab"[i % 2], f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "number string, day string, kind string, words string, nothing string")
+    grouped, real = [], PR.value_counts
+    monkeypatch.setattr(PR, "value_counts", lambda df, columns: grouped.extend(columns) or real(df, columns))
+    got = {r["column"]: r["type"] for r in PR.column_types(df, df.columns).collect()}
+    assert got == {"number": "number", "day": "date", "kind": "category", "words": "text", "nothing": "empty"}
+    assert sorted(grouped) == ["kind", "words"]
+    assert {r["type"] for r in PR.column_types(df, ["number", "nothing"]).collect()} == {"number", "empty"}
+
+
 def test_notes_read_the_table_for_the_decisions_and_once_a_way(counted):
     df, read = counted([(f"{i},5", f"{i % 28 + 1:02d}/01/2024", "x") for i in range(50)], "amount string, day string, word string")
     notes = {r["column"]: (r["decision"], r["rewritten"]) for r in FM.format_notes(df, df.columns).collect()}
