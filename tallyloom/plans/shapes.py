@@ -200,7 +200,7 @@ def _table_columns(spark, sf):
     """(table_name, position, column, type) of every sheet."""
     out = None
     for name, columns in SHEETS.items():
-        typed = PR.with_types(PR.statistics_of(sheet(spark, sf, name), list(columns))).select(F.lit(name).alias("table_name"), "column", "type")
+        typed = PR.column_types(sheet(spark, sf, name), list(columns)).select(F.lit(name).alias("table_name"), "column", "type")
         place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int")
         typed = typed.select("table_name", place.alias("position"), "column", "type")
         out = typed if out is None else out.unionByName(typed)
