@@ -11,10 +11,6 @@ from tallyloom.operators.evidence import fingerprint
 from tallyloom.session import materialise
 
 
-def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    return PR.with_types(PR.statistics_of(df, columns)).select("column", "type")
-
-
 def append_problems(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """What keeps two tables from being combined, both sides named; empty when nothing does.
 
@@ -25,7 +21,7 @@ def append_problems(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     missing = [("missing_column", c, "present", "absent") for c in existing.columns if c not in incoming.columns]
     extra = [("extra_column", c, "absent", "present") for c in incoming.columns if c not in existing.columns]
     headers = spark.createDataFrame(missing + extra, "problem string, column string, existing string, incoming string")
-    left, right = column_types(existing, both), column_types(incoming, both).withColumnRenamed("type", "other")
+    left, right = PR.column_types(existing, both), PR.column_types(incoming, both).withColumnRenamed("type", "other")
     amounts = F.col("type").isin("number", "currency") & F.col("other").isin("number", "currency")
     free = (F.col("type") == "empty") | (F.col("other") == "empty")
     # One row per column of the table.
@@ -89,9 +85,14 @@ def ingest(df: DataFrame, steps: list[clean.Step] = (), zone: str = "UTC") -> In
     """Clean, bring to one number and date form, profile, shape and fingerprint a text table."""
     cleaned = materialise(clean.apply_recipe(df, list(steps)), "cleaned")
     columns = cleaned.columns
-    rows = materialise(formats.normalise_columns(cleaned, columns, formats.detect_formats(cleaned, columns), zone), "rows")
-    statistics = materialise(PR.statistics_of(rows, columns), "statistics")
-    profile = materialise(PR.profile(rows, columns, statistics), "profile")
+    found = materialise(formats.detect_formats(cleaned, columns), "formats")
+    rows = materialise(formats.normalise_columns(cleaned, columns, found, zone), "rows")
+    counts = materialise(PR.value_counts(rows, columns), "values")
+    statistics = materialise(PR.column_statistics(PR.column_states(rows, columns), counts), "statistics")
+    profile = materialise(PR.profile(rows, columns, statistics, counts), "profile")
     issues = materialise(PR.quality_issues(rows, columns, profile), "issues")
-    return Ingested(rows, clean.applied_log(df, list(steps)), formats.format_notes(cleaned, columns, zone), profile, issues,
-                    PR.quality_score(issues), SH.ranked_columns(rows, columns, statistics), fingerprint(rows))
+    # small tables that look at every cell: computed once, however often they are written
+    applied = materialise(clean.applied_log(df, list(steps)), "applied")
+    notes = materialise(formats.format_notes(cleaned, columns, zone, found), "notes")
+    return Ingested(rows, applied, notes, profile, issues, PR.quality_score(issues),
+                    SH.ranked_columns(rows, columns, statistics), materialise(fingerprint(rows), "fingerprint"))

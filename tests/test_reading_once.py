@@ -64,3 +64,13 @@ def test_notes_read_the_table_for_the_decisions_and_once_a_way(counted):
     assert read.value <= 3 * 50
     plain, _ = counted([("word",)], "word string")
     assert FM.format_notes(plain, ["word"]).count() == 0
+
+
+def test_a_table_taken_in_is_not_read_again_to_be_written(spark, counted, tmp_path):
+    df, read = counted([(f" {i}", None if i % 3 else "y") for i in range(30)], "amount string, flag string")
+    taken = AP.ingest(df, [CL.Step("whitespace", "amount"), CL.Step("missing_values", "flag", "Unknown")])
+    before = read.value
+    for _ in range(2):
+        taken.write(str(tmp_path), "first")
+    assert read.value == before
+    assert AP.read_ingested(spark, str(tmp_path))["applied"].count() == 2
