@@ -74,3 +74,12 @@ def test_a_table_taken_in_is_not_read_again_to_be_written(spark, counted, tmp_pa
         taken.write(str(tmp_path), "first")
     assert read.value == before
     assert AP.read_ingested(spark, str(tmp_path))["applied"].count() == 2
+
+
+def test_customers_are_grouped_once(counted):
+    day = datetime.date(2024, 1, 1)
+    rows = [(i % 7, day + datetime.timedelta(days=i), f"o{i}", 2.0) for i in range(70)] + [(None, day + datetime.timedelta(days=99), "o", 1.0)]
+    df, read = counted(rows, "customer long, date date, order string, revenue double")
+    got = {r["customer"]: r[1:] for r in CU.rfm(df, "customer", "date", "order", "revenue").collect()}
+    assert got == {k: (6 - k, 10, 20.0) for k in range(7)}
+    assert read.value == len(rows)
