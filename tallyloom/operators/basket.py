@@ -50,6 +50,7 @@ def frequent_itemsets(rows: DataFrame, min_support: float = MIN_SUPPORT) -> Data
     There are at most (mean basket / min_support) of those, which bounds a basket even for an
     order with a third of all rows.
     """
+    rows = materialise(rows, "purchased")  # read three times
     orders = rows.select("order").distinct().count()
     least = max(1, math.ceil(min_support * orders - 1e-9))
     counts = rows.groupBy("product").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
@@ -60,6 +61,8 @@ def frequent_itemsets(rows: DataFrame, min_support: float = MIN_SUPPORT) -> Data
     kept = baskets.count()
     share = min(1.0, (least - 0.5) / kept) if kept else 1.0
     found = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
+    # mined once, whatever is read of the sets
+    found = materialise(found, "itemsets")
     return found.select(F.sort_array("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / F.lit(orders)).alias("support"))
 
 

@@ -83,3 +83,10 @@ def test_customers_are_grouped_once(counted):
     got = {r["customer"]: r[1:] for r in CU.rfm(df, "customer", "date", "order", "revenue").collect()}
     assert got == {k: (6 - k, 10, 20.0) for k in range(7)}
     assert read.value == len(rows)
+
+
+def test_baskets_are_read_once(counted):
+    df, read = counted([(f"o{i}", p) for i in range(40) for p in ("ab", "ac", "bc", "abc")[i % 4]], "order string, product string")
+    rules = B.association_rules(B.frequent_itemsets(df, 0.05), 0.0).collect()
+    n = sum(len(("ab", "ac", "bc", "abc")[i % 4]) for i in range(40))
+    assert read.value == n and all(r["orders"] in (10, 20) for r in rules)
