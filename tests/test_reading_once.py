@@ -90,3 +90,22 @@ def test_baskets_are_read_once(counted):
     rules = B.association_rules(B.frequent_itemsets(df, 0.05), 0.0).collect()
     n = sum(len(("ab", "ac", "bc", "abc")[i % 4]) for i in range(40))
     assert read.value == n and all(r["orders"] in (10, 20) for r in rules)
+
+
+def test_customers_of_a_group_count_once_and_nulls_form_a_group(spark, tmp_path):
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    table("part", [(1, "t", "b"), (2, "t", "b"), (3, None, "b"), (4, None, None), (1, "u", "b")], "p_partkey long, p_type string, p_brand string")
+    table("customer", [(1, "s"), (2, None), (3, "s"), (3, "s")], "c_custkey long, c_mktsegment string")
+    table("orders", [(1, 1, "2020-01-01"), (2, 1, "2022-01-01"), (3, 2, "2020-01-01"), (4, 9, "2020-05-01"), (5, None, "2021-01-01"), (6, 3, None)],
+          "o_orderkey long, o_custkey long, o_orderdate string")
+    lines = [(1, 1), (2, 2), (3, 3), (3, 4), (4, 4), (4, 8), (5, 8), (6, 2), (7, 1)]
+    table("lineitem", lines, "l_orderkey long, l_partkey long")
+    got = {tuple(r[c] for c in ("department", "category", "brand")): (r["customers"], r["span_days"]) for r in all_queries()["o15_refusal_status"](spark, str(tmp_path)).collect()}
+    assert got == {("s", "t", "b"): (2, 731), ("s", "u", "b"): (1, 0), (None, None, "b"): (1, 0), (None, None, None): (2, 366), (None, "t", "b"): (0, None), (None, "u", "b"): (0, None)}
+
+
+def test_o15_sorts_no_names(spark):
+    plan = all_queries()["o15_refusal_status"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan
