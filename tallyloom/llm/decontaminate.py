@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ TERM_BITS = 20
 PASSAGE, STRIDE = 64, 48
 #: Steps folded at once.
 FOLDED = 1 << 11
+#: Tasks that multiply the passages, and rows of their products added up together.
+PARTS, SUMMED = 8, 256
 #: Words in the finest step; a window is four steps of its own, seen with two more on each side.
 STEP = 4
 WINDOWS = (16, 32, 64)
@@ -177,13 +180,13 @@ def _singular_vectors(spark, rows: list[np.ndarray], weight: np.ndarray, rank: i
     """Leading right singular vectors of the TF-IDF passages by randomised subspace iteration.
 
     The passages are a distributed table; each round multiplies by A and then by its transpose
-    inside the tasks, sums the products by task group and orthonormalises on the driver
-    (terms of a block x rank numbers).
+    inside the tasks, adds the tasks' products up on executors, slice by slice of their rows and in
+    the tasks' order, and orthonormalises their one sum on the driver (terms of a block x rank numbers).
     """
     n = len(weight)
     if not rows:
         return np.zeros((n, 1))
-    table = spark.createDataFrame([([int(x) for x in r],) for r in rows], "terms array<int>").repartition(8)
+    table = spark.createDataFrame([([int(x) for x in r],) for r in rows], "terms array<int>").repartition(PARTS)
     basis = np.linalg.qr(np.random.Generator(np.random.PCG64(5)).standard_normal((n, rank)))[0]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(basis)
@@ -195,10 +198,23 @@ def _singular_vectors(spark, rows: list[np.ndarray], weight: np.ndarray, rank: i
                     t = terms.values.to_numpy()
                     row = (x[t] * weight[t, None]).sum(0)
                     np.add.at(total, t, weight[t, None] * row)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.large_binary())], names=["part"])
+            task = TaskContext.get().partitionId()
+            for k in range(0, n, SUMMED):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([task]), pa.array([total[k : k + SUMMED].tobytes()], pa.binary())], names=["first", "task", "part"])
 
-        parts = table.mapInArrow(multiply, "part binary").toArrow().column("part").to_pylist()  # 8 partial products
-        product = sum(np.frombuffer(p, np.float64).reshape(n, rank) for p in parts)
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, part in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    sums[k] = sums.get(k, 0.0) + np.frombuffer(part.as_buffer(), np.float64)
+            for k, total in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], names=["first", "part"])
+
+        parts = table.mapInArrow(multiply, "first long, task long, part binary")
+        added = parts.repartition(PARTS, "first").sortWithinPartitions("first", "task").mapInArrow(add, "first long, part binary").toArrow()
+        product = np.empty((n, rank))
+        for k, part in zip(added.column("first").to_pylist(), added.column("part")):
+            product[k : k + SUMMED] = np.frombuffer(part.as_buffer(), np.float64).reshape(-1, rank)
         basis = np.linalg.qr(product)[0]
     return basis
 
