@@ -186,7 +186,8 @@ def _singular_vectors(spark, rows: list[np.ndarray], weight: np.ndarray, rank: i
     n = len(weight)
     if not rows:
         return np.zeros((n, 1))
-    table = spark.createDataFrame([([int(x) for x in r],) for r in rows], "terms array<int>").repartition(PARTS)
+    # as an Arrow table: a list would start a second set of Python workers, which stay
+    table = spark.createDataFrame(pa.table({"terms": pa.array(rows, pa.list_(pa.int32()))})).repartition(PARTS)
     basis = np.linalg.qr(np.random.Generator(np.random.PCG64(5)).standard_normal((n, rank)))[0]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(basis)

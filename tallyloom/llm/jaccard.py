@@ -45,6 +45,8 @@ from tallyloom.session import materialise, small_batches
 FREQUENT = 1 << 16
 #: A task reports the elements that this many of about `WINDOW` / set size documents share.
 SEEN, WINDOW = 4, 2_000_000
+#: Documents and characters of them that a task has in hand at a time: a Python worker keeps the memory of its largest arrays.
+SLICE, CHARACTERS = 256, 250_000
 #: Tiles beyond those that partners can differ in: a share of them and a number.
 SPARE = 1.0, 4
 #: Rounds of one partner each before pairs are made; they decide only how many pairs are left.
@@ -64,7 +66,7 @@ def element_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
     one element; one without words has none.
     """
     out: list[np.ndarray] = []
-    for start, end in chunks(blobs):
+    for start, end in chunks(blobs, CHARACTERS):
         words, at = hash_words([b.lower() for b in blobs[start:end]])
         grams = hash_windows(words, width)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -80,6 +82,14 @@ def element_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def repeated(elements: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are there so many times at least, and how many times; sorts the array in place."""
+    elements.sort()
+    again = elements[times - 1 :][elements[times - 1 :] == elements[: max(0, len(elements) - times + 1)]]
+    first = np.flatnonzero(np.append(True, again[1:] != again[:-1])[: len(again)])
+    return again[first], np.diff(first, append=len(again)) + times - 1
+
+
 def bitmap(elements: np.ndarray) -> bytes:
     """Parities of the elements hashed to each of 64, 128, ... bits, at least as many as elements."""
     bits = 64
@@ -170,24 +180,27 @@ class JaccardJoin:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[np.ndarray] = []
+            window, filled = np.empty(WINDOW, np.uint64), 0
 
-            def frequent() -> pa.RecordBatch:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                keep = counts >= SEEN
-                return _rows(element=values[keep].view(np.int64), n=counts[keep])
+            def frequent(elements: np.ndarray) -> pa.RecordBatch:
+                values, counts = repeated(elements, SEEN)
+                return _rows(element=values.view(np.int64), n=counts)
 
-            for batch in slices(batches):
+            for batch in slices(batches, SLICE):
                 sets = element_sets(_blobs(batch.column(1)), width)
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield _rows(id=batch.column(0), n=np.array([len(s) for s in sets], np.int64), mark=marks, bits=[bitmap(s) for s in sets], digest=batch.column(2))
-                for s in sets:
-                    held.append(s)
-                    if len(held) % 256 == 0 and sum(map(len, held)) >= WINDOW:
-                        yield frequent()
-                        held = []
-            if held:
-                yield frequent()
+                found = np.concatenate([np.zeros(0, np.uint64), *sets])
+                if filled + len(found) > WINDOW:
+                    yield frequent(window[:filled])
+                    filled = 0
+                if len(found) > WINDOW:
+                    yield frequent(found)
+                else:
+                    window[filled : filled + len(found)] = found
+                    filled += len(found)
+            if filled:
+                yield frequent(window[:filled])
 
         told = self.all.select("id", "text", F.xxhash64("text").alias("digest"))
         facts = materialise(told.mapInArrow(run, "id long, n long, mark binary, bits binary, digest long, element long"), "sets")
@@ -218,7 +231,7 @@ class JaccardJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, weights = frequent.value
-            for batch in slices(batches):
+            for batch in slices(batches, SLICE):
                 ids, sizes, found, early = [], [], [], []
                 for i, s in zip(batch.column(0).to_pylist(), element_sets(_blobs(batch.column(1)), width)):
                     if not len(s):
@@ -308,7 +321,7 @@ class JaccardJoin:
                 at = batch.column(2).to_numpy()
                 keep = pa.array((marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
                 batch = batch.filter(keep)
-                for part in slices([batch]):
+                for part in slices([batch], SLICE):
                     sets = element_sets(_blobs(part.column(1)), width)
                     wide = [signature(s) for s in sets]
                     yield _rows(id=part.column(0), elements=[s.tobytes() for s in sets], short=[np.bitwise_xor.reduce(w.reshape(-1, SHORT)) for w in wide], wide=wide)
